@@ -1,9 +1,9 @@
 """Queries and SQL of the training-data operators."""
 
-from tidemark.llm import jaccard_join, mixing, quality_rules
+from tidemark.llm import context_tree, jaccard_join, mixing, quality_rules
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (mixing, jaccard_join, quality_rules):
+for _module in (context_tree, mixing, jaccard_join, quality_rules):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

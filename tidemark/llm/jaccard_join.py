@@ -10,9 +10,14 @@ Allocation by cost: an empty range says nothing and would be a hot key, so it is
 one-deletion neighbourhoods of their ranges as well: two such sets whose non-empty ranges all differ by two or more
 would differ in too many shingles. Where even that bound fails, their empty ranges are keys, too.
 
-Each key's documents are tied into a star; connected stars are candidate groups; inside a group, cut into blocks
-where it is large, every pair of blocks is verified exactly on the shingle sets by matrix products, and only a
-spanning forest of the true links leaves the task. So no key, group of copies or component is emitted as pairs.
+The sets that share a key form a group; groups with the same members are one. Groups are verified twice, cut into
+blocks of documents where they are large, so every pair of members is compared without being emitted:
+
+1. on parity sketches of at least two bits a shingle: the number of differing bits never exceeds the number of
+   differing shingles, so only pairs that cannot be linked fall;
+2. what is still connected is compared exactly, on the shingle sets, by matrix products.
+
+Only (smallest, member) pairs of connected members leave a task, never all pairs of a key or of a group of copies.
 Equal sets are one class from the start.
 
 Defined cases: a null text counts as empty; a document without words has no shingles, is linked with nothing and is
@@ -31,7 +36,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import bytetext as bt
 from tidemark.llm.shared import blocks_for, components, written
 
-SPARE = 1
+SPARE_STEP = 24  # one more spare range for so many differences
 BLOCK = 512  # documents of a large candidate group that are verified together
 BLOOM_BITS = 25
 
@@ -77,7 +82,8 @@ def segment_keys(counts: np.ndarray, shingle: np.ndarray, rows: np.ndarray, perc
     for step in (0, 1):
         band = home + step
         most = (100 - percent) * 2 * tops[band] // (100 + percent)
-        m = most + 1 + SPARE
+        spare = 1 + most // SPARE_STEP
+        m = most + 1 + spare
         at = ((shingle >> np.uint64(32)) * m[rows].astype(np.uint64)) >> np.uint64(32)
         edge = np.ones(len(rows), bool)
         edge[1:] = (rows[1:] != rows[:-1]) | (at[1:] != at[:-1])
@@ -91,7 +97,7 @@ def segment_keys(counts: np.ndarray, shingle: np.ndarray, rows: np.ndarray, perc
         keys.append(bt.mix64(total ^ name))
         owners.append(owner)
         empty = m - np.bincount(owner, minlength=len(counts))
-        rare = (empty > SPARE) & (counts > 0) & (most > 0)
+        rare = (empty > spare) & (counts > 0) & (most > 0)
         if rare.any():
             of = np.repeat(np.arange(len(first)), size)
             pick = rare[rows]
@@ -106,14 +112,25 @@ def segment_keys(counts: np.ndarray, shingle: np.ndarray, rows: np.ndarray, perc
     return np.concatenate(keys), np.concatenate(owners)
 
 
+def sketches(counts: np.ndarray, shingle: np.ndarray, rows: np.ndarray) -> list[bytes]:
+    """Parity bits of each set: 2**k of them, at least two a shingle; halves folded by XOR give the next smaller size."""
+    bits = 1 << np.ceil(np.log2(np.maximum(2 * counts, 64))).astype(np.int64)
+    starts = np.cumsum(bits) - bits
+    at = (bt.mix64(shingle + np.uint64(0x2545F491)) & (bits[rows] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(starts[rows] + at, minlength=int(bits.sum())) & 1
+    packed = np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    return [packed[a // 8 : (a + n) // 8] for a, n in zip(starts, bits, strict=True)]
+
+
 def _infos(width: int):
     def run(batches):
         for batch in batches:
-            for first, counts, shingle, _ in document_sets(batch.column(1), width):
+            for first, counts, shingle, rows in document_sets(batch.column(1), width):
                 ids = batch.column(0).slice(first, len(counts))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(set_ids(counts, shingle))], ["id", "n", "sid"]
-                )
+                    [ids, pa.array(counts, pa.int64()), pa.array(set_ids(counts, shingle)), pa.array(sketches(counts, shingle, rows), pa.binary())],
+                    ["id", "n", "sid", "sketch"],
+                )
 
     return run
 
@@ -159,18 +176,27 @@ def _index(width: int, percent: int, buckets: int):
     return run
 
 
-def _stars(table: pa.Table) -> pa.Table:
-    """The distinct sets of each key tied to the smallest one."""
+def _groups(table: pa.Table) -> pa.Table:
+    """(gid, sid) of every key with two distinct sets or more; keys with the same members have the same gid."""
     flat = lambda c: table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
     keys, sids = flat("keys"), flat("sids")
     order = np.lexsort((sids, keys))
     keys, sids = keys[order], sids[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (sids[1:] != sids[:-1])
+    keys, sids = keys[fresh], sids[fresh]
     first = np.ones(len(keys), bool)
     first[1:] = keys[1:] != keys[:-1]
-    low = sids[first][np.cumsum(first) - 1] if len(keys) else sids
-    tied = low != sids
-    pairs = np.unique(np.stack([low[tied], sids[tied]], 1), axis=0)
-    return pa.table({"u": pa.array(pairs[:, 0]), "v": pa.array(pairs[:, 1])})
+    start = np.flatnonzero(first)
+    size = np.diff(np.append(start, len(keys)))
+    start, size = start[size > 1], size[size > 1]
+    sums = np.zeros(len(sids) + 1, np.uint64)
+    np.cumsum(bt.mix64(sids.view(np.uint64)), out=sums[1:])
+    gid, at = np.unique(bt.mix64(sums[start + size] - sums[start] + size.astype(np.uint64)), return_index=True)
+    start, size = start[at], size[at]
+    ends = np.cumsum(size)
+    members = sids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)]
+    return pa.table({"gid": pa.array(np.repeat(gid.view(np.int64), size)), "sid": pa.array(members)})
 
 
 def bloom(ids: DataFrame, column: str) -> np.ndarray:
@@ -200,66 +226,101 @@ def _wanted_sets(width: int, bits):
                 fresh = fresh[~np.isin(ids[fresh], seen) & (ids[fresh] != 0)]
                 seen = np.union1d(seen, ids[fresh])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[fresh]), pa.array([shingle[ends[i] - counts[i] : ends[i]].tobytes() for i in fresh], pa.binary())],
-                    ["sid", "shingles"],
+                    [pa.array(ids[fresh]), pa.array(counts[fresh], pa.int64()), pa.array([shingle[ends[i] - counts[i] : ends[i]].tobytes() for i in fresh], pa.binary())],
+                    ["sid", "n", "payload"],
                 )
 
     return run
 
 
-def _forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that span the linked components of one group, every pair compared exactly."""
-    n = np.array([len(s) for s in sets])
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two sets share."""
     token = np.concatenate(sets)
     _, column, many = np.unique(token, return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(sets)), n)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     shared = many[column] > 1
     row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
-    common = np.zeros((len(sets), len(sets)), np.float32)
-    width = 8192
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
+    common, width = np.zeros((len(sets), len(sets)), np.float32), 4096
     for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         a, b = np.searchsorted(column, (low, low + width))
-        part = np.zeros((len(sets), width), np.float32)
+        part = np.zeros((len(sets), min(width, int(column[-1]) + 1 - low)), np.float32)
         part[row[a:b], column[a:b] - low] = 1
         common += part @ part.T
-    both = n[:, None] + n[None, :] - common
-    linked = 100 * common >= percent * both
-    parent = np.arange(len(sets))
-
-    def find(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    edges = []
-    for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
-        a, b = find(i), find(j)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            edges.append((i, j))
-    return edges
-
-
-def _verify(percent: int):
+    return common
+
+
+def _linked_exactly(n: np.ndarray, payload: list[bytes], percent: int) -> np.ndarray:
+    common = _common([np.frombuffer(x, np.uint64) for x in payload])
+    return 100 * common >= percent * (n[:, None] + n[None, :] - common)
+
+
+def _may_be_linked(n: np.ndarray, payload: list[bytes], percent: int) -> np.ndarray:
+    """False only for pairs whose sizes or sketches rule a link out."""
+    both = n[:, None] + n[None, :]
+    may = 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
+    length = np.array([len(x) for x in payload])
+    for size in np.unique(length):
+        rows = np.flatnonzero((length == size) | (length == 2 * size))
+        if len(rows) < 2:
+            continue
+        halves = [np.frombuffer(payload[i], np.uint8) for i in rows]
+        folded = np.stack([x if len(x) == size else x[:size] ^ x[size:] for x in halves])
+        signs = np.unpackbits(folded, axis=1).astype(np.float32) * 2 - 1
+        differing = (8 * size - signs @ signs.T) / 2
+        inside = np.ix_(rows, rows)
+        # sizes more than twice apart never meet here, and their sizes have ruled them out
+        may[inside] &= (100 + percent) * differing <= (100 - percent) * both[inside]
+    return may
+
+
+def _connected(linked: np.ndarray) -> np.ndarray:
+    """The smallest row that each row is connected to."""
+    label = np.arange(len(linked))
+    while True:
+        new = np.where(linked, label[None, :], len(linked)).min(1)
+        new = np.minimum(new, label)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _verify(test, percent: int):
     def run(table: pa.Table) -> pa.Table:
-        frame = table.select(["gid", "p", "q", "sid", "shingles"]).to_pandas().sort_values(["gid", "p", "q", "sid"])
-        us, vs = [], []
-        for _, group in frame.groupby(["gid", "p", "q"], sort=False):
-            if len(group) < 2:
-                continue
-            sid = group["sid"].to_numpy()
-            sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
-            for i, j in _forest(sets, percent):
-                us.append(sid[i])
-                vs.append(sid[j])
-        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+        table = table.sort_by([("gid", "ascending"), ("p", "ascending"), ("q", "ascending"), ("sid", "ascending")])
+        gid, p, q, sid, n = (table.column(c).to_numpy() for c in ("gid", "p", "q", "sid", "n"))
+        payload = table.column("payload").combine_chunks()
+        edge = np.ones(len(gid) + 1, bool)
+        edge[1:-1] = (gid[1:] != gid[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])
+        cuts = np.flatnonzero(edge)
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b - a > 1:
+                low = _connected(test(n[a:b].astype(np.int64), payload[a:b].to_pylist(), percent))
+                moved = np.flatnonzero(low != np.arange(b - a))
+                us.append(sid[a:b][low[moved]])
+                vs.append(sid[a:b][moved])
+        return pa.table({"u": pa.array(np.concatenate(us)), "v": pa.array(np.concatenate(vs))})
 
     return run
 
 
+def _compare(members: DataFrame, payloads: DataFrame, test, percent: int, tasks: int) -> DataFrame:
+    """Connected pairs (u, v) of the groups' members; ``members`` is (gid, sid), ``payloads`` (sid, n, payload).
+
+    A group of more than BLOCK members is cut into blocks, and each two blocks are one task's work.
+    """
+    sizes = members.groupBy("gid").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
+    placed = members.join(sizes, "gid").withColumn("mine", mine)
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("gid", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "sid")
+    dealt = placed.join(payloads, "sid").withColumn("task", F.pmod(F.xxhash64("gid", "p", "q"), F.lit(tasks)))
+    return dealt.groupBy("task").applyInArrow(_verify(test, percent), "u long, v long")
+
+
 def join_components(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4, percent: int = 85
 ) -> DataFrame:
@@ -267,29 +328,22 @@ def join_components(
     spark = docs.sparkSession
     buckets = blocks_for(docs, text)
     narrow = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    infos = written(narrow.mapInArrow(_infos(width), "id long, n long, sid long"), "infos")
+    infos = written(narrow.mapInArrow(_infos(width), "id long, n long, sid long, sketch binary"), "infos")
+    one = infos.where("sid <> 0").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("payload"))
     index = narrow.select("text").mapInArrow(_index(width, percent, buckets), "bucket int, keys array<bigint>, sids array<bigint>")
-    stars = index.groupBy("bucket").applyInArrow(_stars, "u long, v long").distinct()
-    groups = written(components(stars).select(F.col("node").alias("sid"), F.col("root").alias("gid")), "groups")
+    groups = written(index.groupBy("bucket").applyInArrow(_groups, "gid long, sid long").distinct(), "groups")
+    maybe = _compare(groups, one.select("sid", "n", "payload"), _may_be_linked, percent, 4 * buckets)
+    near = written(components(maybe).select(F.col("node").alias("sid"), F.col("root").alias("gid")), "near")
 
-    # the sets of one document for each candidate class, for exact verification
-    one = infos.where("sid <> 0").groupBy("sid").agg(F.min("id").alias("id"))
-    chosen = one.join(groups, "sid", "left_semi")
+    # the shingles of one document for each set that is left, for exact verification
+    chosen = one.select("sid", "id").join(near, "sid", "left_semi")
     bits = spark.sparkContext.broadcast(bloom(chosen.select("id"), "id"))
-    sets = narrow.select("text", F.xxhash64("id")).mapInArrow(_wanted_sets(width, bits), "sid long, shingles binary")
-    sizes = groups.groupBy("gid").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = groups.join(sizes, "gid")
-    dealt = sets.groupBy("sid").agg(F.first("shingles").alias("shingles")).join(placed, "sid")
-    mine = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-    dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("gid", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "sid", "shingles")
-    links = (
-        dealt.withColumn("task", F.pmod(F.xxhash64("gid", "p", "q"), F.lit(4 * buckets)))
-        .groupBy("task").applyInArrow(_verify(percent), "u long, v long")
-    )
+    sets = narrow.select("text", F.xxhash64("id")).mapInArrow(_wanted_sets(width, bits), "sid long, n long, payload binary")
+    sets = sets.groupBy("sid").agg(F.first("n").alias("n"), F.first("payload").alias("payload"))
+    links = _compare(near.select("gid", "sid"), sets, _linked_exactly, percent, 4 * buckets)
     linked = components(links)
     firsts = written(
-        one.join(linked.select(F.col("node").alias("sid"), "root"), "sid", "left")
+        one.select("sid", "id").join(linked.select(F.col("node").alias("sid"), "root"), "sid", "left")
         .select("sid", "id", F.coalesce("root", "sid").alias("root")), "classes",
     )
     lowest = firsts.groupBy("root").agg(F.min("id").alias("component_id"))
