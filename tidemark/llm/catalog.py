@@ -1,9 +1,11 @@
 """Queries and SQL of the training-data operators."""
 
-from tidemark.llm import context_tree, jaccard_join, mixing, quality_rules
+from tidemark.llm import (
+    context_tree, fingerprints, html_blocks, jaccard_join, kernel_quality, mixing, pii, quality_rules,
+)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (context_tree, mixing, jaccard_join, quality_rules):
+for _module in (context_tree, html_blocks, mixing, fingerprints, pii, jaccard_join, quality_rules, kernel_quality):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
