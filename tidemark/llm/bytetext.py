@@ -71,13 +71,18 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte span that depends on its bytes only."""
+    return span_hashes_of(_BYTE[data], starts, ends)
+
+
+def span_hashes_of(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The same over any 64-bit values, such as hashed characters."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    powers = np.full(len(data), _BASE)
+    powers = np.full(len(values), _BASE)
     powers[0] = 1
     np.multiply.accumulate(powers, out=powers)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers, out=sums[1:])
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers, out=sums[1:])
     back = np.full(int(starts[-1]) + 1, _BASE_INVERSE)
     back[0] = 1
     np.multiply.accumulate(back, out=back)

@@ -1,11 +1,11 @@
 """Queries and SQL of the training-data operators."""
 
 from tidemark.llm import (
-    context_tree, fingerprints, html_blocks, jaccard_join, kernel_quality, licenses, mixing, pii, quality_rules,
+    context_tree, fingerprints, html_blocks, jaccard_join, kernel_quality, licenses, mixing, pii, quality_rules, sentencepiece_scan,
 )
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (context_tree, html_blocks, licenses, mixing, fingerprints, pii, jaccard_join, quality_rules, kernel_quality):
+for _module in (context_tree, html_blocks, licenses, mixing, sentencepiece_scan, fingerprints, pii, jaccard_join, quality_rules, kernel_quality):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
