@@ -158,7 +158,10 @@ def judge(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFr
 
 def clean(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
     """The kept documents with their failing lines removed, in the input's own columns; n_chars follows the text."""
-    kept = judge(docs, text, rules).where("kept").withColumn(text, F.col("clean_text"))
+    judged = judge(docs, text, rules)
+    # a filter would be pushed below the judgement and evaluate it again for every use of a helper; exploding is not
+    passed = F.explode(F.when(F.col("kept"), F.array(F.lit(True)))).alias("_quality_passed")
+    kept = judged.select("*", passed).withColumn(text, F.col("clean_text"))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length(text).cast("long"))
     return kept.select(*docs.columns)
