@@ -36,6 +36,7 @@ from tidemark.llm import bytetext as bt
 GIANT = 65_536
 CHUNK = 16_384
 MARK = "▁"
+KEPT = 1_000_000  # distinct stretches that a process keeps
 LONG = 64  # stretches above this many characters are encoded one at a time
 
 
@@ -108,7 +109,8 @@ class Pieces:
         at = np.searchsorted(self.known, code)
         new = np.ones(len(code), bool) if not len(self.known) else self.known[np.minimum(at, len(self.known) - 1)] != code
         if new.any():
-            missing, fresh = np.unique(code[new]), []
+            missing, fresh = np.sort(code[new]), []
+            missing = missing[np.append(True, missing[1:] != missing[:-1])]
             for c in missing.tolist():
                 u, v = self.text[c // len(self.text)], self.text[c % len(self.text)]
                 fresh.append(self.merge(u + v) == [u, v])
@@ -137,6 +139,17 @@ class Pieces:
 _loaded: dict[str, Pieces] = {}
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """A process keeps what it has encoded; beyond a size it starts anew, which costs time only."""
+    found = _encoders.get(path)
+    if found is None or len(found.hashes) > KEPT:
+        found = _encoders[path] = Encoder(pieces(path))
+    return found
+
+
 def pieces(path: str) -> Pieces:
     if path not in _loaded:
         _loaded[path] = Pieces(path)
@@ -232,26 +245,31 @@ class Encoder:
 
     def _learn(self, points, codes, starts, ends, hashes) -> None:
         sizes = ends - starts
-        ids = [np.zeros(0, np.int32)] * len(starts)
         plain = codes[starts] >= 0
+        count = np.zeros(len(starts), np.int64)
+        order, pool = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
         short = np.flatnonzero(plain & (sizes <= LONG))
-        for low in range(0, len(short), 50_000):
-            part = short[low : low + 50_000]
-            token, count = paths(self.v, codes, starts[part], sizes[part])
-            for i, x in zip(part, np.split(token, np.cumsum(count)[:-1]), strict=True):
-                ids[i] = x
+        for low in range(0, len(short), 25_000):
+            part = short[low : low + 25_000]
+            token, count[part] = paths(self.v, codes, starts[part], sizes[part])
+            order.append(part)
+            pool.append(token)
         for i in np.flatnonzero(plain & (sizes > LONG)):
-            ids[i] = np.array(walk(self.v, codes[starts[i] : ends[i]]), np.int32)
+            pool.append(np.array(walk(self.v, codes[starts[i] : ends[i]]), np.int32))
+            order.append(np.array([i]))
+            count[i] = len(pool[-1])
         for i in np.flatnonzero(~plain):
             raw = chr(points[starts[i]]).encode("utf-8", "surrogatepass")
-            ids[i] = np.array([self.v.of_byte[b] for b in raw], np.int32)
-        count = np.array([len(x) for x in ids], np.int64)
-        first = len(self.pool) + np.cumsum(count) - count
+            pool.append(np.array([self.v.of_byte[b] for b in raw], np.int32))
+            order.append(np.array([i]))
+            count[i] = len(raw)
+        placed, first = np.concatenate(order), np.zeros(len(starts), np.int64)
+        first[placed] = len(self.pool) + np.cumsum(count[placed]) - count[placed]
         order = np.argsort(hashes)
         to = np.searchsorted(self.hashes, hashes[order])
         self.hashes = np.insert(self.hashes, to, hashes[order])
         self.first, self.count = np.insert(self.first, to, first[order]), np.insert(self.count, to, count[order])
-        self.pool = np.concatenate([self.pool, *ids])
+        self.pool = np.concatenate([self.pool, *pool])
 
 
 def walk(v: Pieces, codes: np.ndarray) -> list[int]:
@@ -423,16 +441,20 @@ def decode(ids, v: Pieces) -> str:
 STATE = "struct<reach:int,piece:int>"
 
 
-def _encode_small(path: str):
+def _encode_small(path: str, check: bool):
     def run(batches):
-        encoder = Encoder(pieces(path))
+        v = pieces(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            for low in range(0, len(texts), 256):
-                part = texts[low : low + 256]
-                ids, count = encoder.encode(part)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*[c.slice(low, len(part)) for c in batch.columns[:-1]], lists], [*batch.schema.names[:-1], "ids"])
+            for low in range(0, len(batch), 256):
+                part = batch.slice(low, 256)
+                texts = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
+                ids, count = encoder_of(path).encode(texts)
+                cuts = np.concatenate([[0], np.cumsum(count)])
+                out = [*part.columns[:-1], pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids.astype(np.int32)))]
+                if check:
+                    same = [decode(ids[a:b], v) == t.replace(MARK, " ") for t, a, b in zip(texts, cuts, cuts[1:], strict=False)]
+                    out.append(pa.array(same, pa.bool_()))
+                yield pa.RecordBatch.from_arrays(out, [*batch.schema.names[:-1], "ids", *(["round_trip"] if check else [])])
 
     return run
 
@@ -475,7 +497,7 @@ def _backtrace(path: str):
     @F.pandas_udf("array<int>")
     def back(left: pd.Series, body: pd.Series, right: pd.Series, a_reach: pd.Series, a_piece: pd.Series, b_reach: pd.Series, b_piece: pd.Series) -> pd.Series:
         v = pieces(path)
-        encoder = Encoder(v)
+        encoder = encoder_of(path)
         return pd.Series([
             Chunk(v, x[0], x[1], x[2]).between((x[3], x[4]), (x[5], x[6]), encoder)
             for x in zip(left, body, right, a_reach, a_piece, b_reach, b_piece, strict=True)
@@ -485,9 +507,12 @@ def _backtrace(path: str):
 
 
 def encode(
-    docs: DataFrame, text: str = "text", path: str | None = None, giant: int = GIANT, chunk: int = CHUNK
+    docs: DataFrame, text: str = "text", path: str | None = None, giant: int = GIANT, chunk: int = CHUNK, check: bool = False
 ) -> DataFrame:
-    """Every row with a column ``ids``, array<int>: what SentencePiece's own encoder gives."""
+    """Every row with a column ``ids``, array<int>: what SentencePiece's own encoder gives.
+
+    With ``check``, also with ``round_trip``: whether decoding the ids gives the text back, the mark read as a space.
+    """
     path = path or model_path()
     if "ids" in docs.columns:
         raise ValueError("the input has a column ids, which this operator adds")
@@ -495,7 +520,7 @@ def encode(
     rows = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     is_giant = F.length("_text") > giant
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    small = rows.where(~is_giant).mapInArrow(_encode_small(path), f"{fields}, ids array<int>")
+    small = rows.where(~is_giant).mapInArrow(_encode_small(path, check), f"{fields}, ids array<int>" + ", round_trip boolean" * check)
     large = rows.where(is_giant).withColumn("_key", F.sha2("_text", 256))
     distinct = large.groupBy("_key").agg(F.first("_text").alias("text"))
     parts = distinct.mapInArrow(_cut(path, chunk), "key string, no int, left string, body string, right string")
@@ -507,7 +532,10 @@ def encode(
     )
     whole = traced.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("no", "ids"))).alias("parts"))
     whole = whole.select(F.col("key").alias("_key"), F.flatten(F.col("parts.ids")).alias("ids"))
-    found = large.join(whole, "_key").select(*docs.columns, "ids")
+    found = large.join(whole, "_key")
+    if check:
+        found = found.withColumn("round_trip", decoded(path)("ids") == F.replace("_text", F.lit(MARK), F.lit(" ")))
+    found = found.select(*docs.columns, "ids", *(["round_trip"] if check else []))
     return small.unionByName(found)
 
 
@@ -523,14 +551,9 @@ def decoded(path: str):
 
 
 def op5_sentencepiece(spark, sf_dir):
-    """Ids of every document with their digest, and whether decoding them gives the text back."""
+    """Ids of every document, and whether decoding them gives the text back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = encode(docs).withColumn("decoded", decoded(model_path())("ids"))
-    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), MARK, " ")
-    return found.select(
-        "doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
-        F.length("decoded").cast("long").alias("n_decoded"), same.alias("round_trip"), "ids",
-    )
+    return encode(docs, check=True).select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
 
 
 QUERIES = {"op5_sentencepiece": op5_sentencepiece}
