@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import series, timeseries
+from tidemark.plans import boards, places, series, timeseries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _module in (timeseries, series):
+for _module in (timeseries, series, boards, places):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
