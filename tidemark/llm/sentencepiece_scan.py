@@ -233,10 +233,12 @@ class Encoder:
         ends = np.append(starts[1:], len(points))
         hashes = bt.span_hashes_of(bt.mix64(points.astype(np.uint64) + np.uint64(1)) | np.uint64(1), starts, ends)
         unique, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        new = at[~np.isin(unique, self.hashes)]
+        where = np.searchsorted(self.hashes, unique)
+        new = at[self.hashes[np.minimum(where, len(self.hashes) - 1)] != unique] if len(self.hashes) else at
         if len(new):
             self._learn(points, codes, starts[new], ends[new], hashes[new])
-        where = np.searchsorted(self.hashes, unique)[inverse]
+            where = np.searchsorted(self.hashes, unique)
+        where = where[inverse]
         count, first = self.count[where], self.first[where]
         done = np.cumsum(count)
         ids = self.pool[np.arange(done[-1]) + np.repeat(first - (done - count), count)]
@@ -445,8 +447,8 @@ def _encode_small(path: str, check: bool):
     def run(batches):
         v = pieces(path)
         for batch in batches:
-            for low in range(0, len(batch), 256):
-                part = batch.slice(low, 256)
+            for low in range(0, len(batch), 512):
+                part = batch.slice(low, 512)
                 texts = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
                 ids, count = encoder_of(path).encode(texts)
                 cuts = np.concatenate([[0], np.cumsum(count)])
