@@ -95,7 +95,7 @@ def shingles(words: np.ndarray, rows: np.ndarray, n_rows: int, width: int) -> tu
     sums = np.zeros(len(words), np.uint64)
     used = np.zeros(len(words), np.uint64)
     for k in range(width):
-        here = slice(0, len(words) - k)
+        here = slice(0, max(len(words) - k, 0))
         same = rows[here] == rows[k:]
         sums[here] += np.where(same, mix64(words[k:] + np.uint64(k * 0x51ED27)), np.uint64(0))
         used[here] += same
