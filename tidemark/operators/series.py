@@ -123,7 +123,7 @@ def best_window(gapless: DataFrame, k: int) -> DataFrame:
 
 
 def deaccumulated(gapless: DataFrame, least: int = 3) -> DataFrame:
-    """Running totals turned into increments inside non-falling runs of at least ``least`` rows."""
+    """Running totals turned into increments inside non-falling runs of at least ``least`` rows, from 0 at a run's start."""
     falls = F.coalesce(F.col("value") < F.lag("value").over(ordered()), F.lit(True))
     runs = gapless.where("value IS NOT NULL").withColumn("_run", F.sum(falls.cast("int")).over(ordered()))
     size = F.count("*").over(Window.partitionBy("entity", "_run"))
