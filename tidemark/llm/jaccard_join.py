@@ -39,6 +39,7 @@ from tidemark.llm.shared import blocks_for, components, written
 SPARE_STEP = 24  # one more spare range for so many differences
 BLOCK = 512  # documents of a large candidate group that are verified together
 BLOOM_BITS = 25
+HELD = 800_000  # index entries that a task keeps before it hands them over
 
 
 def document_sets(column, width: int):
@@ -167,7 +168,7 @@ def _index(width: int, percent: int, buckets: int):
                 keys.append(key)
                 sids.append(ids[owner])
                 held += len(key)
-                if held > 3_000_000:
+                if held > HELD:
                     yield pack(keys, sids)
                     keys, sids, held = [], [], 0
         if held:
@@ -211,14 +212,17 @@ def bloom(ids: DataFrame, column: str) -> np.ndarray:
     return bits
 
 
+def _in_bloom(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    word = (h.view(np.uint64) >> np.uint64(64 - BLOOM_BITS + 6)).astype(np.int64)
+    return (bits[word] >> (h & 63)) & 1 == 1
+
+
 def _wanted_sets(width: int, bits):
     def run(batches):
         seen = np.zeros(0, np.int64)
         for batch in batches:
             h = batch.column(1).to_numpy(zero_copy_only=False)
-            word = (h.view(np.uint64) >> np.uint64(64 - BLOOM_BITS + 6)).astype(np.int64)
-            hit = (bits.value[word] >> (h & 63)) & 1 == 1
-            texts = pa.array(batch.column(0)).filter(pa.array(hit))
+            texts = batch.column(0).filter(pa.array(_in_bloom(bits.value, h)))
             for _, counts, shingle, _ in document_sets(texts, width):
                 ids = set_ids(counts, shingle)
                 ends = np.cumsum(counts)
@@ -355,9 +359,27 @@ def join_components(
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that are the smallest id of their component, in the input's own columns."""
-    found = join_components(docs, text, doc_id, width, percent).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(found.withColumnRenamed("doc_id", "_kept"), F.col(doc_id) == F.col("_kept"), "left_semi")
+    """The documents that are the smallest id of their component, in the input's own columns.
+
+    A bit set of the ids that go lets most texts stay where they are; only those that it may mean are joined.
+    """
+    found = written(join_components(docs, text, doc_id, width, percent).select("doc_id", "component_id"), "components")
+    same = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    going = found.where(~same).select("doc_id").distinct()
+    bits = docs.sparkSession.sparkContext.broadcast(bloom(going, "doc_id"))
+
+    @F.pandas_udf("boolean")
+    def maybe(h):
+        import pandas as pd
+
+        return pd.Series(_in_bloom(bits.value, h.to_numpy(np.int64)))
+
+    marked = docs.withColumn("_maybe", maybe(F.xxhash64(F.col(doc_id).cast("long"))))
+    gone = going.withColumnRenamed("doc_id", "_gone")
+    stay = marked.where(~F.col("_maybe")).unionByName(
+        marked.where("_maybe").join(gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
+    )
+    return stay.select(*docs.columns)
 
 
 def op8_jaccard_join(spark, sf_dir):

@@ -28,15 +28,19 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bytetext as bt
+from tidemark.llm.shared import small_batches
 
 GIANT = 65_536
 CHUNK = 16_384
+SLICE = 1_000_000  # characters encoded together
+BATCH_ROWS = 1_000  # rows that Spark hands over at once: texts may be long
 MARK = "▁"
-KEPT = 1_000_000  # distinct stretches that a process keeps
+KEPT = 400_000  # distinct stretches that a process keeps
 LONG = 64  # stretches above this many characters are encoded one at a time
 
 
@@ -447,8 +451,11 @@ def _encode_small(path: str, check: bool):
     def run(batches):
         v = pieces(path)
         for batch in batches:
-            for low in range(0, len(batch), 512):
-                part = batch.slice(low, 512)
+            length = pa.compute.cumulative_sum(pa.compute.add(pa.compute.fill_null(pa.compute.binary_length(batch.column(batch.num_columns - 1)), 0), 1))
+            cut = np.searchsorted(length.to_numpy(), np.arange(1, 1 + length[-1].as_py() // SLICE) * SLICE, "right") if len(batch) else []
+            bounds = np.unique([0, *cut, len(batch)])
+            for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                part = batch.slice(low, high - low)
                 texts = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
                 ids, count = encoder_of(path).encode(texts)
                 cuts = np.concatenate([[0], np.cumsum(count)])
@@ -519,6 +526,7 @@ def encode(
     if "ids" in docs.columns:
         raise ValueError("the input has a column ids, which this operator adds")
     chunk = max(chunk, 64)  # longer than any piece
+    small_batches(docs.sparkSession, BATCH_ROWS)
     rows = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     is_giant = F.length("_text") > giant
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)

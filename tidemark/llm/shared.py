@@ -28,6 +28,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int) -> None:
+    """At most so many rows in an Arrow batch of this session: with long texts the default needs too much memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(rows))
+
+
 def blocks_for(docs: DataFrame, text: str = "text", block_bytes: int = 24_000_000, least: int = 12) -> int:
     """How many blocks of about ``block_bytes`` of text the table makes: grows with the input, never with a group."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
