@@ -175,4 +175,27 @@ def op9_quality_rules(spark, sf_dir):
 
 
 QUERIES = {"op9_quality_rules": op9_quality_rules}
-ORACLES: dict[str, str] = {}
+_PHRASES = " OR ".join(f"contains(lower(x), '{p}')" for p in BOILERPLATE)
+ORACLES = {
+    "op9_quality_rules": rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+n AS (SELECT k, i, array_to_string(w[i:i + 7], ' ') AS g FROM w, unnest(generate_series(1, len(w) - 7)) AS u(i) WHERE len(w) >= 8),
+c AS (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS many FROM n),
+p AS (SELECT k, least(8, i - lag(i, 1, -8) OVER (PARTITION BY k ORDER BY i)) AS fresh FROM c WHERE many > 1),
+r AS (SELECT k, sum(fresh)::BIGINT AS n_repeat_words FROM p GROUP BY k),
+l AS (SELECT *, list_filter(list_distinct(lines), lambda x: NOT (
+    (len(regexp_extract_all(x, '[|»›•·]')) >= 2 AND len(regexp_extract_all(x, '[|»›•·]')) >= 0.2 * (length(x) - length(replace(x, ' ', '')) + 1))
+    OR length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) > length(x) * 0.1
+    OR (len(regexp_extract_all(x, '!!+')) >= 2 AND len(regexp_extract_all(x, '!!+')) >= 0.3 * (length(x) - length(replace(x, ' ', '')) + 1))
+    OR (length(x) - length(replace(x, ' ', '')) + 1 < 4 AND NOT regexp_matches(x, '[.!?…。！？:;,"''”’»)\]][\x20\x09-\x0D]*$'))
+    OR (length(x) - length(replace(x, ' ', '')) + 1 <= 25 AND ({_PHRASES})))) AS good FROM w),
+o AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+  (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+  coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(list_sum(list_transform(good, lambda x: length(x))), 0)::BIGINT AS kept_chars,
+  coalesce(list_sum(list_transform(lines, lambda x: length(x))), 0) AS all_chars FROM l LEFT JOIN r USING (k))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND kept_chars >= 0.5 * all_chars AS kept, kept_chars FROM o
+"""
+}
