@@ -364,9 +364,9 @@ def best_places(spark, sf_dir):
     return load(spark, sf_dir, "part").withColumn("s", score).orderBy(F.col("s").desc(), "p_partkey").limit(20).select("p_partkey", "p_name", F.round("s", 6).alias("score"))
 
 
-@query("SELECT NULL::BIGINT AS o_custkey, date_trunc('hour', o_orderdate) AS o_orderdate, round(o_totalprice / 1000, 2) AS thousands, o_orderkey FROM orders")
+@query("SELECT NULL::BIGINT AS o_custkey, date_trunc('hour', o_orderdate) AS o_orderdate, round(o_totalprice / 997, 2) AS thousands, o_orderkey FROM orders")
 def anonymised_export(spark, sf_dir):
-    rows = load(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", (F.col("o_totalprice") / 1000).alias("thousands"), "o_orderkey")
+    rows = load(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", (F.col("o_totalprice") / 997).alias("thousands"), "o_orderkey")
     return r.anonymised(rows, ["o_custkey"], ["o_orderdate"], ["thousands"])
 
 

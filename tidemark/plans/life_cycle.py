@@ -47,7 +47,7 @@ def fifteen_whole_days(spark, sf_dir):
 
 
 @query(f"""WITH {_G}, t AS (SELECT entity, hour, CASE WHEN count(value) OVER w >= 10.8 THEN sum(value) OVER w END AS t FROM g WINDOW w AS (PARTITION BY entity ORDER BY hour ROWS BETWEEN 11 PRECEDING AND CURRENT ROW))
-SELECT entity, round(max(t), 6) AS peak, arg_max(hour, (t, -epoch_us(hour))) FILTER (t IS NOT NULL) AS at FROM t GROUP BY 1""")
+SELECT entity, round(max(t), 6) AS peak, arg_max(hour, (t, -epoch_us(hour))) AS at FROM t WHERE t IS NOT NULL GROUP BY 1""")
 def peak_half_day(spark, sf_dir):
     """Largest trailing total of twelve hours, the earliest of equals."""
     t = s.rolling_sum(_gapless(spark, sf_dir), 12).where("total IS NOT NULL")
