@@ -30,6 +30,7 @@ BINS = 256
 BITS = 4
 WIDTH = 5
 RANGE_ROWS = 4000
+RANGE_BYTES = 16_000_000  # of text in a range, on average
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -137,8 +138,8 @@ def followed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", range_
     """Fingerprints of every document and of its text with the last third taken from the next document."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    n, top, nulls = rows.agg(F.count("*"), F.max("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
-    parts = max(1, -(-n // range_rows))
+    n, top, nulls, size = rows.agg(F.count("*"), F.max("doc_id"), F.count_if(F.col("doc_id").isNull()), F.sum(F.octet_length("text"))).first()
+    parts = max(1, -(-n // range_rows), min(n, -(-(size or 0) // RANGE_BYTES)))
     found = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else []
     # ascending cuts, each the largest id of its range; the largest id of all closes the ring
     cuts = np.array(sorted({*(found or []), *([top] if top is not None else [])}), np.int64)
