@@ -10,7 +10,7 @@ Allocation by cost: an empty range says nothing and would be a hot key, so it is
 one-deletion neighbourhoods of their ranges as well: two such sets whose non-empty ranges all differ by two or more
 would differ in too many shingles. Where even that bound fails, their empty ranges are keys, too.
 
-The sets that share a key form a group; groups with the same members are one. Groups are verified twice, cut into
+The sets that share a key form a group; groups with the same members are one, and so are large ones that share any. Groups are verified twice, cut into
 blocks of documents where they are large, so every pair of members is compared without being emitted:
 
 1. on parity sketches of at least two bits a shingle: the number of differing bits never exceeds the number of
@@ -39,6 +39,7 @@ from tidemark.llm.shared import blocks_for, components, written
 SPARE_STEP = 24  # one more spare range for so many differences
 BLOCK = 512  # documents of a large candidate group that are verified together
 BLOOM_BITS = 25
+MERGE = 32  # groups of more members are joined where they share any
 HELD = 800_000  # index entries that a task keeps before it hands them over
 
 
@@ -325,6 +326,19 @@ def _compare(members: DataFrame, payloads: DataFrame, test, percent: int, tasks:
     return dealt.groupBy("task").applyInArrow(_verify(test, percent), "u long, v long")
 
 
+def _merged(groups: DataFrame) -> DataFrame:
+    """Groups in which large ones that share members are one.
+
+    A group of near copies shares many keys, each with nearly the same members: compared by key, their work and what is
+    moved would grow with the keys, too. Every two members of a group stay together, so no pair is lost.
+    """
+    sizes = groups.groupBy("gid").agg(F.count("*").alias("members"), F.min("sid").alias("u"))
+    large = written(sizes.where(F.col("members") > MERGE).select("gid", "u"), "large")
+    ties = groups.join(large, "gid").select("u", F.col("sid").alias("v"))
+    joined = components(ties).select(F.col("root").alias("gid"), F.col("node").alias("sid"))
+    return written(groups.join(large, "gid", "left_anti").unionByName(joined), "merged")
+
+
 def join_components(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4, percent: int = 85
 ) -> DataFrame:
@@ -336,6 +350,7 @@ def join_components(
     one = infos.where("sid <> 0").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("payload"))
     index = narrow.select("text").mapInArrow(_index(width, percent, buckets), "bucket int, keys array<bigint>, sids array<bigint>")
     groups = written(index.groupBy("bucket").applyInArrow(_groups, "gid long, sid long").distinct(), "groups")
+    groups = _merged(groups)
     maybe = _compare(groups, one.select("sid", "n", "payload"), _may_be_linked, percent, 4 * buckets)
     near = written(components(maybe).select(F.col("node").alias("sid"), F.col("root").alias("gid")), "near")
 
