@@ -101,7 +101,6 @@ def test_join_of_near_copies_of_all_sizes(spark):
 
 def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 4)
-    monkeypatch.setattr(jaccard_join, "MERGE", 8)
     words = [f"w{i}" for i in range(200)]
     texts = [" ".join(words[:k] + [f"x{k}"] + words[k + 1 :]) for k in range(0, 200, 5)]  # any two differ in two words
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
