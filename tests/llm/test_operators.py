@@ -264,6 +264,17 @@ def test_html_main_text(spark):
     assert found == {1: "A & B\n\nFirst bold text. More\n\nSecond\n\nThird", 2: "", 3: "", 4: "plain words", 5: "a < b"}
 
 
+def test_html_articles_are_no_short_cut():
+    body = "".join(f"<p>Paragraph {i} of the main text, which stands in a plain element of the page.</p>" for i in range(6))
+    card = "<article class='teaser'><a href=/x>Another story</a></article>"
+    comments = "<article class='comment'><p>I liked it very much.</p></article><article id=comment-2 class='comment-body'>Me too.</article>"
+    whole = html_blocks.main_text(f"<body><div>{body}</div>")
+    assert whole.count("\n\n") == 5
+    assert html_blocks.main_text(f"<body><div>{body}</div><aside>x</aside>{card}<section>{comments}</section></body>") == whole
+    assert html_blocks.main_text(f"<body><article class='post has-sidebar comments-open category-newsletter'>{body}</article>{comments}") == whole
+    assert html_blocks.main_text(f"<body><main class=sidebar-right>{body}</main><article role=complementary>Other</article>") == whole
+
+
 def test_classifier_separates_held_out_rows(spark):
     found = kernel_quality.op10_kernel_quality(spark, "/root/testdata/sf0.01").toPandas()
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas()

@@ -4,7 +4,8 @@ Markup is stripped into lines, one for each block of the page. A line that belon
 headers, footers, sidebars, notices, adverts, forms, comments; told by element, role, class or id) has no length
 and leaves a gap. Lengths are summed over a sliding window of lines; a run of windows with text starts at a surge
 point and ends at a dive point. The main text goes from the surge of the first to the dive of the last run that has a
-fair share of the heaviest run's text outside links; lines between are kept whole, short ones too. Lines of an article or main element, if there are any, are judged alone.
+fair share of the heaviest run's text outside links; lines between are kept whole, short ones too. An article or main
+element gives its lines no preference: teasers, comments and other articles beside the main text compete like all else.
 
 Pages are judged each on its own inside a task: there is no shuffle, and memory is bounded by the longest page.
 
@@ -42,6 +43,8 @@ WEAK = frozenset(
     "subscribe subscription form search toolbar legal copyright disclaimer outbrain taboola hidden aside".split()
 )
 CONTENT = frozenset("content article main body post story entry text".split())
+#: Classes that say what an article is about or has beside it, not what it is.
+_ABOUT = re.compile(r"(?:has|with|no|category|tag)-\S*|\S*-(?:open|closed)")
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*/?|[^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -52,7 +55,7 @@ _WORD = re.compile(r"[a-z]+")
 def is_furniture(name: str, attributes: str, inside: bool) -> bool:
     if name in FURNITURE or (name == "header" and not inside):
         return True
-    if not attributes or name in ("body", "html", "article", "main"):
+    if not attributes or name in ("body", "html"):
         return False
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
@@ -62,16 +65,16 @@ def is_furniture(name: str, attributes: str, inside: bool) -> bool:
             return True
         if key == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if key in ("class", "id"):
-            words = set(_WORD.findall(value))
+        if key in ("class", "id") and name != "main":
+            words = set(_WORD.findall(" ".join(x for x in value.split() if not _ABOUT.fullmatch(x)) if name == "article" else value))
             if words & STRONG or (words & WEAK and not words & CONTENT):
                 return True
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters inside links, inside an article or main element) of each block; furniture gives empty lines."""
-    lines: list[tuple[str, int, bool]] = []
+def lines_of(page: str) -> list[tuple[str, int]]:
+    """(text, characters inside links) of each block; furniture gives empty lines."""
+    lines: list[tuple[str, int]] = []
     held: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # name, furniture, article
     state = {"linked": 0, "links": 0, "skip": 0, "inside": 0}
@@ -79,7 +82,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     def close() -> None:
         text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
         if text:
-            lines.append((text, min(state["linked"], len(text)), state["inside"] > 0))
+            lines.append((text, min(state["linked"], len(text))))
         held.clear()
         state["linked"] = 0
 
@@ -133,10 +136,10 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         elif name in ("li", "td", "th", "tr", "dd", "dt", "option") and stack and stack[-1][0] == name:
             pop(len(stack) - 1)
         skipped = is_furniture(name, attributes, state["inside"] > 0)
-        article = name in ("article", "main") and not state["skip"]
+        article = name in ("article", "main") and not skipped and not state["skip"]
         if skipped and not state["skip"]:
             close()
-            lines.extend([("", 0, state["inside"] > 0)] * WINDOW)
+            lines.extend([("", 0)] * WINDOW)
         stack.append((name, skipped, article))
         state["skip"] += skipped
         if article:
@@ -150,9 +153,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 
 def main_text(page: str | None) -> str:
     lines = lines_of(page or "")
-    if any(inside and text for text, _, inside in lines):
-        return "\n\n".join(text for text, _, inside in lines if inside and text)
-    lengths = [len(text) for text, _, _ in lines]
+    lengths = [len(text) for text, _ in lines]
     sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
     runs, start = [], 0
     while start < len(lines):
@@ -162,14 +163,14 @@ def main_text(page: str | None) -> str:
         dive = start  # the surge point is start; the dive point is where a whole window is empty
         while dive < len(lines) and sums[dive]:
             dive += 1
-        weight = sum(n - linked for n, (_, linked, _) in zip(lengths[start:dive], lines[start:dive], strict=True))
+        weight = sum(n - linked for n, (_, linked) in zip(lengths[start:dive], lines[start:dive], strict=True))
         runs.append((weight, start, dive))
         start = dive
     if not runs:
         return ""
     # an advert inside the text makes a gap, too: the main text goes from the first to the last run of some weight
     heavy = [run for run in runs if run[0] >= MINOR * max(runs)[0]]
-    return "\n\n".join(text for text, _, _ in lines[heavy[0][1] : heavy[-1][2]] if text)
+    return "\n\n".join(text for text, _ in lines[heavy[0][1] : heavy[-1][2]] if text)
 
 
 def extract(pages: DataFrame, page: str = "html") -> DataFrame:
