@@ -254,6 +254,19 @@ def test_license_templates_need_their_key_phrase(spark):
     assert found[len(texts) - 2] == found[len(texts) - 1] == ""
 
 
+def test_all_licenses_of_a_file_are_found(spark):
+    texts = [text for _, text, _ in licenses.TEMPLATES]
+    every = ",".join(sorted({label for label, _, _ in licenses.TEMPLATES}))
+    notice = " other words between two notices ".join(texts)
+    pairs = [f"{a}. {b}" for a, b in itertools.permutations(texts, 2)]
+    rows = list(enumerate([notice, f"{notice} " * 30, *pairs]))
+    found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in (0, 1):
+        assert set(found[i].labels.split(",")) >= set(every.split(","))
+    for i, (a, b) in enumerate(itertools.permutations([label for label, _, _ in licenses.TEMPLATES], 2)):
+        assert {a, b} <= set(found[i + 2].labels.split(",")), pairs[i]
+
+
 def test_html_main_text(spark):
     page = (
         "<html><head><title>t</title><style>p{}</style></head><body><div id=menu><a href=/>Home</a></div><article><h1>A &amp; B</h1>"

@@ -1,10 +1,11 @@
 """License scans with a positional index of rare words.
 
 Templates (license notices) are indexed by word and position. The document frequency of every template word is
-counted over the corpus. Of each file the template words that are rarest in the corpus are looked up first; each
-occurrence at position p of a word that a template has at position q votes for an alignment at p - q. Around the best
-alignments the other template words are intersected by relative position, and a template is accepted where enough of
-its rarity-weighted words stand in place and one of its key phrases occurs in full beside it.
+counted over the corpus. Every occurrence in a file of the word that is rarest in a template's key phrase is looked up,
+and where the phrase stands in full around it the template is aligned: each word beside the phrase, at position p,
+that the template has at position q votes with its rarity for an alignment at p - q. A template is accepted where
+enough of its rarity-weighted words stand in place and one of its key phrases occurs in full beside it. Templates do
+not compete: a file has the label of each license in it.
 
 Base rule: the places where a short phrase stands word by word; its labels always stay.
 
@@ -61,7 +62,6 @@ TEMPLATES = (
      ("permission to use copy modify and or distribute this software",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software released into the public domain",)),
 )
-RARE = 6  # words of a file that are looked up, by falling rarity
 COVER = 0.7
 
 _WORD = np.zeros(256, bool)
@@ -91,7 +91,7 @@ def hash_of(words: list[str]) -> np.ndarray:
 
 
 class Index:
-    """Templates by word: postings of (template, position), with the words' weights by rarity."""
+    """Templates by word: positions in each template, with the words' weights by rarity."""
 
     def __init__(self, templates=TEMPLATES):
         self.templates = [(label, _WORDS.findall(text), [_WORDS.findall(k) for k in keys]) for label, text, keys in templates]
@@ -102,23 +102,28 @@ class Index:
         number = {w: i for i, w in enumerate(self.words)}
         self.texts = [[number[w] for w in text] for _, text, _ in self.templates]
         self.keys = [[[number[w] for w in k] for k in keys] for _, _, keys in self.templates]
-        self.postings = defaultdict(list)
-        for t, text in enumerate(self.texts):
+        self.postings = [defaultdict(list) for _ in self.texts]
+        for positions, text in zip(self.postings, self.texts, strict=True):
             for q, w in enumerate(text):
-                self.postings[w].append((t, q))
+                positions[w].append(q)
         self.idf = np.ones(len(self.words))
         base = [p.split() for p in BASE]
         self.base = [(list(BASE.values())[i], hash_of(p)) for i, p in enumerate(base)]
         # a file can only be accepted if it has the rarest word of some key phrase; set with the frequencies
         self.anchors = np.zeros(len(self.words), bool)
+        self.anchored = defaultdict(list)  # by such a word: (template, key phrase, the word's position in the phrase)
 
     def weigh(self, n_files: int, frequency: dict[int, int]) -> Index:
         seen = np.array([frequency.get(i, 0) for i in range(len(self.words))], np.float64)
         self.idf = np.log((n_files + 1) / (seen + 0.5)) + 0.01
         self.idf = np.maximum(self.idf, 0.01)
-        for keys in self.keys:
+        self.weights = self.idf.tolist()
+        self.totals = [self.idf[text].sum() for text in self.texts]
+        for t, keys in enumerate(self.keys):
             for key in keys:
-                self.anchors[max(key, key=lambda w: (self.idf[w], -w))] = True
+                rarest = max(key, key=lambda w: (self.idf[w], -w))
+                self.anchors[rarest] = True
+                self.anchored[rarest].append((t, key, key.index(rarest)))
         return self
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
@@ -129,22 +134,27 @@ class Index:
     def match(self, places: np.ndarray, numbers: np.ndarray) -> tuple[set[str], float]:
         """(labels, best share of weight in place) of one file from its template words and their positions."""
         at = dict(zip(places.tolist(), numbers.tolist(), strict=True))
-        rare = sorted(set(numbers.tolist()), key=lambda w: (-self.idf[w], w))[:RARE]
-        aligned = set()
+        beside = defaultdict(set)  # by template: places where a key phrase of it begins
         for p, w in at.items():
-            if w in rare:
-                aligned |= {(t, p - q) for t, q in self.postings[w]}
+            for t, key, k in self.anchored.get(w, ()):
+                if all(at.get(p - k + i) == x for i, x in enumerate(key)):
+                    beside[t].add(p - k)
         labels, best = set(), 0.0
-        for t, shift in sorted(aligned):
-            text = self.texts[t]
-            weight = self.idf[text]
-            share = sum(x for q, (w, x) in enumerate(zip(text, weight, strict=True)) if at.get(shift + q) == w) / weight.sum()
-            if share < COVER:
-                continue
-            window = range(shift - 2, shift + len(text) + 2)
-            if any(all(at.get(p + i) == w for i, w in enumerate(key)) for key in self.keys[t] for p in window):
-                best = max(best, share)
-                labels.add(self.templates[t][0])
+        for t, begins in beside.items():
+            size = len(self.texts[t])
+            shares, done = defaultdict(float), 0
+            for begin in sorted(begins):  # words in reach of some key phrase, each once
+                reach = range(max(begin - size - 1, done), begin + size + 2)
+                for p in reach:
+                    w = at.get(p)
+                    for q in self.postings[t].get(w, ()):
+                        shares[p - q] += self.weights[w]
+                done = reach.stop
+            for shift, weight in shares.items():
+                share = weight / self.totals[t]
+                if share >= COVER and any(p in begins for p in range(shift - 2, shift + size + 2)):
+                    best = max(best, share)
+                    labels.add(self.templates[t][0])
         return labels, float(best)
 
 
