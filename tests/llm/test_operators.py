@@ -288,6 +288,20 @@ def test_html_articles_are_no_short_cut():
     assert html_blocks.main_text(f"<body><main class=sidebar-right>{body}</main><article role=complementary>Other</article>") == whole
 
 
+@pytest.mark.parametrize("size", [1, 20, 2000])
+def test_html_ends_do_not_depend_on_the_length_of_the_body(size):
+    body, ad = "<p>A sentence of the body that is neither long nor short.</p>" * size, "<div class=ad>Buy now!</div>"
+    links, legal = "<div><a href=/1>One other story</a> <a href=/2>Two</a></div>", "<div>&copy; 2024 Someone</div>"
+    count = lambda page: html_blocks.main_text(page).split("\n\n")
+    for a, b in (("<article>", "</article>"), ("<div><div>", "</div></div>"), ("<body>", "</body>"), ("", "")):
+        found = count(f"{a}<p>A lead</p>{ad}{body}{ad}<p>The end</p>{b}")
+        assert (found[0], found[-1], len(found)) == ("A lead", "The end", size + 2)
+    found = count(f"<div><p>A lead that tells much.</p></div>{ad}<div>{body}</div>{ad}<div><p>It ends so.</p></div>{ad}{links}{ad}{legal}")
+    assert (found[0], found[-1], len(found)) == ("A lead that tells much.", "It ends so.", size + 2)
+    found = count(f"<article><h1>Head</h1>{ad}<div>{body}</div>{ad}The end</article>{ad}{links}")
+    assert (found[0], found[-1], len(found)) == ("Head", "The end", size + 2)
+
+
 def test_classifier_separates_held_out_rows(spark):
     found = kernel_quality.op10_kernel_quality(spark, "/root/testdata/sf0.01").toPandas()
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas()

@@ -3,9 +3,11 @@
 Markup is stripped into lines, one for each block of the page. A line that belongs to page furniture (menus,
 headers, footers, sidebars, notices, adverts, forms, comments; told by element, role, class or id) has no length
 and leaves a gap. Lengths are summed over a sliding window of lines; a run of windows with text starts at a surge
-point and ends at a dive point. The main text goes from the surge of the first to the dive of the last run that has a
-fair share of the heaviest run's text outside links; lines between are kept whole, short ones too. An article or main
-element gives its lines no preference: teasers, comments and other articles beside the main text compete like all else.
+point and ends at a dive point. The body is the deepest element that has more than half of the page's text outside
+links, or the article or main element around it. The main text goes from the surge of the first to the dive of the last
+run that is of the body or reads like text: no more than half of it stands in links, and it has a dense window, a
+sentence or words that lie in the page itself where no element is the body. No run is judged by its share of another, and
+lines between are kept whole, short ones too. Left out are runs outside the body that are links mostly, or a few words.
 
 Pages are judged each on its own inside a task: there is no shuffle, and memory is bounded by the longest page.
 
@@ -23,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
-MINOR = 0.1  # a run of less than this share of the heaviest does not begin or end the main text
+DENSE = 80  # characters outside links of a window that is text, wherever it stands
 #: Elements by what they do to the text.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr br meta link input area base col embed param source track".split()
 )
+BOXES = frozenset("article main section div td center".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg iframe math object".split())
 FURNITURE = frozenset("head nav footer aside form button select dialog menu fieldset canvas audio video".split())
@@ -50,6 +53,7 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z]+")
+_SENTENCE = re.compile(r"""\w.*[.!?…。！？]["'”’»)\]]*\Z""", re.S)
 
 
 def is_furniture(name: str, attributes: str, inside: bool) -> bool:
@@ -72,27 +76,33 @@ def is_furniture(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int]]:
-    """(text, characters inside links) of each block; furniture gives empty lines."""
-    lines: list[tuple[str, int]] = []
+def lines_of(page: str) -> tuple[list[tuple[str, int, int]], list[int], list[bool]]:
+    """(text, characters inside links, box) of each block, and of each box the one around it and whether it is an article.
+
+    Boxes are numbered as they open, the page itself is 0. Furniture gives empty lines.
+    """
+    lines: list[tuple[str, int, int]] = []
+    around, articles = [0], [False]
     held: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, furniture, article
-    state = {"linked": 0, "links": 0, "skip": 0, "inside": 0}
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, furniture, article, box
+    state = {"linked": 0, "links": 0, "skip": 0, "inside": 0, "box": 0}
 
     def close() -> None:
         text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
         if text:
-            lines.append((text, min(state["linked"], len(text))))
+            lines.append((text, min(state["linked"], len(text)), state["box"]))
         held.clear()
         state["linked"] = 0
 
     def pop(to: int) -> None:
         while len(stack) > to:
-            name, skipped, article = stack.pop()
+            name, skipped, article, box = stack.pop()
             state["skip"] -= skipped
             if article:
                 close()
                 state["inside"] -= 1
+            if box:
+                state["box"] = around[state["box"]]
             if name == "a":
                 state["links"] -= 1
 
@@ -139,21 +149,43 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         article = name in ("article", "main") and not skipped and not state["skip"]
         if skipped and not state["skip"]:
             close()
-            lines.extend([("", 0)] * WINDOW)
-        stack.append((name, skipped, article))
+            lines.extend([("", 0, state["box"])] * WINDOW)
+        box = name in BOXES and not skipped and not state["skip"]
+        stack.append((name, skipped, article, box))
         state["skip"] += skipped
         if article:
             close()
             state["inside"] += 1
+        if box:
+            around.append(state["box"])
+            articles.append(article)
+            state["box"] = len(around) - 1
         if name == "a":
             state["links"] += 1
     close()
-    return lines
+    return lines, around, articles
+
+
+def body_of(lines: list[tuple[str, int, int]], around: list[int], articles: list[bool]) -> range:
+    """The boxes of the body; the page alone without those in it where no box has more than half of the text."""
+    weights, sizes = [0] * len(around), [1] * len(around)
+    for text, linked, box in lines:
+        weights[box] += len(text) - linked
+    for i in range(len(around) - 1, 0, -1):
+        weights[around[i]] += weights[i]
+        sizes[around[i]] += sizes[i]
+    # boxes with more than half lie in one another, and inner ones have larger numbers
+    body = max((i for i, w in enumerate(weights) if 2 * w > weights[0]), default=0)
+    at = body
+    while at and not articles[at]:
+        at = around[at]
+    body = at or body
+    return range(body, body + sizes[body]) if body else range(1)
 
 
 def main_text(page: str | None) -> str:
-    lines = lines_of(page or "")
-    lengths = [len(text) for text, _ in lines]
+    lines, around, articles = lines_of(page or "")
+    lengths = [len(text) for text, _, _ in lines]
     sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
     runs, start = [], 0
     while start < len(lines):
@@ -163,14 +195,26 @@ def main_text(page: str | None) -> str:
         dive = start  # the surge point is start; the dive point is where a whole window is empty
         while dive < len(lines) and sums[dive]:
             dive += 1
-        weight = sum(n - linked for n, (_, linked) in zip(lengths[start:dive], lines[start:dive], strict=True))
-        runs.append((weight, start, dive))
+        runs.append((start, dive))
         start = dive
     if not runs:
         return ""
-    # an advert inside the text makes a gap, too: the main text goes from the first to the last run of some weight
-    heavy = [run for run in runs if run[0] >= MINOR * max(runs)[0]]
-    return "\n\n".join(text for text, _ in lines[heavy[0][1] : heavy[-1][2]] if text)
+    body = body_of(lines, around, articles)
+
+    def is_text(start: int, dive: int) -> bool:
+        run = lines[start:dive]
+        of_body = any(text and box in body for text, _, box in run)
+        if of_body and body.start:
+            return True
+        plain = [len(text) - linked for text, linked, _ in run]
+        if 2 * sum(plain) < sum(lengths[start:dive]):
+            return False
+        dense = any(sum(plain[i : i + WINDOW]) >= DENSE for i in range(len(plain)))
+        return of_body or dense or any(2 * n >= len(text) and _SENTENCE.search(text) for n, (text, _, _) in zip(plain, run, strict=True))
+
+    # furniture inside the text makes a gap, too: the main text goes from the first to the last run of text
+    found = [run for run in runs if is_text(*run)] or runs
+    return "\n\n".join(text for text, _, _ in lines[found[0][0] : found[-1][1]] if text)
 
 
 def extract(pages: DataFrame, page: str = "html") -> DataFrame:
