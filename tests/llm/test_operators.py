@@ -219,6 +219,12 @@ def test_pii_base_spans_and_masks(spark, odd):
     assert "@" not in masked[8] and "[EMAIL]" in masked[8] and masked[3] == "one" and masked[2] is None
 
 
+def test_secrets_need_no_digit_in_the_text():
+    for text in ("password: correct-horse-battery-staple", "the API key = abcdefghijklmnop, says he"):
+        found = pii.loose_spans(text, [])
+        assert [k for k, _, _ in found] == ["secret"] and found == pii.loose_spans(text + " 7", [])
+
+
 def test_em_recovers_planted_reliabilities():
     rng = np.random.default_rng(5)
     truth = rng.random(4000) < 0.4

@@ -105,7 +105,9 @@ def loose_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
     found, taken = [], [(a, b) for _, a, b in base]
     digits = any(c in text for c in "0123456789")
     for kind, pattern in _LOOSE.items():
-        if not digits and kind != "obfuscated" or kind == "obfuscated" and "at" not in text:
+        if not digits and kind not in ("obfuscated", "secret") or kind == "obfuscated" and "at" not in text:
+            continue
+        if kind == "secret" and ":" not in text and "=" not in text:
             continue
         if kind == "obfuscated" and not any(c in text for c in "([{"):
             continue
