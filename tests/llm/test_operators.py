@@ -107,6 +107,21 @@ def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
     assert {r.component_id for r in jaccard_join.join_components(df).collect()} == {0}
 
 
+def test_one_row_of_each_component_stays(spark, odd):
+    words = " ".join(f"w{i}" for i in range(300))
+    near = words.replace("w150 ", "other ")
+    rows = [(1, words), (1, words), (2, near), (2, "a text of its own that no other row has"), (None, words), (None, "only a null id has this text"),
+            (None, "only a null id has this text"), (3, "one id and two texts with the same words"), (3, "one  id and two texts with the same words"), (4, ""), (4, "")]
+    found = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text) for r in found) == sorted(
+        (str(i), t) for i, t in [(1, words), rows[3], rows[5], min(rows[7:9], key=lambda x: x[1]), *rows[9:]]
+    )
+    kept = jaccard_join.keep_one(odd)
+    assert kept.columns == odd.columns
+    wanted = [i for i, t, _ in ODD if not (t or "").split()] + [i for i, t in {(i, t) for i, t, _ in ODD if (t or "").split()} if i != 4]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, wanted))
+
+
 @pytest.mark.parametrize("which", ["docs", "odd"])
 def test_base_score_and_model(which, request):
     table = request.getfixturevalue(which)

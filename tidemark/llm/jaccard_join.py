@@ -325,10 +325,8 @@ def _compare(members: DataFrame, payloads: DataFrame, test, percent: int, tasks:
     return dealt.groupBy("task").applyInArrow(_verify(test, percent), "u long, v long")
 
 
-def join_components(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4, percent: int = 85
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row; links are pairs with 100 * common >= percent * united."""
+def _classes(docs: DataFrame, text: str, doc_id: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n, sid, ...) of every row, and (sid, smallest id, root) of every set that is not empty."""
     spark = docs.sparkSession
     buckets = blocks_for(docs, text)
     narrow = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
@@ -350,6 +348,14 @@ def join_components(
         one.select("sid", "id").join(linked.select(F.col("node").alias("sid"), "root"), "sid", "left")
         .select("sid", "id", F.coalesce("root", "sid").alias("root")), "classes",
     )
+    return infos, firsts
+
+
+def join_components(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4, percent: int = 85
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row; links are pairs with 100 * common >= percent * united."""
+    infos, firsts = _classes(docs, text, doc_id, width, percent)
     lowest = firsts.groupBy("root").agg(F.min("id").alias("component_id"))
     of_set = firsts.join(lowest, "root").select("sid", "component_id")
     # rows of the empty set take part in no join: they would be one hot key
@@ -359,14 +365,21 @@ def join_components(
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that are the smallest id of their component, in the input's own columns.
+    """One row of each component, in the input's own columns; rows without words are copies of nothing and stay.
+
+    It is the row with the smallest id, null ids last; among rows of that id the one with the smallest set id; among rows
+    equal in both, the one with the smallest text. So a row is judged by its own text, not by other rows of its id.
 
     A bit set of the ids that go lets most texts stay where they are; only those that it may mean are joined.
     """
-    found = written(join_components(docs, text, doc_id, width, percent).select("doc_id", "component_id"), "components")
-    same = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-    going = found.where(~same).select("doc_id").distinct()
-    bits = docs.sparkSession.sparkContext.broadcast(bloom(going, "doc_id"))
+    infos, firsts = _classes(docs, text, doc_id, width, percent)
+    first = firsts.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sid")).alias("first"))
+    firsts = firsts.select("sid", "root").join(first, "root").select("sid", F.col("first.id").alias("first_id"), F.col("first.sid").alias("first_sid"))
+    stays = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("sid") == F.col("first_sid"))
+    # rows that are no first, and firsts that are there more than once
+    counted = infos.where("sid <> 0").select("id", "sid").join(firsts, "sid").groupBy("id", "sid").agg(F.first(stays).alias("_one"), F.count("*").alias("n"))
+    marks = written(counted.where("NOT _one OR n > 1").select(F.col("id").alias("_id"), F.col("sid").alias("_of"), "_one"), "marks")
+    bits = docs.sparkSession.sparkContext.broadcast(bloom(marks, "_id"))
 
     @F.pandas_udf("boolean")
     def maybe(h):
@@ -374,12 +387,22 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
 
         return pd.Series(_in_bloom(bits.value, h.to_numpy(np.int64)))
 
+    @F.pandas_udf("long")
+    def set_of(texts):
+        import pandas as pd
+
+        found = [set_ids(counts, shingle) for _, counts, shingle, _ in document_sets(pa.array(texts, pa.string()), width)]
+        return pd.Series(np.concatenate([np.zeros(0, np.int64), *found]))
+
     marked = docs.withColumn("_maybe", maybe(F.xxhash64(F.col(doc_id).cast("long"))))
-    gone = going.withColumnRenamed("doc_id", "_gone")
-    stay = marked.where(~F.col("_maybe")).unionByName(
-        marked.where("_maybe").join(gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
-    )
-    return stay.select(*docs.columns)
+    own = marked.where("_maybe").withColumn("_sid", set_of(text))
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.col("_sid") == F.col("_of"))
+    stay = marked.where(~F.col("_maybe")).select(*docs.columns).unionByName(own.join(marks, same, "left_anti").select(*docs.columns))
+    repeated = marks.where("_one")
+    if not repeated.isEmpty():
+        row = F.min_by(F.struct(*docs.columns), F.col(text)).alias("row")
+        stay = stay.unionByName(own.join(repeated, same).groupBy("_id", "_sid").agg(row).select("row.*"))
+    return stay
 
 
 def op8_jaccard_join(spark, sf_dir):
