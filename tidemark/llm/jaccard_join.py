@@ -10,20 +10,28 @@ Allocation by cost: an empty range says nothing and would be a hot key, so it is
 one-deletion neighbourhoods of their ranges as well: two such sets whose non-empty ranges all differ by two or more
 would differ in too many shingles. Where even that bound fails, their empty ranges are keys, too.
 
-The sets that share a key form a group; groups with the same members are one. Groups are verified twice, cut into
-blocks of documents where they are large, so every pair of members is compared without being emitted:
-
-1. on parity sketches of at least two bits a shingle: the number of differing bits never exceeds the number of
-   differing shingles, so only pairs that cannot be linked fall;
-2. what is still connected is compared exactly, on the shingle sets, by matrix products.
-
-Only (smallest, member) pairs of connected members leave a task, never all pairs of a key or of a group of copies.
-Equal sets are one class from the start.
+The sets that share a key form a group; groups with the same members are one. From groups to links:
+
+1. Count: a linked set shares at least ``spare + 1 - (its empty ranges)`` keys of a band with its partner, so a set that
+   shares fewer with all sets together leaves the groups of that band. Passages that many documents share do not
+   reach this number; copies do.
+2. Stars: the member of a group that shares the most keys is its pivot. Copies of one text have the same pivot in
+   almost all of their groups, so the distinct (pivot, member) pairs are few: they are compared exactly, and links
+   give first classes. All pairs of a pivot in its group are settled by that, and it leaves the group.
+3. Rest: a group whose remaining members are of two classes or more has pairs that are neither linked nor settled. Only
+   pairs across classes matter: members outside the largest class meet all members, first on parity sketches (the
+   number of differing bits never exceeds the number of differing shingles, so only pairs that cannot be linked
+   fall), then on the shingle sets.
+
+Units of comparison hold ``BLOCK`` documents a side. A group of n copies moves n sets; sets are moved more than once only
+where more than BLOCK members of a group stand outside its largest class. Only spanning pairs (u, v) of what is connected
+leave a task, never all pairs of a key or of a group of copies. Equal sets are one class from the start.
 
 Defined cases: a null text counts as empty; a document without words has no shingles, is linked with nothing and is
 its own component; a document with fewer words than ``width`` has its whole sequence as one shingle; repeated rows
 are documents of their own and linked if they have words; a null id stays null (its component is the smallest other
-id, if any); other columns are not read; an empty table gives an empty result.
+id, if any); an id that is no whole number counts as null; other columns are not read; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -38,7 +46,7 @@ from tidemark.llm.shared import blocks_for, components, written
 
 SPARE_STEP = 24  # one more spare range for so many differences
 BLOCK = 512  # documents of a large candidate group that are verified together
-BLOOM_BITS = 25
+BLOOM_BITS = (16, 30)  # fewest and most bits of a bit set, as powers of 2
 HELD = 800_000  # index entries that a task keeps before it hands them over
 
 
@@ -74,42 +82,57 @@ def bands(largest: int, percent: int) -> np.ndarray:
     return np.array([*found, low * 100 // percent])
 
 
-def segment_keys(counts: np.ndarray, shingle: np.ndarray, rows: np.ndarray, percent: int):
-    """(key, row) of the index entries of every set, in its own band and as a smaller partner in the next one."""
+def _family(counts: np.ndarray, shingle: np.ndarray, rows: np.ndarray, percent: int, step: int):
+    """(band, most differences, spare, ranges, range of each shingle, first shingle of each range in use, its row, empty ranges)."""
     tops = bands(int(counts.max(initial=1)), percent)
-    home = np.searchsorted(tops, counts)
-    keys, owners = [], []
+    band = np.searchsorted(tops, counts) + step
+    most = (100 - percent) * 2 * tops[band] // (100 + percent)
+    spare = 1 + most // SPARE_STEP
+    m = most + 1 + spare
+    at = ((shingle >> np.uint64(32)) * m[rows].astype(np.uint64)) >> np.uint64(32)
+    edge = np.ones(len(rows), bool)
+    edge[1:] = (rows[1:] != rows[:-1]) | (at[1:] != at[:-1])
+    first = np.flatnonzero(edge)
+    return band, most, spare, m, at, first, rows[first], m - np.bincount(rows[first], minlength=len(counts))
+
+
+def fewest_shared(counts: np.ndarray, shingle: np.ndarray, rows: np.ndarray, percent: int) -> np.ndarray:
+    """[parity of the band, set]: how many keys of the band a set shares at least with any set it is linked with."""
+    found = np.ones((2, len(counts)), np.int32)
+    for step in (0, 1):
+        band, _, spare, _, _, _, _, empty = _family(counts, shingle, rows, percent, step)
+        found[band & 1, np.arange(len(counts))] = np.maximum(spare + 1 - empty, 1)
+    return found
+
+
+def segment_keys(counts: np.ndarray, shingle: np.ndarray, rows: np.ndarray, percent: int):
+    """(key, row) of the index entries of every set, in its own band and as a smaller partner in the next one.
+
+    The lowest bit of a key is that of its band.
+    """
+    keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     token = bt.mix64(shingle ^ np.uint64(0x5DEECE66D))
     for step in (0, 1):
-        band = home + step
-        most = (100 - percent) * 2 * tops[band] // (100 + percent)
-        spare = 1 + most // SPARE_STEP
-        m = most + 1 + spare
-        at = ((shingle >> np.uint64(32)) * m[rows].astype(np.uint64)) >> np.uint64(32)
-        edge = np.ones(len(rows), bool)
-        edge[1:] = (rows[1:] != rows[:-1]) | (at[1:] != at[:-1])
-        first = np.flatnonzero(edge)
+        band, most, spare, m, at, first, owner, empty = _family(counts, shingle, rows, percent, step)
         if not len(first):
             continue
         size = np.diff(np.append(first, len(rows)))
-        owner = rows[first]
         name = bt.mix64(at[first] + (band[owner].astype(np.uint64) << np.uint64(40)))
         total = np.add.reduceat(token, first)
-        keys.append(bt.mix64(total ^ name))
-        owners.append(owner)
-        empty = m - np.bincount(owner, minlength=len(counts))
+        found, of_row = [bt.mix64(total ^ name)], [owner]
         rare = (empty > spare) & (counts > 0) & (most > 0)
         if rare.any():
             of = np.repeat(np.arange(len(first)), size)
             pick = rare[rows]
-            keys.append(bt.mix64((total[of[pick]] - token[pick]) ^ name[of[pick]]))
-            owners.append(rows[pick])
+            found.append(bt.mix64((total[of[pick]] - token[pick]) ^ name[of[pick]]))
+            of_row.append(rows[pick])
             for row in np.flatnonzero(rare & (2 * (m - empty) <= most)):
                 gone = np.setdiff1d(np.arange(m[row], dtype=np.uint64), at[rows == row])
-                keys.append(bt.mix64(bt.mix64(gone + (np.uint64(band[row]) << np.uint64(40)))))
-                owners.append(np.full(len(gone), row))
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                found.append(bt.mix64(bt.mix64(gone + (np.uint64(band[row]) << np.uint64(40)))))
+                of_row.append(np.full(len(gone), row))
+        found, of_row = np.concatenate(found), np.concatenate(of_row)
+        keys.append((found & ~np.uint64(1)) | (band[of_row] & 1).astype(np.uint64))
+        owners.append(of_row)
     return np.concatenate(keys), np.concatenate(owners)
 
 
@@ -123,15 +146,16 @@ def sketches(counts: np.ndarray, shingle: np.ndarray, rows: np.ndarray) -> list[
     return [packed[a // 8 : (a + n) // 8] for a, n in zip(starts, bits, strict=True)]
 
 
-def _infos(width: int):
+def _infos(width: int, percent: int):
     def run(batches):
         for batch in batches:
             for first, counts, shingle, rows in document_sets(batch.column(1), width):
                 ids = batch.column(0).slice(first, len(counts))
+                even, odd = fewest_shared(counts, shingle, rows, percent)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(counts, pa.int64()), pa.array(set_ids(counts, shingle)), pa.array(sketches(counts, shingle, rows), pa.binary())],
-                    ["id", "n", "sid", "sketch"],
-                )
+                    [ids, pa.array(counts, pa.int64()), pa.array(set_ids(counts, shingle)), pa.array(even), pa.array(odd)],
+                    ["id", "n", "sid", "even", "odd"],
+                )
 
     return run
 
@@ -146,12 +170,10 @@ def _index(width: int, percent: int, buckets: int):
         fresh = np.ones(len(keys), bool)
         fresh[1:] = (keys[1:] != keys[:-1]) | (sids[1:] != sids[:-1])
         keys, sids = keys[fresh], sids[fresh]
-        cut = np.searchsorted(keys, np.arange(buckets + 1, dtype=np.float64) * (2.0**64 / buckets)).astype(np.int32)
-        cut[0], cut[-1] = 0, len(keys)
-        array = lambda x: pa.ListArray.from_arrays(pa.array(cut), pa.array(x.astype(np.int64)))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(buckets, dtype=np.int32)), array(keys), array(sids)], ["bucket", "keys", "sids"]
-        )
+        bucket, at = np.unique(((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), return_index=True)
+        cut = pa.array(np.append(at, len(keys)).astype(np.int32))
+        array = lambda x: pa.ListArray.from_arrays(cut, pa.array(x.astype(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), array(keys), array(sids)], ["bucket", "keys", "sids"])
 
     def run(batches):
         keys, sids, seen, held = [], [], np.zeros(0, np.int64), 0
@@ -178,7 +200,10 @@ def _index(width: int, percent: int, buckets: int):
 
 
 def _groups(table: pa.Table) -> pa.Table:
-    """(gid, sid) of every key with two distinct sets or more; keys with the same members have the same gid."""
+    """(gid, sid, keys) of every key with two distinct sets or more; keys of a band with the same members are one group.
+
+    The lowest bit of a group's id is that of its band; ``keys`` is how many keys the group stands for.
+    """
     flat = lambda c: table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
     keys, sids = flat("keys"), flat("sids")
     order = np.lexsort((sids, keys))
@@ -193,28 +218,28 @@ def _groups(table: pa.Table) -> pa.Table:
     start, size = start[size > 1], size[size > 1]
     sums = np.zeros(len(sids) + 1, np.uint64)
     np.cumsum(bt.mix64(sids.view(np.uint64)), out=sums[1:])
-    gid, at = np.unique(bt.mix64(sums[start + size] - sums[start] + size.astype(np.uint64)), return_index=True)
+    name = bt.mix64(sums[start + size] - sums[start] + size.astype(np.uint64)) & ~np.uint64(1)
+    gid, at, many = np.unique(name | (keys[start].view(np.uint64) & np.uint64(1)), return_index=True, return_counts=True)
     start, size = start[at], size[at]
     ends = np.cumsum(size)
     members = sids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)]
-    return pa.table({"gid": pa.array(np.repeat(gid.view(np.int64), size)), "sid": pa.array(members)})
+    return pa.table({"gid": pa.array(np.repeat(gid.view(np.int64), size)), "sid": pa.array(members), "keys": pa.array(np.repeat(many, size).astype(np.int64))})
 
 
-def bloom(ids: DataFrame, column: str) -> np.ndarray:
-    """A bit set of 2**BLOOM_BITS bits, whatever the number of rows: it only saves work, exact joins follow."""
+def bloom(ids: DataFrame, column: str) -> tuple[int, np.ndarray]:
+    """(k, a bit set of 2**k bits), about 16 bits a row, 128 MB at most: it only saves work, exact joins follow."""
+    k = min(max(BLOOM_BITS[0], 4 + int(ids.count()).bit_length()), BLOOM_BITS[1])
     h = F.xxhash64(column)
-    word = F.shiftrightunsigned(h, 64 - BLOOM_BITS + 6)
-    rows = ids.select(word.alias("w"), h.bitwiseAND(63).cast("int").alias("b"))
-    rows = rows.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits"))
-    found = rows.toPandas()
-    bits = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
+    rows = ids.select(F.shiftrightunsigned(h, 64 - k + 6).alias("w"), h.bitwiseAND(63).cast("int").alias("b"))
+    found = rows.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits")).toPandas()
+    bits = np.zeros(1 << (k - 6), np.int64)
     bits[found["w"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    return bits
+    return k, bits
 
 
-def _in_bloom(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    word = (h.view(np.uint64) >> np.uint64(64 - BLOOM_BITS + 6)).astype(np.int64)
-    return (bits[word] >> (h & 63)) & 1 == 1
+def _in_bloom(shared: tuple[int, np.ndarray], h: np.ndarray) -> np.ndarray:
+    k, bits = shared
+    return (bits[(h.view(np.uint64) >> np.uint64(64 - k + 6)).astype(np.int64)] >> (h & 63)) & 1 == 1
 
 
 def _wanted_sets(width: int, bits):
@@ -255,11 +280,15 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     return common
 
 
-def _linked_exactly(n: np.ndarray, payload: list[bytes], percent: int) -> np.ndarray:
-    common = _common([np.frombuffer(x, np.uint64) for x in payload])
+def _linked_exactly(n: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
+    common = _common(sets)
     return 100 * common >= percent * (n[:, None] + n[None, :] - common)
 
 
+def _linked_bytes(n: np.ndarray, payload: list[bytes], percent: int) -> np.ndarray:
+    return _linked_exactly(n, [np.frombuffer(x, np.uint64) for x in payload], percent)
+
+
 def _may_be_linked(n: np.ndarray, payload: list[bytes], percent: int) -> np.ndarray:
     """False only for pairs whose sizes or sketches rule a link out."""
     both = n[:, None] + n[None, :]
@@ -291,58 +320,147 @@ def _connected(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _units(table: pa.Table, *keys: str):
+    """(table sorted by the keys and sid, the bounds of each unit with two rows or more)."""
+    table = table.sort_by([(k, "ascending") for k in (*keys, "sid")])
+    edge = np.ones(len(table) + 1, bool)
+    edge[1:-1] = np.any([np.diff(table.column(k).to_numpy()) != 0 for k in keys], axis=0)
+    cuts = np.flatnonzero(edge)
+    return table, [(a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if b - a > 1]
+
+
+def _pairs(us: list, vs: list) -> pa.Table:
+    none = np.zeros(0, np.int64)
+    return pa.table({"u": pa.array(np.concatenate([none, *us])), "v": pa.array(np.concatenate([none, *vs]))})
+
+
+def _with_pivot(n: np.ndarray, sets: list[np.ndarray], pivot: int, percent: int) -> np.ndarray:
+    """Whether each set is linked with the pivot's."""
+    centre = sets[pivot]
+    token = np.concatenate(sets)
+    hit = centre[np.minimum(np.searchsorted(centre, token), len(centre) - 1)] == token
+    common = np.add.reduceat(hit.astype(np.int64), np.cumsum([0, *map(len, sets[:-1])]))
+    return 100 * common >= percent * (n + n[pivot] - common)
+
+
+def _verify_stars(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        table, units = _units(table, "star", "block")
+        star, sid, n = (table.column(c).to_numpy() for c in ("star", "sid", "n"))
+        payload, us, vs = table.column("payload").combine_chunks(), [], []
+        for a, b in units:
+            size, mine = n[a:b].astype(np.int64), sid[a:b]
+            sets = [np.frombuffer(x, np.uint64) for x in payload[a:b].to_pylist()]
+            linked = _with_pivot(size, sets, int(np.flatnonzero(mine == star[a])[0]), percent)
+            us.append(np.full(linked.sum(), star[a]))
+            vs.append(mine[linked])
+            if (~linked).sum() > 1:  # members that are not linked with the pivot may be linked with one another
+                low = _connected(_linked_exactly(size, sets, percent))
+                us.append(mine[low])
+                vs.append(mine)
+        return _pairs(us, vs)
+
+    return run
+
+
+def _stars(pivots: DataFrame, sets: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """Linked pairs (u, v) from distinct (pivot, sid) pairs; large stars are cut, and each part has the pivot."""
+    sizes = pivots.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    of_star = pivots.join(sizes, "pivot").select(F.col("pivot").alias("star"), F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block"), "sid")
+    centres = sizes.select(F.col("pivot").alias("star"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("pivot").alias("sid"))
+    dealt = of_star.unionByName(centres).join(sets, "sid").withColumn("task", F.pmod(F.xxhash64("star", "block"), F.lit(tasks)))
+    return dealt.groupBy("task").applyInArrow(_verify_stars(percent), "u long, v long")
+
+
 def _verify(test, percent: int):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("gid", "ascending"), ("p", "ascending"), ("q", "ascending"), ("sid", "ascending")])
-        gid, p, q, sid, n = (table.column(c).to_numpy() for c in ("gid", "p", "q", "sid", "n"))
-        payload = table.column("payload").combine_chunks()
-        edge = np.ones(len(gid) + 1, bool)
-        edge[1:-1] = (gid[1:] != gid[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])
-        cuts = np.flatnonzero(edge)
-        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if b - a > 1:
-                low = _connected(test(n[a:b].astype(np.int64), payload[a:b].to_pylist(), percent))
-                moved = np.flatnonzero(low != np.arange(b - a))
-                us.append(sid[a:b][low[moved]])
-                vs.append(sid[a:b][moved])
-        return pa.table({"u": pa.array(np.concatenate(us)), "v": pa.array(np.concatenate(vs))})
+        table, units = _units(table, "gid", "p", "q")
+        sid, n, label = (table.column(c).to_numpy() for c in ("sid", "n", "label"))
+        payload, us, vs = table.column("payload").combine_chunks(), [], []
+        for a, b in units:
+            same = label[a:b, None] == label[None, a:b]
+            if not same.all():
+                low = _connected(same | test(n[a:b].astype(np.int64), payload[a:b].to_pylist(), percent))
+                us.append(sid[a:b][low])
+                vs.append(sid[a:b])
+        return _pairs(us, vs)
 
     return run
 
 
 def _compare(members: DataFrame, payloads: DataFrame, test, percent: int, tasks: int) -> DataFrame:
-    """Connected pairs (u, v) of the groups' members; ``members`` is (gid, sid), ``payloads`` (sid, n, payload).
+    """Connected pairs (u, v) across the classes of each group; ``members`` is (gid, sid, label), ``payloads`` (sid, n, payload).
 
-    A group of more than BLOCK members is cut into blocks, and each two blocks are one task's work.
+    Members outside the group's largest class (the rest) meet all members. Both sides are cut into blocks, and each two
+    blocks are one unit; a group of one block is one unit.
     """
-    sizes = members.groupBy("gid").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-    placed = members.join(sizes, "gid").withColumn("mine", mine)
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("gid", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "sid")
+    counted = members.groupBy("gid", "label").agg(F.count("*").alias("many"))
+    largest = counted.groupBy("gid").agg(F.max(F.struct("many", "label")).alias("top"), F.sum("many").alias("size"))
+    blocks = lambda size: F.greatest(F.ceil(size / BLOCK), F.lit(1)).cast("int")
+    shape = largest.select("gid", F.col("top.label").alias("top"), blocks(F.col("size")).alias("ps"), blocks(F.col("size") - F.col("top.many")).alias("qs"))
+    each = lambda many: F.sequence(F.lit(0), many - 1)
+    p, q = F.pmod(F.xxhash64("sid"), F.col("ps")).cast("int"), F.pmod(F.xxhash64("sid", F.lit(1)), F.col("qs")).cast("int")
+    as_member = F.transform(each(F.col("qs")), lambda i: F.struct(p.alias("p"), i.alias("q")))
+    as_rest = F.transform(each(F.col("ps")), lambda i: F.struct(i.alias("p"), q.alias("q")))
+    units = F.when((F.col("label") == F.col("top")) | (F.col("ps") == 1), as_member).otherwise(F.array_union(as_member, as_rest))
+    placed = members.join(shape, "gid").select("gid", "sid", "label", F.explode(units).alias("unit")).select("gid", "unit.*", "sid", "label")
     dealt = placed.join(payloads, "sid").withColumn("task", F.pmod(F.xxhash64("gid", "p", "q"), F.lit(tasks)))
     return dealt.groupBy("task").applyInArrow(_verify(test, percent), "u long, v long")
 
 
+def _sketch_payloads(batches):
+    for batch in batches:
+        sets = [np.frombuffer(x, np.uint64) for x in batch.column("payload").to_pylist()]
+        n = batch.column("n").to_numpy()
+        if len(sets):
+            found = sketches(n, np.concatenate(sets), np.repeat(np.arange(len(n)), n))
+            yield pa.RecordBatch.from_arrays([batch.column("sid"), batch.column("n"), pa.array(found, pa.binary())], ["sid", "n", "payload"])
+
+
+def _labelled(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """The groups' members with ``label``, the class that the links give them."""
+    found = components(links).select(F.col("node").alias("sid"), "root")
+    return groups.join(found, "sid", "left").withColumn("label", F.coalesce("root", "sid")).drop("root")
+
+
 def _classes(docs: DataFrame, text: str, doc_id: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(id, n, sid, ...) of every row, and (sid, smallest id, root) of every set that is not empty."""
     spark = docs.sparkSession
     buckets = blocks_for(docs, text)
-    narrow = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    infos = written(narrow.mapInArrow(_infos(width), "id long, n long, sid long, sketch binary"), "infos")
-    one = infos.where("sid <> 0").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("payload"))
+    tasks = 4 * buckets
+    narrow = docs.select(F.expr(f"try_cast(`{doc_id}` AS long)").alias("id"), F.col(text).alias("text"))
+    infos = written(narrow.mapInArrow(_infos(width, percent), "id long, n long, sid long, even int, odd int"), "infos")
+    one = infos.where("sid <> 0").groupBy("sid").agg(F.min("id").alias("id"), F.first("even").alias("even"), F.first("odd").alias("odd"))
     index = narrow.select("text").mapInArrow(_index(width, percent, buckets), "bucket int, keys array<bigint>, sids array<bigint>")
-    groups = written(index.groupBy("bucket").applyInArrow(_groups, "gid long, sid long").distinct(), "groups")
-    maybe = _compare(groups, one.select("sid", "n", "payload"), _may_be_linked, percent, 4 * buckets)
-    near = written(components(maybe).select(F.col("node").alias("sid"), F.col("root").alias("gid")), "near")
+    found = written(index.groupBy("bucket").applyInArrow(_groups, "gid long, sid long, keys long"), "groups")
+
+    # 1. sets that share enough keys of a band
+    odd = (F.col("gid").bitwiseAND(1) == 1).alias("is_odd")
+    shared = found.groupBy("sid", odd).agg(F.sum("keys").alias("shared")).join(one, "sid")
+    enough = shared.where("shared >= IF(is_odd, odd, even)").select("sid", "is_odd", "shared")
+    groups = written(found.select("gid", "sid", odd).distinct().join(enough, ["sid", "is_odd"]).select("gid", "sid", "shared"), "members")
 
-    # the shingles of one document for each set that is left, for exact verification
-    chosen = one.select("sid", "id").join(near, "sid", "left_semi")
+    # the shingles of one document for each set of a group
+    chosen = one.select("sid", "id").join(groups.select("sid").distinct(), "sid", "left_semi")
     bits = spark.sparkContext.broadcast(bloom(chosen.select("id"), "id"))
     sets = narrow.select("text", F.xxhash64("id")).mapInArrow(_wanted_sets(width, bits), "sid long, n long, payload binary")
-    sets = sets.groupBy("sid").agg(F.first("n").alias("n"), F.first("payload").alias("payload"))
-    links = _compare(near.select("gid", "sid"), sets, _linked_exactly, percent, 4 * buckets)
+    sets = written(sets.join(groups.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("payload").alias("payload")), "sets")
+
+    # 2. stars
+    pivots = groups.groupBy("gid").agg(F.max(F.struct("shared", "sid")).alias("top"), F.count("*").alias("size")).where("size > 1")
+    placed = written(groups.join(pivots.select("gid", F.col("top.sid").alias("pivot")), "gid").where("sid <> pivot").select("gid", "sid", "pivot"), "placed")
+    links = written(_stars(placed.select("pivot", "sid").distinct(), sets, percent, tasks).where("u <> v").distinct(), "links")
+
+    # 3. groups whose remaining members are of several classes
+    labelled = written(_labelled(placed.select("gid", "sid"), links), "labelled")
+    several = labelled.groupBy("gid").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("gid")
+    rest = written(labelled.join(several, "gid", "left_semi"), "rest")
+    if not rest.isEmpty():
+        small = sets.join(rest.select("sid").distinct(), "sid", "left_semi").mapInArrow(_sketch_payloads, "sid long, n long, payload binary")
+        maybe = components(_compare(rest, small, _may_be_linked, percent, tasks))
+        near = maybe.select(F.col("node").alias("sid"), F.col("root").alias("gid")).join(rest.select("sid", "label").distinct(), "sid")
+        more = _compare(written(near, "near"), sets, _linked_bytes, percent, tasks)
+        links = links.unionByName(more)
     linked = components(links)
     firsts = written(
         one.select("sid", "id").join(linked.select(F.col("node").alias("sid"), "root"), "sid", "left")
@@ -394,9 +512,9 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
         found = [set_ids(counts, shingle) for _, counts, shingle, _ in document_sets(pa.array(texts, pa.string()), width)]
         return pd.Series(np.concatenate([np.zeros(0, np.int64), *found]))
 
-    marked = docs.withColumn("_maybe", maybe(F.xxhash64(F.col(doc_id).cast("long"))))
+    marked = docs.withColumn("_maybe", maybe(F.xxhash64(F.expr(f"try_cast(`{doc_id}` AS long)"))))
     own = marked.where("_maybe").withColumn("_sid", set_of(text))
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.col("_sid") == F.col("_of"))
+    same = F.expr(f"try_cast(`{doc_id}` AS long)").eqNullSafe(F.col("_id")) & (F.col("_sid") == F.col("_of"))
     stay = marked.where(~F.col("_maybe")).select(*docs.columns).unionByName(own.join(marks, same, "left_anti").select(*docs.columns))
     repeated = marks.where("_one")
     if not repeated.isEmpty():
