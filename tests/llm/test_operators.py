@@ -376,3 +376,127 @@ def test_empty_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert kernel_quality.classify(docs, labels, kernel_quality.F.lit(False), kernel_quality.F.lit(False)).count() == 0
     assert html_blocks.extract(spark.createDataFrame([], "html string")).count() == 0
+
+
+def test_the_quota_may_end_among_equal_rows(spark):
+    """40 equal rows without an id, of which half fit, beside a source that takes the rest; names clash with added ones."""
+    rows = [(None, "w " * 10, "a", "x", -1)] * 40 + [(None, f"w{i} " * 10, "b", "x", -1) for i in range(20)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, whole string, size long")
+    found = mixing.mix(table, weights=(1, 2)).toPandas()
+    assert list(found.columns) == ["doc_id", "text", "source", "whole", "size", "source_size", "target", "copies"]
+    words = found.assign(words=found["copies"] * found["size"]).groupby("source")["words"].sum()
+    assert words["a"] == 200 and words["b"] == 400 and (found["size"] == 10).all() and (found["whole"] == "x").all()
+    con = duckdb.connect()
+    con.register("documents", table.drop("size").toPandas().astype({"doc_id": "Int64"}))
+    same = con.sql(mixing.ORACLES["op4_mixing"].replace("1.0, 2.0, 3.0", "1.0, 2.0, 1.0")).df()
+    assert sorted(same["copies"]) == sorted(found["copies"])
+    assert mixing.take(table, weights=(1, 2)).count() == found["copies"].sum()
+
+
+def test_inclusion_follows_the_probabilities(spark):
+    """Over many draws each document is taken as often as its rate says: longer documents more often, whole copies always."""
+    rows = [(i, "w " * (1 + i % 40), "a" if i % 3 else "b") for i in range(240)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
+    sized = table.select("source", mixing.word_count().alias("size")).withColumn("g", mixing.F.length(mixing.F.bin("size")))
+    classes = sized.groupBy("source", "g").agg(mixing.F.sum("size").alias("words"))
+    rates = {(r.source, r.g): r.whole + r.p for r in mixing.class_rates(classes, mixing.source_targets(sized)).collect()}
+    assert max(rates.values()) > 1 and len(set(rates.values())) > 6
+    draws, taken = 25, collections.Counter()
+    for k in range(draws):
+        for r in mixing.mix(table, seed=str(k)).select("doc_id", "copies").collect():
+            taken[r.doc_id] += r.copies
+    groups = collections.defaultdict(list)
+    for i, t, s in rows:
+        groups[s, len(t.split()).bit_length()].append(taken[i] / draws)
+    for key, shares in groups.items():
+        assert np.mean(shares) == pytest.approx(rates[key], abs=0.12), key
+
+
+BASE_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_base(text):
+    """The base rule by its words: leftmost matches of each kind, those that fail dropped."""
+    digits = lambda m: re.sub("[^0-9]", "", m.group())
+
+    def luhn(d):
+        return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    ok = {
+        "email": lambda m: True, "ip": lambda m: all(len(p.lstrip("0")) < 4 and int(p[-4:]) <= 255 for p in m.group().split(".")),
+        "card": lambda m: 14 <= len(digits(m)) <= 19 and luhn(digits(m)), "phone": lambda m: 10 <= len(digits(m)) <= 15,
+    }
+    return sorted(
+        [(k, *m.span()) for k, p in BASE_PATTERNS.items() for m in re.finditer(p, text) if ok[k](m)], key=lambda s: (s[1], list(BASE_PATTERNS).index(s[0]))
+    )
+
+
+def test_pii_equals_the_base_rule_on_whole_tables(odd, docs):
+    """Counts, digest and spans of the query against the plain rule; added spans overlap no base span and are candidates."""
+    for table in (odd, docs):
+        texts = collections.defaultdict(list)
+        for i, t, _ in rows_of(table):
+            texts[i].append(t)
+        for r in pii.find(table).collect():
+            matching = []
+            for t in texts[r.doc_id]:
+                base = plain_base(t)
+                kinds = collections.Counter(k for k, *_ in base)
+                joined = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+                matching.append((kinds["email"], kinds["ip"], kinds["card"], kinds["phone"], hashlib.sha256(joined.encode()).hexdigest(), joined))
+            mine = [m for m in matching if m[:5] == (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256)]
+            assert mine, (r.doc_id, matching)
+            spans = [s for s in r.spans.split(",") if s]
+            base = [s for s in mine[0][5].split(",") if s]
+            assert set(base) <= set(spans) and len(spans) == len(base) + r.n_added
+            taken = [tuple(map(int, s.split(":")[1:])) for s in base]
+            for s in set(spans) - set(base):
+                a, b = map(int, s.split(":")[1:])
+                assert all(b <= x or y <= a for x, y in taken)
+
+
+def test_pii_of_random_odd_texts():
+    rng = np.random.default_rng(11)
+    parts = ["a", "@", ".", "b.c", "1", "25", "255", "300", "4111 1111 1111 1111", "+", "(", ")", " ", "-", "00", "é", "%", "+1 555 123 4567"]
+    for _ in range(1500):
+        text = "".join(rng.choice(parts, rng.integers(1, 24)))
+        assert pii.base_spans(text) == plain_base(text), text
+
+
+@pytest.mark.parametrize("text", [
+    "1.1.1." + "0" * 5000 + "1", "7" * 1_000_000, "1." * 300_000, "a" * 1_000_000, "token " * 150_000, "+1(" * 300_000,
+    "10.0.0.1 " * 100_000, "a@" * 400_000, "x.y@z " * 100_000, "555-123-4567 " * 70_000, "at (" * 200_000,
+], ids=range(11))
+def test_pii_time_is_linear_in_long_texts(text):
+    import time
+
+    began = time.perf_counter()
+    found = pii.spans_of(text)
+    assert time.perf_counter() - began < 20
+    assert not text.startswith("1.1.1.0") or [(s["kind"], s["start"], s["end"]) for s in found] == [("ip", 0, len(text))]
+
+
+def test_boilerplate_is_whole_phrases_that_make_up_a_good_part(spark):
+    keeps = ["She read more books than he did in the first year.", "The catalog in the hall, the dialog in the play and the backlog in the office.",
+             "    A sentence that is set far in, after spaces, of which no word is furniture.", "Her newsletter told of the boats that had come in that week, and of the harbour master's new house."]
+    goes = ["Click here to subscribe to our newsletter.", "Read more...", "Sign up / Log in.", "Tous droits réservés.", "(c) 2024 Someone. All rights reserved."]
+    body = "The harbour was quiet that morning, and the first boats left before the fog had lifted from the bay."
+    text = "\n".join([body, *keeps, *goes])
+    table = spark.createDataFrame([(1, text, len(text), -5, "mine", "w")], "doc_id long, text string, n_chars long, n_words long, kept string, _words string")
+    (row,) = quality_rules.clean(table).collect()
+    assert row.text.split("\n") == [body, *keeps] and row.n_chars == len(row.text)
+    assert (row.n_words, row.kept, row._words) == (-5, "mine", "w")
+    assert quality_rules.judge(table).columns == ["doc_id", "text", "n_chars", "_words", *quality_rules.ADDED]
+
+
+def test_quality_verdicts_equal_sql(odd, docs):
+    for table in (odd, docs):
+        con = duckdb.connect()
+        con.register("documents", table.select("doc_id", "text").toPandas().astype({"doc_id": "Int64"}))
+        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_chars")
+        wanted = con.sql(f"SELECT doc_id, {', '.join(names)} FROM ({quality_rules.ORACLES['op9_quality_rules']})").fetchall()
+        found = quality_rules.judge(table.select("doc_id", "text")).select("doc_id", *names).collect()
+        assert sorted(map(str, map(tuple, found))) == sorted(map(str, wanted))

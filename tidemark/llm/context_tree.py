@@ -1,24 +1,19 @@
 """LM scoring by context-tree weighting over bytes.
 
-A text is its words, each closed by a space, then one end symbol. A byte is predicted from up to ``DEPTH`` bytes
-before it in its word (before the word's start stand spaces). Each byte is eight binary decisions; at every context
-and decision node a Krichevsky-Trofimov estimate is kept for each depth, and the depths are mixed with the
-context-tree weights ``P_w(s) = 1/2 P_kt(s) + 1/2 prod P_w(children of s)``. Learning is done once, on the training
-rows; scoring mixes the frozen estimates along the context's path, and a context that was never seen adds nothing:
-the deepest one seen takes what weight is left. The root and the one-byte contexts are weighted against each child
-by itself, as their subtrees lie in different tasks.
-
-Above the bytes stands one more depth, for passages that repeat: at places that the hash of two words picks, about one
-word in ``EVERY``, the context is the last ``FAR`` words, and what follows up to the next such place is one decision. A
-continuation seen k times in n occurrences of its context has k / (n + 1) of the probability, and 1 / (n + 1) is left to
-the bytes.
-
-Layout. Documents are dealt into blocks of a few megabytes by a hash. A block asks for the distinct words it has
-and for the distinct (context, byte) pairs in them, with its training counts; every (context, byte) pair of equal
-last two bytes meets in one bucket, where counts are added, the subtree is weighted, and each pair asked for gets its
-log probability. Answers go back to the blocks, which sum them over their documents. So the model is as large as the
-corpus makes it, is never whole in any task or in the driver, and a word that is in a third of all rows is one
-entry per block. Only the counts of (previous byte, byte) pairs, 65,536 at most, are broadcast.
+A text is its words in order, lower-cased, each closed by a space, then one end symbol. A byte is predicted from up to
+``DEPTH`` bytes before it, across words; before the text stand spaces. Each byte is eight binary decisions; at every
+context and decision node a Krichevsky-Trofimov estimate is kept for each depth from 0, and the depths are mixed with
+the context-tree weights ``P_w(s) = 1/2 P_kt(s) + 1/2 prod P_w(children of s)``. Learning is done once, on the training
+rows; scoring mixes the frozen estimates along the context's path, and a context that was never seen is no part of the
+tree: the deepest one seen takes what weight is left.
+
+Layout. Documents are dealt into blocks of some megabytes by a hash, compressed. A block asks for its distinct words
+and its distinct (context, byte) pairs, with its training counts, in buckets by hash: a pair that is in every block is
+one entry a block. Buckets add the counts; their distinct pairs go on to parts by the last two bytes of the context,
+where the trees from depth 2 on are weighted. What the trees of depth 2 give to depths 1 and 0 is added up by (last
+byte, decision), 65,280 sums at most, which every part gets. Log probabilities go back to the buckets and from there to
+the blocks, which sum them over their documents. So the model is as large as the corpus makes it and is never whole in
+any task or in the driver; a part is as large as the distinct pairs of its contexts, whatever their counts.
 
 Defined cases: a null text counts as empty; an empty text is the end symbol alone; rows with a null id are held out;
 repeated rows count as often as they occur; with no training rows every byte has probability 1/256; other columns
@@ -36,9 +31,9 @@ from pyspark.sql import functions as F
 from tidemark.llm import bytetext as bt
 from tidemark.llm.shared import blocks_for
 
-DEPTH = 7
-FAR = 4  # words of the longest context
-EVERY = 12
+DEPTH = 6
+BLOCK_BYTES = 32_000_000
+HELD = 16_000_000  # bytes of text that are compressed together
 SPACE, END = 0x20, 0x0A
 END_WORD = np.uint64(0x8E51ECFD9A3B17C5)
 LOG_HALF = np.log(0.5)
@@ -58,323 +53,368 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - np.log(np.pi)
 
 
-def log_estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Log of 1/2 KT + 1/4 "always 0" + 1/4 "always 1": contexts that are followed by one byte only cost little."""
-    kt = LOG_HALF + log_kt(zeros, ones)
-    constant = np.where((zeros == 0) & (ones == 0), LOG_HALF, np.where((zeros == 0) | (ones == 0), 2 * LOG_HALF, -np.inf))
-    return np.logaddexp(kt, constant)
+def packed(x: np.ndarray) -> bytes:
+    """Numbers as bytes: all first bytes, all second ones and so on, compressed."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def predicted(zeros: np.ndarray, ones: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """Probability of the next decision under the same estimate."""
-    kt = (np.where(one, ones, zeros) + 0.5) / (zeros + ones + 1)
-    same, other = np.where(one, ones, zeros), np.where(one, zeros, ones)
-    pure = (np.minimum(zeros, ones) == 0) & (same + other > 0)
-    n = np.where(pure, same + other, 1.0)
-    run = np.exp(log_kt(n, np.zeros_like(n)))  # KT of n equal decisions
-    whole = run / 2 + 0.25
-    again = (run * (n + 0.5) / (n + 1) / 2 + 0.25) / whole
-    change = run * 0.5 / (n + 1) / 2 / whole
-    return np.where(pure, np.where(other == 0, again, change), kt)
+def unpacked(data: bytes, kind) -> np.ndarray:
+    n, size = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    planes = pa.decompress(data[8:], decompressed_size=n * size, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, n).T).reshape(-1).view(kind)
 
 
-def words_of(texts, train: np.ndarray):
-    """(hashes, training counts, bytes, ends) of the distinct words, sorted by hash, and per row its words' places.
+def _column(table: pa.Table, name: str, kind) -> tuple[np.ndarray, np.ndarray]:
+    """(the numbers of all rows of a packed column, where each row ends)."""
+    found = [unpacked(x, kind) for x in table.column(name).to_pylist()]
+    return np.concatenate([np.zeros(0, kind), *found]), np.cumsum([len(x) for x in found])
 
-    Places are one tuple a slice: (first row, end row, row of each word, its hashes, place of each word's hash there,
-    passages).
-    """
-    found, parts = None, []
-    for first, end, data, offsets in bt.slices(texts):
-        data = bt.lower(data)
-        starts, ends, rows = bt.word_spans(data, offsets)
-        hashes = bt.span_hashes(data, starts, ends)
-        unique, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        counts = np.bincount(inverse, weights=train[first:end][rows], minlength=len(unique)).astype(np.int64)
-        sizes = ends[at] - starts[at]
-        new = (unique, counts, _gather(data, starts[at], sizes), np.cumsum(sizes))
-        parts.append((first, end, rows.astype(np.int32), unique, inverse.astype(np.int32), passages(hashes, rows)))
-        found = new if found is None else _merge(found, new)
-    if found is None:
-        found = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(0, np.int64))
-    return found, parts
-
-
-def passages(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(context key, key of context and continuation, row, start, end, whether it ends the text) of each picked place."""
-    n = len(words)
-    at = np.arange(FAR, max(n, FAR))
-    pick = bt.mix64(words[at - 1] + bt.mix64(words[at - 2])) % np.uint64(EVERY) == 0
-    at = at[pick & (rows[at - FAR] == rows[at])] if len(at) else at
-    context = np.zeros(len(at), np.uint64)
-    for k in range(FAR, 0, -1):
-        context = bt.mix64(context + words[at - k])
-    stop = np.searchsorted(rows, rows[at], "right") if len(at) else at
-    end = np.minimum(np.append(at[1:], n), stop)
-    last = end == stop
-    told = bt.span_hashes_of(words | np.uint64(1), at, end) + last.astype(np.uint64)
-    return bt.mix64(context ^ np.uint64(0xA24BAED4963EE407)), bt.mix64(context + bt.mix64(told)), rows[at], at, end, last
-
-
-def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The spans' bytes one after the other."""
-    ends = np.cumsum(sizes)
-    return data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
-
-
-def _merge(a, b):
-    hashes = np.concatenate([a[0], b[0]])
-    unique, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    counts = np.bincount(inverse, weights=np.concatenate([a[1], b[1]]), minlength=len(unique)).astype(np.int64)
-    sizes = np.concatenate([np.diff(a[3], prepend=0), np.diff(b[3], prepend=0)])
-    starts = np.cumsum(sizes) - sizes
-    return unique, counts, _gather(np.concatenate([a[2], b[2]]), starts[at], sizes[at]), np.cumsum(sizes[at])
-
-
-def contexts_of(data: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(pair of context and byte, word) for every byte of every word and the space after it.
-
-    A pair is depth + 1 bytes in one number: the latest byte of the context first, the predicted byte last.
-    """
-    sizes = np.diff(ends, prepend=0)
-    closed = np.full(len(data) + len(ends), SPACE, np.uint8)
-    word = np.repeat(np.arange(len(ends)), sizes + 1)
-    place = np.arange(len(closed)) - (ends - sizes + np.arange(len(ends)))[word]
-    closed[np.arange(len(data)) + np.repeat(np.arange(len(ends)), sizes)] = data
-    pairs = closed.astype(np.uint64)
+
+def merged(values: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values with their counts added."""
+    unique, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *values]), return_inverse=True)
+    return unique, np.bincount(at, weights=np.concatenate([np.zeros(0), *counts]), minlength=len(unique)).astype(np.int64)
+
+
+def stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes to predict, row of each): words with a space behind each, and the end symbol."""
+    starts, ends, rows = bt.word_spans(data, offsets)
+    sizes, n_rows = ends - starts + 1, len(offsets) - 1
+    word = np.repeat(np.arange(len(starts)), sizes)
+    place = np.arange(len(word)) - (np.cumsum(sizes) - sizes)[word]
+    closed = np.where(place < (sizes - 1)[word], data[np.minimum(starts[word] + place, max(len(data) - 1, 0))] if len(data) else 0, SPACE)
+    length = np.bincount(rows, weights=sizes, minlength=n_rows).astype(np.int64) + 1
+    out = np.full(int(length.sum()), END, np.uint8)
+    out[np.arange(len(word)) + rows[word]] = closed
+    return out, np.repeat(np.arange(n_rows), length)
+
+
+def pairs_of(out: np.ndarray, rows: np.ndarray, depth: int) -> np.ndarray:
+    """Each byte with its context as one number of depth + 1 bytes: the latest byte of the context first, the byte last."""
+    place = np.arange(len(out)) - np.searchsorted(rows, np.arange(rows[-1] + 1 if len(rows) else 0))[rows]
+    found = out.astype(np.uint64)
     for k in range(1, depth + 1):
-        before = np.full(len(closed), SPACE, np.uint8)
-        before[k:] = closed[:-k] if k < len(closed) else 0
+        before = np.full(len(out), SPACE, np.uint8)
+        before[k:] = out[: max(len(out) - k, 0)]
         before[place < k] = SPACE
-        pairs |= before.astype(np.uint64) << np.uint64(8 * (depth + 1 - k))
-    return pairs, word
+        found |= before.astype(np.uint64) << np.uint64(8 * (depth + 1 - k))
+    return found
 
 
-def end_pair(depth: int) -> np.ndarray:
-    return np.array([int.from_bytes(bytes([SPACE] * depth + [END]), "big")], np.uint64)
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts, ends, rows = bt.word_spans(data, offsets)
+    return bt.span_hashes(data, starts, ends), rows
 
 
-def _bucket_of_pairs(pairs: np.ndarray, depth: int, buckets: int) -> np.ndarray:
-    return (bt.mix64(pairs >> np.uint64(8 * (depth - 1))) % np.uint64(buckets)).astype(np.int64)
+def counted_of(texts, train: np.ndarray, depth: int):
+    """((words, training counts), (pairs, training counts)) of the texts, sorted and distinct, those without training too."""
+    words, word_n, pairs, pair_n = [np.array([END_WORD])], [np.array([train.sum()])], [], []
+    for first, end, data, offsets in bt.slices(texts):
+        data, learned = bt.lower(data), train[first:end]
+        hashes, rows = word_hashes(data, offsets)
+        out, of = stream(data, offsets)
+        for values, row, to, n in ((hashes, rows, words, word_n), (pairs_of(out, of, depth), of, pairs, pair_n)):
+            mine = learned[row]
+            unique, count = np.unique(values[mine], return_counts=True)
+            other = np.unique(values[~mine])
+            to += [unique, other]
+            n += [count, np.zeros(len(other), np.int64)]
+    return merged(words, word_n), merged(pairs, pair_n)
 
 
-def _bucket_of_words(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+def _bucket(hashed: np.ndarray, buckets: int) -> np.ndarray:
+    return (((hashed >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
-def _block(table: pa.Table, depth: int, buckets: int):
-    """What a block asks for, in an order that depends on its set of documents only."""
-    train = ~table.column("held_out").combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
-    (hashes, counts, data, ends), parts = words_of(table.column("text"), train)
-    pairs, word = contexts_of(data, ends, depth)
-    asked, inverse = np.unique(np.append(pairs, end_pair(depth)), return_inverse=True)
-    n = np.bincount(inverse[:-1], weights=counts[word], minlength=len(asked)).astype(np.int64)
-    n[inverse[-1]] += train.sum()
-    to = _bucket_of_pairs(asked, depth, buckets)
+def _cut(to: np.ndarray, *columns: np.ndarray):
+    """(number, columns) of the rows of each bucket in use; rows keep their order."""
     order = np.argsort(to, kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    asked, n, to, inverse = asked[order], n[order], to[order], place[inverse]
-    all_hashes, all_counts = np.append(hashes, END_WORD), np.append(counts, train.sum())
-    order = np.argsort(all_hashes, kind="stable")
-    words = all_hashes[order], all_counts[order]
-    keys = np.concatenate([np.zeros(0, np.uint64), *[k for *_, x in parts for k in x[:2]]])
-    learned = np.concatenate([np.zeros(0), *[train[first + x[2]] for first, *_, x in parts for _ in range(2)]])
-    marks, inverse_of = np.unique(keys, return_inverse=True)
-    marks = marks, np.bincount(inverse_of, weights=learned, minlength=len(marks)).astype(np.int64)
-    return words, marks, (asked, n, to), (hashes, inverse, word, parts)
+    number, at = np.unique(to[order], return_index=True)
+    for k, a, b in zip(number.tolist(), at, np.append(at[1:], len(to)), strict=True):
+        yield k, [x[order[a:b]] for x in columns]
+
+
+def _deal(batches):
+    """Rows (block, docs): documents of one block, compressed together."""
+    held, size = [], 0
+
+    def flush():
+        table = pa.Table.from_batches(held).sort_by("block")
+        block = table.column("block").to_numpy()
+        number, at = np.unique(block, return_index=True)
+        docs = []
+        for a, b in zip(at, np.append(at[1:], len(block)), strict=True):
+            sink = pa.BufferOutputStream()
+            part = table.slice(a, b - a).drop_columns("block").combine_chunks()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_table(part)
+            docs.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(docs, pa.binary())], ["block", "docs"])
+
+    for batch in batches:
+        if len(batch):
+            held.append(batch)
+            size += batch.nbytes
+        if size > HELD:
+            yield flush()
+            held, size = [], 0
+    if held:
+        yield flush()
+
+
+def _documents(table: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in table.column("docs").to_pylist()])
 
 
-def _cuts(to: np.ndarray, buckets: int) -> pa.Array:
-    return pa.array(np.searchsorted(to, np.arange(buckets + 1)).astype(np.int32))
+def _trained(docs: pa.Table) -> np.ndarray:
+    return ~docs.column("held_out").combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
 
 
 def _ask(depth: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        (hashes, counts), (marks, mark_n), (asked, n, to), _ = _block(table, depth, buckets)
-        mark_cuts = _cuts(_bucket_of_words(marks, buckets), buckets)
-        word_cuts = _cuts(_bucket_of_words(hashes, buckets), buckets)
-        lists = lambda cuts, x, kind: pa.ListArray.from_arrays(cuts, pa.array(x.astype(kind)))
-        return pa.table({
-            "bucket": pa.array(np.arange(buckets, dtype=np.int32)),
-            "block": pa.array(np.full(buckets, table.column("block")[0].as_py(), np.int32)),
-            "words": lists(word_cuts, hashes.view(np.int64), np.int64), "word_n": lists(word_cuts, counts, np.int32),
-            "marks": lists(mark_cuts, marks.view(np.int64), np.int64), "mark_n": lists(mark_cuts, mark_n, np.int32),
-            "pairs": lists(_cuts(to, buckets), asked.view(np.int64), np.int64), "pair_n": lists(_cuts(to, buckets), n, np.int32),
-        })
+        docs = _documents(table)
+        (words, word_n), (pairs, pair_n) = counted_of(docs.column("text"), _trained(docs), depth)
+        of_word, of_pair = dict(_cut(_bucket(words, buckets), words, word_n)), dict(_cut(_bucket(bt.mix64(pairs), buckets), pairs, pair_n))
+        none = [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+        rows = []
+        for k in sorted(of_word.keys() | of_pair.keys()):
+            (w, wn), (p, pn) = of_word.get(k, none), of_pair.get(k, none)
+            rows.append([w.tobytes(), packed(wn), packed(p), packed(pn)])
+        kind = [pa.array(list(x), pa.binary()) for x in zip(*rows, strict=True)]
+        bucket = pa.array(sorted(of_word.keys() | of_pair.keys()), pa.int32())
+        block = pa.array(np.full(len(rows), table.column("block")[0].as_py(), np.int32))
+        return pa.table([bucket, block, *kind], ["bucket", "block", "words", "word_n", "pairs", "pair_n"])
 
     return run
 
 
-def _nodes(keys: np.ndarray, n: np.ndarray, bit: int):
-    """(node of each row, first row of each node, zeros, ones) of one binary decision over sorted (context, byte) keys."""
-    prefix = keys >> np.uint64(8 - bit)
-    edge = np.ones(len(keys), bool)
-    edge[1:] = prefix[1:] != prefix[:-1]
-    node, first = np.cumsum(edge) - 1, np.flatnonzero(edge)
-    one = (keys >> np.uint64(7 - bit)) & np.uint64(1) == 1
-    ones = np.bincount(node, weights=n * one, minlength=len(first))
-    return node, first, np.bincount(node, weights=n, minlength=len(first)) - ones, ones
-
-
-def top_probabilities(counts: np.ndarray) -> np.ndarray:
-    """[previous byte, node, bit]: the mix of the depths 0 and 1 from the (previous byte, byte) counts."""
-    found = np.full((256, 256, 2), 0.5)
-    for bit in range(8):
-        by = counts.reshape(256, 1 << bit, 2, -1).sum(3)
-        kt1 = (by + 0.5) / (by.sum(2, keepdims=True) + 1)
-        total = by.sum(0, keepdims=True)
-        kt0 = (total + 0.5) / (total.sum(2, keepdims=True) + 1)
-        gain = log_kt(by[..., 0], by[..., 1]) - (by * np.log(kt0)).sum(2)
-        weight = 1 / (1 + np.exp(np.clip(gain, -700, 700)))[..., None]
-        found[:, 1 << bit : 2 << bit] = np.where(by.sum(2, keepdims=True) > 0, weight * kt0 + (1 - weight) * kt1, kt0)
-    return found
+def _add(depth: int, buckets: int):
+    """The distinct pairs of a bucket with their counts, dealt to parts by the last two bytes of the context."""
+
+    def run(table: pa.Table) -> pa.Table:
+        (pairs, _), (n, _) = _column(table, "pairs", np.uint64), _column(table, "pair_n", np.int64)
+        pairs, n = merged([pairs], [n])
+        parts = list(_cut(_bucket(bt.mix64(pairs >> np.uint64(8 * (depth - 1))), buckets), pairs, n))
+        number = pa.array([k for k, _ in parts], pa.int32())
+        columns = [pa.array([packed(x[i]) for _, x in parts], pa.binary()) for i in (0, 1)]
+        return pa.table([number, pa.array(np.full(len(parts), table.column("bucket")[0].as_py(), np.int32)), *columns], ["part", "bucket", "pairs", "pair_n"])
+
+    return run
 
 
-def tree_scores(pairs: np.ndarray, n: np.ndarray, top: np.ndarray, depth: int) -> np.ndarray:
-    """Log10 probability of each (context, byte) pair; pairs are sorted and unique, n their training counts."""
-    levels = {depth: (pairs, n.astype(np.float64), None)}
-    for level in range(depth - 1, 1, -1):
-        deep, deep_n, _ = levels[level + 1]
-        short = ((deep >> np.uint64(16)) << np.uint64(8)) | (deep & np.uint64(255))
-        keys, up = np.unique(short, return_inverse=True)
-        levels[level + 1] = (deep, deep_n, up)
-        levels[level] = (keys, np.bincount(up, weights=deep_n, minlength=len(keys)), None)
-    score = np.zeros(len(pairs))
-    for bit in range(8):
-        info, below = {}, None
-        for level in range(depth, 1, -1):
-            keys, count, _ = levels[level]
-            node, first, zeros, ones = _nodes(keys, count, bit)
-            own = log_estimate(zeros, ones)
+class Tree:
+    """The contexts of depth 2 and more of sorted distinct (context, byte) pairs, and the weights of each decision."""
+
+    def __init__(self, pairs: np.ndarray, n: np.ndarray, depth: int):
+        self.depth = depth
+        self.keys, self.n, self.up = {depth: pairs}, {depth: n.astype(np.float64)}, {}
+        for level in range(depth - 1, 1, -1):
+            deep = self.keys[level + 1]
+            short = ((deep >> np.uint64(16)) << np.uint64(8)) | (deep & np.uint64(255))
+            self.keys[level], self.up[level + 1] = np.unique(short, return_inverse=True)
+            self.n[level] = np.bincount(self.up[level + 1], weights=self.n[level + 1], minlength=len(self.keys[level]))
+
+    def nodes(self, level: int, bit: int):
+        """(node of each key, first key of each node, zeros, ones) of one decision."""
+        keys, n = self.keys[level], self.n[level]
+        prefix = keys >> np.uint64(8 - bit)
+        edge = np.ones(len(keys), bool)
+        edge[1:] = prefix[1:] != prefix[:-1]
+        node, first = np.cumsum(edge) - 1, np.flatnonzero(edge)
+        one = (keys >> np.uint64(7 - bit)) & np.uint64(1) == 1
+        ones = np.bincount(node, weights=n * one, minlength=len(first))
+        return node, first, np.bincount(node, weights=n, minlength=len(first)) - ones, ones
+
+    def decisions(self, bit: int) -> dict[int, tuple]:
+        """By depth: (node of each key, first key of each node, zeros, ones, log P_w, share of the node's own estimate)."""
+        found, below = {}, None
+        for level in range(self.depth, 1, -1):
+            node, first, zeros, ones = self.nodes(level, bit)
+            own = log_kt(zeros, ones)
             if below is None:
                 whole, stop = own, np.ones(len(own))
             else:
-                child_whole, child_first, up = below
-                children = np.bincount(node[up[child_first]], weights=child_whole, minlength=len(own))
+                child_whole, child_first = below
+                children = np.bincount(node[self.up[level + 1][child_first]], weights=child_whole, minlength=len(own))
                 whole = np.logaddexp(LOG_HALF + own, LOG_HALF + children)
                 stop = np.exp(LOG_HALF + own - whole)
+            found[level] = (node, first, zeros, ones, whole, stop)
+            below = (whole, first)
+        return found
+
+    def sums(self) -> np.ndarray:
+        """[last byte * 256 + decision node, (log P_w, zeros, ones)] of the contexts of depth 2, added up."""
+        total = np.zeros((65536, 3))
+        for bit in range(8):
+            _, first, zeros, ones, whole, _ = self.decisions(bit)[2]
+            keys = self.keys[2][first]
+            at = (((keys >> np.uint64(16)) << np.uint64(8)) | (np.uint64(1 << bit) + ((keys & np.uint64(255)) >> np.uint64(8 - bit)))).astype(np.int64)
+            for i, x in enumerate((whole, zeros, ones)):
+                total[:, i] += np.bincount(at, weights=x, minlength=65536)
+        return total
+
+    def scores(self, top: Top) -> np.ndarray:
+        """Log10 probability of each pair."""
+        score = np.zeros(len(self.keys[self.depth]))
+        for bit in range(8):
+            info, keys = self.decisions(bit), self.keys[2]
             one = (keys >> np.uint64(7 - bit)) & np.uint64(1) == 1
-            seen = zeros + ones
-            info[level] = (predicted(zeros[node], ones[node], one), stop[node], seen[node] > 0, whole, zeros, ones, node)
-            below = (whole, first, levels[level][2])
-        keys = levels[2][0]
-        at = top[(keys >> np.uint64(16)).astype(np.int64), ((keys & np.uint64(255)) >> np.uint64(8 - bit)).astype(np.int64) + (1 << bit)]
-        one = ((keys >> np.uint64(7 - bit)) & np.uint64(1)).astype(np.int64)
-        p = at[np.arange(len(keys)), one]
-        _, _, _, whole, zeros, ones, node = info[2]
-        gain = whole[node] - zeros[node] * np.log(at[:, 0]) - ones[node] * np.log(at[:, 1])
-        weight = 1 / (1 + np.exp(np.clip(gain, -700, 700)))
-        mixed, left = weight * p, 1 - weight
-        for level in range(2, depth + 1):
-            kt, stop, seen, *_ = info[level]
-            if level > 2:
-                up = levels[level][2]
-                p, mixed, left = p[up], mixed[up], left[up]
-            p = np.where(seen, mixed + left * kt, p)
-            mixed = np.where(seen, mixed + left * stop * kt, mixed)
-            left = np.where(seen, left * (1 - stop), left)
-        score += np.log10(p)
-    return score
-
-
-def _answer(top, depth: int):
+            node = (np.uint64(1 << bit) + ((keys & np.uint64(255)) >> np.uint64(8 - bit))).astype(np.int64)
+            p, mixed, left = np.full(len(keys), 0.5), np.zeros(len(keys)), np.ones(len(keys))
+            for zeros, ones, stop in top.path((keys >> np.uint64(16)).astype(np.int64), node):
+                p, mixed, left = _mix(p, mixed, left, zeros, ones, stop, one)
+            for level in range(2, self.depth + 1):
+                node, _, zeros, ones, _, stop = info[level]
+                if level > 2:
+                    up = self.up[level]
+                    p, mixed, left, one = p[up], mixed[up], left[up], one[up]
+                p, mixed, left = _mix(p, mixed, left, zeros[node], ones[node], stop[node], one)
+            score += np.log10(p)
+        return score
+
+
+def _mix(p, mixed, left, zeros, ones, stop, one):
+    """One depth further down: (probability if the path ended here, the estimates so far, the weight that is left)."""
+    kt, seen = (np.where(one, ones, zeros) + 0.5) / (zeros + ones + 1), zeros + ones > 0
+    return np.where(seen, mixed + left * kt, p), np.where(seen, mixed + left * stop * kt, mixed), np.where(seen, left * (1 - stop), left)
+
+
+class Top:
+    """Depths 0 and 1, from the sums over the contexts of depth 2."""
+
+    def __init__(self, sums: np.ndarray):
+        whole, zeros, ones = (x.reshape(256, 256) for x in sums.T)
+        self.zeros, self.ones = zeros, ones
+        one = np.logaddexp(LOG_HALF + log_kt(zeros, ones), LOG_HALF + whole)
+        self.stop = np.exp(LOG_HALF + log_kt(zeros, ones) - one)
+        self.root = zeros.sum(0), ones.sum(0)
+        own = log_kt(*self.root)
+        self.root_stop = np.exp(LOG_HALF + own - np.logaddexp(LOG_HALF + own, LOG_HALF + np.where(zeros + ones > 0, one, 0).sum(0)))
+
+    def path(self, last: np.ndarray, node: np.ndarray):
+        yield self.root[0][node], self.root[1][node], self.root_stop[node]
+        yield self.zeros[last, node], self.ones[last, node], self.stop[last, node]
+
+
+def _tree(table: pa.Table, depth: int):
+    """(the tree of a part, place of each of its rows' pairs among the tree's, where each row ends)."""
+    table = table.sort_by("bucket")
+    (pairs, ends), (n, _) = _column(table, "pairs", np.uint64), _column(table, "pair_n", np.int64)
+    order = np.argsort(pairs, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return Tree(pairs[order], n[order], depth), place, ends, table.column("bucket")
+
+
+def _sums(depth: int):
     def run(table: pa.Table) -> pa.Table:
-        flat = lambda c: table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        cuts = lambda c: pa.array(np.concatenate([[0], np.cumsum(table.column(c).combine_chunks().value_lengths().to_numpy())]).astype(np.int32))
-        words, at = np.unique(flat("words").view(np.uint64), return_inverse=True)
-        totals = np.bincount(at, weights=flat("word_n"), minlength=len(words)).astype(np.int64)
-        marks, mark_at = np.unique(flat("marks"), return_inverse=True)
-        seen = np.bincount(mark_at, weights=flat("mark_n"), minlength=len(marks)).astype(np.int64)
-        pairs, back = np.unique(flat("pairs").view(np.uint64), return_inverse=True)
-        n = np.bincount(back, weights=flat("pair_n"), minlength=len(pairs))
-        logs = tree_scores(pairs, n, top.value, depth).astype(np.float32) if len(pairs) else np.zeros(0, np.float32)
+        total = _tree(table, depth)[0].sums()
+        at = np.flatnonzero(total[:, 1:].any(1))
+        return pa.table([pa.array(at.astype(np.int32)), *(pa.array(x) for x in total[at].T)], ["node", "whole", "zeros", "ones"])
+
+    return run
+
+
+def _logs(depth: int):
+    def run(table: pa.Table, top: pa.Table) -> pa.Table:
+        if not len(table):
+            return pa.table({"bucket": pa.array([], pa.int32()), "pairs": pa.array([], pa.binary()), "logs": pa.array([], pa.binary())})
+        total = np.zeros((65536, 3))
+        for row in top.column("sums").to_pylist()[:1]:
+            for x in row or []:
+                total[x["node"]] = x["whole"], x["zeros"], x["ones"]
+        tree, place, ends, bucket = _tree(table, depth)
+        logs, pairs = tree.scores(Top(total)).astype(np.float32)[place], tree.keys[depth][place]
+        cut = lambda x: pa.array([packed(y) for y in np.split(x, ends[:-1])], pa.binary())
+        return pa.table([bucket, cut(pairs), cut(logs)], ["bucket", "pairs", "logs"])
+
+    return run
+
+
+def _answer():
+    def run(asks: pa.Table, told: pa.Table) -> pa.Table:
+        known, _ = _column(told, "pairs", np.uint64)
+        logs, _ = _column(told, "logs", np.float32)
+        order = np.argsort(known)
+        known, logs = known[order], logs[order]
+        hashes = [np.frombuffer(x, np.uint64) for x in asks.column("words").to_pylist()]
+        counts = [unpacked(x, np.int64) for x in asks.column("word_n").to_pylist()]
+        words, totals = merged(hashes, counts)
+        answers = lambda found: pa.array([packed(x) for x in found], pa.binary())
         return pa.table({
-            "block": table.column("block"), "bucket": table.column("bucket"),
-            "counts": pa.ListArray.from_arrays(cuts("words"), pa.array(totals[at])),
-            "seen": pa.ListArray.from_arrays(cuts("marks"), pa.array(seen[mark_at])),
-            "logs": pa.ListArray.from_arrays(cuts("pairs"), pa.array(logs[back])),
-            "vocabulary": pa.array(np.full(len(table), (totals > 0).sum())), "tokens": pa.array(np.full(len(table), totals.sum())),
+            "block": asks.column("block"), "bucket": asks.column("bucket"),
+            "counts": answers(totals[np.searchsorted(words, x)] for x in hashes),
+            "logs": answers(logs[np.searchsorted(known, unpacked(x, np.uint64))] for x in asks.column("pairs").to_pylist()),
+            "vocabulary": pa.array(np.full(len(asks), (totals > 0).sum())), "tokens": pa.array(np.full(len(asks), totals.sum())),
         })
 
     return run
 
 
+def _placed(to: np.ndarray, answers: pa.Table, name: str, kind) -> np.ndarray:
+    """What the buckets answer, in the block's own order."""
+    found = np.empty(len(to), kind)
+    found[np.argsort(to, kind="stable")] = _column(answers, name, kind)[0]
+    return found
+
+
 def _score(depth: int, buckets: int):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        (all_hashes, _), (marks, _), _, (hashes, inverse, word, parts) = _block(docs, depth, buckets)
-        answers = answers.sort_by("bucket")
-        flat = lambda c: answers.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        counts, seen = flat("counts"), flat("seen")
-        logs = flat("logs").astype(np.float64)[inverse]
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        docs, answers = _documents(table), answers.sort_by("bucket")
+        (words, _), (pairs, _) = counted_of(docs.column("text"), _trained(docs), depth)
+        counts = _placed(_bucket(words, buckets), answers, "counts", np.int64)
+        logs = _placed(_bucket(bt.mix64(pairs), buckets), answers, "logs", np.float32).astype(np.float64)
         v, n = (sum(answers.column(c).to_pylist()) for c in ("vocabulary", "tokens"))
         base = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
-        word_log = np.bincount(word, weights=logs[:-1], minlength=len(hashes))
-        at_end = int(np.searchsorted(all_hashes, END_WORD))
-        known = counts > 0
-        out = [np.ones(len(docs), np.int64), np.full(len(docs), int(known[at_end])), np.full(len(docs), base[at_end]), np.full(len(docs), logs[-1])]
-        for first, end, rows, unique, place, (context, told, owner, start, stop, last) in parts:
-            where, of_word = np.searchsorted(all_hashes, unique), np.searchsorted(hashes, unique)
-            add = lambda x: np.bincount(rows, weights=x[place], minlength=end - first)  # noqa: E731, B023
-            out[0][first:end] += np.bincount(rows, minlength=end - first)
-            out[1][first:end] += add(known[where].astype(np.float64)).astype(np.int64)
-            out[2][first:end] += add(base[where])
-            each = word_log[of_word][place]
-            out[3][first:end] += np.bincount(rows, weights=each, minlength=end - first)
-            sums = np.concatenate([[0.0], np.cumsum(each)])
-            spelled = (sums[stop] - sums[start] + last * logs[-1]) * np.log(10)
-            n_context, n_told = seen[np.searchsorted(marks, context)], seen[np.searchsorted(marks, told)]
-            share = np.where(n_told > 0, np.log(np.maximum(n_told, 1)), -np.inf)
-            mixed = np.logaddexp(share, spelled) - np.log(n_context + 1)
-            out[3][first:end] += np.bincount(owner, weights=(mixed - spelled) / np.log(10), minlength=end - first)
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(docs.column("text")), 0).to_numpy())
+        at_end, rows = int(np.searchsorted(words, END_WORD)), len(docs)
+        tokens, known = np.ones(rows, np.int64), np.full(rows, int(counts[at_end] > 0))
+        unigram, score, size = np.full(rows, base[at_end]), np.zeros(rows), np.zeros(rows)
+        for first, end, data, offsets in bt.slices(docs.column("text")):
+            data, many = bt.lower(data), end - first
+            hashes, row = word_hashes(data, offsets)
+            unique, at = np.unique(hashes, return_inverse=True)
+            where = np.searchsorted(words, unique)
+            tokens[first:end] += np.bincount(row, minlength=many)
+            known[first:end] += np.bincount(row, weights=(counts[where] > 0)[at], minlength=many).astype(np.int64)
+            unigram[first:end] += np.bincount(row, weights=base[where][at], minlength=many)
+            out, row = stream(data, offsets)
+            unique, at = np.unique(pairs_of(out, row, depth), return_inverse=True)
+            score[first:end] = np.bincount(row, weights=logs[np.searchsorted(pairs, unique)][at], minlength=many)
+            size[first:end] = np.bincount(row, minlength=many)
         return pa.table({
-            "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(out[0]),
-            "n_known": pa.array(out[1]), "train_tokens": pa.array(np.full(len(docs), n, np.int64)), "base_score": pa.array(out[2]),
-            "score": pa.array(out[3]), "bits_per_byte": pa.array(-out[3] * np.log2(10) / np.maximum(sizes, 1)),
+            "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(tokens),
+            "n_known": pa.array(known), "train_tokens": pa.array(np.full(rows, n, np.int64)), "base_score": pa.array(unigram),
+            "score": pa.array(score), "bits_per_byte": pa.array(-score * np.log2(10) / size),
         })
 
     return run
 
 
-def _previous_counts(batches):
-    """Training counts of (previous byte in the word, byte) over a partition's texts, with the ends."""
-    counts = np.zeros(65536, np.int64)
-    for batch in batches:
-        for first, end, data, offsets in bt.slices(batch.column(0)):
-            data = bt.lower(data)
-            starts, ends, _ = bt.word_spans(data, offsets)
-            sizes = ends - starts
-            closed = np.full(int((sizes + 1).sum()), SPACE, np.uint8)
-            closed[np.arange(int(sizes.sum())) + np.repeat(np.arange(len(sizes)), sizes)] = _gather(data, starts, sizes)
-            before = np.concatenate([[SPACE], closed[:-1]]) if len(closed) else closed
-            counts += np.bincount(before.astype(np.int64) << 8 | closed, minlength=65536)
-            counts[SPACE << 8 | END] += end - first
-    at = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["pair", "n"])
-
-
 def score(
-    docs: DataFrame, held_out, text: str = "text", doc_id: str = "doc_id", depth: int = DEPTH, block_bytes: int = 16_000_000
+    docs: DataFrame, held_out, text: str = "text", doc_id: str = "doc_id", depth: int = DEPTH, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
-    """Every row's id, held_out, token counts, base score, log10 probability and bits per byte.
+    """Every row's id, held_out, token counts, base score, log10 probability and bits per predicted byte.
 
     ``held_out`` is a boolean column expression; what it marks is scored but not learned from. ``depth`` is 2 to 7.
     """
-    spark = docs.sparkSession
     blocks = blocks_for(docs, text, block_bytes)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(True)).alias("held_out"))
-    pairs = rows.where("NOT held_out").select("text").mapInArrow(_previous_counts, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    previous = np.zeros(65536, np.int64)
-    for pair, n in pairs.collect():  # 65,536 rows at most
-        previous[pair] = n
-    top = spark.sparkContext.broadcast(top_probabilities(previous.reshape(256, 256).astype(np.float64)))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
-    asks = dealt.groupBy("block").applyInArrow(
-        _ask(depth, blocks), "bucket int, block int, words array<bigint>, word_n array<int>, marks array<bigint>, mark_n array<int>, pairs array<bigint>, pair_n array<int>"
-    )
-    answers = asks.groupBy("bucket").applyInArrow(
-        _answer(top, depth), "block int, bucket int, counts array<bigint>, seen array<bigint>, logs array<float>, vocabulary long, tokens long"
+    block = F.pmod(F.xxhash64(doc_id, text), F.lit(blocks)).cast("int").alias("block")
+    rows = docs.select(block, F.col(doc_id).alias("doc_id"), F.coalesce(held_out, F.lit(True)).alias("held_out"), F.col(text).alias("text"))
+    dealt = rows.mapInArrow(_deal, "block int, docs binary").repartition(blocks, "block")
+    asks = dealt.groupBy("block").applyInArrow(_ask(depth, blocks), "bucket int, block int, words binary, word_n binary, pairs binary, pair_n binary")
+    asks = asks.repartition(blocks, "bucket")
+    parts = asks.select("bucket", "pairs", "pair_n").groupBy("bucket").applyInArrow(_add(depth, blocks), "part int, bucket int, pairs binary, pair_n binary")
+    parts = parts.repartition(blocks, "part")
+    sums = parts.groupBy("part").applyInArrow(_sums(depth), "node int, whole double, zeros double, ones double")
+    sums = sums.groupBy("node").agg(F.sum("whole").alias("whole"), F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
+    # one row of 65,280 sums at most, for every part
+    whole = sums.agg(F.collect_list(F.struct("node", "whole", "zeros", "ones")).alias("sums")).withColumn("all", F.lit(0))
+    each = docs.sparkSession.range(blocks).select(F.col("id").cast("int").alias("part"), F.lit(0).alias("all"))
+    top = each.join(F.broadcast(whole), "all").select("part", "sums")
+    told = parts.groupBy("part").cogroup(top.groupBy("part")).applyInArrow(_logs(depth), "bucket int, pairs binary, logs binary")
+    answers = asks.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(
+        _answer(), "block int, bucket int, counts binary, logs binary, vocabulary long, tokens long"
     )
     kind = dict(docs.dtypes)[doc_id]
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(

@@ -17,6 +17,7 @@ equal spans; without candidates nothing is added; repeated rows are searched ali
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -35,13 +36,14 @@ LABELERS = 5
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: A match can only begin where a run of digits does, so others are not tried: time stays linear in long runs.
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_BYTES = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _LOOSE = {
-    "secret": re.compile(r"(?i)\b(?:token|secret|passw(?:or)?d|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth)\b[\x20\x22']*[:=][\x20\x22']*([A-Za-z0-9_/+=-]{12,})"),
-    "obfuscated": re.compile(r"([A-Za-z0-9._%+-]+ ?[(\[{] ?at ?[)\]}] ?[A-Za-z0-9-]+(?: ?(?:[(\[{] ?dot ?[)\]}]|\.) ?[A-Za-z0-9-]+)+)"),
+    "secret": re.compile(r"(?i)\b(?:token|secret|passw(?:or)?d|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth)\b[\x20\x22']*+[:=][\x20\x22']*+([A-Za-z0-9_/+=-]{12,})"),
+    "obfuscated": re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]++ ?[(\[{] ?at ?[)\]}] ?[A-Za-z0-9-]+(?: ?(?:[(\[{] ?dot ?[)\]}]|\.) ?[A-Za-z0-9-]+)+)"),
     "local_phone": re.compile(r"(?<![0-9+.-])(\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4})(?![0-9.-])"),
     "identity": re.compile(r"(?<![0-9-])([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])"),
     "number": re.compile(r"(?<![0-9A-Za-z.+-])([0-9]{9,19})(?![0-9A-Za-z-])"),
@@ -87,7 +89,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     found = [("email", a, b) for a, b in emails(text)] if "@" in text else []
     if any(c in text for c in "0123456789"):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m.group().split(".")):
                 found.append(("ip", *m.span()))
         for m in _CARD.finditer(text):
             digits = m.group().replace(" ", "").replace("-", "")
@@ -102,7 +104,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def loose_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Further candidates that overlap neither base spans nor one another."""
-    found, taken = [], [(a, b) for _, a, b in base]
+    found, taken = [], []  # taken: disjoint intervals by start
+    for _, a, b in sorted(base, key=lambda s: s[1:]):
+        if taken and a < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
     digits = any(c in text for c in "0123456789")
     for kind, pattern in _LOOSE.items():
         if not digits and kind not in ("obfuscated", "secret") or kind == "obfuscated" and "at" not in text:
@@ -113,9 +120,10 @@ def loose_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
             continue
         for m in pattern.finditer(text):
             a, b = m.span(1)
-            if all(b <= x or y <= a for x, y in taken):
+            at = bisect.bisect_left(taken, (a, b))
+            if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or b <= taken[at][0]):
                 found.append((kind, a, b))
-                taken.append((a, b))
+                taken.insert(at, (a, b))
     return found
 
 
@@ -131,7 +139,7 @@ def votes_and_features(text: str, kind: str, start: int, end: int) -> tuple[str,
     if kind == "email":
         votes.append("y" if re.search(r"\.[A-Za-z]{2,}$", span) and not span.startswith(".") else "n")
     elif kind == "ip":
-        votes.append("y" if not span.startswith("0") and all(p == str(int(p)) for p in span.split(".")) else "n")
+        votes.append("y" if all(p == "0" or p[0] != "0" for p in span.split(".")) and not span.startswith("0") else "n")
     elif kind in ("card", "number"):
         votes.append("y" if luhn(digits) and len(digits) >= 13 else "n")
     elif kind == "secret":

@@ -4,15 +4,13 @@ Main path: DataFrame functions only. Every document is judged inside its own row
 source or a large group of copies changes nothing, and a lost executor only costs its own partitions.
 
 Defined cases: a null text counts as empty; a text without words has all counts 0, fails the base rule and is not
-kept; repeated rows are judged alike, each on its own; other columns pass through. A helper column replaces a
-column of the same name in the input.
+kept; repeated rows are judged alike, each on its own; other columns pass through. ``judge`` replaces input columns that
+have the name of an added one; ``clean`` gives back the input's own columns whatever their names.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,12 +20,21 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = "|»›•·"
-#: Phrases of page furniture.
+#: Phrases of page furniture, lower case, in English, French, German and Spanish.
 BOILERPLATE = (
-    "all rights reserved", "accept cookies", "cookie policy", "privacy policy", "terms of use", "terms of service",
-    "click here", "read more", "sign up", "log in", "subscribe to", "newsletter", "enable javascript",
-    "skip to content", "back to top", "share this", "lorem ipsum",
+    "all rights reserved", "accept cookies", "accept all cookies", "cookie policy", "privacy policy", "terms of use", "terms of service",
+    "terms and conditions", "click here", "read more", "learn more", "sign up", "sign in", "log in", "subscribe to", "newsletter", "enable javascript",
+    "skip to content", "back to top", "share this", "follow us", "add to cart", "lorem ipsum",
+    "tous droits réservés", "politique de confidentialité", "mentions légales", "cliquez ici", "lire la suite", "en savoir plus",
+    "se connecter", "haut de page", "partager cet article", "accepter les cookies",
+    "alle rechte vorbehalten", "datenschutzerklärung", "impressum", "klicken sie hier", "mehr lesen", "weiterlesen", "mehr erfahren",
+    "anmelden", "nach oben", "cookies akzeptieren",
+    "todos los derechos reservados", "política de privacidad", "aviso legal", "haga clic aquí", "leer más", "más información",
+    "iniciar sesión", "volver arriba", "aceptar cookies",
 )
+#: Characters that separate words where phrases are looked for: each word then stands between two spaces of its own.
+BETWEEN = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
+PHRASES = " (?:" + "|".join(p.replace(" ", "  ") for p in BOILERPLATE) + ") "
 
 
 @dataclass(frozen=True)
@@ -42,6 +49,7 @@ class Rules:
     shouts_per_word: float = 0.3
     fragment_words: int = 4
     boilerplate_words: int = 25
+    boilerplate_share: int = 3  # phrases are at least one part in so many of the line
     max_lost: float = 0.5
 
 
@@ -94,7 +102,7 @@ def repeated_words(windows: str, size: int) -> Column:
 
 
 def line_passes(line: Column, n_symbols: Column, rules: Rules) -> Column:
-    """Punctuation, navigation, symbol, shouting and boilerplate rules; words are counted by single spaces.
+    """Punctuation, navigation, symbol, shouting and boilerplate rules; whole phrases have to make up a good part of the line.
 
     The cheap test of each rule comes first: the rest is evaluated only where it holds.
     """
@@ -102,29 +110,28 @@ def line_passes(line: Column, n_symbols: Column, rules: Rules) -> Column:
     def judged(n: Column) -> Column:
         marks = F.regexp_count(line, F.lit(f"[{SEPARATORS}]"))
         shouts = F.regexp_count(line, F.lit("!!+"))
-        lower = lambda low: reduce(or_, [F.contains(low, F.lit(x)) for x in BOILERPLATE])
+        spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(line), BETWEEN, "  "), F.lit(" "))
+        furniture = lambda x: rules.boilerplate_share * (F.length(x) - F.length(F.regexp_replace(x, PHRASES, ""))) >= F.length(x)
         bad = (
             (line.rlike(f"[{SEPARATORS}]") & (marks >= 2) & (marks >= n * rules.separators_per_word))
             | ((n_symbols > 0) & (_count_chars(line, SYMBOLS) > F.length(line) * rules.symbols_per_char))
             | (line.contains("!!") & (shouts >= 2) & (shouts >= n * rules.shouts_per_word))
             | ((n < rules.fragment_words) & ~line.rlike(r"[.!?…。！？:;,\"'”’»)\]][\x20\x09-\x0D]*$"))
-            | ((n <= rules.boilerplate_words) & _let(F.lower(line), lower))
+            | ((n <= rules.boilerplate_words) & _let(spaced, furniture))
         )
         return ~bad
 
-    return _let(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1, judged)
+    return _let(F.regexp_count(line, F.lit(WORD)), judged)
 
 
-def judge(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
-    """Every row with its counts, the cleaned text and the verdict.
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept_chars", "clean_text", "kept")
 
-    Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept_chars, clean_text, kept.
-    Of equal lines only the first survives cleaning; share of the text lost is measured in characters of lines
-    that have a word.
-    """
-    whole = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(WORD))
-    out = docs.withColumn("_words", _words(whole)).withColumn("_lines", lines)
+
+def _judged(docs: DataFrame, text: str, rules: Rules) -> DataFrame:
+    """The columns of ADDED, and ``_row``, the input's row as a struct."""
+    whole = F.coalesce(F.col("_text"), F.lit(""))
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
+    out = out.withColumn("_words", _words(whole)).withColumn("_lines", F.filter(F.split(whole, "\n"), lambda x: x.rlike(WORD)))
     out = out.withColumns({
         "n_symbols": _count_chars(whole, SYMBOLS).cast("long"),
         "_unique": F.array_distinct("_lines"),
@@ -152,19 +159,26 @@ def judge(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFr
         | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")),
     )
     enough = F.col("kept_chars") >= (1 - rules.max_lost) * F.col("_all_chars")
-    helpers = ("_words", "_lines", "_unique", "_hashes", "_windows", "_good", "_all_chars")
-    return out.withColumn("kept", ~F.col("base_failed") & enough).drop(*helpers)
+    return out.withColumn("kept", ~F.col("base_failed") & enough).select("_row", *ADDED)
+
+
+def judge(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
+    """Every row with its counts, the cleaned text and the verdict.
+
+    Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept_chars, clean_text, kept.
+    Of equal lines only the first survives cleaning; share of the text lost is measured in characters of lines
+    that have a word.
+    """
+    return _judged(docs, text, rules).select(*[F.col(f"_row.`{c}`") for c in docs.columns if c not in ADDED], *ADDED)
 
 
 def clean(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
     """The kept documents with their failing lines removed, in the input's own columns; n_chars follows the text."""
-    judged = judge(docs, text, rules)
     # a filter would be pushed below the judgement and evaluate it again for every use of a helper; exploding is not
-    passed = F.explode(F.when(F.col("kept"), F.array(F.lit(True)))).alias("_quality_passed")
-    kept = judged.select("*", passed).withColumn(text, F.col("clean_text"))
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.length(text).cast("long"))
-    return kept.select(*docs.columns)
+    passed = F.explode(F.when(F.col("kept"), F.array(F.lit(True)))).alias("_passed")
+    kept = _judged(docs, text, rules).select("_row", "clean_text", passed)
+    new = {text: F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
+    return kept.select(*[new[c].alias(c) if c in new else F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def op9_quality_rules(spark, sf_dir):
@@ -175,7 +189,6 @@ def op9_quality_rules(spark, sf_dir):
 
 
 QUERIES = {"op9_quality_rules": op9_quality_rules}
-_PHRASES = " OR ".join(f"contains(lower(x), '{p}')" for p in BOILERPLATE)
 ORACLES = {
     "op9_quality_rules": rf"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
@@ -186,11 +199,12 @@ c AS (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS many FROM n),
 p AS (SELECT k, least(8, i - lag(i, 1, -8) OVER (PARTITION BY k ORDER BY i)) AS fresh FROM c WHERE many > 1),
 r AS (SELECT k, sum(fresh)::BIGINT AS n_repeat_words FROM p GROUP BY k),
 l AS (SELECT *, list_filter(list_distinct(lines), lambda x: NOT (
-    (len(regexp_extract_all(x, '[|»›•·]')) >= 2 AND len(regexp_extract_all(x, '[|»›•·]')) >= 0.2 * (length(x) - length(replace(x, ' ', '')) + 1))
+    (len(regexp_extract_all(x, '[|»›•·]')) >= 2 AND len(regexp_extract_all(x, '[|»›•·]')) >= 0.2 * len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')))
     OR length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) > length(x) * 0.1
-    OR (len(regexp_extract_all(x, '!!+')) >= 2 AND len(regexp_extract_all(x, '!!+')) >= 0.3 * (length(x) - length(replace(x, ' ', '')) + 1))
-    OR (length(x) - length(replace(x, ' ', '')) + 1 < 4 AND NOT regexp_matches(x, '[.!?…。！？:;,"''”’»)\]][\x20\x09-\x0D]*$'))
-    OR (length(x) - length(replace(x, ' ', '')) + 1 <= 25 AND ({_PHRASES})))) AS good FROM w),
+    OR (len(regexp_extract_all(x, '!!+')) >= 2 AND len(regexp_extract_all(x, '!!+')) >= 0.3 * len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')))
+    OR (len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) < 4 AND NOT regexp_matches(x, '[.!?…。！？:;,"''”’»)\]][\x20\x09-\x0D]*$'))
+    OR (len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) <= 25 AND list_any_value([3 * (length(y) - length(regexp_replace(y, '{PHRASES}', '', 'g'))) >= length(y)
+      FOR y IN [' ' || regexp_replace(lower(x), '{BETWEEN}', '  ', 'g') || ' ']])))) AS good FROM w),
 o AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
   coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(list_sum(list_transform(good, lambda x: length(x))), 0)::BIGINT AS kept_chars,
