@@ -6,9 +6,11 @@ the same band or in neighbours. For a band whose largest size is ``hi``, linked
 ``spare + 1`` hold the same shingles in both sets.
 
 Allocation by cost: an empty range says nothing and would be a hot key, so it is skipped. A set with at most
-``spare`` empty ranges still must share a non-empty one. Sets with more of them (rare) are indexed with the
-one-deletion neighbourhoods of their ranges as well: two such sets whose non-empty ranges all differ by two or more
-would differ in too many shingles. Where even that bound fails, their empty ranges are keys, too.
+``spare`` empty ranges still must share a non-empty one. Sets with more of them (rare: ``spare`` is more than sets of the
+band's sizes leave empty as a rule) are indexed with the one-deletion neighbourhoods of their ranges as well. Two such
+sets without a common key differ by one shingle at least in each range that one of them has and by two in each that
+both have, so together they use no more than H ranges, and all but H shingles of either lie in its H / 2 fullest ranges: sets
+so concentrated are indexed by each shingle, too.
 
 The sets that share a key form a group; groups with the same members are one. From groups to links:
 
@@ -44,7 +46,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import bytetext as bt
 from tidemark.llm.shared import blocks_for, components, written
 
-SPARE_STEP = 24  # one more spare range for so many differences
+SPARE_STEP = 8  # one more spare range for so many differences
 BLOCK = 512  # documents of a large candidate group that are verified together
 BLOOM_BITS = (16, 30)  # fewest and most bits of a bit set, as powers of 2
 HELD = 800_000  # index entries that a task keeps before it hands them over
@@ -119,17 +121,20 @@ def segment_keys(counts: np.ndarray, shingle: np.ndarray, rows: np.ndarray, perc
         size = np.diff(np.append(first, len(rows)))
         name = bt.mix64(at[first] + (band[owner].astype(np.uint64) << np.uint64(40)))
         total = np.add.reduceat(token, first)
-        found, of_row = [bt.mix64(total ^ name)], [owner]
+        some = most[owner] > 0  # sets that may not differ at all are equal, and equal sets are one
+        found, of_row = [bt.mix64(total ^ name)[some]], [owner[some]]
         rare = (empty > spare) & (counts > 0) & (most > 0)
         if rare.any():
             of = np.repeat(np.arange(len(first)), size)
-            pick = rare[rows]
+            pick = rare[rows] & (size[of] > 1)
             found.append(bt.mix64((total[of[pick]] - token[pick]) ^ name[of[pick]]))
             of_row.append(rows[pick])
-            for row in np.flatnonzero(rare & (2 * (m - empty) <= most)):
-                gone = np.setdiff1d(np.arange(m[row], dtype=np.uint64), at[rows == row])
-                found.append(bt.mix64(bt.mix64(gone + (np.uint64(band[row]) << np.uint64(40)))))
-                of_row.append(np.full(len(gone), row))
+            for row in np.flatnonzero(rare & (m - empty < most)):
+                a, b = np.searchsorted(owner, (row, row + 1))
+                if np.sort(size[a:b])[::-1][: most[row] // 2].sum() >= counts[row] - most[row]:
+                    mine = slice(first[a], first[a] + counts[row])
+                    found.append(bt.mix64(token[mine] ^ np.uint64(int(band[row]) << 40 | 1 << 39)))
+                    of_row.append(rows[mine])
         found, of_row = np.concatenate(found), np.concatenate(of_row)
         keys.append((found & ~np.uint64(1)) | (band[of_row] & 1).astype(np.uint64))
         owners.append(of_row)
