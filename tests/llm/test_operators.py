@@ -136,22 +136,73 @@ def test_base_score_and_model(which, request):
     assert all(np.isfinite(r.score) and r.score < 0 for r in found)
 
 
-def test_tree_probabilities_sum_to_one():
-    """Over all bytes that may follow a context, seen or not, the model is a distribution."""
-    rng = np.random.default_rng(1)
-    context = int.from_bytes(b"eht    ", "big") << 8
-    other = int.from_bytes(b"eha    ", "big") << 8
-    seen = rng.integers(97, 105, 40)
-    pairs = np.unique(np.concatenate([np.arange(256, dtype=np.uint64) + np.uint64(context), np.uint64(other) + seen.astype(np.uint64)]))
-    n = np.zeros(len(pairs))
-    for base in (context, other):
-        for b in seen:
-            n[np.searchsorted(pairs, np.uint64(base + int(b)))] += 1
-    previous = np.zeros((256, 256))
-    np.add.at(previous[ord("e")], seen, 2)
-    log = context_tree.tree_scores(pairs, n, context_tree.top_probabilities(previous), 7)
-    own = (pairs >> np.uint64(8)) == np.uint64(context >> 8)
-    assert (10.0 ** log[own]).sum() == pytest.approx(1.0, abs=1e-9)
+def plain_tree(streams, trained, depth):
+    """log10 probability of each stream by the recursion: KT at every context and decision, half the weight to the children."""
+    import math
+
+    counts = collections.defaultdict(lambda: [0, 0])  # (context, latest byte last; bits so far)
+    children = collections.defaultdict(set)
+
+    def places(stream):
+        for i, byte in enumerate(stream):
+            bits = f"{byte:08b}"
+            before = (b" " * depth + stream[:i])[-depth:]
+            for k in range(8):
+                yield [(before[depth - level :], bits[:k]) for level in range(depth + 1)], int(bits[k])
+
+    for stream, learn in zip(streams, trained, strict=True):
+        for path, bit in places(stream) if learn else ():
+            for node in path:
+                counts[node][bit] += 1
+            for up, down in zip(path, path[1:]):
+                children[up].add(down)
+
+    def kt(z, o):
+        return math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.lgamma(z + o + 1) - math.log(math.pi)
+
+    weighted = {}
+
+    def log_w(node):
+        if node not in weighted:
+            own = kt(*counts[node])
+            weighted[node] = own if len(node[0]) == depth else math.log(0.5) + np.logaddexp(own, sum(map(log_w, children[node])))
+        return weighted[node]
+
+    def predict(path, bit):
+        node = path[0]
+        z, o = counts[node]
+        p = ((o if bit else z) + 0.5) / (z + o + 1)
+        if len(path) == 1 or path[1] not in counts:  # the deepest context of the tree
+            return p
+        stop = math.exp(math.log(0.5) + kt(z, o) - log_w(node))
+        return stop * p + (1 - stop) * predict(path[1:], bit)
+
+    return [sum(math.log10(predict(path, bit) if path[0] in counts else 0.5) for path, bit in places(s)) for s in streams]
+
+
+@pytest.mark.parametrize("which,depth,block_bytes", [("odd", 6, 1000), ("few", 6, 1500), ("few", 3, 10**6), ("few", 2, 2000), ("few", 7, 3000)])
+def test_scores_equal_the_plain_recursion(which, depth, block_bytes, odd, docs):
+    table = odd.where("length(text) < 2000 OR text IS NULL") if which == "odd" else docs.where("length(text) < 500").limit(14)
+    rows = rows_of(table)
+    held = [i is None or zlib.crc32(str(i).encode()) % 10 == 0 for i, _, _ in rows]
+    streams = [b"".join(w + b" " for w in re.findall(rb"[^\x20\x09-\x0d]+", low(t).encode())) + b"\n" for _, t, _ in rows]
+    wanted = plain_tree(streams, [not h for h in held], depth)
+    found = context_tree.score(table, context_tree.F.crc32(context_tree.F.col("doc_id").cast("string")) % 10 == 0, depth=depth, block_bytes=block_bytes).collect()
+    mine, plain = sorted((str(r.doc_id), r.score) for r in found), sorted((str(rows[i][0]), wanted[i]) for i in range(len(rows)))
+    assert [i for i, _ in mine] == [i for i, _ in plain]
+    assert [x for _, x in mine] == pytest.approx([x for _, x in plain], rel=2e-6)  # answers travel as 32-bit numbers
+
+
+def test_without_training_rows_every_byte_is_as_likely(spark):
+    table = spark.createDataFrame([(1, "ab c"), (2, None)], "doc_id long, text string")
+    found = {r.doc_id: r for r in context_tree.score(table, context_tree.F.lit(True)).collect()}
+    assert found[1].score == pytest.approx(-6 * 8 * np.log10(2), rel=1e-6) and found[2].score == pytest.approx(-8 * np.log10(2), rel=1e-6)
+    assert found[1].train_tokens == 0 and found[1].bits_per_byte == pytest.approx(8, rel=1e-6)
+
+
+def test_most_held_out_documents_score_above_the_base(spark):
+    found = context_tree.op1_context_tree(spark, "/root/testdata/sf0.01").where("held_out").toPandas()
+    assert (found["score"] > found["base_score"]).mean() > 0.7 and found["score"].sum() > found["base_score"].sum()
 
 
 def test_log_gamma():

@@ -131,7 +131,7 @@ def _cut(to: np.ndarray, *columns: np.ndarray):
     """(number, columns) of the rows of each bucket in use; rows keep their order."""
     order = np.argsort(to, kind="stable")
     number, at = np.unique(to[order], return_index=True)
-    for k, a, b in zip(number.tolist(), at, np.append(at[1:], len(to)), strict=True):
+    for k, a, b in zip(number.tolist(), at, np.append(at, len(to))[1:], strict=True):
         yield k, [x[order[a:b]] for x in columns]
 
 
@@ -190,15 +190,21 @@ def _ask(depth: int, buckets: int):
 
 
 def _add(depth: int, buckets: int):
-    """The distinct pairs of a bucket with their counts, dealt to parts by the last two bytes of the context."""
+    """The distinct pairs of a bucket with their counts, dealt to parts by the last two bytes of the context.
+
+    The first row has the bucket's distinct words of the training rows and their number.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        (pairs, _), (n, _) = _column(table, "pairs", np.uint64), _column(table, "pair_n", np.int64)
-        pairs, n = merged([pairs], [n])
-        parts = list(_cut(_bucket(bt.mix64(pairs >> np.uint64(8 * (depth - 1))), buckets), pairs, n))
-        number = pa.array([k for k, _ in parts], pa.int32())
-        columns = [pa.array([packed(x[i]) for _, x in parts], pa.binary()) for i in (0, 1)]
-        return pa.table([number, pa.array(np.full(len(parts), table.column("bucket")[0].as_py(), np.int32)), *columns], ["part", "bucket", "pairs", "pair_n"])
+        pairs, n = merged([_column(table, "pairs", np.uint64)[0]], [_column(table, "pair_n", np.int64)[0]])
+        hashes = [np.frombuffer(x, np.uint64) for x in table.column("words").to_pylist()]
+        totals = merged(hashes, [_column(table, "word_n", np.int64)[0]])[1]
+        parts = list(_cut(_bucket(bt.mix64(pairs >> np.uint64(8 * (depth - 1))), buckets), pairs, n)) or [(0, [pairs, n])]
+        first = np.arange(len(parts)) == 0
+        return pa.table([
+            pa.array([k for k, _ in parts], pa.int32()), pa.array(np.full(len(parts), table.column("bucket")[0].as_py(), np.int32)),
+            *(pa.array([packed(x[i]) for _, x in parts], pa.binary()) for i in (0, 1)), pa.array(first * (totals > 0).sum()), pa.array(first * totals.sum()),
+        ], ["part", "bucket", "pairs", "pair_n", "vocabulary", "tokens"])
 
     return run
 
@@ -311,23 +317,28 @@ def _sums(depth: int):
     def run(table: pa.Table) -> pa.Table:
         total = _tree(table, depth)[0].sums()
         at = np.flatnonzero(total[:, 1:].any(1))
-        return pa.table([pa.array(at.astype(np.int32)), *(pa.array(x) for x in total[at].T)], ["node", "whole", "zeros", "ones"])
+        words = [[sum(table.column(c).to_pylist())] for c in ("vocabulary", "tokens")]
+        rows = np.concatenate([total[at].T, np.array([*words, [0]])], 1)  # node -1 carries the numbers of words
+        return pa.table([pa.array(np.append(at, -1).astype(np.int32)), *(pa.array(x) for x in rows)], ["node", "whole", "zeros", "ones"])
 
     return run
 
 
+TOLD = pa.schema([("bucket", pa.int32()), ("pairs", pa.binary()), ("logs", pa.binary()), ("vocabulary", pa.int64()), ("tokens", pa.int64())])
+
+
 def _logs(depth: int):
     def run(table: pa.Table, top: pa.Table) -> pa.Table:
         if not len(table):
-            return pa.table({"bucket": pa.array([], pa.int32()), "pairs": pa.array([], pa.binary()), "logs": pa.array([], pa.binary())})
-        total = np.zeros((65536, 3))
-        for row in top.column("sums").to_pylist()[:1]:
-            for x in row or []:
-                total[x["node"]] = x["whole"], x["zeros"], x["ones"]
+            return TOLD.empty_table()
+        total = np.zeros((65537, 3))  # the last one is node -1
+        sums = top.column("sums").combine_chunks().flatten()
+        total[sums.field("node").to_numpy()] = np.stack([sums.field(c).to_numpy() for c in ("whole", "zeros", "ones")], 1)
         tree, place, ends, bucket = _tree(table, depth)
-        logs, pairs = tree.scores(Top(total)).astype(np.float32)[place], tree.keys[depth][place]
+        logs, pairs = tree.scores(Top(total[:-1])).astype(np.float32)[place], tree.keys[depth][place]
         cut = lambda x: pa.array([packed(y) for y in np.split(x, ends[:-1])], pa.binary())
-        return pa.table([bucket, cut(pairs), cut(logs)], ["bucket", "pairs", "logs"])
+        words = [pa.array(np.full(len(table), x, np.int64)) for x in total[-1, :2]]
+        return pa.table([bucket, cut(pairs), cut(logs), *words], schema=TOLD)
 
     return run
 
@@ -346,7 +357,7 @@ def _answer():
             "block": asks.column("block"), "bucket": asks.column("bucket"),
             "counts": answers(totals[np.searchsorted(words, x)] for x in hashes),
             "logs": answers(logs[np.searchsorted(known, unpacked(x, np.uint64))] for x in asks.column("pairs").to_pylist()),
-            "vocabulary": pa.array(np.full(len(asks), (totals > 0).sum())), "tokens": pa.array(np.full(len(asks), totals.sum())),
+            **{c: pa.array(np.full(len(asks), max(told.column(c).to_pylist(), default=0), np.int64)) for c in ("vocabulary", "tokens")},
         })
 
     return run
@@ -365,7 +376,7 @@ def _score(depth: int, buckets: int):
         (words, _), (pairs, _) = counted_of(docs.column("text"), _trained(docs), depth)
         counts = _placed(_bucket(words, buckets), answers, "counts", np.int64)
         logs = _placed(_bucket(bt.mix64(pairs), buckets), answers, "logs", np.float32).astype(np.float64)
-        v, n = (sum(answers.column(c).to_pylist()) for c in ("vocabulary", "tokens"))
+        v, n = (max(answers.column(c).to_pylist()) for c in ("vocabulary", "tokens"))
         base = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
         at_end, rows = int(np.searchsorted(words, END_WORD)), len(docs)
         tokens, known = np.ones(rows, np.int64), np.full(rows, int(counts[at_end] > 0))
@@ -404,7 +415,7 @@ def score(
     dealt = rows.mapInArrow(_deal, "block int, docs binary").repartition(blocks, "block")
     asks = dealt.groupBy("block").applyInArrow(_ask(depth, blocks), "bucket int, block int, words binary, word_n binary, pairs binary, pair_n binary")
     asks = asks.repartition(blocks, "bucket")
-    parts = asks.select("bucket", "pairs", "pair_n").groupBy("bucket").applyInArrow(_add(depth, blocks), "part int, bucket int, pairs binary, pair_n binary")
+    parts = asks.groupBy("bucket").applyInArrow(_add(depth, blocks), "part int, bucket int, pairs binary, pair_n binary, vocabulary long, tokens long")
     parts = parts.repartition(blocks, "part")
     sums = parts.groupBy("part").applyInArrow(_sums(depth), "node int, whole double, zeros double, ones double")
     sums = sums.groupBy("node").agg(F.sum("whole").alias("whole"), F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
@@ -412,7 +423,7 @@ def score(
     whole = sums.agg(F.collect_list(F.struct("node", "whole", "zeros", "ones")).alias("sums")).withColumn("all", F.lit(0))
     each = docs.sparkSession.range(blocks).select(F.col("id").cast("int").alias("part"), F.lit(0).alias("all"))
     top = each.join(F.broadcast(whole), "all").select("part", "sums")
-    told = parts.groupBy("part").cogroup(top.groupBy("part")).applyInArrow(_logs(depth), "bucket int, pairs binary, logs binary")
+    told = parts.groupBy("part").cogroup(top.groupBy("part")).applyInArrow(_logs(depth), "bucket int, pairs binary, logs binary, vocabulary long, tokens long")
     answers = asks.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(
         _answer(), "block int, bucket int, counts binary, logs binary, vocabulary long, tokens long"
     )
