@@ -551,3 +551,86 @@ def test_quality_verdicts_equal_sql(odd, docs):
         wanted = con.sql(f"SELECT doc_id, {', '.join(names)} FROM ({quality_rules.ORACLES['op9_quality_rules']})").fetchall()
         found = quality_rules.judge(table.select("doc_id", "text")).select("doc_id", *names).collect()
         assert sorted(map(str, map(tuple, found))) == sorted(map(str, wanted))
+
+
+def plain_blocks(page):
+    """The blocks of a page by the standard library's parser: those of its article, without furniture inside and outside."""
+    from html.parser import HTMLParser
+
+    class Blocks(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.held, self.stack = [], [], []
+
+        def close_block(self):
+            text = " ".join("".join(self.held).split())
+            if text and not any(bad for _, bad in self.stack):
+                self.out.append(text)
+            self.held = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "br":
+                self.held.append(" ")
+                return
+            if tag not in html_blocks.INLINE:
+                self.close_block()
+            if tag in html_blocks.VOID:
+                return
+            bad = tag in html_blocks.RAW or html_blocks.furniture(tag, " ".join(f'{k}="{v or ""}"' for k, v in attrs), any(t == "article" for t, _ in self.stack))
+            if bad:
+                self.close_block()
+            if tag in ("p", "li") and self.stack and self.stack[-1][0] == tag:
+                self.stack.pop()
+            self.stack.append((tag, bad))
+
+        def handle_endtag(self, tag):
+            if tag not in html_blocks.INLINE:
+                self.close_block()
+            if any(t == tag for t, _ in self.stack):
+                while self.stack.pop()[0] != tag:
+                    pass
+
+        def handle_data(self, data):
+            if not any(bad for _, bad in self.stack):
+                self.held.append(data)
+
+    parser = Blocks()
+    parser.feed(page)
+    parser.close_block()
+    return parser.out
+
+
+@pytest.mark.parametrize("rename", [None, "div", "form"])
+def test_html_of_whole_tables_equals_the_plain_version(spark, rename):
+    """Every page, as it is, without article elements, and with a form around it: the same blocks outside furniture."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").toPandas()
+    wanted = {i: plain_blocks(h or "") for i, h in zip(pages["page_id"], pages["html"], strict=True)}
+    change = {
+        None: lambda h: h, "div": lambda h: re.sub(r"<(/?)(?:article|main)\b", r"<\1div", h), "form": lambda h: re.sub(r"(<body[^>]*>)", r"\1<form class='page-form'>", h),
+    }[rename]
+    pages["html"] = [change(h or "") for h in pages["html"]]
+    found = {r.page_id: r for r in html_blocks.extract(spark.createDataFrame(pages.assign(text="old"))).collect()}
+    same = [i for i, blocks in wanted.items() if found[i].text == "\n\n".join(blocks)]
+    assert len(same) == len(wanted), [(wanted[i], found[i].text) for i in wanted.keys() - set(same)][:2]
+    assert all(r.n_chars == len(r.text) for r in found.values())
+
+
+def test_html_names_do_not_delete_the_text():
+    body = "".join(f"<p>Paragraph {i} of the main text, which stands in a plain element of the page.</p>" for i in range(6))
+    whole = html_blocks.main_text(f"<body><div>{body}</div>")
+    for a, b in (("<div class='content with-sidebar'>", "</div>"), ("<form action=/>", "</form>"), ("<div class=sidebar>", "</div>"), ("<div class='post newsletter'>", "</div>"), ("<div class='comments-closed'>", "</div>")):
+        assert html_blocks.main_text(f"<body><nav><a href=/>Home</a></nav>{a}{body}{b}<footer>About us.</footer></body>") == whole, a
+    comments = "<div class=comments>" + "<p>A reader wrote at length about something else, and more than the text itself.</p>" * 40 + "</div>"
+    assert html_blocks.main_text(f"<body><article>{body}</article>{comments}<div class=footer>{body}{body}</div></body>") == whole
+
+
+@pytest.mark.parametrize("page", [
+    "<a " * 300_000, '<a ">' * 200_000, "<div>" * 100_000 + "</p>" * 100_000, "<p>x" * 100_000, "<" * 900_000, "<![CDATA[" * 100_000, "<a b='>" * 150_000 + "x>",
+    "<b>" * 150_000 + "text</i>" * 100_000, "<li>a" * 100_000, "<!--" * 200_000, "&amp" * 300_000, "<p><div>" * 80_000, "<form>" * 100_000, "<table><tr><td>" * 60_000,
+], ids=range(14))
+def test_html_time_is_linear_in_long_pages(page):
+    import time
+
+    began = time.perf_counter()
+    html_blocks.main_text(page)
+    assert time.perf_counter() - began < 20

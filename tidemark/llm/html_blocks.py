@@ -2,29 +2,34 @@
 
 Markup is stripped into lines, one for each block of the page. A line that belongs to page furniture (menus,
 headers, footers, sidebars, notices, adverts, forms, comments; told by element, role, class or id) has no length
-and leaves a gap. Lengths are summed over a sliding window of lines; a run of windows with text starts at a surge
+and leaves a gap. An element that has more than half of the page's text outside links and comments, and in it the page's
+article, main or h1 element or some lines, is no furniture, whatever it is called. Lengths are summed over a sliding window of lines; a run of windows with text starts at a surge
 point and ends at a dive point. The body is the deepest element that has more than half of the page's text outside
 links, or the article or main element around it. The main text goes from the surge of the first to the dive of the last
 run that is of the body or reads like text: no more than half of it stands in links, and it has a dense window, a
 sentence or words that lie in the page itself where no element is the body. No run is judged by its share of another, and
 lines between are kept whole, short ones too. Left out are runs outside the body that are links mostly, or a few words.
 
-Pages are judged each on its own inside a task: there is no shuffle, and memory is bounded by the longest page.
+Pages are judged each on its own inside a task, in time and memory that grow with their length: there is no shuffle, and
+memory is bounded by the longest page.
 
 Defined cases: a null page counts as empty; a page without text gives an empty string; unclosed and stray tags are
-tolerated; repeated rows are extracted alike; other columns are not read.
+tolerated, and what follows the last ``>`` is text; repeated rows are extracted alike; other columns pass through, and an
+input column ``text`` or ``n_chars`` is replaced.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
+SOME = 4  # lines of an element that is called furniture and holds the text
 DENSE = 80  # characters outside links of a window that is text, wherever it stands
 #: Elements by what they do to the text.
 INLINE = frozenset(
@@ -36,44 +41,83 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea title svg iframe math object".split())
 FURNITURE = frozenset("head nav footer aside form button select dialog menu fieldset canvas audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-#: Words of class and id that mark furniture; the second set only where no word of the third stands beside it.
+#: Elements that are never the text, however much they hold.
+HIDDEN = frozenset("head button select dialog canvas audio video".split())
+#: Words of class and id that mark furniture: what readers wrote; the others; those that a word of CONTENT beside
+#: them overrules.
+COMMENTS = frozenset("comment comments disqus reply replies respond".split())
 STRONG = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo cookie cookies consent gdpr comment comments "
-    "disqus reply replies respond sidebar newsletter breadcrumb breadcrumbs navbar navigation pagination pager popup modal".split()
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo cookie cookies consent gdpr "
+    "sidebar newsletter breadcrumb breadcrumbs navbar navigation pagination pager popup modal".split()
 )
 WEAK = frozenset(
     "nav menu header footer masthead banner notice notices alert share sharing social related recommended widget login signup "
     "subscribe subscription form search toolbar legal copyright disclaimer outbrain taboola hidden aside".split()
 )
 CONTENT = frozenset("content article main body post story entry text".split())
-#: Classes that say what an article is about or has beside it, not what it is.
+#: Classes that say what an element is about or has beside it, not what it is.
 _ABOUT = re.compile(r"(?:has|with|no|category|tag)-\S*|\S*-(?:open|closed)")
+NO, SOFT, END, HARD = 0, 1, 2, 3
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*/?|[^>]*)>""", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+#: The rest of a tag: a quote counts where it follows an equals sign and is closed.
+_REST = re.compile(r"""((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z]+")
 _SENTENCE = re.compile(r"""\w.*[.!?…。！？]["'”’»)\]]*\Z""", re.S)
 
 
-def is_furniture(name: str, attributes: str, inside: bool) -> bool:
-    if name in FURNITURE or (name == "header" and not inside):
-        return True
+def furniture(name: str, attributes: str, inside: bool) -> int:
+    """NO, SOFT (unless it holds most of the text), END (the same, but it has to hold an article or h1, too) or HARD."""
+    if name in HIDDEN:
+        return HARD
+    found = END if name in ("nav", "footer", "aside", "menu") else SOFT if name in FURNITURE or (name == "header" and not inside) else NO
     if not attributes or name in ("body", "html"):
-        return False
+        return found
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
-        if key == "role" and value in ROLES:
-            return True
+            return HARD
         if key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
+            return HARD
+        if key == "role" and value in ROLES:
+            found = max(found, SOFT)
         if key in ("class", "id") and name != "main":
-            words = set(_WORD.findall(" ".join(x for x in value.split() if not _ABOUT.fullmatch(x)) if name == "article" else value))
+            words = set(_WORD.findall(" ".join(x for x in value.split() if not _ABOUT.fullmatch(x))))
+            if words & COMMENTS:
+                return HARD
             if words & STRONG or (words & WEAK and not words & CONTENT):
-                return True
-    return False
+                found = max(found, END if words & {"footer", "nav", "menu", "cookie", "cookies", "ad", "ads"} else SOFT)
+    return found
+
+
+def tags(page: str):
+    """(start, end, "/" or "", name, attributes) of every tag in order; comments and declarations have no name."""
+    at, size, cdata = 0, len(page), True
+    while (at := page.find("<", at)) >= 0:
+        name = _NAME.match(page, at + 1)
+        if name:
+            rest = _REST.match(page, name.end())
+            if not rest:  # the tag never ends: the rest is text
+                return
+            yield at, rest.end(), name[1], name[2].lower(), rest[1]
+            at = rest.end()
+        elif page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = size if end < 0 else end + 3
+            yield at, end, "", "", ""
+            at = end
+        elif page[at + 1 : at + 2] in ("!", "?"):
+            end = page.find("]]>", at) if cdata and page.startswith("<![CDATA[", at) else -1
+            cdata = cdata and (end >= 0 or not page.startswith("<![CDATA[", at))
+            end = page.find(">", at) + 1 if end < 0 else end + 3
+            if not end:
+                return
+            yield at, end, "", "", ""
+            at = end
+        else:
+            at += 1
 
 
 def lines_of(page: str) -> tuple[list[tuple[str, int, int]], list[int], list[bool]]:
@@ -81,89 +125,133 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int]], list[int], list[boo
 
     Boxes are numbered as they open, the page itself is 0. Furniture gives empty lines.
     """
-    lines: list[tuple[str, int, int]] = []
+    lines: list[tuple[str, int, int, int]] = []  # with the innermost furniture around
     around, articles = [0], [False]
+    kinds, outer = [NO], [0]  # of each furniture element: its kind, the one around it
+    holds: set[int] = set()  # furniture elements with an article, main or h1 element right in them
     held: list[str] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # name, furniture, article, box
-    state = {"linked": 0, "links": 0, "skip": 0, "inside": 0, "box": 0}
+    opened: Counter[str] = Counter()
+    blocks: list[int] = []  # places of open elements that are not inline, and of paragraphs
+    paragraphs: list[int] = []
+    linked = links = inside = box = within = 0
 
     def close() -> None:
+        nonlocal linked
         text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
         if text:
-            lines.append((text, min(state["linked"], len(text)), state["box"]))
+            lines.append((text, min(linked, len(text)), box, within))
         held.clear()
-        state["linked"] = 0
+        linked = 0
 
     def pop(to: int) -> None:
+        nonlocal within, inside, box, links
         while len(stack) > to:
-            name, skipped, article, box = stack.pop()
-            state["skip"] -= skipped
+            name, is_furniture, article, is_box = stack.pop()
+            opened[name] -= 1
+            if blocks and blocks[-1] == len(stack):
+                blocks.pop()
+            if paragraphs and paragraphs[-1] == len(stack):
+                paragraphs.pop()
+            if is_furniture:
+                within = outer[within]
             if article:
                 close()
-                state["inside"] -= 1
-            if box:
-                state["box"] = around[state["box"]]
+                inside -= 1
+            if is_box:
+                box = around[box]
             if name == "a":
-                state["links"] -= 1
-
-    at, size = 0, len(page)
-    while at < size:
-        found = _TAG.search(page, at)
-        here = found.start() if found else size
-        if here > at and not state["skip"]:
-            held.append(page[at:here])
-            if state["links"]:
-                state["linked"] += here - at
-        if not found:
-            break
-        at = found.end()
-        end, name, attributes = found.groups()
-        if name is None:
+                links -= 1
+
+    at, skip_to = 0, 0
+    for start, end, slash, name, attributes in tags(page):
+        if start < skip_to:
+            continue
+        if start > at:
+            held.append(page[at:start])
+            linked += (start - at) * (links > 0)
+        at = end
+        if not name:
             continue
-        name = name.lower()
-        if end:
+        if slash:
             if name not in INLINE:
                 close()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    pop(i)
-                    break
+            if opened[name]:
+                to = len(stack) - 1
+                while stack[to][0] != name:
+                    to -= 1
+                pop(to)
             continue
         if name in RAW:
             shut = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = shut.end() if shut else size
+            at = skip_to = shut.end() if shut else len(page)
             continue
-        if name == "br" and not state["skip"]:
+        if name == "br":
             held.append(" ")
         if name not in INLINE:
             close()
         if name in VOID or attributes.endswith("/") and name in INLINE:
             continue
-        if name == "p" and any(x[0] == "p" for x in stack):
-            at_p = max(i for i, x in enumerate(stack) if x[0] == "p")
-            if not any(x[0] not in INLINE for x in stack[at_p + 1 :]):
-                pop(at_p)
+        if name == "p" and paragraphs and blocks[-1] == paragraphs[-1]:
+            pop(paragraphs[-1])
         elif name in ("li", "td", "th", "tr", "dd", "dt", "option") and stack and stack[-1][0] == name:
             pop(len(stack) - 1)
-        skipped = is_furniture(name, attributes, state["inside"] > 0)
-        article = name in ("article", "main") and not skipped and not state["skip"]
-        if skipped and not state["skip"]:
-            close()
-            lines.extend([("", 0, state["box"])] * WINDOW)
-        box = name in BOXES and not skipped and not state["skip"]
-        stack.append((name, skipped, article, box))
-        state["skip"] += skipped
-        if article:
+        kind = furniture(name, attributes, inside > 0)
+        article, is_box = name in ("article", "main") and not kind, name in BOXES
+        if article or name == "h1":
+            holds.add(within)
+        if kind or article:
             close()
-            state["inside"] += 1
-        if box:
-            around.append(state["box"])
+        if name not in INLINE:
+            blocks.append(len(stack))
+        if name == "p":
+            paragraphs.append(len(stack))
+        stack.append((name, kind != NO, article, is_box))
+        opened[name] += 1
+        if kind:
+            kinds.append(kind)
+            outer.append(within)
+            within = len(kinds) - 1
+            lines.append(("", 0, box, within))
+        inside += article
+        if is_box:
+            around.append(box)
             articles.append(article)
-            state["box"] = len(around) - 1
-        if name == "a":
-            state["links"] += 1
+            box = len(around) - 1
+        links += name == "a"
+    if at < len(page):
+        held.append(page[at:])
+        linked += (len(page) - at) * (links > 0)
     close()
-    return lines, around, articles
+    return shown(lines, kinds, outer, holds), around, articles
+
+
+def shown(lines: list[tuple[str, int, int, int]], kinds: list[int], outer: list[int], holds: set[int]) -> list[tuple[str, int, int]]:
+    """The lines outside furniture, with a gap where furniture stood."""
+    weight, many = [0] * len(kinds), [0] * len(kinds)
+    for text, linked, _, within in lines:
+        weight[within] += len(text) - linked
+        many[within] += bool(text)
+    hidden = [False] * len(kinds)
+    for i in range(1, len(kinds)):
+        hidden[i] = hidden[outer[i]] or kinds[i] == HARD
+    whole = sum(w for w, h in zip(weight, hidden, strict=True) if not h)
+    for i in range(len(kinds) - 1, 0, -1):
+        if not hidden[i]:
+            weight[outer[i]] += weight[i]
+            many[outer[i]] += many[i]
+            if i in holds:
+                holds.add(outer[i])
+    for i in range(1, len(kinds)):
+        is_text = 2 * weight[i] > whole and (i in holds or kinds[i] == SOFT and many[i] >= SOME)
+        hidden[i] = hidden[outer[i]] or kinds[i] == HARD or not is_text
+    found: list[tuple[str, int, int]] = []
+    for text, linked, box, within in lines:
+        if not hidden[within]:
+            found += [(text, linked, box)] * bool(text)
+        elif not found or found[-1][0]:
+            found += [("", 0, box)] * WINDOW
+    return found
 
 
 def body_of(lines: list[tuple[str, int, int]], around: list[int], articles: list[bool]) -> range:
@@ -224,10 +312,8 @@ def extract(pages: DataFrame, page: str = "html") -> DataFrame:
     def texts(column: pd.Series) -> pd.Series:
         return column.map(main_text, na_action=None)
 
-    clashing = {"text", "n_chars"} & set(pages.columns)
-    if clashing:
-        raise ValueError(f"the input has columns that this operator adds: {sorted(clashing)}")
-    found = pages.withColumn("text", texts(F.col(page)))
+    others = [F.col(f"`{c}`") for c in pages.columns if c not in ("text", "n_chars")]
+    found = pages.select(*others, texts(F.col(f"`{page}`")).alias("text"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
