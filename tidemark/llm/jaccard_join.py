@@ -50,6 +50,7 @@ SPARE_STEP = 8  # one more spare range for so many differences
 BLOCK = 512  # documents of a large candidate group that are verified together
 BLOOM_BITS = (16, 30)  # fewest and most bits of a bit set, as powers of 2
 HELD = 800_000  # index entries that a task keeps before it hands them over
+SKETCHED = 300_000  # shingles that are sketched together
 
 
 def document_sets(column, width: int):
@@ -415,11 +416,14 @@ def _compare(members: DataFrame, payloads: DataFrame, test, percent: int, tasks:
 
 def _sketch_payloads(batches):
     for batch in batches:
-        sets = [np.frombuffer(x, np.uint64) for x in batch.column("payload").to_pylist()]
-        n = batch.column("n").to_numpy()
-        if len(sets):
-            found = sketches(n, np.concatenate(sets), np.repeat(np.arange(len(n)), n))
-            yield pa.RecordBatch.from_arrays([batch.column("sid"), batch.column("n"), pa.array(found, pa.binary())], ["sid", "n", "payload"])
+        sizes = np.cumsum(batch.column("n").to_numpy())
+        cuts = np.unique(np.searchsorted(sizes, np.arange(0, sizes[-1] if len(sizes) else 0, SKETCHED)))  # some shingles at a time
+        for low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), len(sizes)], strict=True):
+            part = batch.slice(low, high - low)
+            n = part.column("n").to_numpy()
+            shingle = np.concatenate([np.frombuffer(x, np.uint64) for x in part.column("payload").to_pylist()])
+            found = sketches(n, shingle, np.repeat(np.arange(len(n)), n))
+            yield pa.RecordBatch.from_arrays([part.column("sid"), part.column("n"), pa.array(found, pa.binary())], ["sid", "n", "payload"])
 
 
 def _labelled(groups: DataFrame, links: DataFrame) -> DataFrame:
