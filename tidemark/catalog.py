@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import boards, life_cycle, places, reports, series, timeseries
+from tidemark.plans import boards, life_cycle, places, reports, series, states, timeseries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _module in (timeseries, series, boards, places, life_cycle, reports):
+for _module in (timeseries, series, boards, places, life_cycle, reports, states):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

@@ -1,47 +1,123 @@
-"""Graphs as edge tables: downstream traces, upstream sets, components, bounded shortest paths, neighbourhood sums."""
+"""Graphs as edge tables: downstream traces, upstream sets, components, shortest paths within a limit, neighbourhood sums.
+
+Loops over rounds read each round once, from a table written to the shared folder, so plans do not grow with the rounds.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.tables import written
+
 
-def pointer_doubling(pointers: DataFrame, rounds: int) -> DataFrame:
-    """(node, outlet, steps) along next-pointers, by squaring the pointer table: 2**rounds steps at most.
+def pointer_doubling(pointers: DataFrame, start: Column | None = None, add: Column | None = None) -> DataFrame:
+    """(node, outlet, steps) along next-pointers, by squaring the pointer table until every node is at its outlet.
 
-    ``pointers`` is (node, to), at most one row a node; nodes without a pointer are outlets.
+    ``pointers`` is (node, to), at most one row a node and no circle; nodes without a pointer are outlets. ``add`` is what
+    each step adds to ``steps``, 1 by default.
     """
-    known = pointers.select("node", "to", F.lit(1).cast("long").alias("steps"))
-    for _ in range(rounds):
+    known = written(pointers.select("node", "to", (F.lit(1) if add is None else add).alias("steps")), "pointers")
+    while True:
         ahead = known.select(F.col("node").alias("to"), F.col("to").alias("far"), F.col("steps").alias("more"))
-        known = known.join(ahead, "to", "left").select(
-            "node", F.coalesce("far", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")
+        step = known.join(ahead, "to", "left")
+        moved = written(
+            step.select("node", F.coalesce("far", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("far").isNotNull().alias("moved")), "pointers"
         )
-    return known.withColumnRenamed("to", "outlet")
+        known = moved.drop("moved")
+        if moved.where("moved").isEmpty():
+            return known.withColumnRenamed("to", "outlet")
+
+
+def upstream(pointers: DataFrame, targets: DataFrame) -> DataFrame:
+    """(node, target): the nodes that drain into each target, the target with itself; only these are ever looked at."""
+    edge = pointers.select("node", F.col("to").alias("at"))
+    found = [written(targets.select("node", F.col("node").alias("target")).distinct(), "front")]
+    while True:
+        front = found[-1].select(F.col("node").alias("at"), "target").join(edge, "at").select("node", "target")
+        front = written(front, "front")
+        if front.isEmpty():
+            break
+        found.append(front)
+    whole = found[0]
+    for front in found[1:]:
+        whole = whole.unionByName(front)
+    return whole.distinct()
+
+
+def reach_within(edges: DataFrame, sources: DataFrame, limit: float) -> DataFrame:
+    """(node, cost): cheapest cost from any source within a limit, over any number of edges.
+
+    ``edges`` is (a, b, cost) with costs above 0, ``sources`` (node). Each round relaxes the edges of what became cheaper.
+    """
+    best = written(sources.select("node", F.lit(0.0).alias("cost")).distinct(), "costs")
+    front = best
+    while not front.isEmpty():
+        step = front.select(F.col("node").alias("a"), F.col("cost").alias("so_far")).join(edges, "a")
+        new = step.select(F.col("b").alias("node"), (F.col("so_far") + F.col("cost")).alias("cost")).where(F.col("cost") <= limit)
+        new = new.groupBy("node").agg(F.min("cost").alias("new"))
+        joined = written(best.join(new, "node", "full").select("node", F.least("cost", "new").alias("cost"), (F.col("cost").isNull() | (F.col("new") < F.col("cost"))).alias("better")), "costs")
+        best, front = joined.drop("better"), joined.where("better").drop("better")
+    return best
 
 
-def upstream(pointers: DataFrame, targets: DataFrame, rounds: int) -> DataFrame:
-    """(node, target): the nodes that drain into each target within 2**rounds steps, the target with itself."""
-    reach = pointers.select("node", F.col("to"))
-    pairs = reach
-    for _ in range(rounds):
-        onward = pairs.select(F.col("node").alias("to"), F.col("to").alias("far"))
-        pairs = pairs.union(pairs.join(onward, "to").select("node", F.col("far").alias("to"))).distinct()
-    wanted = targets.select(F.col("node").alias("to"))
-    return pairs.join(wanted, "to", "left_semi").select("node", F.col("to").alias("target")).union(targets.select("node", F.col("node").alias("target")))
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of the undirected ``edges`` (u, v); root is the smallest node of its component.
 
+    Each round, nodes take the smallest root among their neighbours and then the root of their root, so roots travel twice
+    as far a round.
+    """
+    both = written(edges.select("u", "v").union(edges.select("v", "u")).where("u <> v").distinct(), "edges")
+    known = written(both.groupBy(F.col("u").alias("node")).agg(F.min(F.least("u", "v")).alias("root")), "roots")
+    while True:
+        around = both.join(known.select(F.col("node").alias("v"), "root"), "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("near"))
+        low = known.join(around, "node").select("node", "root", F.least("root", "near").alias("new"))
+        up = known.select(F.col("node").alias("new"), F.col("root").alias("up"))
+        moved = written(low.join(up, "new").select("node", F.least("new", "up").alias("root"), (F.least("new", "up") < F.col("root")).alias("moved")), "roots")
+        known = moved.drop("moved")
+        if moved.where("moved").isEmpty():
+            return known
+
+
+def patches(cells: DataFrame, least: int = 1) -> DataFrame:
+    """(row, col, patch) of the cells whose patch of side neighbours has ``least`` cells or more; patch is its smallest (row, col)."""
+    at = F.struct("row", "col")
+    near = cells.select(at.alias("u"), F.explode(F.array(F.struct((F.col("row") + 1).alias("row"), "col"), F.struct("row", (F.col("col") + 1).alias("col")))).alias("v"))
+    edges = near.join(cells.select(at.alias("v")), "v", "left_semi")
+    placed = cells.join(components(edges).select("node.row", "node.col", F.col("root").alias("patch")), ["row", "col"], "left")
+    placed = placed.select("row", "col", F.coalesce("patch", at).alias("patch"))
+    large = placed.groupBy("patch").count().where(F.col("count") >= least).select("patch")
+    return placed.join(large, "patch")
+
+
+def above_drainage(flow: DataFrame, channel: Column) -> DataFrame:
+    """(node, hand): height of each node above the channel that it drains to; NULL where it reaches none.
+
+    ``flow`` is (node, to, height). The trace ends in the first channel node, as channel nodes have no pointer in it.
+    """
+    marked = flow.withColumn("is_channel", channel)
+    trace = pointer_doubling(marked.where("NOT is_channel AND to IS NOT NULL").select("node", "to"))
+    ends = marked.where("is_channel").select(F.col("node").alias("outlet"), F.col("height").alias("base"))
+    outlet = marked.join(trace.select("node", "outlet"), "node", "left").withColumn("outlet", F.coalesce("outlet", "node"))
+    return outlet.join(ends, "outlet", "left").select("node", F.greatest(F.col("height") - F.col("base"), F.lit(0.0)).alias("hand"))
 
-def reach_within(edges: DataFrame, sources: DataFrame, limit: float, hops: int) -> DataFrame:
-    """(node, cost): cheapest cost from any source within a limit and a bounded number of edges, by relaxation.
 
-    ``edges`` is (a, b, cost), ``sources`` (node).
-    """
-    best = sources.select("node", F.lit(0.0).alias("cost")).distinct()
-    for _ in range(hops):
-        step = best.withColumnRenamed("node", "a").withColumnRenamed("cost", "so_far").join(edges, "a")
-        new = step.select(F.col("b").alias("node"), (F.col("so_far") + F.col("cost")).alias("cost")).where(F.col("cost") <= limit)
-        best = best.union(new).groupBy("node").agg(F.min("cost").alias("cost"))
-    return best
+def chains(ways: DataFrame) -> DataFrame:
+    """(way, chain) of ways (way, a, b): ways that meet at a place where exactly two of them end are one chain."""
+    ends = ways.select("way", F.explode(F.array("a", "b")).alias("place"))
+    meet = ends.groupBy("place").agg(F.count("*").alias("n"), F.min("way").alias("u"), F.max("way").alias("v")).where("n = 2 AND u <> v")
+    found = ways.select("way").join(components(meet.select("u", "v")).withColumnRenamed("node", "way"), "way", "left")
+    return found.select("way", F.coalesce("root", "way").alias("chain"))
+
+
+def coarsened(cells: DataFrame, side: int, least: float) -> DataFrame:
+    """(row, col, cls) of blocks: the highest class of which, with those above it, the block has a share of ``least``."""
+    block = [F.floor(F.col(c) / side).alias(c) for c in ("row", "col")]
+    counts = cells.groupBy(*block, "cls").agg(F.count("*").alias("n"))
+    at = Window.partitionBy("row", "col")
+    upward = at.orderBy(F.col("cls").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    shares = counts.withColumn("share", F.sum("n").over(upward) / F.sum("n").over(at))
+    return shares.where(F.col("share") >= least).groupBy("row", "col").agg(F.max("cls").alias("cls"))
 
 
 def box_sum(cells: DataFrame, radius: int) -> DataFrame:
@@ -61,8 +137,18 @@ def dilated(cells: DataFrame, radius: int) -> DataFrame:
     return wide.distinct().select("row", "col", F.explode(offsets).alias("j")).select("row", (F.col("col") + F.col("j")).alias("col")).distinct()
 
 
-def harmonics(df: DataFrame, group: str, hours: str, value: str, periods: tuple[float, ...]) -> DataFrame:
-    """(group, period, amplitude, n) by least squares: normal equations are summed by group, each small system solved alone."""
+def edge(cells: DataFrame) -> DataFrame:
+    """The cells of which some side neighbour is not among the given ones."""
+    sides = F.array(*[F.struct((F.col("row") + i).alias("row"), (F.col("col") + j).alias("col")) for i, j in ((0, 1), (1, 0), (0, -1), (-1, 0))])
+    near = cells.select("row", "col", F.explode(sides).alias("x")).select("row", "col", F.col("x.row").alias("r"), F.col("x.col").alias("c"))
+    return near.join(cells.select(F.col("row").alias("r"), F.col("col").alias("c")), ["r", "c"], "left_anti").select("row", "col").distinct()
+
+
+def harmonics(df: DataFrame, group: str, hours: str, value: str, periods: tuple[float, ...], least_hours: float = 400 * 24) -> DataFrame:
+    """(group, period, amplitude, n) by least squares: normal equations are summed by group, each small system solved alone.
+
+    ``hours`` counts from the group's first row. Amplitudes are NULL where the record spans less than ``least_hours``.
+    """
     import numpy as np
 
     size = 1 + 2 * len(periods)
@@ -70,7 +156,7 @@ def harmonics(df: DataFrame, group: str, hours: str, value: str, periods: tuple[
     base = [F.lit(1.0)] + [f(2 * np.pi / p * t) for p in periods for f in (F.cos, F.sin)]
     sums = [F.sum(base[i] * base[j]).alias(f"a{i}_{j}") for i in range(size) for j in range(i, size)]
     sums += [F.sum(base[i] * F.col(value)).alias(f"b{i}") for i in range(size)]
-    summed = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), *sums)
+    summed = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), (F.max(t) - F.min(t)).alias("span"), *sums)
 
     def solve(frames):
         import pandas as pd
@@ -83,7 +169,8 @@ def harmonics(df: DataFrame, group: str, hours: str, value: str, periods: tuple[
                     for j in range(i, size):
                         a[i, j] = a[j, i] = r[f"a{i}_{j}"]
                 x = np.linalg.lstsq(a, np.array([r[f"b{i}"] for i in range(size)]), rcond=None)[0]
-                rows += [(r[group], p, float(np.hypot(x[1 + 2 * k], x[2 + 2 * k])), int(r["n"])) for k, p in enumerate(periods)]
+                long = r["span"] >= least_hours
+                rows += [(r[group], p, float(np.hypot(x[1 + 2 * k], x[2 + 2 * k])) if long else None, int(r["n"])) for k, p in enumerate(periods)]
             yield pd.DataFrame(rows, columns=["grp", "period", "amplitude", "n"])
 
     return summed.mapInPandas(solve, f"grp {dict(df.dtypes)[group]}, period double, amplitude double, n long").withColumnRenamed("grp", group)

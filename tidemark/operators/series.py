@@ -88,14 +88,14 @@ def confirmed(flagged: DataFrame, n: int) -> DataFrame:
     return flagged.withColumn("confirmed", held & whole)
 
 
-def spells(flagged: DataFrame, gap_hours: int = 1, least: int = 1) -> DataFrame:
-    """(entity, start, end, n_rows, peak) of runs of true rows; runs no more than gap_hours apart are one."""
+def spells(flagged: DataFrame, gap_hours: int = 1, least: int = 1, *more: Column) -> DataFrame:
+    """(entity, start, end, n_rows, peak) of runs of true rows, and more aggregates; runs no more than gap_hours apart are one."""
     true = flagged.where("flag")
     far = F.col("hour") - F.lag("hour").over(ordered()) > F.make_dt_interval(hours=F.lit(gap_hours))
     marked = true.withColumn("_new", F.coalesce(far, F.lit(True)).cast("int"))
     numbered = marked.withColumn("spell", F.sum("_new").over(ordered()))
     found = numbered.groupBy("entity", "spell").agg(
-        F.min("hour").alias("start"), F.max("hour").alias("end"), F.count("*").alias("n_rows"), F.max("value").alias("peak")
+        F.min("hour").alias("start"), F.max("hour").alias("end"), F.count("*").alias("n_rows"), F.max("value").alias("peak"), *more
     )
     return found.where(F.col("n_rows") >= least).drop("spell")
 
@@ -142,18 +142,35 @@ def coverage(series: DataFrame) -> DataFrame:
     )
 
 
-def stays_below(flagged: DataFrame, n: int) -> DataFrame:
-    """(entity, start, below, censored) of each rising edge: the first later row from which the flag stays off n rows.
+def recessions(gapless: DataFrame, level: float, n: int, gap_hours: int = 4, least: int = 1, guard: int = 3) -> DataFrame:
+    """(entity, start, peak_at, peak, dropped, below, known, censored) of each spell at or above the level.
 
-    Censored where the record ends first.
+    From the peak on, ``below`` is the first hour from which n hours are there and below the level. A missing hour or the
+    end of the record that comes first censors it: ``known`` is then the last hour known before. Dropped are spells that
+    begin with the record or behind a gap, or with a gap within ``guard`` hours of the peak.
     """
+    place = gapless.withColumn("_i", F.row_number().over(ordered())).withColumn("flag", F.coalesce(F.col("value") >= level, F.lit(False)))
+    missing = F.col("value").isNull()
     ahead = ordered().rowsBetween(0, n - 1)
-    quiet = (F.max(F.col("flag").cast("int")).over(ahead) == 0) & (F.count("flag").over(ahead) == n)
-    before = F.coalesce(F.lag("flag").over(ordered()), F.lit(False))
-    marked = flagged.withColumn("_quiet", F.when(quiet, F.col("hour"))).withColumn("_edge", F.col("flag") & ~before)
-    later = F.min("_quiet").over(ordered().rowsBetween(0, Window.unboundedFollowing))
-    found = marked.withColumn("below", later).where("_edge")
-    return found.select("entity", F.col("hour").alias("start"), "below", F.col("below").isNull().alias("censored"))
+    offender = F.min(F.when(missing | F.col("flag"), F.struct("_i", missing.alias("missing")))).over(ahead)
+    marked = place.withColumn("_off", offender).withColumn("_n", F.count("*").over(ahead))
+    quiet = ~missing & ~F.col("flag") & F.col("_off").isNull()
+    decisive = missing | (~F.col("flag") & (F.col("_off").isNull() | F.col("_off.missing")))
+    before = F.lag("hour").over(ordered())
+    verdict = F.when(decisive, F.struct("_i", "hour", before.alias("before"), (quiet & (F.col("_n") == n)).alias("fell")))
+    following = ordered().rowsBetween(0, Window.unboundedFollowing)
+    around = ordered().rowsBetween(-guard, guard)
+    marked = marked.withColumn("_v", F.min(verdict).over(following)).withColumn("_last", F.last("hour").over(following))
+    marked = marked.withColumn("_gap", F.max(missing.cast("int")).over(around) == 1).withColumn("_open", F.lag("value").over(ordered()).isNull())
+    found = spells(marked, gap_hours, least, F.min_by(F.struct("_open"), "hour").alias("_first"), F.max_by(F.struct("hour", "_v", "_last", "_gap"), F.struct("value", -F.col("_i"))).alias("_p"))
+    dropped = F.when(F.col("_first._open"), "starts_in_gap").when(F.col("_p._gap"), "gap_at_peak")
+    keep = lambda c: F.when(dropped.isNull(), c)
+    fell = F.coalesce(F.col("_p._v.fell"), F.lit(False))
+    known = F.when(F.col("_p._v").isNull(), F.col("_p._last")).otherwise(F.col("_p._v.before"))
+    return found.select(
+        "entity", "start", F.col("_p.hour").alias("peak_at"), "peak", dropped.alias("dropped"),
+        keep(F.when(fell, F.col("_p._v.hour"))).alias("below"), keep(F.when(fell, F.col("_p._v.hour")).otherwise(known)).alias("known"), keep(~fell).alias("censored"),
+    )
 
 
 def never_rising(df: DataFrame, group: str, order: str, value: str) -> DataFrame:

@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.tables import written
+
 KM_PER_DEGREE = 111.32
 
 
+def apart(lon_a: Column, lon_b: Column) -> Column:
+    """Degrees of longitude from the first to the second, the short way round."""
+    d = lon_b - lon_a
+    return F.when(F.abs(d) <= 180, d).when(d > 0, d - 360).otherwise(d + 360)
+
+
 def flat_km(lon_a: Column, lat_a: Column, lon_b: Column, lat_b: Column) -> Column:
     """Distance on a plane that touches the earth between the two places."""
-    x = (lon_b - lon_a) * F.cos(F.radians((lat_a + lat_b) / 2)) * KM_PER_DEGREE
+    x = apart(lon_a, lon_b) * F.cos(F.radians((lat_a + lat_b) / 2)) * KM_PER_DEGREE
     return F.hypot(x, (lat_b - lat_a) * KM_PER_DEGREE)
 
 
@@ -42,23 +50,48 @@ def _cell(c: str, degrees: float) -> Column:
 
 
 def within(left: DataFrame, right: DataFrame, km: float, lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """Pairs no further apart than km, by grid cells as wide as the radius at the widest latitude of 60 degrees.
+    """Pairs no further apart than km, by grid cells: rows as high as the radius, cells of a row as wide as it needs at its latitude.
 
-    Right columns get the suffix _r. Each left row meets nine cells; a full cell spreads over join tasks by AQE.
+    Right columns get the suffix _r. Each left row meets nine cells at most; a full cell spreads over join tasks by AQE.
     """
-    high, wide = km / KM_PER_DEGREE, km / KM_PER_DEGREE * 2
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    a = left.withColumn("_d", F.explode(around))
-    a = a.withColumn("_x", _cell(lon, wide) + F.col("_d.i")).withColumn("_y", _cell(lat, high) + F.col("_d.j")).drop("_d")
-    b = right.select(*[F.col(c).alias(f"{c}_r") for c in right.columns], _cell(lon, wide).alias("_x"), _cell(lat, high).alias("_y"))
+    high = km / KM_PER_DEGREE
+    row_of = F.floor((F.col(lat) + 90) / high)
+
+    def cells(row: Column) -> Column:
+        """How many cells a row has: each at least as wide as the radius anywhere in the row and its neighbours."""
+        widest = F.least(F.greatest(F.abs((row - 1) * high - 90), F.abs((row + 2) * high - 90)), F.lit(89.999))
+        return F.greatest(F.floor(360 * F.cos(F.radians(widest)) / high), F.lit(1))
+
+    def cell(row: Column, step: int) -> Column:
+        many = cells(row)
+        return F.pmod(F.floor(F.pmod(F.col(lon) + 180, F.lit(360.0)) / 360 * many) + step, many)
+
+    rows = left.withColumn("_y", F.explode(F.array(*[row_of + i for i in (-1, 0, 1)])))
+    a = rows.withColumn("_x", F.explode(F.array_distinct(F.array(*[cell(F.col("_y"), i) for i in (-1, 0, 1)]))))
+    b = right.withColumn("_y", row_of).withColumn("_x", cell(F.col("_y"), 0)).select(*[F.col(c).alias(f"{c}_r") for c in right.columns], "_x", "_y")
     away = flat_km(F.col(lon), F.col(lat), F.col(f"{lon}_r"), F.col(f"{lat}_r"))
-    return a.join(b, ["_x", "_y"]).withColumn("km", away).where(F.col("km") <= km).drop("_x", "_y")
+    return a.join(b, ["_x", "_y"]).where(away <= km).withColumn("km", away).drop("_x", "_y")
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, k: int, km: float) -> DataFrame:
-    """The k nearest right rows within km of each left row, ties by the right key."""
+def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, k: int, km: float = 10.0) -> DataFrame:
+    """The k nearest right rows of each left row, ties by the right key, with ``rank``.
+
+    Rows that find fewer than k within km look again within twice as far, and so on until the whole earth is searched.
+    """
     w = Window.partitionBy(key).orderBy("km", f"{right_key}_r")
-    return within(left, right, km).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    found, open_ = None, left
+    while True:
+        ranked = written(within(open_, right, km).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k), "nearest")
+        last = km > 20_100
+        full = ranked.where(F.col("rank") == k).select(key)
+        done = ranked if last else ranked.join(full, key, "left_semi")
+        found = done if found is None else found.unionByName(done)
+        if last:
+            return found
+        open_ = written(open_.join(full, key, "left_anti"), "open")
+        if open_.isEmpty():
+            return found
+        km = 2 * km
 
 
 def inside(x: Column, y: Column, ring: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import quantiles
 from tidemark.operators import relational as r
 from tidemark.tables import load
 
@@ -27,9 +28,9 @@ SELECT user_id, event_id, CASE WHEN value IS NULL OR ts < now - INTERVAL 24 HOUR
   WHEN value >= 50 THEN 'above_warning' WHEN value >= 20 THEN 'above_watch' ELSE 'normal' END AS level FROM l, e WHERE r = 1""")
 def status_board(spark, sf_dir):
     events = load(spark, sf_dir, "events")
-    now = events.agg(F.max("ts")).first()[0]  # one value
-    last = r.latest(events, "user_id", F.col("ts").desc(), F.col("event_id").desc())
-    fresh = F.col("ts") >= F.lit(now).cast("timestamp_ntz") - F.expr("INTERVAL 24 HOURS")
+    now = events.agg(F.max("ts").alias("now"))  # one row
+    last = r.latest(events, "user_id", F.col("ts").desc(), F.col("event_id").desc()).join(F.broadcast(now), F.lit(True))
+    fresh = F.col("ts") >= F.col("now") - F.expr("INTERVAL 24 HOURS")
     return last.select("user_id", "event_id", r.ladder(F.col("value"), fresh, F.lit(20.0), F.lit(50.0), F.lit(100.0)).alias("level"))
 
 
@@ -85,8 +86,8 @@ def tally_by_area(spark, sf_dir):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS p75 FROM events GROUP BY 1")
 def percentiles(spark, sf_dir):
-    p = F.expr("percentile(value, array(0.5D, 0.75D))")
-    return load(spark, sf_dir, "events").groupBy("event_type").agg(p.alias("p")).select("event_type", F.round(F.col("p")[0], 6).alias("median"), F.round(F.col("p")[1], 6).alias("p75"))
+    found = quantiles.percentiles(load(spark, sf_dir, "events"), ["event_type"], "value", {"median": 0.5, "p75": 0.75})
+    return found.select("event_type", F.round("median", 6).alias("median"), F.round("p75", 6).alias("p75"))
 
 
 @query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, count(DISTINCT user_id) AS n FROM events GROUP BY 1)
@@ -111,15 +112,13 @@ def retention(spark, sf_dir):
     return flags.groupBy("day").agg(F.count("*").alias("cohort"), F.count_if("a").alias("returned"), F.count_if("b").alias("after_week"))
 
 
-@query("""WITH u AS (SELECT user_id, bool_or(event_type = 'view') AS v, bool_or(event_type = 'click') AS c, bool_or(event_type = 'signup') AS s, bool_or(event_type = 'purchase') AS p FROM events WHERE ts < (SELECT min(ts) FROM events) + INTERVAL 1 DAY GROUP BY 1),
+@query("""WITH u AS (SELECT user_id, bool_or(event_type = 'view') AS v, bool_or(event_type = 'click') AS c, bool_or(event_type = 'signup') AS s, bool_or(event_type = 'purchase') AS p FROM events GROUP BY 1),
 n AS (SELECT count(*) FILTER (v) AS a, count(*) FILTER (v AND c) AS b, count(*) FILTER (v AND c AND s) AS c, count(*) FILTER (v AND c AND s AND p) AS d FROM u)
 SELECT unnest(['1-view', '2-click', '3-signup', '4-purchase']) AS step, unnest([a, b, c, d]) AS n, unnest([round(1.0, 6), round(b / a, 6), round(c / a, 6), round(d / a, 6)]) AS share FROM n""")
 def funnel(spark, sf_dir):
     events = load(spark, sf_dir, "events")
-    first = events.agg(F.min("ts")).first()[0]  # one value
-    day = events.where(F.col("ts") < F.lit(first).cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY"))
     steps = ["view", "click", "signup", "purchase"]
-    user = day.groupBy("user_id").agg(*[F.bool_or(F.col("event_type") == s).alias(s) for s in steps])
+    user = events.groupBy("user_id").agg(*[F.bool_or(F.col("event_type") == s).alias(s) for s in steps])
     reached = [F.count_if(F.expr(" AND ".join(steps[: i + 1]))).alias(f"n{i}") for i in range(4)]
     wide = user.agg(*reached)
     rows = F.explode(F.array(*[F.struct(F.lit(f"{i + 1}-{s}").alias("step"), F.col(f"n{i}").alias("n"), F.round(F.try_divide(F.col(f"n{i}"), F.col("n0")), 6).alias("share")) for i, s in enumerate(steps)]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import graph, spatial
@@ -44,10 +44,10 @@ def within_15km(spark, sf_dir):
     return spatial.within(_customers(spark, sf_dir), _suppliers(spark, sf_dir), 15.0).select("id", "id_r", F.round("km", 6).alias("km"))
 
 
-@query(f"""WITH {_A}, {_B}, d AS (SELECT a.id, b.id AS id_r, {_KM} AS km FROM a, b WHERE {_KM} <= 60), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY km, id_r) AS rank FROM d)
+@query(f"""WITH {_A}, {_B}, d AS (SELECT a.id, b.id AS id_r, {_KM} AS km FROM a, b), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY km, id_r) AS rank FROM d)
 SELECT id, id_r, rank, round(km, 6) AS km FROM r WHERE rank <= 2""")
 def nearest_two(spark, sf_dir):
-    found = spatial.nearest(_customers(spark, sf_dir), _suppliers(spark, sf_dir), "id", "id", 2, 60.0)
+    found = spatial.nearest(_customers(spark, sf_dir), _suppliers(spark, sf_dir), "id", "id", 2, 20.0)
     return found.select("id", "id_r", "rank", F.round("km", 6).alias("km"))
 
 
@@ -88,7 +88,7 @@ def _pointers(spark, sf_dir):
 @query("""WITH RECURSIVE w AS (SELECT p_partkey AS node, p_partkey AS pos, 0 AS steps FROM part WHERE p_partkey > 0 UNION ALL SELECT node, pos // 3, steps + 1 FROM w WHERE pos > 0)
 SELECT node, pos AS outlet, steps FROM w WHERE pos = 0""")
 def downstream_trace(spark, sf_dir):
-    return graph.pointer_doubling(_pointers(spark, sf_dir), 5)
+    return graph.pointer_doubling(_pointers(spark, sf_dir))
 
 
 @query("""WITH RECURSIVE w AS (SELECT p_partkey AS node, p_partkey AS pos FROM part WHERE p_partkey > 0 UNION ALL SELECT node, pos // 3 FROM w WHERE pos > 0)
@@ -96,18 +96,18 @@ SELECT DISTINCT node, pos AS target FROM w WHERE pos IN (5, 40)""")
 def upstream_sets(spark, sf_dir):
     pointers = _pointers(spark, sf_dir)
     targets = pointers.where("node IN (5, 40)").select("node")
-    return graph.upstream(pointers, targets, 5)
+    return graph.upstream(pointers, targets)
 
 
 _ROADS = """e AS (SELECT p_partkey AS a, p_partkey // 2 AS b, 1.0 + p_partkey % 7 AS cost FROM part WHERE p_partkey > 0), r AS (SELECT * FROM e UNION ALL SELECT b, a, cost FROM e)"""
 
 
-@query(f"""WITH RECURSIVE {_ROADS}, w AS (SELECT 3::BIGINT AS node, 0.0::DOUBLE AS cost, 0 AS hops UNION SELECT r.b, w.cost + r.cost, hops + 1 FROM w JOIN r ON r.a = w.node WHERE hops < 4 AND w.cost + r.cost <= 12)
+@query(f"""WITH RECURSIVE {_ROADS}, w AS (SELECT 3::BIGINT AS node, 0.0::DOUBLE AS cost UNION SELECT r.b, w.cost + r.cost FROM w JOIN r ON r.a = w.node WHERE w.cost + r.cost <= 12)
 SELECT node, min(cost) AS cost FROM w GROUP BY 1""")
 def roads_within(spark, sf_dir):
     one = load(spark, sf_dir, "part").where("p_partkey > 0").select(F.col("p_partkey").alias("a"), F.floor(F.col("p_partkey") / 2).alias("b"), (1.0 + F.col("p_partkey") % 7).alias("cost"))
     both = one.union(one.select("b", "a", "cost"))
-    return graph.reach_within(both, spark.range(3, 4).select(F.col("id").alias("node")), 12.0, 4)
+    return graph.reach_within(both, spark.range(3, 4).select(F.col("id").alias("node")), 12.0)
 
 
 _GRID = "g AS (SELECT p_partkey // 50 AS row, p_partkey % 50 AS col, p_size AS value FROM part)"
@@ -129,7 +129,9 @@ def _grid(spark, sf_dir):
 
 @query()
 def tide_harmonics(spark, sf_dir):
-    """Amplitudes of the half-day and day periods of each series."""
-    rows = _hourly(spark, sf_dir).withColumn("t", F.unix_timestamp(F.col("hour").cast("timestamp")) / 3600.0 % 8766)
-    found = graph.harmonics(rows, "entity", "t", "value", (12.4206, 23.9345, 24.0))
+    """Amplitudes of the half-day and day periods of each series; the record is a month, too short for closer ones."""
+    at = F.unix_timestamp(F.col("hour").cast("timestamp")) / 3600.0
+    first = F.min(at).over(Window.partitionBy("entity"))
+    rows = _hourly(spark, sf_dir).withColumn("t", at - first)
+    found = graph.harmonics(rows, "entity", "t", "value", (12.4206, 24.0), least_hours=20 * 24)
     return found.withColumn("amplitude", F.round("amplitude", 6))

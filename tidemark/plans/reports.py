@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import quantiles
 from tidemark.operators import series as s
 from tidemark.plans.series import _F, _G, _flagged, _gapless
 from tidemark.tables import load
@@ -78,13 +79,15 @@ def return_quartiles(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
     h = load(spark, sf_dir, "events").select(((micros(F.col("ts")) - micros(F.lag("ts").over(w))) / 3.6e9).alias("h"))
-    q = h.agg(F.count_if(F.col("h").isNull()).alias("firsts"), F.expr("percentile(h, array(0.25D, 0.5D, 0.75D))").alias("p"))
-    return q.select("firsts", *[F.round(F.col("p")[i], 5).alias(n) for i, n in enumerate(("p25", "p50", "p75"))])
+    q = quantiles.percentiles(h, [], "h", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    firsts = h.agg(F.count_if(F.col("h").isNull()).alias("firsts"))
+    return firsts.join(F.broadcast(q), F.lit(True), "left").select("firsts", *[F.round(n, 5).alias(n) for n in ("p25", "p50", "p75")])
 
 
 @query("""WITH m AS (SELECT l_suppkey, avg(l_extendedprice) AS v FROM lineitem GROUP BY 1)
 SELECT l_suppkey, rank() OVER (ORDER BY v DESC) AS place, ntile(3) OVER (ORDER BY v, l_suppkey) AS third FROM m""")
 def supplier_ranks(spark, sf_dir):
-    """Rank and third of each supplier among all: one row a supplier is ordered as a whole."""
-    m = load(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.avg("l_extendedprice").alias("v"))
-    return m.select("l_suppkey", F.rank().over(Window.orderBy(F.col("v").desc())).alias("place"), F.ntile(3).over(Window.orderBy("v", "l_suppkey")).alias("third"))
+    """Rank and third of each supplier among all."""
+    m = load(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.avg("l_extendedprice").alias("v")).withColumn("down", -F.col("v"))
+    up = quantiles.placed(m, "v", "l_suppkey").select("l_suppkey", quantiles.tile(F.col("place"), F.col("n_rows"), 3).cast("long").alias("third"))
+    return quantiles.placed(m, "down").select("l_suppkey", F.col("rank").alias("place")).join(up, "l_suppkey")

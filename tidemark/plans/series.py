@@ -83,15 +83,17 @@ def record_coverage(spark, sf_dir):
 
 
 def stay_below(spark, sf_dir):
-    return s.stays_below(_flagged(spark, sf_dir), 6)
+    """Of each spell over the limit, when the series fell below it for six whole hours, or until when that is not known."""
+    return _rounded(s.recessions(_gapless(spark, sf_dir), 30.0, 6), "peak")
 
 
 def last_readings(spark, sf_dir):
     """The five latest readings of each series with change and rate to the reading before."""
-    w = Window.partitionBy("event_type").orderBy(F.col("ts"), F.col("event_id"))
     back = Window.partitionBy("event_type").orderBy(F.col("ts").desc(), F.col("event_id").desc())
-    seconds = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))) / 1e6
-    rows = load(spark, sf_dir, "events").withColumn("back", F.row_number().over(back)).withColumn("change", F.col("value") - F.lag("value").over(w))
+    seconds = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lead("ts").over(back).cast("timestamp"))) / 1e6
+    # each task keeps six rows a series before the shuffle
+    rows = load(spark, sf_dir, "events").withColumn("back", F.row_number().over(back)).where("back <= 6")
+    rows = rows.withColumn("change", F.col("value") - F.lead("value").over(back))
     rows = rows.withColumn("per_hour", F.when(seconds > 0, F.col("change") / seconds * 3600)).where("back <= 5")
     return _rounded(rows.select("event_type", "back", "event_id", "change", "per_hour"), "change", "per_hour", places=3)
 
@@ -168,10 +170,18 @@ SELECT entity, hour, round(value, 7) AS value, round(CASE WHEN n >= 3 THEN great
     "record_coverage": f"""WITH {_H}, s AS (SELECT *, epoch(hour) - epoch(lag(hour) OVER {_W})) AS step FROM h), m AS (SELECT entity, median(step) AS median_step FROM s GROUP BY 1)
 SELECT entity, median_step, min(hour) AS first, max(hour) AS last, count(*) AS n_rows, count(*) FILTER (step > 3 * median_step) AS n_gaps
 FROM s JOIN m USING (entity) GROUP BY ALL""",
-    "stay_below": f"""WITH {_F(30.0)}, q AS (SELECT *, CASE WHEN NOT bool_or(flag) OVER w AND count(*) OVER w = 6 THEN hour END AS quiet,
-  flag AND NOT coalesce(lag(flag) OVER {_W}), false) AS edge FROM f WINDOW w AS (PARTITION BY entity ORDER BY hour ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)),
-l AS (SELECT *, min(quiet) OVER {_W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS below FROM q)
-SELECT entity, hour AS start, below, below IS NULL AS censored FROM l WHERE edge""",
+    "stay_below": f"""WITH {_G}, i AS (SELECT *, row_number() OVER {_W}) AS i, coalesce(value >= 30.0, false) AS flag FROM g),
+o AS (SELECT *, min(CASE WHEN value IS NULL OR flag THEN i END) OVER w AS off, count(*) OVER w AS n, lag(hour) OVER {_W}) AS before, lag(value) OVER {_W}) IS NULL AS opens,
+  bool_or(value IS NULL) OVER {_W} ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS gap, max(hour) OVER (PARTITION BY entity) AS last
+  FROM i WINDOW w AS (PARTITION BY entity ORDER BY hour ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)),
+v AS (SELECT o.*, x.value IS NULL AS off_missing FROM o LEFT JOIN i x ON x.entity = o.entity AND x.i = o.off),
+d AS (SELECT *, CASE WHEN value IS NULL OR (NOT flag AND (off IS NULL OR off_missing)) THEN i END AS decisive, value IS NOT NULL AND NOT flag AND off IS NULL AND n = 6 AS fell FROM v),
+f AS (SELECT *, min(decisive) OVER {_W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS pos FROM d),
+t AS (SELECT *, CASE WHEN hour - lag(hour) OVER {_W}) <= INTERVAL 4 HOUR THEN 0 ELSE 1 END AS new FROM f WHERE flag), r AS (SELECT *, sum(new) OVER {_W}) AS spell FROM t),
+ep AS (SELECT entity, min(hour) AS start, max(value) AS peak, arg_min(opens, hour) AS opens, arg_max(hour, (value, -i)) AS peak_at, arg_max(gap, (value, -i)) AS gap, arg_max(pos, (value, -i)) AS pos, any_value(last) AS last FROM r GROUP BY entity, spell),
+c AS (SELECT ep.*, CASE WHEN ep.opens THEN 'starts_in_gap' WHEN ep.gap THEN 'gap_at_peak' END AS dropped, coalesce(y.fell, false) AS fell, y.hour, y.before FROM ep LEFT JOIN d y ON y.entity = ep.entity AND y.i = ep.pos)
+SELECT entity, start, peak_at, round(peak, 7) AS peak, dropped, CASE WHEN dropped IS NULL AND fell THEN hour END AS below,
+  CASE WHEN dropped IS NULL THEN CASE WHEN fell THEN hour WHEN pos IS NULL THEN last ELSE before END END AS known, CASE WHEN dropped IS NULL THEN NOT fell END AS censored FROM c""",
     "last_readings": """WITH l AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS back,
   value - lag(value) OVER w AS change, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 AS s FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id))
 SELECT event_type, back, event_id, round(change, 3) AS change, round(CASE WHEN s > 0 THEN change / s * 3600 END, 3) AS per_hour FROM l WHERE back <= 5""",
