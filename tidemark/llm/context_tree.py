@@ -32,8 +32,8 @@ from tidemark.llm import bytetext as bt
 from tidemark.llm.shared import blocks_for
 
 DEPTH = 6
-BLOCK_BYTES = 32_000_000
-HELD = 16_000_000  # bytes of text that are compressed together
+BLOCK_BYTES = 16_000_000
+HELD = 8_000_000  # bytes of text that are compressed together
 SPACE, END = 0x20, 0x0A
 END_WORD = np.uint64(0x8E51ECFD9A3B17C5)
 LOG_HALF = np.log(0.5)
@@ -48,9 +48,21 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (z - 0.5) * np.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - down
 
 
+_SMALL = 1 << 14
+_TABLE = {more: log_gamma(np.arange(_SMALL) + more) for more in (0.5, 1.0)}
+
+
+def _log_gamma_of(count: np.ndarray, more: float) -> np.ndarray:
+    """log_gamma(count + more) of whole numbers; most are small."""
+    found = _TABLE[more][np.minimum(count, _SMALL - 1).astype(np.int64)]
+    large = np.flatnonzero(count >= _SMALL)
+    found[large] = log_gamma(count[large] + more)
+    return found
+
+
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Log of the KT probability of any sequence with so many zeros and ones."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - np.log(np.pi)
+    return _log_gamma_of(zeros, 0.5) + _log_gamma_of(ones, 0.5) - _log_gamma_of(zeros + ones, 1.0) - np.log(np.pi)
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -123,6 +135,21 @@ def counted_of(texts, train: np.ndarray, depth: int):
     return merged(words, word_n), merged(pairs, pair_n)
 
 
+def placed_of(texts, depth: int):
+    """(distinct words, distinct pairs, slices): of each slice its rows, and its distinct words and pairs with their places."""
+    words, pairs, parts = [np.array([END_WORD])], [np.zeros(0, np.uint64)], []
+    for first, end, data, offsets in bt.slices(texts):
+        data = bt.lower(data)
+        hashes, row = word_hashes(data, offsets)
+        out, of = stream(data, offsets)
+        word, at = np.unique(hashes, return_inverse=True)
+        pair, where = np.unique(pairs_of(out, of, depth), return_inverse=True)
+        words.append(word)
+        pairs.append(pair)
+        parts.append((first, end, (word, at.astype(np.int32), row.astype(np.int32)), (pair, where.astype(np.int32), of.astype(np.int32))))
+    return np.unique(np.concatenate(words)), np.unique(np.concatenate(pairs)), parts
+
+
 def _bucket(hashed: np.ndarray, buckets: int) -> np.ndarray:
     return (((hashed >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
@@ -373,7 +400,7 @@ def _placed(to: np.ndarray, answers: pa.Table, name: str, kind) -> np.ndarray:
 def _score(depth: int, buckets: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         docs, answers = _documents(table), answers.sort_by("bucket")
-        (words, _), (pairs, _) = counted_of(docs.column("text"), _trained(docs), depth)
+        words, pairs, parts = placed_of(docs.column("text"), depth)
         counts = _placed(_bucket(words, buckets), answers, "counts", np.int64)
         logs = _placed(_bucket(bt.mix64(pairs), buckets), answers, "logs", np.float32).astype(np.float64)
         v, n = (max(answers.column(c).to_pylist()) for c in ("vocabulary", "tokens"))
@@ -381,18 +408,14 @@ def _score(depth: int, buckets: int):
         at_end, rows = int(np.searchsorted(words, END_WORD)), len(docs)
         tokens, known = np.ones(rows, np.int64), np.full(rows, int(counts[at_end] > 0))
         unigram, score, size = np.full(rows, base[at_end]), np.zeros(rows), np.zeros(rows)
-        for first, end, data, offsets in bt.slices(docs.column("text")):
-            data, many = bt.lower(data), end - first
-            hashes, row = word_hashes(data, offsets)
-            unique, at = np.unique(hashes, return_inverse=True)
-            where = np.searchsorted(words, unique)
+        for first, end, (hashes, word, row), (unique, pair, of) in parts:
+            many = end - first
+            where = np.searchsorted(words, hashes)
             tokens[first:end] += np.bincount(row, minlength=many)
-            known[first:end] += np.bincount(row, weights=(counts[where] > 0)[at], minlength=many).astype(np.int64)
-            unigram[first:end] += np.bincount(row, weights=base[where][at], minlength=many)
-            out, row = stream(data, offsets)
-            unique, at = np.unique(pairs_of(out, row, depth), return_inverse=True)
-            score[first:end] = np.bincount(row, weights=logs[np.searchsorted(pairs, unique)][at], minlength=many)
-            size[first:end] = np.bincount(row, minlength=many)
+            known[first:end] += np.bincount(row, weights=(counts[where] > 0)[word], minlength=many).astype(np.int64)
+            unigram[first:end] += np.bincount(row, weights=base[where][word], minlength=many)
+            score[first:end] = np.bincount(of, weights=logs[np.searchsorted(pairs, unique)][pair], minlength=many)
+            size[first:end] = np.bincount(of, minlength=many)
         return pa.table({
             "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(tokens),
             "n_known": pa.array(known), "train_tokens": pa.array(np.full(rows, n, np.int64)), "base_score": pa.array(unigram),

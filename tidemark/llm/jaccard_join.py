@@ -40,6 +40,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -426,12 +427,6 @@ def _sketch_payloads(batches):
             yield pa.RecordBatch.from_arrays([part.column("sid"), part.column("n"), pa.array(found, pa.binary())], ["sid", "n", "payload"])
 
 
-def _labelled(groups: DataFrame, links: DataFrame) -> DataFrame:
-    """The groups' members with ``label``, the class that the links give them."""
-    found = components(links).select(F.col("node").alias("sid"), "root")
-    return groups.join(found, "sid", "left").withColumn("label", F.coalesce("root", "sid")).drop("root")
-
-
 def _classes(docs: DataFrame, text: str, doc_id: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(id, n, sid, ...) of every row, and (sid, smallest id, root) of every set that is not empty."""
     spark = docs.sparkSession
@@ -459,23 +454,24 @@ def _classes(docs: DataFrame, text: str, doc_id: str, width: int, percent: int)
     pivots = groups.groupBy("gid").agg(F.max(F.struct("shared", "sid")).alias("top"), F.count("*").alias("size")).where("size > 1")
     placed = written(groups.join(pivots.select("gid", F.col("top.sid").alias("pivot")), "gid").where("sid <> pivot").select("gid", "sid", "pivot"), "placed")
     links = written(_stars(placed.select("pivot", "sid").distinct(), sets, percent, tasks).where("u <> v").distinct(), "links")
+    linked = written(components(links).select(F.col("node").alias("sid"), F.col("root").alias("label")), "linked")
 
     # 3. groups whose remaining members are of several classes
-    labelled = written(_labelled(placed.select("gid", "sid"), links), "labelled")
+    labelled = placed.select("gid", "sid").join(linked, "sid", "left").select("gid", "sid", F.coalesce("label", "sid").alias("label"))
     several = labelled.groupBy("gid").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("gid")
     rest = written(labelled.join(several, "gid", "left_semi"), "rest")
+    root = F.coalesce("label", "sid")
     if not rest.isEmpty():
         small = sets.join(rest.select("sid").distinct(), "sid", "left_semi").mapInArrow(_sketch_payloads, "sid long, n long, payload binary")
         maybe = components(_compare(rest, small, _may_be_linked, percent, tasks))
         near = maybe.select(F.col("node").alias("sid"), F.col("root").alias("gid")).join(rest.select("sid", "label").distinct(), "sid")
         more = _compare(written(near, "near"), sets, _linked_bytes, percent, tasks)
-        links = links.unionByName(more)
-    linked = components(links)
-    firsts = written(
-        one.select("sid", "id").join(linked.select(F.col("node").alias("sid"), "root"), "sid", "left")
-        .select("sid", "id", F.coalesce("root", "sid").alias("root")), "classes",
-    )
-    return infos, firsts
+        for end in ("u", "v"):  # links between classes
+            more = more.join(linked.withColumnRenamed("sid", end), end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
+        joined = written(components(more).select(F.col("node").alias("joined"), F.col("root").alias("top")), "joined")
+        classes = one.select("sid", "id").join(linked, "sid", "left").withColumn("joined", root).join(joined, "joined", "left")
+        return infos, written(classes.select("sid", "id", F.coalesce("top", "joined").alias("root")), "classes")
+    return infos, written(one.select("sid", "id").join(linked, "sid", "left").select("sid", "id", root.alias("root")), "classes")
 
 
 def join_components(
@@ -508,27 +504,29 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
     marks = written(counted.where("NOT _one OR n > 1").select(F.col("id").alias("_id"), F.col("sid").alias("_of"), "_one"), "marks")
     bits = docs.sparkSession.sparkContext.broadcast(bloom(marks, "_id"))
 
-    @F.pandas_udf("boolean")
-    def maybe(h):
-        import pandas as pd
-
-        return pd.Series(_in_bloom(bits.value, h.to_numpy(np.int64)))
-
-    @F.pandas_udf("long")
-    def set_of(texts):
-        import pandas as pd
-
-        found = [set_ids(counts, shingle) for _, counts, shingle, _ in document_sets(pa.array(texts, pa.string()), width)]
-        return pd.Series(np.concatenate([np.zeros(0, np.int64), *found]))
-
-    marked = docs.withColumn("_maybe", maybe(F.xxhash64(F.expr(f"try_cast(`{doc_id}` AS long)"))))
-    own = marked.where("_maybe").withColumn("_sid", set_of(text))
-    same = F.expr(f"try_cast(`{doc_id}` AS long)").eqNullSafe(F.col("_id")) & (F.col("_sid") == F.col("_of"))
-    stay = marked.where(~F.col("_maybe")).select(*docs.columns).unionByName(own.join(marks, same, "left_anti").select(*docs.columns))
+    def rows_that(may_be_meant: bool):
+        """The rows that some mark may mean, each with its set id, or the others."""
+
+        def run(batches):
+            for batch in batches:
+                maybe = _in_bloom(bits.value, batch.column("_hash").to_numpy(zero_copy_only=False))
+                part = batch.filter(pa.array(maybe == may_be_meant))
+                texts = part.column("_text") if may_be_meant else pa.nulls(0, pa.string())
+                found = [set_ids(counts, shingle) for _, counts, shingle, _ in document_sets(texts, width)]
+                own = pa.array(np.concatenate([np.zeros(0, np.int64), *found])) if may_be_meant else pa.nulls(len(part), pa.int64())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("_row", "_text", "_key")), own], ["_row", "_text", "_key", "_own"])
+
+        return rows.mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, _text string, _key long, _own long")
+
+    own_id = F.expr(f"try_cast(`{doc_id}` AS long)")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).cast("string").alias("_text"), own_id.alias("_key"), F.xxhash64(own_id).alias("_hash"))
+    meant = rows_that(True)
+    same = F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_of"))
+    stay = rows_that(False).select("_row.*").unionByName(meant.join(marks, same, "left_anti").select("_row.*"))
     repeated = marks.where("_one")
     if not repeated.isEmpty():
-        row = F.min_by(F.struct(*docs.columns), F.col(text)).alias("row")
-        stay = stay.unionByName(own.join(repeated, same).groupBy("_id", "_sid").agg(row).select("row.*"))
+        row = F.min_by("_row", "_text").alias("row")
+        stay = stay.unionByName(meant.join(repeated, same).groupBy("_id", "_own").agg(row).select("row.*"))
     return stay
 
 

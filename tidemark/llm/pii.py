@@ -22,7 +22,6 @@ import hashlib
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -306,14 +305,15 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     candidates = written(docs.select(F.lit(0).alias("doc_id"), F.col(text)).mapInArrow(_search, f"doc_id int, spans array<{SPAN}>").where("size(spans) > 0"), "candidates")
     model = docs.sparkSession.sparkContext.broadcast(train(candidates))
 
-    @F.pandas_udf("string")
-    def masked(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: None if t is None else mask(t, accepted(spans_of(t), model.value)), na_action="ignore")
+    def masked(batches):
+        for batch in batches:
+            texts = [None if t is None else mask(t, accepted(spans_of(t), model.value)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["_row", "_masked"])
 
-    found = docs.withColumn(text, masked(F.col(text)))
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.length(text).cast("long"))
-    return found.select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text))
+    found = rows.mapInArrow(masked, f"_row {rows.schema['_row'].dataType.simpleString()}, _masked string")
+    new = {text: F.col("_masked"), "n_chars": F.length("_masked").cast("long")}
+    return found.select(*[new[c].alias(c) if c in new else F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def op7_pii(spark, sf_dir):

@@ -37,10 +37,10 @@ from tidemark.llm.shared import small_batches
 
 GIANT = 65_536
 CHUNK = 16_384
-SLICE = 1_000_000  # characters encoded together
+SLICE = 500_000  # characters encoded together
 BATCH_ROWS = 1_000  # rows that Spark hands over at once: texts may be long
 MARK = "▁"
-KEPT = 400_000  # distinct stretches that a process keeps
+KEPT = 200_000  # distinct stretches that a process keeps
 LONG = 64  # stretches above this many characters are encoded one at a time
 
 
