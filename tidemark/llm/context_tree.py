@@ -55,7 +55,7 @@ _TABLE = {more: log_gamma(np.arange(_SMALL) + more) for more in (0.5, 1.0)}
 def _log_gamma_of(count: np.ndarray, more: float) -> np.ndarray:
     """log_gamma(count + more) of whole numbers; most are small."""
     found = _TABLE[more][np.minimum(count, _SMALL - 1).astype(np.int64)]
-    large = np.flatnonzero(count >= _SMALL)
+    large = count >= _SMALL
     found[large] = log_gamma(count[large] + more)
     return found
 
