@@ -122,13 +122,14 @@ def best_window(gapless: DataFrame, k: int) -> DataFrame:
     return top.select("entity", F.col("hour").alias("start"), F.col("ahead").alias("total"))
 
 
-def deaccumulated(gapless: DataFrame, least: int = 3) -> DataFrame:
-    """Running totals turned into increments inside non-falling runs of at least ``least`` rows, from 0 at a run's start."""
+def deaccumulated(gapless: DataFrame, least: int = 3, reach: float = 0.0) -> DataFrame:
+    """Running totals turned into increments inside non-falling runs of at least ``least`` rows that reach ``reach``."""
     falls = F.coalesce(F.col("value") < F.lag("value").over(ordered()), F.lit(True))
     runs = gapless.where("value IS NOT NULL").withColumn("_run", F.sum(falls.cast("int")).over(ordered()))
     size = F.count("*").over(Window.partitionBy("entity", "_run"))
     step = F.greatest(F.col("value") - F.lag("value").over(Window.partitionBy("entity", "_run").orderBy("hour")), F.lit(0.0))
-    return runs.withColumn("increment", F.when(size >= least, step).otherwise(F.col("value"))).drop("_run")
+    total = (size >= least) & (F.max("value").over(Window.partitionBy("entity", "_run")) >= reach)
+    return runs.withColumn("increment", F.when(total, step).otherwise(F.col("value"))).drop("_run")
 
 
 def coverage(series: DataFrame) -> DataFrame:
@@ -192,6 +193,23 @@ def never_rising(df: DataFrame, group: str, order: str, value: str) -> DataFrame
     return df.select(group, order, value).where(F.col(value).isNotNull()).groupBy(group).applyInPandas(fit, schema)
 
 
+def between_knots(points: DataFrame, knots: DataFrame, group: str) -> DataFrame:
+    """Points (..., group, x) with ``y`` on the line between the knots (group, x, y) around them; the outer lines go on beyond the ends."""
+    w = Window.partitionBy(group).orderBy("x")
+    here, after, before = F.struct("x", "y"), F.lead(F.struct("x", "y")).over(w), F.lag(F.struct("x", "y")).over(w)
+    lines = knots.select(group, "x", here.alias("_here"), after.alias("_after"), before.alias("_before"))
+    line = F.when(F.col("_after").isNotNull(), F.struct(F.col("_here").alias("a"), F.col("_after").alias("b"))).otherwise(F.struct(F.col("_before").alias("a"), F.col("_here").alias("b")))
+    lines = lines.select(group, "x", line.alias("_line"), F.lit(0).alias("_side"))
+    both = points.withColumn("_side", F.lit(1)).unionByName(lines, allowMissingColumns=True)
+    sorted_ = Window.partitionBy(group).orderBy("x", "_side")
+    last = F.last("_line", ignorenulls=True).over(sorted_.rowsBetween(Window.unboundedPreceding, 0))
+    first = F.first("_line", ignorenulls=True).over(sorted_.rowsBetween(0, Window.unboundedFollowing))
+    found = both.withColumn("_on", F.coalesce(last, first)).where("_side = 1")
+    a, b = F.col("_on.a"), F.col("_on.b")
+    slope = (b["y"] - a["y"]) / (b["x"] - a["x"])
+    return found.withColumn("y", a["y"] + slope * (F.col("x") - a["x"])).drop("_on", "_line", "_side")
+
+
 def season_start(day: Column | str, month: int = 10) -> Column:
     """The year in which the season of a day began; seasons start in ``month``."""
     day = F.col(day) if isinstance(day, str) else day

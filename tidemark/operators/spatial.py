@@ -94,6 +94,34 @@ def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, k: int,
         km = 2 * km
 
 
+def spaced(places: DataFrame, key: str, weight: str, km: float) -> DataFrame:
+    """Places picked heaviest first (ties by key), none within km of one picked before.
+
+    In rounds: a place without a heavier one left within km is picked and takes its neighbours out. That gives the same
+    picks as going through the places one by one.
+    """
+    order = lambda end: F.struct(F.col(f"{weight}{end}").alias("w"), (-F.col(f"{key}{end}")).alias("k"))
+    near = written(within(places, places, km).where(f"{key} <> {key}_r").select(key, f"{key}_r", (order("_r") > order("")).alias("heavier")), "near")
+    left, picked = places, None
+    while not left.isEmpty():
+        pairs = near.join(left.select(key), key, "left_semi").join(left.select(F.col(key).alias(f"{key}_r")), f"{key}_r", "left_semi")
+        top = written(left.join(pairs.where("heavier").select(key), key, "left_anti"), "picked")
+        picked = top if picked is None else picked.unionByName(top)
+        gone = pairs.join(top.select(F.col(key).alias(f"{key}_r")), f"{key}_r", "left_semi").select(key).union(top.select(key))
+        left = written(left.join(gone, key, "left_anti"), "left")
+    return places.limit(0) if picked is None else picked
+
+
+def bilinear(points: DataFrame, cells: DataFrame) -> DataFrame:
+    """Points (..., x, y) with ``value`` between the known ones of the four cells (row, col, value) around them; without any, no row."""
+    low_x, low_y = F.floor("x"), F.floor("y")
+    corners = F.array(*[F.struct((low_x + i).alias("col"), (low_y + j).alias("row")) for i in (0, 1) for j in (0, 1)])
+    wide = points.withColumn("_c", F.explode(corners)).withColumn("col", F.col("_c.col")).withColumn("row", F.col("_c.row")).drop("_c")
+    share = (1 - F.abs(F.col("x") - F.col("col"))) * (1 - F.abs(F.col("y") - F.col("row")))
+    known = wide.join(cells.where("value IS NOT NULL"), ["row", "col"]).withColumn("_w", share)
+    return known.groupBy(*points.columns).agg((F.sum(F.col("_w") * F.col("value")) / F.sum("_w")).alias("value"), F.sum("_w").alias("_w")).where("_w > 0").drop("_w")
+
+
 def inside(x: Column, y: Column, ring: Column) -> Column:
     """Ray casting: whether a point lies in a ring, an array of (x, y) structs without a repeated end."""
     n = F.size(ring)

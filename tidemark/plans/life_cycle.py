@@ -155,3 +155,10 @@ def alarm_life_cycle(spark, sf_dir):
     """Raised and cleared events of each series, with confirmation, margin and hold."""
     rows = _hourly(spark, sf_dir).withColumnRenamed("hour", "ts")
     return alarms.alarms(rows, alarms.Rule(limit=30.0, margin=10.0, confirm=2, hold=6 * 3600))
+
+
+@query()
+def alarm_decisions(spark, sf_dir):
+    """What each series would propose, publish, hold back and clear."""
+    rows = _hourly(spark, sf_dir).withColumnRenamed("hour", "ts")
+    return alarms.decisions(rows, alarms.Decision(limits=(60.0, 90.0, 120.0), margin=20.0, spike=60.0, quiet=(22, 5)))

@@ -75,7 +75,7 @@ def best_six_hours(spark, sf_dir):
 
 
 def deaccumulate(spark, sf_dir):
-    return _rounded(s.deaccumulated(_gapless(spark, sf_dir)), "value", "increment")
+    return _rounded(s.deaccumulated(_gapless(spark, sf_dir), reach=60.0), "value", "increment")
 
 
 def record_coverage(spark, sf_dir):
@@ -165,8 +165,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY ahead DESC, hour
 SELECT entity, hour AS start, round(ahead, 7) AS total FROM r WHERE r = 1""",
     "deaccumulate": f"""WITH {_G}, b AS (SELECT *, CASE WHEN value < lag(value) OVER {_W}) OR lag(value) OVER {_W}) IS NULL THEN 1 ELSE 0 END AS brk FROM g WHERE value IS NOT NULL),
 r AS (SELECT *, sum(brk) OVER {_W}) AS run FROM b),
-n AS (SELECT *, count(*) OVER (PARTITION BY entity, run) AS n, value - lag(value) OVER (PARTITION BY entity, run ORDER BY hour) AS step FROM r)
-SELECT entity, hour, round(value, 7) AS value, round(CASE WHEN n >= 3 THEN greatest(step, 0.0) ELSE value END, 7) AS increment FROM n""",
+n AS (SELECT *, count(*) OVER (PARTITION BY entity, run) AS n, max(value) OVER (PARTITION BY entity, run) AS top, value - lag(value) OVER (PARTITION BY entity, run ORDER BY hour) AS step FROM r)
+SELECT entity, hour, round(value, 7) AS value, round(CASE WHEN n >= 3 AND top >= 60 THEN greatest(step, 0.0) ELSE value END, 7) AS increment FROM n""",
     "record_coverage": f"""WITH {_H}, s AS (SELECT *, epoch(hour) - epoch(lag(hour) OVER {_W})) AS step FROM h), m AS (SELECT entity, median(step) AS median_step FROM s GROUP BY 1)
 SELECT entity, median_step, min(hour) AS first, max(hour) AS last, count(*) AS n_rows, count(*) FILTER (step > 3 * median_step) AS n_gaps
 FROM s JOIN m USING (entity) GROUP BY ALL""",

@@ -5,6 +5,8 @@ An archive is a Parquet folder partitioned by variable and month, columns (entit
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,22 +28,31 @@ def read_series(spark: SparkSession, path: str, variable: str, start: str, end:
     return rows if entities is None else rows.where(F.col("entity").isin(entities))
 
 
-def merge_archive(new: DataFrame, path: str) -> None:
-    """New rows merged into the partitions they touch; of equal (entity, variable, ts) the new row stays, repeats change nothing.
+def merge_archive(new: DataFrame, path: str, keys: tuple[str, ...] = ("entity", "variable", "ts"), newest: Column | None = None) -> int:
+    """New rows merged into the partitions that they change; of rows with equal keys a new one stays. Returns how many partitions changed.
 
-    Old partitions are read whole before the overwrite, so they are first written to a folder beside the archive.
+    Of equal new rows the one with the largest ``newest`` stays, by default the largest value. Partitions in which the new rows
+    say nothing new are left alone, so repeats change nothing. Changed partitions are first written whole to a folder of
+    their own beside the archive, a new one each time.
     """
     spark = new.sparkSession
     fresh = with_month(new)
-    touched = fresh.select(*PARTITIONS).distinct()
+    last = Window.partitionBy(*keys).orderBy((F.col("value") if newest is None else newest).desc_nulls_last())
+    fresh = fresh.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
     old = spark.read.parquet(path).withColumn("month", F.col("month").cast("string"))
-    both = old.join(touched, list(PARTITIONS), "left_semi").withColumn("_age", F.lit(1)).unionByName(fresh.withColumn("_age", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy("entity", "variable", "ts").orderBy("_age", F.col("value").desc_nulls_last())
-    kept = both.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_age")
-    aside = f"{path.rstrip('/')}_merging"
-    kept.write.mode("overwrite").partitionBy(*PARTITIONS).parquet(aside)
-    staged = spark.read.parquet(aside).withColumn("month", F.col("month").cast("string"))
-    staged.select(*old.columns).repartition(*PARTITIONS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
+    columns = [c for c in old.columns if c in fresh.columns]
+    there = old.join(fresh.select(*PARTITIONS).distinct(), list(PARTITIONS), "left_semi")
+    news = fresh.select(*columns).exceptAll(there.select(*columns))
+    touched = news.select(*PARTITIONS).distinct()
+    fresh = fresh.join(touched, list(PARTITIONS), "left_semi")
+    kept = old.join(touched, list(PARTITIONS), "left_semi").join(fresh.select(*keys), list(keys), "left_anti").unionByName(fresh, allowMissingColumns=True)
+    aside = f"{path.rstrip('/')}_merging_{uuid.uuid4().hex}"
+    kept.write.partitionBy(*PARTITIONS).parquet(aside)
+    staged = spark.read.schema(kept.schema).parquet(aside)
+    changed = staged.select(*PARTITIONS).distinct().count()
+    if changed:
+        staged.select(*kept.columns).repartition(*PARTITIONS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
+    return changed
 
 
 LEVELS = "result string, data struct<graph_data: array<struct<datetime: string, value: string>>>"
@@ -57,6 +68,61 @@ def level_payload(raw: DataFrame, body: str, entity: str, variable: str = "water
     return rows.where("ts IS NOT NULL AND value IS NOT NULL")
 
 
+RAIN = "data array<struct<rainfall_datetime: string, rain_24h: string, rain_1h: string>>"
+DAM = "data array<struct<dam_date: string, dam_inflow: string, dam_released: string, dam_spilled: string, dam_storage: string>>"
+
+
+def _measured(points: DataFrame, ts: str, units: dict[str, tuple[str, str]]) -> DataFrame:
+    """One tidy row for each named field of the structs ``p`` that is a number: field -> (variable, unit)."""
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), F.expr(f"try_cast(p.{f} AS double)").alias("value"), F.lit(u).alias("unit")) for f, (v, u) in units.items()])).alias("m")
+    rows = points.select("entity", F.expr(f"try_cast(p.{ts} AS timestamp)").alias("ts"), each).select("entity", "m.variable", "ts", "m.value", "m.unit")
+    return rows.where("ts IS NOT NULL AND value IS NOT NULL")
+
+
+def rain_payload(raw: DataFrame, body: str, entity: str) -> DataFrame:
+    """Tidy rows of rain payloads, by hour and by day."""
+    points = raw.select(F.col(entity).alias("entity"), F.explode(F.from_json(body, RAIN).getField("data")).alias("p"))
+    return _measured(points, "rainfall_datetime", {"rain_1h": ("rain_1h", "mm"), "rain_24h": ("rain_24h", "mm")})
+
+
+def dam_payload(raw: DataFrame, body: str, entity: str) -> DataFrame:
+    """Tidy rows of dam payloads: what flows in, is released, spills and is stored."""
+    points = raw.select(F.col(entity).alias("entity"), F.explode(F.from_json(body, DAM).getField("data")).alias("p"))
+    return _measured(points, "dam_date", {f"dam_{c}": (c, "mcm") for c in ("inflow", "released", "spilled", "storage")})
+
+
+def grid_text(lines: DataFrame, lons: list[float], lats: list[float]) -> DataFrame:
+    """(start, mean) of a text of grids: a header line with ``cpt:T=`` begins a grid, then a line of longitudes, then a line for each
+    latitude; the mean is over the chosen cells that have a value.
+
+    ``lines`` is (file, no, value), the lines of each file by number.
+    """
+    order = Window.partitionBy("file").orderBy("no")
+    header = F.regexp_extract("value", r"cpt:T=([0-9-]+)", 1)
+    fill = lambda c: F.last(c, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = lines.withColumn("_start", fill(F.when(header != "", header))).withColumn("_cells", F.split(F.col("value"), "\\t"))
+    rows = rows.withColumn("_longitudes", F.coalesce(F.lag(header != "").over(order), F.lit(False)))
+    rows = rows.withColumn("_lons", fill(F.when(F.col("_longitudes"), F.col("_cells")))).where(~F.col("_longitudes") & (header == "") & F.col("_start").isNotNull())
+    cells = rows.select("file", "_start", F.get("_cells", F.lit(0)).try_cast("double").alias("lat"), F.posexplode("_cells").alias("at", "cell"), "_lons").where("at > 0")
+    cells = cells.withColumn("lon", F.get("_lons", F.col("at")).try_cast("double")).withColumn("v", F.col("cell").try_cast("double"))
+    return cells.where(F.col("lon").isin(lons) & F.col("lat").isin(lats) & (F.col("v") > -999)).groupBy("file", F.col("_start").alias("start")).agg(F.avg("v").alias("mean"))
+
+
+def index_text(lines: DataFrame, value: str = "value") -> DataFrame:
+    """(season, year, total, anomaly) of a text of seasonal index values; other lines are left out."""
+    parts = F.split(F.trim(F.col(value)), r"\s+")
+    rows = lines.where(F.trim(F.col(value)).rlike(r"^[A-Z]{3}\s+[0-9]{4}\s+-?[0-9.]+\s+-?[0-9.]+$"))
+    return rows.select(parts[0].alias("season"), parts[1].cast("int").alias("year"), parts[2].cast("double").alias("total"), parts[3].cast("double").alias("anomaly"))
+
+
+def replayed(rows: DataFrame, ts: str, begin: Column, speed: float) -> DataFrame:
+    """Archive rows with ``due``, when they come up if the archive is replayed from ``begin`` on at so many times its speed."""
+    first = rows.agg(F.min(ts).alias("_first"))
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    due = micros(begin) + (micros(F.col(ts)) - micros(F.col("_first"))) / speed
+    return rows.join(F.broadcast(first), F.lit(True)).withColumn("due", F.timestamp_micros(F.round(due).cast("long"))).drop("_first")
+
+
 def zipped(df: DataFrame, times: str, values: str, *keep: str) -> DataFrame:
     """Parallel arrays as rows; a missing partner is NULL."""
     pairs = F.explode(F.arrays_zip(F.col(times).alias("ts"), F.col(values).alias("value"))).alias("x")
@@ -73,7 +139,9 @@ def with_previous(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
 def write_csv(df: DataFrame, path: str) -> None:
     from tidemark.operators.relational import guarded_csv
 
-    guarded_csv(df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    safe = guarded_csv(df)
+    # spreadsheets take a file for UTF-8 by its byte-order mark, here before the first column's name
+    safe.toDF("\ufeff" + safe.columns[0], *safe.columns[1:]).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_raw(df: DataFrame, column: str, path: str) -> None:
@@ -88,6 +156,11 @@ def as_feature(lon: Column, lat: Column, *properties: str) -> Column:
 
 
 def xml_rows(df: DataFrame, body: str, path: str, fields: dict[str, str]) -> DataFrame:
-    """One row for each node at a path of an XML text, with fields by name of the child element."""
-    lists = [F.xpath(F.col(body), F.lit(f"{path}/{tag}/text()")).alias(name) for name, tag in fields.items()]
-    return df.select(F.explode(F.arrays_zip(*lists)).alias("x")).select("x.*")
+    """One row for each node at a path like /root/list/node of an XML text, with fields by name of the child element; NULL without it."""
+    _, *above, node = path.strip("/").split("/")
+    kind = f"{node}: array<struct<{', '.join(f'{tag}: string' for tag in fields.values())}>>"
+    for name in reversed(above):
+        kind = f"{name}: struct<{kind}>"
+    parsed = df.select(F.from_xml(F.col(body), f"struct<{kind}>").alias("_x"))
+    rows = parsed.select(F.explode(F.col(".".join(["_x", *above, node]))).alias("n"))
+    return rows.select(*[F.col(f"n.{tag}").alias(name) for name, tag in fields.items()])

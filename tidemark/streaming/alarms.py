@@ -99,14 +99,133 @@ def alarm_stream(readings: DataFrame, rule: Rule) -> DataFrame:
     return typed.groupBy("entity").applyInPandasWithState(run, EVENTS, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def upsert_batches(path: str, *keys: str):
-    """For foreachBatch: each batch's last row of a key replaces what the table at ``path`` holds for it."""
+def upsert_batches(path: str, *keys: str, newest: str = "value"):
+    """For foreachBatch: each batch's row of a key with the largest ``newest`` replaces what the archive at ``path`` holds for it."""
+    from pyspark.errors import AnalysisException
+    from pyspark.sql import Window
+
     from tidemark.sources import archive
 
     def merge(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-        (archive.merge_archive if there else archive.write_archive)(batch.dropDuplicates(list(keys)), path)
+        last = Window.partitionBy(*keys).orderBy(F.col(newest).desc_nulls_last())
+        one = batch.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
+        try:
+            batch.sparkSession.read.parquet(path)
+        except AnalysisException:  # the first batch
+            archive.write_archive(one, path)
+        else:
+            archive.merge_archive(one, path, keys, F.col(newest))
 
     return merge
+
+
+# The decision machine: what a gauge proposes, what goes out at once, what waits, and what comes back.
+
+DECISIONS = "entity string, ts timestamp, event string, level int, value double"
+DECISION_STATE = "level int, since double, pending int, deadline double, low int, last double, last_ts double"
+
+
+@dataclass(frozen=True)
+class Decision:
+    """``limits`` rise with the level, 1 first. A reading whose step an hour is over ``spike`` is suspect and waits ``wait`` seconds.
+
+    Between the hours ``quiet`` (local, from and to) only the highest level goes out; the others wait for the end. Below the
+    lowest limit by ``margin`` for ``confirm`` readings, and ``hold`` seconds after it went out, an alarm is over.
+    """
+
+    limits: tuple[float, ...]
+    margin: float
+    spike: float = float("inf")
+    wait: float = 1800.0
+    quiet: tuple[int, int] | None = None
+    confirm: int = 3
+    hold: float = 6 * 3600.0
+    offset_hours: int = 7
+
+    def quiet_until(self, seconds: float) -> float | None:
+        """When the quiet hours end, if it is quiet now."""
+        if self.quiet is None:
+            return None
+        start, end = self.quiet
+        hour = ((seconds + self.offset_hours * 3600) % 86400) / 3600
+        inside = start <= hour < end if start < end else hour >= start or hour < end
+        return seconds + ((end - hour) % 24) * 3600 if inside else None
+
+
+NO_DECISION = (0, 0.0, 0, 0.0, 0, float("nan"), float("nan"))
+
+
+def decide(rule: Decision, state: tuple, rows: Iterator[tuple]) -> tuple[tuple, list[tuple]]:
+    """(new state, events) after readings (ts, value) in order of time.
+
+    Events: pending (waits for its deadline), replaced (a higher proposal took a waiting one's place), published (at once or, where it
+    was still so at the deadline), superseded (a higher level took an alarm's place), lapsed (not so any more at the deadline),
+    cleared. Lower levels never take the place of higher ones.
+    """
+    level, since, pending, deadline, low, last, last_ts = state
+    events = []
+    for ts, value in rows:
+        if value is None or value != value:
+            low = 0
+            continue
+        now = ts.timestamp()
+        hours = max((now - last_ts) / 3600, 1.0) if last_ts == last_ts else 1.0
+        suspect = last == last and abs(value - last) / hours > rule.spike
+        last, last_ts = value, now
+        found = sum(value >= x for x in rule.limits)
+
+        def publish(to: int) -> None:
+            nonlocal level, since, pending, low
+            if level:
+                events.append((ts, "superseded", level, value))  # noqa: B023
+            level, since, pending, low = to, now, 0, 0  # noqa: B023
+            events.append((ts, "published", to, value))  # noqa: B023
+
+        if pending and now >= deadline:
+            if found >= pending and found > level:
+                publish(found)
+            else:
+                events.append((ts, "lapsed", pending, value))
+                pending = 0
+        if found > level and found > pending:
+            until = rule.quiet_until(now) if found < len(rule.limits) else None
+            if suspect or until is not None:
+                if pending:
+                    events.append((ts, "replaced", pending, value))
+                pending, deadline = found, max(now + rule.wait if suspect else now, until or 0.0)
+                events.append((ts, "pending", found, value))
+            else:
+                publish(found)
+        elif pending and found >= pending and not suspect and rule.quiet_until(now) is None:
+            publish(found)
+        low = low + 1 if value < rule.limits[0] - rule.margin else 0
+        if level and low >= rule.confirm and now - since >= rule.hold:
+            events.append((ts, "cleared", level, value))
+            level, since, low = 0, now, 0
+    return (level, since, pending, deadline, low, last, last_ts), events
+
+
+def decisions(readings: DataFrame, rule: Decision) -> DataFrame:
+    """Decision events of a table (entity, ts, value); one entity's readings are one task's work, read in order."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["ts", "value"])
+        _, events = decide(rule, NO_DECISION, zip(frame["ts"], frame["value"], strict=True))
+        return pd.DataFrame([(frame["entity"].iloc[0], *e) for e in events], columns=["entity", "ts", "event", "level", "value"])
+
+    typed = readings.select(F.col("entity").cast("string").alias("entity"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"))
+    return typed.groupBy("entity").applyInPandas(run, DECISIONS)
+
+
+def decision_stream(readings: DataFrame, rule: Decision) -> DataFrame:
+    """The same over a stream; each entity keeps seven numbers of state."""
+
+    def run(key, frames, state: GroupState):
+        known = tuple(state.get) if state.exists else NO_DECISION
+        rows = pd.concat(list(frames)).sort_values(["ts", "value"])
+        known, events = decide(rule, known, zip(rows["ts"], rows["value"], strict=True))
+        state.update(known)
+        yield pd.DataFrame([(key[0], *e) for e in events], columns=["entity", "ts", "event", "level", "value"])
+
+    typed = readings.select(F.col("entity").cast("string").alias("entity"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"))
+    return typed.groupBy("entity").applyInPandasWithState(run, DECISIONS, DECISION_STATE, "append", GroupStateTimeout.NoTimeout)
