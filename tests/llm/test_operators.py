@@ -416,6 +416,29 @@ def test_transfer_products_are_associative():
     assert c(c(m[0], m[1]), m[2]) == c(m[0], c(m[1], m[2]))
 
 
+def test_giants_with_many_chunks_and_clashing_names(spark):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_scan.model_path())
+    rng = np.random.default_rng(4)
+    words = ["inging", "the", "of", "ab" * 50, "x", "é", "漢字", "▁"]
+    texts = [" ".join(rng.choice(words, n)) for n in (40, 333, 1500)] + ["abc" * 3000, " " * 700, "e" * 129]
+    df = spark.createDataFrame([(t, [1], "k", 0) for t in texts * 2], "text string, ids array<int>, key string, no int")
+    for r in sentencepiece_scan.encode(df, giant=64, chunk=64, check=True).collect():
+        assert r.ids == library.encode(r.text) and r.round_trip and (r.key, r.no) == ("k", 0)
+
+
+def test_what_a_process_keeps_is_bounded(monkeypatch):
+    monkeypatch.setattr(sentencepiece_scan, "KNOWN", 50)
+    v = sentencepiece_scan.Pieces(sentencepiece_scan.model_path())
+    rng = np.random.default_rng(1)
+    plain = np.array(sorted(v.id.values()))
+    for _ in range(5):
+        a, b = rng.choice(plain, 40), rng.choice(plain, 40)
+        wanted = [v.merge(v.text[x] + v.text[y]) == [v.text[x], v.text[y]] for x, y in zip(a, b, strict=True)]
+        assert v.leaves_apart(a, b).tolist() == wanted and len(v.known) <= 50 + 40
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert jaccard_join.join_components(docs).count() == 0

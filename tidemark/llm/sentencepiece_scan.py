@@ -9,15 +9,17 @@ No piece crosses a space that follows another character, nor a character outside
 there the lattice has one state. Documents up to ``GIANT`` characters are encoded whole, all their distinct
 stretches at once in arrays. Longer ones are cut into chunks of ``CHUNK`` characters wherever that falls. A chunk's
 boundary state is the piece that covers the cut (its id and how far it reaches past it); every chunk gives the matrix
-of finite transfers from the states at its start to those at its end; matrices are combined associatively along the
-document, and then each chunk walks back by itself between the states that were found for its two ends.
+of finite transfers from the states at its start to those at its end. Neighbouring matrices are multiplied in rounds, two
+and two, until a document has one; its path is chosen there and handed down the same rounds as the states at each chunk's
+two ends, and then each chunk walks back by itself. No task holds more than two matrices of a document at once.
 
 Decoding joins the pieces, turns byte pieces into UTF-8 (invalid bytes into U+FFFD), the mark into spaces, and drops
 the leading space. It gives the text back exactly unless the text contains the mark U+2581 itself, which reads as a
 space.
 
 Defined cases: a null text counts as empty; an empty text has no ids; a null id passes through; repeated rows are
-encoded alike; other columns pass through ``encode``; an empty table gives an empty result.
+encoded alike; other columns pass through ``encode``, and an input column with the name of an added one is replaced; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bytetext as bt
-from tidemark.llm.shared import small_batches
+from tidemark.llm.shared import small_batches, written
 
 GIANT = 65_536
 CHUNK = 16_384
@@ -41,6 +43,7 @@ SLICE = 500_000  # characters encoded together
 BATCH_ROWS = 1_000  # rows that Spark hands over at once: texts may be long
 MARK = "▁"
 KEPT = 200_000  # distinct stretches that a process keeps
+KNOWN = 1_000_000  # pairs of pieces that a process keeps
 LONG = 64  # stretches above this many characters are encoded one at a time
 
 
@@ -113,6 +116,8 @@ class Pieces:
         at = np.searchsorted(self.known, code)
         new = np.ones(len(code), bool) if not len(self.known) else self.known[np.minimum(at, len(self.known) - 1)] != code
         if new.any():
+            if len(self.known) > KNOWN:  # start anew, which costs time only
+                self.known, self.apart, new = np.zeros(0, np.int64), np.zeros(0, bool), np.ones(len(code), bool)
             missing, fresh = np.sort(code[new]), []
             missing = missing[np.append(True, missing[1:] != missing[:-1])]
             for c in missing.tolist():
@@ -406,17 +411,10 @@ def combine(one: list[tuple[State, State]], two: list[tuple[State, State]]) -> l
     return sorted({(a, c) for a, b in one for c in onward.get(b, ())})
 
 
-def boundary_states(matrices: list[list[tuple[State, State]]]) -> list[State]:
-    """The state at each boundary on the one finite path: products from the left, then a choice from the right."""
-    upto = [matrices[0]]
-    for m in matrices[1:]:
-        upto.append(combine([((0, -1), b) for b in {b for _, b in upto[-1]}], m))
-    final = next(b for _, b in upto[-1] if b[0] == 0)
-    states = [final]
-    for i in range(len(matrices) - 1, 0, -1):
-        reachable = {b for _, b in upto[i - 1]}
-        states.append(next(a for a, b in matrices[i] if b == states[-1] and a in reachable))
-    return [(0, -1), *states[::-1]]
+def middle(one: list[tuple[State, State]], two: list[tuple[State, State]], a: State, b: State) -> State:
+    """The state between two neighbours on the one finite path from a to b."""
+    ends = {y for x, y in one if x == a}
+    return next(x for x, y in two if y == b and x in ends)
 
 
 def chunks_of(text: str, v: Pieces, chunk: int = CHUNK):
@@ -481,38 +479,96 @@ def _cut(path: str, chunk: int):
     return run
 
 
+MATRIX = f"array<struct<a:{STATE},b:{STATE}>>"
+_STATE = pa.struct([("reach", pa.int32()), ("piece", pa.int32())])
+_MATRIX = pa.list_(pa.struct([("a", _STATE), ("b", _STATE)]))
+
+
+def _as_rows(m: list[tuple[State, State]]) -> list[dict]:
+    return [{"a": {"reach": a[0], "piece": a[1]}, "b": {"reach": b[0], "piece": b[1]}} for a, b in m]
+
+
+def _as_pairs(rows: list[dict]) -> list[tuple[State, State]]:
+    return [((x["a"]["reach"], x["a"]["piece"]), (x["b"]["reach"], x["b"]["piece"])) for x in rows]
+
+
 def _states(path: str):
-    @F.pandas_udf(f"array<struct<a:{STATE},b:{STATE}>>")
-    def transfers(left: pd.Series, body: pd.Series, right: pd.Series) -> pd.Series:
+    """(key, no, m): the transfer matrix of each chunk."""
+
+    def run(batches):
         v = pieces(path)
-        one = lambda m: [{"a": {"reach": a[0], "piece": a[1]}, "b": {"reach": b[0], "piece": b[1]}} for a, b in m]
-        return pd.Series([one(Chunk(v, *x).transfers()) for x in zip(left, body, right, strict=True)])
+        for batch in batches:
+            found = [_as_rows(Chunk(v, *x).transfers()) for x in zip(*(batch.column(c).to_pylist() for c in ("left", "body", "right")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("no"), pa.array(found, _MATRIX)], ["key", "no", "m"])
+
+    return run
 
-    return transfers
 
+def _multiplied(batches):
+    """(key, no, m, kids): the product of one or two neighbours, which stay beside it."""
+    for batch in batches:
+        kids = batch.column("kids")
+        found = []
+        for pair in kids.to_pylist():
+            m = [_as_pairs(x["m"]) for x in pair]
+            found.append(_as_rows(combine(*m) if len(m) == 2 else m[0]))
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("no"), pa.array(found, _MATRIX), kids], ["key", "no", "m", "kids"])
 
-def _solve(frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.sort_values("no")
-    state = lambda s: (int(s["reach"]), int(s["piece"]))
-    matrices = [[(state(x["a"]), state(x["b"])) for x in m] for m in frame["transfers"]]
-    found = boundary_states(matrices)
-    return pd.DataFrame({
-        "key": frame["key"], "no": frame["no"], "a_reach": [s[0] for s in found[:-1]], "a_piece": [s[1] for s in found[:-1]],
-        "b_reach": [s[0] for s in found[1:]], "b_piece": [s[1] for s in found[1:]],
-    })
+
+def _chosen(batches):
+    """(key, no, a, b) of each whole document: from the start of the text to the state that does not reach past its end."""
+    for batch in batches:
+        ends = [next(b for a, b in _as_pairs(m) if a == (0, -1) and b[0] == 0) for m in batch.column("m").to_pylist()]
+        a = pa.array([{"reach": 0, "piece": -1}] * len(batch), _STATE)
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("no"), a, pa.array([{"reach": r, "piece": p} for r, p in ends], _STATE)], ["key", "no", "a", "b"])
+
+
+def _handed_down(batches):
+    """(key, no, a, b) of the neighbours that a product was made of."""
+    state = lambda x: (x["reach"], x["piece"])
+    for batch in batches:
+        out = []
+        for key, a, b, kids in zip(*(batch.column(c).to_pylist() for c in ("key", "a", "b", "kids")), strict=True):
+            if len(kids) == 1:
+                out.append((key, kids[0]["no"], a, b))
+            else:
+                reach, piece = middle(_as_pairs(kids[0]["m"]), _as_pairs(kids[1]["m"]), state(a), state(b))
+                between = {"reach": reach, "piece": piece}
+                out += [(key, kids[0]["no"], a, between), (key, kids[1]["no"], between, b)]
+        kinds = (pa.string(), pa.int32(), _STATE, _STATE)
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["key", "no", "a", "b"])
+
+
+def _ends(parts: DataFrame, path: str) -> DataFrame:
+    """(key, no, a, b): the states at both ends of every chunk, by products of matrices in rounds of neighbours and back."""
+    level = written(parts.mapInArrow(_states(path), f"key string, no int, m {MATRIX}"), "transfers")
+    most = level.agg(F.max("no")).first()[0] or 0
+    products = []
+    for _ in range(int(most).bit_length()):
+        pairs = level.groupBy("key", F.expr("no DIV 2").cast("int").alias("no")).agg(F.array_sort(F.collect_list(F.struct("no", "m")), lambda x, y: x["no"] - y["no"]).alias("kids"))
+        level = written(pairs.mapInArrow(_multiplied, f"key string, no int, m {MATRIX}, kids array<struct<no:int,m:{MATRIX}>>"), "transfers")
+        products.append(level.select("key", "no", "kids"))
+    found = level.select("key", "no", "m").mapInArrow(_chosen, f"key string, no int, a {STATE}, b {STATE}")
+    for kids in reversed(products):
+        found = found.join(kids, ["key", "no"]).mapInArrow(_handed_down, f"key string, no int, a {STATE}, b {STATE}")
+    return found
 
 
 def _backtrace(path: str):
-    @F.pandas_udf("array<int>")
-    def back(left: pd.Series, body: pd.Series, right: pd.Series, a_reach: pd.Series, a_piece: pd.Series, b_reach: pd.Series, b_piece: pd.Series) -> pd.Series:
+    """(key, no, ids): each chunk's own walk between the states at its ends."""
+
+    def run(batches):
         v = pieces(path)
         encoder = encoder_of(path)
-        return pd.Series([
-            Chunk(v, x[0], x[1], x[2]).between((x[3], x[4]), (x[5], x[6]), encoder)
-            for x in zip(left, body, right, a_reach, a_piece, b_reach, b_piece, strict=True)
-        ])
+        state = lambda x: (x["reach"], x["piece"])
+        for batch in batches:
+            found = [
+                Chunk(v, *x[:3]).between(state(x[3]), state(x[4]), encoder)
+                for x in zip(*(batch.column(c).to_pylist() for c in ("left", "body", "right", "a", "b")), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("no"), pa.array(found, pa.list_(pa.int32()))], ["key", "no", "ids"])
 
-    return back
+    return run
 
 
 def encode(
@@ -523,30 +579,26 @@ def encode(
     With ``check``, also with ``round_trip``: whether decoding the ids gives the text back, the mark read as a space.
     """
     path = path or model_path()
-    if "ids" in docs.columns:
-        raise ValueError("the input has a column ids, which this operator adds")
+    added = ["ids", *(["round_trip"] if check else [])]
+    others = [c for c in docs.columns if c not in added]
     chunk = max(chunk, 64)  # longer than any piece
     small_batches(docs.sparkSession, BATCH_ROWS)
-    rows = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    rows = docs.select(*[F.col(f"`{c}`") for c in others], F.coalesce(F.col(text), F.lit("")).alias("_text"))
     is_giant = F.length("_text") > giant
-    fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
+    fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])
     small = rows.where(~is_giant).mapInArrow(_encode_small(path, check), f"{fields}, ids array<int>" + ", round_trip boolean" * check)
     large = rows.where(is_giant).withColumn("_key", F.sha2("_text", 256))
     distinct = large.groupBy("_key").agg(F.first("_text").alias("text"))
-    parts = distinct.mapInArrow(_cut(path, chunk), "key string, no int, left string, body string, right string")
-    parts = parts.repartition(F.col("key"), F.col("no"))
-    matrices = parts.select("key", "no", _states(path)("left", "body", "right").alias("transfers"))
-    solved = matrices.groupBy("key").applyInPandas(_solve, "key string, no int, a_reach int, a_piece int, b_reach int, b_piece int")
-    traced = parts.join(solved, ["key", "no"]).select(
-        "key", "no", _backtrace(path)("left", "body", "right", "a_reach", "a_piece", "b_reach", "b_piece").alias("ids")
-    )
+    parts = written(distinct.mapInArrow(_cut(path, chunk), "key string, no int, left string, body string, right string").repartition(F.col("key"), F.col("no")), "chunks")
+    if parts.isEmpty():
+        return small
+    traced = parts.join(_ends(parts, path), ["key", "no"]).mapInArrow(_backtrace(path), "key string, no int, ids array<int>")
     whole = traced.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("no", "ids"))).alias("parts"))
     whole = whole.select(F.col("key").alias("_key"), F.flatten(F.col("parts.ids")).alias("ids"))
     found = large.join(whole, "_key")
     if check:
         found = found.withColumn("round_trip", decoded(path)("ids") == F.replace("_text", F.lit(MARK), F.lit(" ")))
-    found = found.select(*docs.columns, "ids", *(["round_trip"] if check else []))
-    return small.unionByName(found)
+    return small.unionByName(found.select(*others, *added))
 
 
 def decoded(path: str):
