@@ -250,7 +250,7 @@ def test_line_rules_remove_furniture_only(spark):
 
 def test_fingerprints_follow_the_next_document(odd, docs):
     for table in (docs, odd):
-        rows = sorted(rows_of(table), key=lambda r: (r[0] is not None, r[0] or 0, r[1]), reverse=True)
+        rows = sorted(rows_of(table), key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest()), reverse=True)
         texts = [t for _, t, _ in rows]
         found = fingerprints.followed(table, range_rows=40).collect()
         sets = shingle_sets(texts, 5)

@@ -5,14 +5,15 @@ hash. Empty bins copy the bin that a fixed random sequence of attempts reaches f
 bin the lowest ``BITS`` bits are stored, packed, as hexadecimal text; the share of equal bins is corrected for the
 chance that unequal ones agree, ``(share - 2**-BITS) / (1 - 2**-BITS)``.
 
-The query also follows each document to the next one in descending order of id. Ids are cut at quantiles into ranges
-of a bounded number of documents; a document whose id is a cut goes to both neighbouring ranges, so each range finds
-every follower in its own rows, and texts are moved once.
+The query also follows each document to the next one in descending order of id. Rows are sorted over ranges (Spark samples
+the keys), a task goes through its range batch by batch, and the last row of each range meets the first one of the next
+range afterwards: texts move once, and no task holds more than two batches of them.
 
 Defined cases: a null text counts as empty; an empty text has an empty fingerprint (its likeness is 1 to another
 empty one and 0 to any other); a text with fewer than five words has its whole sequence as one shingle; rows of equal
-id are ordered by text; rows with a null id come last in the descending order; a single document follows itself;
-other columns are not read; an empty table gives an empty result.
+id, and rows with a null id or one that is no whole number, which come last in the descending order, are ordered by the MD5
+of their text, so they spread over ranges like others; a single document follows itself; other columns are not read; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,16 +22,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import bytetext as bt
+from tidemark.llm.shared import written
 
 BINS = 256
 BITS = 4
 WIDTH = 5
 RANGE_ROWS = 4000
 RANGE_BYTES = 16_000_000  # of text in a range, on average
+TOGETHER = 500  # documents that are fingerprinted together
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -106,66 +109,80 @@ def fingerprint(docs: DataFrame, text: str = "text", bins: int = BINS, bits: int
     return docs.withColumn("fingerprint", prints(F.col(text)))
 
 
-def _range(table: pa.Table) -> pa.Table:
-    rows = table.select(["doc_id", "text", "role"]).to_pylist()
-    key = lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "")
-    own = sorted((r for r in rows if r["role"] == 0), key=key, reverse=True)
-    below = sorted((r for r in rows if r["role"] == 1), key=key, reverse=True)
-    if not own:
-        return _result([], [], [], None, None, None)
-    texts = [r["text"] or "" for r in own]
-    following = texts[1:] + [below[0]["text"] or "" if below else texts[0]]
+_OUT = pa.schema([
+    ("part", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
+    ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("text", pa.string()),
+])
+_COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+DONE, FIRST, LAST = 0, 1, 2
+
+
+def _figures(ids: list, texts: list[str], low: np.ndarray) -> dict[str, pa.Array]:
+    """The columns of every text but the last, each followed by the one after it."""
     edited = []
-    for own_text, other in zip(texts, following, strict=True):
-        m = len(own_text) // 3
-        edited.append(own_text[: len(own_text) - m] + other[:m])
-    a, b = packed(texts), packed(edited)
-    c = np.concatenate([a[1:], packed(following[-1:])])
-    return _result([r["doc_id"] for r in own], texts, edited, a, b, c)
-
-
-def _result(ids, texts, edited, a, b, c) -> pa.Table:
-    some = len(ids) > 0
-    return pa.table({
-        "doc_id": pa.array(ids, pa.int64()), "n_chars": pa.array([len(x) for x in texts], pa.int64()),
+    for own, other in zip(texts, texts[1:], strict=False):
+        m = len(own) // 3
+        edited.append(own[: len(own) - m] + other[:m])
+    a, b = low[:-1], packed(edited)
+    return {
+        "doc_id": pa.array(ids[:-1], pa.int64()), "n_chars": pa.array([len(x) for x in texts[:-1]], pa.int64()),
         "edited_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edited], pa.string()),
-        "fingerprint": pa.array(as_text(a) if some else [], pa.string()), "edited_fingerprint": pa.array(as_text(b) if some else [], pa.string()),
-        "near_edited": pa.array(likeness(a, b) if some else [], pa.float64()), "near_next": pa.array(likeness(a, c) if some else [], pa.float64()),
-    })
+        "fingerprint": pa.array(as_text(a), pa.string()), "edited_fingerprint": pa.array(as_text(b), pa.string()),
+        "near_edited": pa.array(likeness(a, b)), "near_next": pa.array(likeness(a, low[1:])),
+    }
+
+
+def _row(part: int, kind: int, doc_id, text: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([{"part": part, "kind": kind, "doc_id": doc_id, "text": text}], _OUT)
+
+
+def _follow(batches):
+    """Done rows of a sorted range, and its first and last row with their texts."""
+    held = None  # id, text and bits of the row before
+    for batch in batches:
+        for at in range(0, len(batch), TOGETHER):
+            rows = batch.slice(at, TOGETHER)
+            ids, texts = rows.column("doc_id").to_pylist(), [t or "" for t in rows.column("text").to_pylist()]
+            part = rows.column("part")[0].as_py()
+            if held is None:
+                yield _row(part, FIRST, None, texts[0])
+            low = packed(texts)
+            if held is not None:
+                ids, texts, low = [held[0], *ids], [held[1], *texts], np.concatenate([held[2], low])
+            if len(texts) > 1:
+                found = _figures(ids, texts, low)
+                n = len(texts) - 1
+                same = {"part": pa.array(np.full(n, part, np.int32)), "kind": pa.array(np.full(n, DONE, np.int32)), "text": pa.nulls(n, pa.string())}
+                yield pa.RecordBatch.from_arrays([(found | same)[c] for c in _OUT.names], schema=_OUT)
+            held = ids[-1], texts[-1], low[-1:]
+    if held is not None:
+        yield _row(part, LAST, held[0], held[1])
+
+
+def _finish(batches):
+    """Last rows of ranges with the text that follows."""
+    names = [c.split()[0] for c in _COLUMNS.split(", ")]
+    for batch in batches:
+        for doc_id, text, follower in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "follower")), strict=True):
+            found = _figures([doc_id, None], [text, follower], packed([text, follower]))
+            yield pa.RecordBatch.from_arrays([found[c] for c in names], names)
 
 
 def followed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", range_rows: int = RANGE_ROWS) -> DataFrame:
     """Fingerprints of every document and of its text with the last third taken from the next document."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    n, top, nulls, size = rows.agg(F.count("*"), F.max("doc_id"), F.count_if(F.col("doc_id").isNull()), F.sum(F.octet_length("text"))).first()
+    rows = docs.select(F.expr(f"try_cast(`{doc_id}` AS long)").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    n, size = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     parts = max(1, -(-n // range_rows), min(n, -(-(size or 0) // RANGE_BYTES)))
-    found = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else []
-    # ascending cuts, each the largest id of its range; the largest id of all closes the ring
-    cuts = np.array(sorted({*(found or []), *([top] if top is not None else [])}), np.int64)
-    shared = spark.sparkContext.broadcast(cuts)
-
-    @F.pandas_udf("array<struct<part:int,role:int>>")
-    def place(ids):
-        import pandas as pd
-
-        cuts = shared.value
-        known = ids.notna().to_numpy()
-        value = ids.fillna(0).to_numpy(np.int64)
-        at = np.where(known, np.searchsorted(cuts, value), 0)
-        is_cut = known & (len(cuts) > 0)
-        is_cut[is_cut] &= cuts[at[is_cut]] == value[is_cut]
-        # null ids lie below the first range; what follows range p's last document is the cut of range p - 1
-        return pd.Series([
-            [{"part": int(p) if k else -1, "role": 0}] + ([{"part": int(p) + 1 if p + 1 < len(cuts) else 0, "role": 1}] if c else [])
-            for p, k, c in zip(at, known, is_cut, strict=True)
-        ])
-
-    dealt = rows.withColumn("at", F.explode(place("doc_id"))).select("doc_id", "text", F.col("at.part").alias("part"), F.col("at.role").alias("role"))
-    if nulls:  # rows with a null id follow the smallest id in one chain of their own, ordered by text
-        dealt = dealt.withColumn("part", F.greatest("part", F.lit(0)))
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.groupBy("part").applyInArrow(_range, schema)
+    order = [F.col("doc_id").desc_nulls_last(), F.md5("text").desc()]
+    ranges = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    found = written(ranges.mapInArrow(_follow, f"part int, kind int, {_COLUMNS}, text string"), "ranges")
+    done = found.where(F.col("kind") == DONE).drop("part", "kind", "text")
+    first = found.where(F.col("kind") == FIRST).select(F.col("part").alias("next"), F.col("text").alias("follower"))
+    # the range after each one that has rows, the first one after the last: two numbers a range
+    along = Window.orderBy("next")
+    ring = first.select(F.col("next").alias("part"), F.coalesce(F.lead("next").over(along), F.min("next").over(Window.partitionBy())).alias("next"))
+    last = found.where(F.col("kind") == LAST).select("part", "doc_id", "text").join(ring, "part").join(first, "next")
+    return done.unionByName(last.select("doc_id", "text", "follower").mapInArrow(_finish, _COLUMNS))
 
 
 def op6_fingerprints(spark, sf_dir):
