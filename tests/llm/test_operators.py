@@ -439,6 +439,116 @@ def test_what_a_process_keeps_is_bounded(monkeypatch):
         assert v.leaves_apart(a, b).tolist() == wanted and len(v.known) <= 50 + 40
 
 
+def plain_labels(texts):
+    """(labels, score) of every text: at every place each template is laid, the share of its rarity-weighted words that stand there."""
+    words = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t)) for t in texts]
+    templates = [(label, re.findall(r"[a-z0-9]+", text), [k.split() for k in keys]) for label, text, keys in licenses.TEMPLATES]
+    seen = collections.Counter(w for ws in words for w in set(ws))
+    idf = lambda w: max(np.log((len(texts) + 1) / (seen[w] + 0.5)) + 0.01, 0.01)
+    out = []
+    for ws in words:
+        labels = {label for phrase, label in licenses.BASE.items() for k in range(len(ws)) if ws[k : k + len(phrase.split())] == phrase.split()}
+        best = 1.0 if labels else 0.0
+        for label, text, keys in templates:
+            begins = [k for key in keys for k in range(len(ws)) if ws[k : k + len(key)] == key]
+            total = sum(map(idf, text))
+            for shift in {b + d for b in begins for d in range(-len(text) - 1, 3)}:
+                share = sum(idf(w) for q, w in enumerate(text) if 0 <= shift + q < len(ws) and ws[shift + q] == w) / total
+                if share >= licenses.COVER - 1e-12:
+                    labels.add(label)
+                    best = max(best, share)
+        out.append((",".join(sorted(labels)), round(best, 9)))
+    return out
+
+
+def test_license_labels_equal_the_plain_version(spark, odd, docs):
+    rng = np.random.default_rng(8)
+    texts = []
+    for _, text, _ in licenses.TEMPLATES * 6:
+        w = text.split()
+        for _ in range(rng.integers(0, 6)):
+            at = rng.integers(0, len(w))
+            w[at : at + rng.integers(0, 2)] = ["other"] * rng.integers(0, 2)
+        texts.append("before " * rng.integers(0, 4) + " ".join(w) + " after")
+    mixed = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for table in (mixed, docs.select("doc_id", "text"), odd.select("doc_id", "text")):
+        rows = [(r.doc_id, r.text or "") for r in table.collect()]
+        wanted = sorted((str(i), *x) for (i, _), x in zip(rows, plain_labels([t for _, t in rows]), strict=True))
+        assert sorted((str(r.doc_id), r.labels, round(r.score, 9)) for r in licenses.scan(table).collect()) == wanted
+
+
+def plain_statistics(text):
+    """The statistics of one text, one by one."""
+    data, words = text.encode(), [w.encode() for w in WORD.findall(text)]
+    size, n = max(len(data), 1), max(len(words), 1)
+    kinds = [
+        lambda c: 65 <= c < 91, lambda c: 97 <= c < 123, lambda c: 48 <= c < 58, lambda c: c in b"#*$%&<>", lambda c: c in b"|", lambda c: c in b"!?", lambda c: c in b".,;:", lambda c: c >= 128,
+    ]
+    x = [np.sqrt(sum(map(k, data)) / size) for k in kinds]
+    lowered = [low(w.decode()) for w in words]
+    lengths = [len(w) for w in words]
+    mean = sum(lengths) / n
+    fours = [tuple(lowered[i : i + 4]) for i in range(len(lowered) - 3)] if len(lowered) >= 4 else [tuple(lowered)] * bool(lowered)
+    x += [np.log1p(len(words)), mean, np.sqrt(max(sum(k * k for k in lengths) / n - mean**2, 0)), len(set(lowered)) / n]
+    x += [len(set(zip(lowered, lowered[1:], strict=False))) / max(len(words) - 1, 1), len(set(fours)) / max(len(fours), 1)]
+    x += [sum(k > 12 for k in lengths) / n, sum(k <= 2 for k in lengths) / n, np.log1p(len(words) / (text.count("\n") + 1))]
+    return [*x, sum(65 <= w[0] < 91 for w in words) / n, sum(w[-1:] in (b".", b"!", b"?") for w in words) / n]
+
+
+def test_classifier_equals_the_plain_version(spark, docs):
+    """Statistics, random features, ridge and isotonic step, each written out, give the operator's scores."""
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    rows = [(i, t) for i, t, _ in rows_of(docs)]
+    x = np.array([plain_statistics(t) for _, t in rows]).astype(np.float32).astype(float)
+    fold = np.array([zlib.crc32(str(i).encode()) % 4 for i, _ in rows])
+    quality = {r.doc_id: r.quality for r in labels.collect()}
+    y = np.array([quality.get(i, -1) for i, _ in rows], float)
+    rng, k = np.random.default_rng(7), kernel_quality.FEATURES
+    spread = x.std(0)
+    w, b = rng.normal(0, np.sqrt(2 * kernel_quality.GAMMA), (x.shape[1], k)), rng.uniform(0, 2 * np.pi, k)
+    z = np.clip((x - x.mean(0)) / np.where(spread > 1e-9, spread, 1), -6, 6)
+    z = np.concatenate([np.sqrt(2 / k) * np.cos(z @ w + b), np.ones((len(z), 1))], 1)
+    fit, apart = (fold < 2) & (y >= 0), (fold == 3) & (y >= 0)
+    weights = np.linalg.solve(z[fit].T @ z[fit] + max(1.0, kernel_quality.RIDGE * fit.sum()) * np.eye(k + 1), z[fit].T @ y[fit])
+    raw = z @ weights
+    step = np.floor(np.clip(raw[apart], -1, 2) * kernel_quality.STEPS)
+    at = np.unique(step)
+    n = np.array([(step == s).sum() for s in at])
+    ones = np.array([y[apart][step == s].sum() for s in at])
+    # isotonic by its definition: the largest mean of a stretch that ends here or later, over the smallest beginning
+    value = [max(min(ones[i : j + 1].sum() / n[i : j + 1].sum() for j in range(m, len(at))) for i in range(m + 1)) for m in range(len(at))]
+    pools = [np.flatnonzero(np.isclose(value, v)) for v in dict.fromkeys(np.round(value, 12))]
+    middle = [((at[p] + 0.5) / kernel_quality.STEPS * n[p]).sum() / n[p].sum() for p in pools]
+    height = np.maximum.accumulate([(ones[p].sum() + 0.5) / (n[p].sum() + 1) for p in pools])
+    wanted = dict(zip([i for i, _ in rows], np.interp(raw, middle, height), strict=True))
+    found = {r.doc_id: r.score for r in kernel_quality.op10_kernel_quality(spark, DATA).collect()}
+    assert found.keys() == wanted.keys()
+    assert np.mean([abs(found[i] - wanted[i]) < 1e-3 for i in found]) > 0.98 and max(abs(found[i] - wanted[i]) for i in found) < 0.1
+
+
+def test_a_large_group_of_near_copies_moves_few_sets(spark, monkeypatch):
+    """3,000 near copies of one text: one component, and each set is moved a few times, not once for each block of the group."""
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(120)]
+    texts = []
+    for k in range(3000):
+        copy = list(words)
+        copy[int(rng.integers(0, 120))] = f"x{k}"
+        texts.append(" ".join(copy))
+    moved = []
+
+    def counting(placed, *rest):
+        moved.append(placed.count())
+        return plain_stars(placed, *rest)
+
+    plain_stars = jaccard_join._stars
+    monkeypatch.setattr(jaccard_join, "_stars", counting)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    found = jaccard_join.join_components(df).collect()
+    assert {r.component_id for r in found} == {0} and len(found) == 3000
+    assert moved[0] <= 10 * 3000
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert jaccard_join.join_components(docs).count() == 0

@@ -2,22 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DIR = "spark.checkpoint.dir"
-
-
-def folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; where the setting is absent (tests on one machine), a new local one."""
-    found = spark.conf.get(DIR, None) or spark.sparkContext.getConf().get(DIR, None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set(DIR, found)
-    return found
+from tidemark.tables import folder
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
