@@ -2,7 +2,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from tidemark.operators import graph, series
+from tidemark.operators import graph, quantiles, series, spatial
 
 T0 = datetime(2024, 1, 1)
 
@@ -39,10 +39,28 @@ def test_spells_merge_over_small_gaps_and_end_with_the_record(spark):
     assert found == [(2, 9.0), (2, 9.5)]
 
 
-def test_stay_below_is_censored_at_the_end(spark):
-    df = frame(spark, [9.0, 0.0, 0.0, 9.0, 0.0], "value >= 9")
-    found = [(r.below, r.censored) for r in series.stays_below(df, 2).orderBy("start").collect()]
-    assert found == [(T0 + timedelta(hours=1), False), (None, True)]
+def fallen(df, n=2, **more):
+    hours = lambda t: None if t is None else int((t - T0).total_seconds() // 3600)
+    found = series.recessions(df, 9.0, n, **more).orderBy("start").collect()
+    return [(hours(r.peak_at), r.dropped, hours(r.below), hours(r.known), r.censored) for r in found]
+
+
+def test_a_fall_is_dated_from_the_peak_and_censored_at_gaps_and_at_the_end(spark):
+    quiet = [0.0] * 4
+    assert fallen(frame(spark, [*quiet, 9.0, 12.0, 10.0, 0.0, 0.0, 0.0, 0.0]), guard=1) == [(5, None, 7, 7, False)]
+    # below for one hour only, then over the level again: one spell, its fall is the last one
+    assert fallen(frame(spark, [*quiet, 12.0, 1.0, 10.0, 0.0, 0.0, 0.0]), guard=1) == [(4, None, 7, 7, False)]
+    # missing hours hide whether it stayed below: not "fell after one hour"
+    assert fallen(frame(spark, [*quiet, 40.0, 39.0, *[None] * 6, 40.0, 0.0, 0.0]), guard=0, gap_hours=1)[0] == (4, None, None, 5, True)
+    # the record ends first
+    assert fallen(frame(spark, [*quiet, 12.0, 10.0, 0.0]), guard=1) == [(4, None, None, 5, True)]
+    assert fallen(frame(spark, [*quiet, 12.0, 10.0]), guard=1) == [(4, None, None, 5, True)]
+
+
+def test_spells_without_a_seen_rise_or_peak_are_dropped(spark):
+    assert [x[1] for x in fallen(frame(spark, [12.0, 0.0, 0.0, 0.0, 0.0, 0.0]), guard=1)] == ["starts_in_gap"]
+    assert [x[1] for x in fallen(frame(spark, [0.0, 0.0, None, 12.0, 0.0, 0.0]), guard=1)] == ["starts_in_gap"]
+    assert [x[1] for x in fallen(frame(spark, [0.0, 10.0, 12.0, None, 0.0, 0.0]), guard=2)] == ["gap_at_peak"]
 
 
 def test_never_rising_fit(spark):
@@ -60,5 +78,70 @@ def test_harmonics_recover_a_known_wave(spark):
 
     rows = [("a", float(h), 2.0 * math.cos(2 * math.pi * h / 12.4206 + 0.3) + 5) for h in range(500)]
     df = spark.createDataFrame(rows, "entity string, t double, value double")
-    found = {r.period: r.amplitude for r in graph.harmonics(df, "entity", "t", "value", (12.4206, 24.0)).collect()}
+    found = {r.period: r.amplitude for r in graph.harmonics(df, "entity", "t", "value", (12.4206, 24.0), least_hours=400).collect()}
     assert found[12.4206] == pytest.approx(2.0, abs=1e-6) and found[24.0] == pytest.approx(0.0, abs=1e-6)
+    assert {r.amplitude for r in graph.harmonics(df, "entity", "t", "value", (12.4206,)).collect()} == {None}  # too short a record
+
+
+def test_percentiles_equal_numpy_with_a_hot_key_ties_and_few_rows(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    values = {"hot": np.round(rng.exponential(5, 4000), 1).tolist(), "one": [7.0], "ties": [2.0] * 50, "two": [1.0, 4.0], "nulls": [None, 3.0, None]}
+    df = spark.createDataFrame([(k, v) for k, x in values.items() for v in x], "k string, v double")
+    found = {r.k: (r.a, r.b, r.c) for r in quantiles.percentiles(df, ["k"], "v", {"a": 0.1, "b": 0.5, "c": 0.97}, steps=64).collect()}
+    for k, x in values.items():
+        assert found[k] == pytest.approx(np.percentile([v for v in x if v is not None], [10, 50, 97]).tolist())
+    whole = quantiles.percentiles(df, [], "v", {"m": 0.5}).first().m
+    assert whole == pytest.approx(np.median([v for x in values.values() for v in x if v is not None]))
+    assert quantiles.percentiles(df.limit(0), ["k"], "v", {"m": 0.5}).count() == 0
+
+
+def test_places_and_tiles_over_a_whole_table(spark):
+    values = [5.0, 1.0, 3.0, 3.0, 9.0, 9.0, 9.0]
+    df = spark.createDataFrame(list(enumerate(values)), "i long, v double")
+    rows = quantiles.placed(df, "v", "i", steps=4).withColumn("t", quantiles.tile(quantiles.F.col("place"), quantiles.F.col("n_rows"), 3)).orderBy("place").collect()
+    assert [r.v for r in rows] == sorted(values) and [r["rank"] for r in rows] == [1, 2, 2, 4, 5, 5, 5] and [r.t for r in rows] == [1, 1, 1, 2, 2, 3, 3]
+
+
+def test_places_near_the_pole_and_over_the_date_line(spark):
+    a = spark.createDataFrame([(1, 10.0, 80.0), (2, 179.95, 0.0), (3, 0.0, 89.9)], "id long, lon double, lat double")
+    b = spark.createDataFrame([(1, 10.6, 80.0), (2, -179.95, 0.0), (3, 90.0, 89.9), (4, 40.0, 10.0)], "id long, lon double, lat double")
+    assert sorted((r.id, r.id_r) for r in spatial.within(a, b, 12.0).collect())[:2] == [(1, 1), (2, 2)]
+    near = {r.id: r.id_r for r in spatial.nearest(a, b, "id", "id", 1, 1.0).collect()}
+    assert near == {1: 1, 2: 2, 3: 3}
+    assert spatial.nearest(a, b, "id", "id", 9, 500.0).count() == 12  # all there are
+
+
+def test_spaced_picks_are_those_of_one_by_one(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, 100 + rng.random(), 7 + rng.random(), float(rng.randrange(20))) for i in range(120)]
+    found = {r.id for r in spatial.spaced(spark.createDataFrame(rows, "id long, lon double, lat double, weight double"), "id", "weight", 20.0).collect()}
+
+    def km(p, q):
+        import math
+
+        x = (q[1] - p[1]) * math.cos(math.radians((p[2] + q[2]) / 2)) * 111.32
+        return math.hypot(x, (q[2] - p[2]) * 111.32)
+
+    picked = []
+    for p in sorted(rows, key=lambda r: (-r[3], r[0])):
+        if all(km(p, q) > 20 for q in picked):
+            picked.append(p)
+    assert found == {p[0] for p in picked}
+
+
+def test_components_and_chains(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40) if i % 10 != 9] + [(50, 50), (60, 41), (60, 61)], "u long, v long")
+    found = {r.node: r.root for r in graph.components(edges).collect()}
+    assert all(found[i] == i - i % 10 for i in range(40)) and (found[60], found[61], found[41]) == (41, 41, 41) and 50 not in found
+    ways = spark.createDataFrame([(1, 10, 11), (2, 11, 12), (3, 12, 13), (4, 12, 14)], "way long, a long, b long")
+    assert {r.way: r.chain for r in graph.chains(ways).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_reach_has_no_limit_of_edges(spark):
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(15)] + [(0, 9, 20.0)], "a long, b long, cost double")
+    found = {r.node: r.cost for r in graph.reach_within(edges, spark.createDataFrame([(0,)], "node long"), 12.0).collect()}
+    assert found == {i: float(i) for i in range(13)}
