@@ -97,8 +97,8 @@ def stickiness(spark, sf_dir):
     seen = events.select("user_id", F.to_date("ts").alias("day")).distinct()
     # days per person and people per day from one distinct table: their sums are the same
     found = seen.agg(F.count("*").alias("visits"), F.countDistinct("day").alias("days"), F.countDistinct("user_id").alias("mau"))
-    dau = F.col("visits") / F.col("days")
-    return found.select(F.round(dau, 6).alias("dau"), "mau", F.round(dau / F.col("mau"), 6).alias("stickiness"))
+    dau = F.try_divide(F.col("visits"), F.col("days"))
+    return found.select(F.round(dau, 6).alias("dau"), "mau", F.round(F.try_divide(dau, F.col("mau")), 6).alias("stickiness"))
 
 
 @query("""WITH f AS (SELECT user_id, CAST(min(ts) AS DATE) AS day FROM events GROUP BY 1), d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS seen FROM events)

@@ -45,7 +45,7 @@ def rank_association(spark, sf_dir):
     own = F.max(F.when(F.col("shift") == 0, F.col("rho"))).over(Window.partitionBy())
     return rho.withColumn("own", own).agg(
         F.first("n").alias("n"), F.round(F.first("own"), 6).alias("spearman"),
-        F.round(F.count_if((F.col("shift") > 0) & (F.abs("rho") >= F.abs("own") - 1e-9)) / F.count_if(F.col("shift") > 0), 6).alias("p"),
+        F.round(F.try_divide(F.count_if((F.col("shift") > 0) & (F.abs("rho") >= F.abs("own") - 1e-9)), F.count_if(F.col("shift") > 0)), 6).alias("p"),
     )
 
 
