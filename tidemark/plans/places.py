@@ -51,6 +51,17 @@ def nearest_two(spark, sf_dir):
     return found.select("id", "id_r", "rank", F.round("km", 6).alias("km"))
 
 
+@query(f"""WITH {_A}, {_B}, d AS (SELECT a.id, b.id AS id_r, {_KM} AS km FROM a, b JOIN supplier ON s_suppkey = b.id WHERE s_acctbal > 4000), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY km, id_r) AS rank FROM d WHERE km <= 80)
+SELECT id, id_r, rank, round(km, 6) AS km FROM r WHERE rank <= 3""")
+def nearest_fresh(spark, sf_dir):
+    """The three nearest stations with a fresh reading, none further than 80 km."""
+    fresh = load(spark, sf_dir, "supplier").where("s_acctbal > 4000").select(F.col("s_suppkey").alias("id"))
+    stations = _suppliers(spark, sf_dir).join(fresh, "id", "left_semi")
+    w = Window.partitionBy("id").orderBy("km", "id_r")
+    near = spatial.within(_customers(spark, sf_dir), stations, 80.0).withColumn("rank", F.row_number().over(w)).where("rank <= 3")
+    return near.select("id", "id_r", "rank", F.round("km", 6).alias("km"))
+
+
 @query(f"""WITH {_A}, s AS (SELECT (lon * (sqrt(3) / 3) - lat / 3) / 0.25 AS q, lat * (2 / 3) / 0.25 AS r FROM a), d AS (SELECT q, r, -q - r AS s, round(q) AS rq, round(r) AS rr, round(-q - r) AS rs FROM s),
 h AS (SELECT CASE WHEN abs(rq - q) > abs(rr - r) AND abs(rq - q) > abs(rs - s) THEN -rr - rs ELSE rq END AS q, CASE WHEN abs(rq - q) > abs(rr - r) AND abs(rq - q) > abs(rs - s) THEN rr WHEN abs(rr - r) > abs(rs - s) THEN -rq - rs ELSE rr END AS r FROM d)
 SELECT q::INT AS q, r::INT AS r, count(*) AS n FROM h GROUP BY 1, 2 HAVING count(*) >= 2""")

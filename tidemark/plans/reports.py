@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import quantiles
 from tidemark.operators import series as s
 from tidemark.plans.series import _F, _G, _flagged, _gapless
+from tidemark.plans.series import ORACLES as _SERIES
 from tidemark.tables import load
 
 QUERIES, ORACLES = {}, {}
@@ -39,6 +40,7 @@ def daily_rollup(spark, sf_dir):
     )
 
 
+_FALLS = _SERIES["stay_below"]
 _SPELLS = f"""{_F(30.0)}, t AS (SELECT *, CASE WHEN hour - lag(hour) OVER (PARTITION BY entity ORDER BY hour) <= INTERVAL 3 HOUR THEN 0 ELSE 1 END AS new FROM f WHERE flag),
 n AS (SELECT *, sum(new) OVER (PARTITION BY entity ORDER BY hour) AS spell FROM t),
 ep AS (SELECT entity, min(hour) AS start, max(hour) AS stop, count(*) AS n_rows, (epoch(max(hour)) - epoch(min(hour))) / 3600 + 1 AS hours FROM n GROUP BY entity, spell)"""
@@ -91,3 +93,33 @@ def supplier_ranks(spark, sf_dir):
     m = load(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.avg("l_extendedprice").alias("v")).withColumn("down", -F.col("v"))
     up = quantiles.placed(m, "v", "l_suppkey").select("l_suppkey", quantiles.tile(F.col("place"), F.col("n_rows"), 3).cast("long").alias("third"))
     return quantiles.placed(m, "down").select("l_suppkey", F.col("rank").alias("place")).join(up, "l_suppkey")
+
+
+@query(f"""WITH x AS ({_FALLS}), h AS (SELECT *, CASE WHEN NOT censored THEN (epoch(below) - epoch(peak_at)) / 3600 END AS hours FROM x)
+SELECT entity, count(*) AS episodes, count(*) FILTER (dropped = 'starts_in_gap') AS starts_in_gap, count(*) FILTER (dropped = 'gap_at_peak') AS gap_at_peak, count(*) FILTER (censored) AS censored,
+CASE WHEN count(hours) >= 3 THEN round(quantile_cont(hours, 0.25), 6) END AS p25, CASE WHEN count(hours) >= 3 THEN round(quantile_cont(hours, 0.5), 6) END AS p50, CASE WHEN count(hours) >= 3 THEN round(quantile_cont(hours, 0.75), 6) END AS p75 FROM h GROUP BY 1""")
+def recession_summary(spark, sf_dir):
+    """Hours from the peak until a series fell, over the episodes that are not censored; the dropped ones by reason."""
+    x = s.recessions(_gapless(spark, sf_dir), 30.0, 6)
+    seconds = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
+    h = x.withColumn("hours", F.when(~F.col("censored"), (seconds("below") - seconds("peak_at")) / 3600))
+    summed = h.groupBy("entity").agg(
+        F.count("*").alias("episodes"), *[F.count_if(F.col("dropped") == d).alias(d) for d in ("starts_in_gap", "gap_at_peak")], F.count_if("censored").alias("censored"),
+        F.count("hours").alias("n"), F.expr("percentile(hours, array(0.25D, 0.5D, 0.75D))").alias("p"),
+    )
+    part = lambda i, name: F.when(F.col("n") >= 3, F.round(F.col("p")[i], 6)).alias(name)
+    return summed.select("entity", "episodes", "starts_in_gap", "gap_at_peak", "censored", *[part(i, n) for i, n in enumerate(("p25", "p50", "p75"))])
+
+
+@query(f"""WITH {_G}, st AS (SELECT entity, min(hour) AS start FROM g WHERE value >= 90 GROUP BY 1), d AS (SELECT st.entity, start, min(hour) FILTER (value < 15) AS dry FROM st LEFT JOIN g ON g.entity = st.entity AND g.hour > start GROUP BY 1, 2),
+w AS (SELECT d.entity, start, dry, round(max(value), 6) AS gust, count(value) AS hours, round(sum(value), 6) AS total FROM d JOIN g ON g.entity = d.entity AND g.hour >= start AND (dry IS NULL OR g.hour < dry) GROUP BY 1, 2, 3)
+SELECT *, row_number() OVER (ORDER BY gust >= 150 DESC, total DESC, entity) AS priority FROM w""")
+def advisory_spells(spark, sf_dir):
+    """From each series' first hour over a limit until it is dry again: gust, hours, total, and in which order advisories go out."""
+    g = _gapless(spark, sf_dir)
+    starts = g.where("value >= 90").groupBy("entity").agg(F.min("hour").alias("start"))
+    rows = g.join(starts, "entity").where("hour >= start")
+    dry = rows.where("hour > start AND value < 15").groupBy("entity").agg(F.min("hour").alias("dry"))
+    wet = rows.join(dry, "entity", "left").where("dry IS NULL OR hour < dry")
+    w = wet.groupBy("entity", "start", "dry").agg(F.round(F.max("value"), 6).alias("gust"), F.count("value").alias("hours"), F.round(F.sum("value"), 6).alias("total"))
+    return w.withColumn("priority", F.row_number().over(Window.orderBy(F.desc(F.col("gust") >= 150), F.desc("total"), "entity")))  # a row a series

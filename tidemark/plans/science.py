@@ -343,3 +343,12 @@ def upstream_side(spark, sf_dir):
     side = F.when(gap > 10, "left").when(gap < -10, "right").otherwise("unclear")
     high = F.col("p_retailprice") > 1300
     return load(spark, sf_dir, "part").select("p_partkey", side.alias("side"), ((high & (gap > 10)) | (~high & (gap < -10))).alias("agrees"))
+
+
+@query()
+def river_zones(spark, sf_dir):
+    """Cells by how high they stand above the river's surface in their bin: wet at a rise of 100, or of 300, or dry."""
+    profile = river_profile(spark, sf_dir).select("river", "bin", "fitted")
+    cells = load(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 5).alias("river"), F.floor(F.col("p_partkey") / 100).alias("bin"), F.col("p_retailprice").alias("h"))
+    above = cells.join(profile, ["river", "bin"]).withColumn("above", F.round(F.col("h") - F.col("fitted"), 6))
+    return above.select("p_partkey", "above", F.when(F.col("above") <= 100, 1).when(F.col("above") <= 300, 2).otherwise(3).alias("zone"))
