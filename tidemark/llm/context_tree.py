@@ -32,7 +32,7 @@ from tidemark.llm import bytetext as bt
 from tidemark.llm.shared import blocks_for
 
 DEPTH = 6
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 12_000_000
 HELD = 8_000_000  # bytes of text that are compressed together
 SPACE, END = 0x20, 0x0A
 END_WORD = np.uint64(0x8E51ECFD9A3B17C5)
