@@ -145,3 +145,13 @@ def test_reach_has_no_limit_of_edges(spark):
     edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(15)] + [(0, 9, 20.0)], "a long, b long, cost double")
     found = {r.node: r.cost for r in graph.reach_within(edges, spark.createDataFrame([(0,)], "node long"), 12.0).collect()}
     assert found == {i: float(i) for i in range(13)}
+
+
+def test_a_reach_is_filled_from_its_channel(spark):
+    """A channel at 0, a bank of 2 and a hollow behind it at 1: water reaches the hollow over the bank only."""
+    row = [0.0, 2.0, 1.0]
+    cells = spark.createDataFrame([("a", 0, c, h, c == 0) for c, h in enumerate(row)], "reach string, row int, col int, height double, channel boolean")
+    (low,) = graph.filled(cells, 1.5, 1.0).collect()
+    assert low.level == pytest.approx(1.5, abs=1e-5) and low.cells == 1
+    (high,) = graph.filled(cells, 6.0, 1.0).collect()
+    assert high.level == pytest.approx(3.0, abs=1e-5) and high.cells == 3

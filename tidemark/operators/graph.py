@@ -174,3 +174,39 @@ def harmonics(df: DataFrame, group: str, hours: str, value: str, periods: tuple[
             yield pd.DataFrame(rows, columns=["grp", "period", "amplitude", "n"])
 
     return summed.mapInPandas(solve, f"grp {dict(df.dtypes)[group]}, period double, amplitude double, n long").withColumnRenamed("grp", group)
+
+
+def filled(cells: DataFrame, volume: float, area: float, steps: int = 24) -> DataFrame:
+    """(reach, level, volume, cells): the water level at which the cells of a reach hold a volume.
+
+    ``cells`` is (reach, row, col, height, channel). Wet are cells under the level that join the channel over wet cells. The
+    level is found by halving; one reach is one task's work.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def fill(frame):
+        at = {rc: i for i, rc in enumerate(zip(frame["row"], frame["col"], strict=True))}
+        height, channel = frame["height"].to_numpy(float), frame["channel"].to_numpy(bool)
+        near = [[at[n] for n in ((r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)) if n in at] for r, c in at]
+
+        def wet_at(level):
+            wet = channel & (height < level)
+            open_ = np.flatnonzero(wet).tolist()
+            while open_:
+                for n in near[open_.pop()]:
+                    if not wet[n] and height[n] < level:
+                        wet[n] = True
+                        open_.append(n)
+            return wet
+
+        held = lambda level: float((level - height[wet_at(level)]).sum() * area)
+        low = float(height[channel].min()) if channel.any() else float(height.min())
+        high = float(height.max()) + volume / area
+        for _ in range(steps if channel.any() else 0):
+            middle = (low + high) / 2
+            low, high = (middle, high) if held(middle) < volume else (low, middle)
+        return pd.DataFrame({"reach": [frame["reach"].iloc[0]], "level": [high if channel.any() else None], "volume": [held(high)], "cells": [int(wet_at(high).sum())]})
+
+    kind = dict(cells.dtypes)["reach"]
+    return cells.select("reach", "row", "col", F.col("height").cast("double").alias("height"), "channel").groupBy("reach").applyInPandas(fill, f"reach {kind}, level double, volume double, cells long")

@@ -352,3 +352,10 @@ def river_zones(spark, sf_dir):
     cells = load(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 5).alias("river"), F.floor(F.col("p_partkey") / 100).alias("bin"), F.col("p_retailprice").alias("h"))
     above = cells.join(profile, ["river", "bin"]).withColumn("above", F.round(F.col("h") - F.col("fitted"), 6))
     return above.select("p_partkey", "above", F.when(F.col("above") <= 100, 1).when(F.col("above") <= 300, 2).otherwise(3).alias("zone"))
+
+
+@query()
+def filled_reaches(spark, sf_dir):
+    """The level at which each reach of a grid holds a volume of 400."""
+    cells = _grid(spark, sf_dir).select(F.floor(F.col("row") / 10).alias("reach"), "row", "col", F.col("value").alias("height"), (F.col("col") == 0).alias("channel"))
+    return graph.filled(cells, 400.0, 1.0).withColumns({c: F.round(c, 4) for c in ("level", "volume")})
