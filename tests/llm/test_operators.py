@@ -705,11 +705,12 @@ def plain_blocks(page):
             if tag == "br":
                 self.held.append(" ")
                 return
-            if tag not in html_blocks.INLINE:
+            if tag not in ("a", "b"):
                 self.close_block()
-            if tag in html_blocks.VOID:
+            if tag == "meta":
                 return
-            bad = tag in html_blocks.RAW or html_blocks.furniture(tag, " ".join(f'{k}="{v or ""}"' for k, v in attrs), any(t == "article" for t, _ in self.stack))
+            names = {x for k, v in attrs if k in ("class", "id") for x in (v or "").split()}
+            bad = tag in ("head", "title", "style", "script", "nav", "footer") or bool(names & {"ad", "comments", "comment"}) or "hidden" in dict(attrs)
             if bad:
                 self.close_block()
             if tag in ("p", "li") and self.stack and self.stack[-1][0] == tag:
@@ -717,7 +718,7 @@ def plain_blocks(page):
             self.stack.append((tag, bad))
 
         def handle_endtag(self, tag):
-            if tag not in html_blocks.INLINE:
+            if tag not in ("a", "b"):
                 self.close_block()
             if any(t == tag for t, _ in self.stack):
                 while self.stack.pop()[0] != tag:
@@ -748,6 +749,31 @@ def test_html_of_whole_tables_equals_the_plain_version(spark, rename):
     assert all(r.n_chars == len(r.text) for r in found.values())
 
 
+@pytest.mark.parametrize("tag", [
+    '<article title="The hidden cost">', '<article data-id="comments-7">', '<article data-hidden="false">', '<section aria-label="hidden gems">',
+    '<article style="display:none-x">', '<div class="post comments-enabled">', '<div class="content show-comments">', '<div class="article reply-on">',
+    '<div id="reply-story">', '<details class="comment">', "<div title='a > b hidden' data-x=hidden>", '<div data-note="class=comments">', "<div onclick='x.hidden=true'>",
+])
+@pytest.mark.parametrize("head", ["<h1>Head</h1>", ""])
+def test_html_attributes_are_read_as_attributes(tag, head):
+    body = head + "".join(f"<p>Paragraph {i} of the main text, which stands in one element of the page.</p>" for i in range(9))
+    whole = "\n\n".join((["Head"] if head else []) + [f"Paragraph {i} of the main text, which stands in one element of the page." for i in range(9)])
+    page = f"<html><body><nav><a href=/>Home</a></nav>{tag}{body}</{tag.split()[0][1:]}><footer>About us.</footer></body></html>"
+    assert html_blocks.main_text(page) == whole
+
+
+@pytest.mark.parametrize("tag", [
+    "<div hidden>", "<div HIDDEN=''>", "<div aria-hidden=true>", '<div style="color:red; display : none !important">', "<div class=comments>", '<section class="comment-list">',
+    "<article class=comment>", "<div id='comment-7'>", "<ul class='user-replies'>", "<div class='post-comments'>",
+])
+@pytest.mark.parametrize("many", [1, 200])
+def test_html_hidden_elements_and_comments_go(tag, many):
+    body = "".join(f"<p>Paragraph {i} of the main text, which stands in one element of the page.</p>" for i in range(4))
+    other = "<p>A reader or a script wrote this, and much more.</p>" * many
+    found = html_blocks.main_text(f"<body><div class=story>{body}</div>{tag}{other}</{tag.split()[0].strip('<>')}></body>")
+    assert found == "\n\n".join(f"Paragraph {i} of the main text, which stands in one element of the page." for i in range(4))
+
+
 def test_html_names_do_not_delete_the_text():
     body = "".join(f"<p>Paragraph {i} of the main text, which stands in a plain element of the page.</p>" for i in range(6))
     whole = html_blocks.main_text(f"<body><div>{body}</div>")
@@ -767,3 +793,47 @@ def test_html_time_is_linear_in_long_pages(page):
     began = time.perf_counter()
     html_blocks.main_text(page)
     assert time.perf_counter() - began < 20
+
+
+def test_links_of_very_long_sets_are_exact():
+    small, large = np.arange(671_109, dtype=np.uint64), np.arange(789_540, dtype=np.uint64)  # 85 of 100, exactly
+    n = np.array([len(small), len(large)])
+    assert jaccard_join._linked_exactly(n, [small, large], 85)[0, 1]
+    assert not jaccard_join._linked_exactly(np.array([len(small) - 1, len(large)]), [small[1:], large], 85)[0, 1]
+
+
+def test_ids_that_are_no_numbers_stay(spark):
+    words = " ".join(f"w{i}" for i in range(200))
+    docs = spark.createDataFrame([("b2", words), ("a1", words + " more"), ("c3", "something else entirely"), (None, ""), ("", words)], "doc_id string, text string")
+    found = {r.doc_id: r.component_id for r in jaccard_join.join_components(docs).collect()}
+    assert found == {"b2": "", "a1": "", "": "", "c3": "c3", None: None}
+    assert sorted(str(r.doc_id) for r in jaccard_join.keep_one(docs).collect()) == ["", "None", "c3"]
+    prints = {r.doc_id: r for r in fingerprints.followed(docs).collect()}
+    assert set(prints) == {"b2", "a1", "c3", "", None} and prints["c3"].near_next == 0.0 and prints["b2"].near_next > 0.8
+
+
+def test_the_score_of_whole_templates_is_at_most_1():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        index = licenses.Index()
+        index.weigh(1000, {i: int(n) for i, n in enumerate(rng.integers(0, 1000, len(index.words)))})
+        for t, text in enumerate(index.texts):
+            labels, score = index.match(np.arange(len(text)), np.array(text))
+            assert score <= 1.0 and index.templates[t][0] in labels
+
+
+def test_depths_that_do_not_fit_are_refused(docs):
+    for depth in (1, 8):
+        with pytest.raises(ValueError):
+            context_tree.score(docs, docs.doc_id % 2 == 0, depth=depth)
+
+
+def test_every_source_comes_near_its_target(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    taken = collections.Counter()
+    target = {}
+    for r in mixing.mix(table).collect():
+        taken[r.source] += r["copies"] * r["size"]
+        target[r.source] = r["target"]
+    off = [abs(taken[s] / t - 1) for s, t in target.items()]
+    assert max(off) < 0.05 and np.mean(off) < 0.015

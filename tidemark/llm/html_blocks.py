@@ -2,8 +2,9 @@
 
 Markup is stripped into lines, one for each block of the page. A line that belongs to page furniture (menus,
 headers, footers, sidebars, notices, adverts, forms, comments; told by element, role, class or id) has no length
-and leaves a gap. An element that has more than half of the page's text outside links and comments, and in it the page's
-article, main or h1 element or some lines, is no furniture, whatever it is called. Lengths are summed over a sliding window of lines; a run of windows with text starts at a surge
+and leaves a gap. An element that has more than half of the page's text outside links, and in it the page's
+article, main or h1 element or some lines, is no furniture, whatever it is called; neither are elements called comments if
+no sentence stands outside furniture. Only hidden elements and controls never are text. Lengths are summed over a sliding window of lines; a run of windows with text starts at a surge
 point and ends at a dive point. The body is the deepest element that has more than half of the page's text outside
 links, or the article or main element around it. The main text goes from the surge of the first to the dive of the last
 run that is of the body or reads like text: no more than half of it stands in links, and it has a dense window, a
@@ -56,42 +57,51 @@ WEAK = frozenset(
 )
 CONTENT = frozenset("content article main body post story entry text".split())
 #: Classes that say what an element is about or has beside it, not what it is.
-_ABOUT = re.compile(r"(?:has|with|no|category|tag)-\S*|\S*-(?:open|closed)")
-NO, SOFT, END, HARD = 0, 1, 2, 3
+_ABOUT = re.compile(r"(?:has|with|no|category|tag|show|hide|allow|enable)-\S*|\S*-(?:open|closed|enabled|disabled|allowed|on|off)")
+NO, SOFT, END, TALK, HARD = range(5)
 
 _NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 #: The rest of a tag: a quote counts where it follows an equals sign and is closed.
 _REST = re.compile(r"""((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+#: One attribute after the other: a name, and a value with or without quotes.
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*"|'[^']*'|[^\s>]+))?""")
+_UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!\s*important\s*)?(?:;|$)")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z]+")
-_SENTENCE = re.compile(r"""\w.*[.!?…。！？]["'”’»)\]]*\Z""", re.S)
+_LETTER = re.compile(r"\w")
 
 
 def furniture(name: str, attributes: str, inside: bool) -> int:
-    """NO, SOFT (unless it holds most of the text), END (the same, but it has to hold an article or h1, too) or HARD."""
+    """What an element is: NO furniture, SOFT (unless it holds most of the text), END (the same, but it has to hold an article or h1,
+    too), TALK (what readers wrote, unless it holds most of the text and a heading, or nothing else reads like text) or HARD."""
     if name in HIDDEN:
         return HARD
     found = END if name in ("nav", "footer", "aside", "menu") else SOFT if name in FURNITURE or (name == "header" and not inside) else NO
     if not attributes or name in ("body", "html"):
         return found
     for key, value in _ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), value.strip("\"'").lower()
+        key, value = key.lower(), html.unescape(value.strip("\"'")).lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
             return HARD
-        if key == "style" and re.search(r"display\s*:\s*none", value):
+        if key == "style" and _UNSEEN.search(value):
             return HARD
         if key == "role" and value in ROLES:
             found = max(found, SOFT)
         if key in ("class", "id") and name != "main":
             words = set(_WORD.findall(" ".join(x for x in value.split() if not _ABOUT.fullmatch(x))))
             if words & COMMENTS:
-                return HARD
-            if words & STRONG or (words & WEAK and not words & CONTENT):
+                found = max(found, TALK)
+            elif words & STRONG or (words & WEAK and not words & CONTENT):
                 found = max(found, END if words & {"footer", "nav", "menu", "cookie", "cookies", "ad", "ads"} else SOFT)
     return found
 
 
+def is_sentence(text: str) -> bool:
+    """Whether a text ends as sentences do; looked at from its end, so long lines cost no more than short ones."""
+    end = text.rstrip("\"'”’»)]")
+    return end[-1:] in tuple(".!?…。！？") and _LETTER.search(end, 0, len(end) - 1) is not None
+
+
 def tags(page: str):
     """(start, end, "/" or "", name, attributes) of every tag in order; comments and declarations have no name."""
     at, size, cdata = 0, len(page), True
@@ -236,6 +246,7 @@ def shown(lines: list[tuple[str, int, int, int]], kinds: list[int], outer: list[
     for i in range(1, len(kinds)):
         hidden[i] = hidden[outer[i]] or kinds[i] == HARD
     whole = sum(w for w, h in zip(weight, hidden, strict=True) if not h)
+    speaks = any(not within and 2 * linked <= len(text) and is_sentence(text) for text, linked, _, within in lines)
     for i in range(len(kinds) - 1, 0, -1):
         if not hidden[i]:
             weight[outer[i]] += weight[i]
@@ -243,7 +254,7 @@ def shown(lines: list[tuple[str, int, int, int]], kinds: list[int], outer: list[
             if i in holds:
                 holds.add(outer[i])
     for i in range(1, len(kinds)):
-        is_text = 2 * weight[i] > whole and (i in holds or kinds[i] == SOFT and many[i] >= SOME)
+        is_text = 2 * weight[i] > whole and (i in holds or kinds[i] == SOFT and many[i] >= SOME or kinds[i] == TALK and not speaks)
         hidden[i] = hidden[outer[i]] or kinds[i] == HARD or not is_text
     found: list[tuple[str, int, int]] = []
     for text, linked, box, within in lines:
@@ -298,7 +309,7 @@ def main_text(page: str | None) -> str:
         if 2 * sum(plain) < sum(lengths[start:dive]):
             return False
         dense = any(sum(plain[i : i + WINDOW]) >= DENSE for i in range(len(plain)))
-        return of_body or dense or any(2 * n >= len(text) and _SENTENCE.search(text) for n, (text, _, _) in zip(plain, run, strict=True))
+        return of_body or dense or any(2 * n >= len(text) and is_sentence(text) for n, (text, _, _) in zip(plain, run, strict=True))
 
     # furniture inside the text makes a gap, too: the main text goes from the first to the last run of text
     found = [run for run in runs if is_text(*run)] or runs
