@@ -430,8 +430,11 @@ def score(
 ) -> DataFrame:
     """Every row's id, held_out, token counts, base score, log10 probability and bits per predicted byte.
 
-    ``held_out`` is a boolean column expression; what it marks is scored but not learned from. ``depth`` is 2 to 7.
+    ``held_out`` is a boolean column expression; what it marks is scored but not learned from. ``depth`` is 2 to 7, as a
+    context and its byte are one 64-bit number.
     """
+    if not 2 <= depth <= 7:
+        raise ValueError(f"depth is 2 to 7, not {depth}")
     blocks = blocks_for(docs, text, block_bytes)
     block = F.pmod(F.xxhash64(doc_id, text), F.lit(blocks)).cast("int").alias("block")
     rows = docs.select(block, F.col(doc_id).alias("doc_id"), F.coalesce(held_out, F.lit(True)).alias("held_out"), F.col(text).alias("text"))

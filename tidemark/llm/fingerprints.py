@@ -109,15 +109,18 @@ def fingerprint(docs: DataFrame, text: str = "text", bins: int = BINS, bits: int
     return docs.withColumn("fingerprint", prints(F.col(text)))
 
 
-_OUT = pa.schema([
-    ("part", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
-    ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("text", pa.string()),
-])
-_COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+def _out(kind: pa.DataType) -> pa.Schema:
+    return pa.schema([
+        ("part", pa.int32()), ("kind", pa.int32()), ("doc_id", kind), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
+        ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("text", pa.string()),
+    ])
+
+
+_COLUMNS = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 DONE, FIRST, LAST = 0, 1, 2
 
 
-def _figures(ids: list, texts: list[str], low: np.ndarray) -> dict[str, pa.Array]:
+def _figures(ids: list, kind: pa.DataType, texts: list[str], low: np.ndarray) -> dict[str, pa.Array]:
     """The columns of every text but the last, each followed by the one after it."""
     edited = []
     for own, other in zip(texts, texts[1:], strict=False):
@@ -125,64 +128,66 @@ def _figures(ids: list, texts: list[str], low: np.ndarray) -> dict[str, pa.Array
         edited.append(own[: len(own) - m] + other[:m])
     a, b = low[:-1], packed(edited)
     return {
-        "doc_id": pa.array(ids[:-1], pa.int64()), "n_chars": pa.array([len(x) for x in texts[:-1]], pa.int64()),
+        "doc_id": pa.array(ids[:-1], kind), "n_chars": pa.array([len(x) for x in texts[:-1]], pa.int64()),
         "edited_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edited], pa.string()),
         "fingerprint": pa.array(as_text(a), pa.string()), "edited_fingerprint": pa.array(as_text(b), pa.string()),
         "near_edited": pa.array(likeness(a, b)), "near_next": pa.array(likeness(a, low[1:])),
     }
 
 
-def _row(part: int, kind: int, doc_id, text: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist([{"part": part, "kind": kind, "doc_id": doc_id, "text": text}], _OUT)
+def _row(schema: pa.Schema, part: int, kind: int, doc_id, text: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([{"part": part, "kind": kind, "doc_id": doc_id, "text": text}], schema)
 
 
 def _follow(batches):
     """Done rows of a sorted range, and its first and last row with their texts."""
     held = None  # id, text and bits of the row before
     for batch in batches:
+        out = _out(batch.column("doc_id").type)
         for at in range(0, len(batch), TOGETHER):
             rows = batch.slice(at, TOGETHER)
             ids, texts = rows.column("doc_id").to_pylist(), [t or "" for t in rows.column("text").to_pylist()]
             part = rows.column("part")[0].as_py()
             if held is None:
-                yield _row(part, FIRST, None, texts[0])
+                yield _row(out, part, FIRST, None, texts[0])
             low = packed(texts)
             if held is not None:
                 ids, texts, low = [held[0], *ids], [held[1], *texts], np.concatenate([held[2], low])
             if len(texts) > 1:
-                found = _figures(ids, texts, low)
+                found = _figures(ids, out.field("doc_id").type, texts, low)
                 n = len(texts) - 1
                 same = {"part": pa.array(np.full(n, part, np.int32)), "kind": pa.array(np.full(n, DONE, np.int32)), "text": pa.nulls(n, pa.string())}
-                yield pa.RecordBatch.from_arrays([(found | same)[c] for c in _OUT.names], schema=_OUT)
+                yield pa.RecordBatch.from_arrays([(found | same)[c] for c in out.names], schema=out)
             held = ids[-1], texts[-1], low[-1:]
     if held is not None:
-        yield _row(part, LAST, held[0], held[1])
+        yield _row(out, part, LAST, held[0], held[1])
 
 
 def _finish(batches):
     """Last rows of ranges with the text that follows."""
-    names = [c.split()[0] for c in _COLUMNS.split(", ")]
+    names = ["doc_id", *(c.split()[0] for c in _COLUMNS.split(", "))]
     for batch in batches:
         for doc_id, text, follower in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "follower")), strict=True):
-            found = _figures([doc_id, None], [text, follower], packed([text, follower]))
+            found = _figures([doc_id, None], batch.column("doc_id").type, [text, follower], packed([text, follower]))
             yield pa.RecordBatch.from_arrays([found[c] for c in names], names)
 
 
 def followed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", range_rows: int = RANGE_ROWS) -> DataFrame:
     """Fingerprints of every document and of its text with the last third taken from the next document."""
-    rows = docs.select(F.expr(f"try_cast(`{doc_id}` AS long)").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    columns = f"doc_id {dict(docs.dtypes)[doc_id]}, {_COLUMNS}"
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     n, size = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     parts = max(1, -(-n // range_rows), min(n, -(-(size or 0) // RANGE_BYTES)))
     order = [F.col("doc_id").desc_nulls_last(), F.md5("text").desc()]
     ranges = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    found = written(ranges.mapInArrow(_follow, f"part int, kind int, {_COLUMNS}, text string"), "ranges")
+    found = written(ranges.mapInArrow(_follow, f"part int, kind int, {columns}, text string"), "ranges")
     done = found.where(F.col("kind") == DONE).drop("part", "kind", "text")
     first = found.where(F.col("kind") == FIRST).select(F.col("part").alias("next"), F.col("text").alias("follower"))
     # the range after each one that has rows, the first one after the last: two numbers a range
     along = Window.orderBy("next")
     ring = first.select(F.col("next").alias("part"), F.coalesce(F.lead("next").over(along), F.min("next").over(Window.partitionBy())).alias("next"))
     last = found.where(F.col("kind") == LAST).select("part", "doc_id", "text").join(ring, "part").join(first, "next")
-    return done.unionByName(last.select("doc_id", "text", "follower").mapInArrow(_finish, _COLUMNS))
+    return done.unionByName(last.select("doc_id", "text", "follower").mapInArrow(_finish, columns))
 
 
 def op6_fingerprints(spark, sf_dir):

@@ -32,7 +32,7 @@ leave a task, never all pairs of a key or of a group of copies. Equal sets are o
 Defined cases: a null text counts as empty; a document without words has no shingles, is linked with nothing and is
 its own component; a document with fewer words than ``width`` has its whole sequence as one shingle; repeated rows
 are documents of their own and linked if they have words; a null id stays null (its component is the smallest other
-id, if any); an id that is no whole number counts as null; other columns are not read; an empty table gives an empty
+id, if any); ids keep their type, whose order says which is smallest; other columns are not read; an empty table gives an empty
 result.
 """
 
@@ -278,12 +278,12 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    common, width = np.zeros((len(sets), len(sets)), np.float32), 4096
+    common, width = np.zeros((len(sets), len(sets)), np.int64), 4096
     for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         a, b = np.searchsorted(column, (low, low + width))
         part = np.zeros((len(sets), min(width, int(column[-1]) + 1 - low)), np.float32)
         part[row[a:b], column[a:b] - low] = 1
-        common += part @ part.T
+        common += (part @ part.T).astype(np.int64)  # at most 4096 each, exact
     return common
 
 
@@ -432,8 +432,8 @@ def _classes(docs: DataFrame, text: str, doc_id: str, width: int, percent: int)
     spark = docs.sparkSession
     buckets = blocks_for(docs, text)
     tasks = 4 * buckets
-    narrow = docs.select(F.expr(f"try_cast(`{doc_id}` AS long)").alias("id"), F.col(text).alias("text"))
-    infos = written(narrow.mapInArrow(_infos(width, percent), "id long, n long, sid long, even int, odd int"), "infos")
+    narrow = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    infos = written(narrow.mapInArrow(_infos(width, percent), f"id {dict(narrow.dtypes)['id']}, n long, sid long, even int, odd int"), "infos")
     one = infos.where("sid <> 0").groupBy("sid").agg(F.min("id").alias("id"), F.first("even").alias("even"), F.first("odd").alias("odd"))
     index = narrow.select("text").mapInArrow(_index(width, percent, buckets), "bucket int, keys array<bigint>, sids array<bigint>")
     found = written(index.groupBy("bucket").applyInArrow(_groups, "gid long, sid long, keys long"), "groups")
@@ -516,9 +516,10 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
                 own = pa.array(np.concatenate([np.zeros(0, np.int64), *found])) if may_be_meant else pa.nulls(len(part), pa.int64())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("_row", "_text", "_key")), own], ["_row", "_text", "_key", "_own"])
 
-        return rows.mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, _text string, _key long, _own long")
+        kind = {c: t for c, t in rows.dtypes}
+        return rows.mapInArrow(run, f"_row {kind['_row']}, _text string, _key {kind['_key']}, _own long")
 
-    own_id = F.expr(f"try_cast(`{doc_id}` AS long)")
+    own_id = F.col(doc_id)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).cast("string").alias("_text"), own_id.alias("_key"), F.xxhash64(own_id).alias("_hash"))
     meant = rows_that(True)
     same = F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_of"))

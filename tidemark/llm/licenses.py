@@ -151,7 +151,7 @@ class Index:
                         shares[p - q] += self.weights[w]
                 done = reach.stop
             for shift, weight in shares.items():
-                share = weight / self.totals[t]
+                share = min(1.0, weight / self.totals[t])  # sums in another order may differ in the last bit
                 if share >= COVER and any(p in begins for p in range(shift - 2, shift + size + 2)):
                     best = max(best, share)
                     labels.add(self.templates[t][0])
