@@ -90,14 +90,6 @@ def test_xml_rows_stay_with_their_node(spark):
     assert [tuple(r) for r in archive.xml_rows(df, "b", "/doc/list/station", {"id": "code"}).collect()] == [("3",)]
 
 
-def test_rain_and_dam_payloads(spark):
-    rain = '{"data":[{"rainfall_datetime":"2024-01-01 01:00","rain_1h":"2.5","rain_24h":"x"},{"rainfall_datetime":"?","rain_1h":"1"}]}'
-    dam = '{"data":[{"dam_date":"2024-01-01","dam_inflow":"1","dam_released":"2","dam_spilled":null,"dam_storage":"4"}]}'
-    df = spark.createDataFrame([("a", rain, dam)], "id string, rain string, dam string")
-    assert [(r.variable, r.value) for r in archive.rain_payload(df, "rain", "id").collect()] == [("rain_1h", 2.5)]
-    assert sorted((r.variable, r.value) for r in archive.dam_payload(df, "dam", "id").collect()) == [("inflow", 1.0), ("released", 2.0), ("storage", 4.0)]
-
-
 def test_text_readers(spark):
     text_ = ["xmlns:cpt=x", "cpt:T=2024-10, more", "\t99.5\t100.5", "7.5\t1\t2", "6.5\t-999\t4", "cpt:T=2024-11, more", "\t99.5\t100.5", "7.5\t5\t6", "6.5\t7\t8"]
     lines = spark.createDataFrame([("f", i, x) for i, x in enumerate(text_)], "file string, no int, value string")

@@ -17,8 +17,14 @@ def with_month(rows: DataFrame) -> DataFrame:
     return rows.withColumn("month", F.date_format("ts", "yyyy-MM"))
 
 
+def dealt(rows: DataFrame, parts: int = 16) -> DataFrame:
+    """Rows dealt by variable, month and a share of the entities, so a large month is several tasks' work; each is sorted for reading."""
+    share = F.pmod(F.xxhash64("entity"), F.lit(parts))
+    return rows.repartition(*PARTITIONS, share).sortWithinPartitions(*PARTITIONS, "entity", "ts")
+
+
 def write_archive(rows: DataFrame, path: str) -> None:
-    with_month(rows).repartition(*PARTITIONS).write.mode("overwrite").partitionBy(*PARTITIONS).parquet(path)
+    dealt(with_month(rows)).write.mode("overwrite").partitionBy(*PARTITIONS).parquet(path)
 
 
 def read_series(spark: SparkSession, path: str, variable: str, start: str, end: str, entities: list | None = None) -> DataFrame:
@@ -51,44 +57,42 @@ def merge_archive(new: DataFrame, path: str, keys: tuple[str, ...] = ("entity",
     staged = spark.read.schema(kept.schema).parquet(aside)
     changed = staged.select(*PARTITIONS).distinct().count()
     if changed:
-        staged.select(*kept.columns).repartition(*PARTITIONS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
+        dealt(staged.select(*kept.columns)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
     return changed
 
 
-LEVELS = "result string, data struct<graph_data: array<struct<datetime: string, value: string>>>"
-
-
-def level_payload(raw: DataFrame, body: str, entity: str, variable: str = "waterlevel", unit: str = "m") -> DataFrame:
-    """Tidy rows of level payloads; values that are no numbers, and times that are none, are left out."""
-    points = raw.select(F.col(entity).alias("entity"), F.explode(F.from_json(body, LEVELS).getField("data").getField("graph_data")).alias("p"))
-    rows = points.select(
-        "entity", F.lit(variable).alias("variable"), F.expr("try_cast(p.datetime AS timestamp)").alias("ts"),
-        F.expr("try_cast(p.value AS double)").alias("value"), F.lit(unit).alias("unit"),
-    )
-    return rows.where("ts IS NOT NULL AND value IS NOT NULL")
+CLOCK = "Asia/Bangkok"  # payloads have the clock of their place
+LEVELS = "data struct<graph_data: array<struct<datetime: string, value: string, discharge: string>>>"
+RAIN = "data array<struct<rainfall_datetime: string, rainfall_value: string, date_time: string, rainfall: string>>"
+DAM = "data struct<graph_data: array<struct<data: array<struct<date: string, value: string>>>>>"
 
 
-RAIN = "data array<struct<rainfall_datetime: string, rain_24h: string, rain_1h: string>>"
-DAM = "data array<struct<dam_date: string, dam_inflow: string, dam_released: string, dam_spilled: string, dam_storage: string>>"
+def _tidy(points: DataFrame, ts: Column, measures: dict[str, tuple[str, Column]], clock: str) -> DataFrame:
+    """One tidy row for each measure (variable -> unit, text) that is a number, at a time that is one; zone suffixes are dropped."""
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), value.try_cast("double").alias("value"), F.lit(u).alias("unit")) for v, (u, value) in measures.items()]))
+    moment = F.to_utc_timestamp(F.substring(ts, 1, 19).try_cast("timestamp"), clock)
+    rows = points.select("entity", moment.alias("ts"), each.alias("m")).select("entity", "m.variable", "ts", "m.value", "m.unit")
+    return rows.where("ts IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)")
 
 
-def _measured(points: DataFrame, ts: str, units: dict[str, tuple[str, str]]) -> DataFrame:
-    """One tidy row for each named field of the structs ``p`` that is a number: field -> (variable, unit)."""
-    each = F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), F.expr(f"try_cast(p.{f} AS double)").alias("value"), F.lit(u).alias("unit")) for f, (v, u) in units.items()])).alias("m")
-    rows = points.select("entity", F.expr(f"try_cast(p.{ts} AS timestamp)").alias("ts"), each).select("entity", "m.variable", "ts", "m.value", "m.unit")
-    return rows.where("ts IS NOT NULL AND value IS NOT NULL")
+def level_payload(raw: DataFrame, body: str, entity: str, variable: str = "waterlevel", unit: str = "m", clock: str = CLOCK) -> DataFrame:
+    """Tidy rows of level payloads, levels and discharges; values that are no numbers, and times that are none, are left out."""
+    points = raw.select(F.col(entity).alias("entity"), F.explode(F.from_json(body, LEVELS)["data"]["graph_data"]).alias("p"))
+    return _tidy(points, F.col("p.datetime"), {variable: (unit, F.col("p.value")), "discharge": ("m3/s", F.col("p.discharge"))}, clock)
 
 
-def rain_payload(raw: DataFrame, body: str, entity: str) -> DataFrame:
-    """Tidy rows of rain payloads, by hour and by day."""
-    points = raw.select(F.col(entity).alias("entity"), F.explode(F.from_json(body, RAIN).getField("data")).alias("p"))
-    return _measured(points, "rainfall_datetime", {"rain_1h": ("rain_1h", "mm"), "rain_24h": ("rain_24h", "mm")})
+def rain_payload(raw: DataFrame, body: str, entity: str, variable: str = "rain_daily", clock: str = CLOCK) -> DataFrame:
+    """Tidy rows of rain payloads, hourly, daily or monthly: which of them, ``variable`` says."""
+    points = raw.select(F.col(entity).alias("entity"), F.explode(F.from_json(body, RAIN)["data"]).alias("p"))
+    value = F.coalesce("p.rainfall_value", "p.rainfall")
+    return _tidy(points, F.coalesce("p.rainfall_datetime", "p.date_time"), {variable: ("mm", value)}, clock)
 
 
-def dam_payload(raw: DataFrame, body: str, entity: str) -> DataFrame:
-    """Tidy rows of dam payloads: what flows in, is released, spills and is stored."""
-    points = raw.select(F.col(entity).alias("entity"), F.explode(F.from_json(body, DAM).getField("data")).alias("p"))
-    return _measured(points, "dam_date", {f"dam_{c}": (c, "mcm") for c in ("inflow", "released", "spilled", "storage")})
+def dam_payload(raw: DataFrame, body: str, entity: str, variable: str, clock: str = CLOCK) -> DataFrame:
+    """Tidy rows of dam payloads, by hour or by day: one variable a payload, its years one after another."""
+    years = raw.select(F.col(entity).alias("entity"), F.explode(F.from_json(body, DAM)["data"]["graph_data"]).alias("y"))
+    points = years.select("entity", F.explode("y.data").alias("p"))
+    return _tidy(points, F.col("p.date"), {variable: ("m" if variable == "dam_level" else "Mm3", F.col("p.value"))}, clock)
 
 
 def grid_text(lines: DataFrame, lons: list[float], lats: list[float]) -> DataFrame:
