@@ -5,28 +5,35 @@ Loops over rounds read each round once, from a table written to the shared folde
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.tables import written
 
 
-def pointer_doubling(pointers: DataFrame, start: Column | None = None, add: Column | None = None) -> DataFrame:
+def pointer_doubling(pointers: DataFrame, start: Column | None = None, add: Column | None = None, combine=lambda a, b: a + b) -> DataFrame:
     """(node, outlet, steps) along next-pointers, by squaring the pointer table until every node is at its outlet.
 
     ``pointers`` is (node, to), at most one row a node and no circle; nodes without a pointer are outlets. ``add`` is what
-    each step adds to ``steps``, 1 by default.
+    each step adds to ``steps``, 1 by default, and ``combine`` how (``F.greatest`` gives the largest on the way). Nodes that have
+    come to their outlet are set aside and join no more; the others only look up where they point.
     """
-    known = written(pointers.select("node", "to", (F.lit(1) if add is None else add).alias("steps")), "pointers")
+    active = written(pointers.select("node", "to", (F.lit(1) if add is None else add).alias("steps")), "pointers")
+    settled: list[DataFrame] = []
     while True:
-        ahead = known.select(F.col("node").alias("to"), F.col("to").alias("far"), F.col("steps").alias("more"))
-        step = known.join(ahead, "to", "left")
-        moved = written(
-            step.select("node", F.coalesce("far", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("far").isNotNull().alias("moved")), "pointers"
-        )
-        known = moved.drop("moved")
-        if moved.where("moved").isEmpty():
-            return known.withColumnRenamed("to", "outlet")
+        every = active
+        for part in settled:
+            every = every.unionByName(part)
+        ahead = every.select(F.col("node").alias("to"), F.col("to").alias("far"), F.col("steps").alias("more"))
+        moved = active.join(ahead, "to", "left")
+        steps = F.when(F.col("far").isNull(), F.col("steps")).otherwise(combine(F.col("steps"), F.col("more"))).alias("steps")
+        moved = written(moved.select("node", F.coalesce("far", "to").alias("to"), steps, F.col("far").isNotNull().alias("moved")), "pointers")
+        settled.append(moved.where("NOT moved").drop("moved"))
+        active = moved.where("moved").drop("moved")
+        if active.isEmpty():
+            return reduce(DataFrame.unionByName, settled).withColumnRenamed("to", "outlet")
 
 
 def upstream(pointers: DataFrame, targets: DataFrame) -> DataFrame:
@@ -45,38 +52,86 @@ def upstream(pointers: DataFrame, targets: DataFrame) -> DataFrame:
     return whole.distinct()
 
 
+def _cheapest(sources: DataFrame, edges: DataFrame, keys: list[str], limit: float) -> DataFrame:
+    """(keys, node, cost): cheapest cost of each key's own sources within a limit. What becomes cheaper is added, nothing is rewritten."""
+    front = written(sources.select(*keys, "node", F.lit(0.0).alias("cost")).distinct(), "costs")
+    parts = [front]
+    on = [*keys, "node"]
+    while not front.isEmpty():
+        step = front.select(*keys, F.col("node").alias("a"), F.col("cost").alias("so_far")).join(edges, ["a", *[k for k in keys if k in edges.columns]])
+        new = step.select(*keys, F.col("b").alias("node"), (F.col("so_far") + F.col("cost")).alias("cost")).where(F.col("cost") <= limit)
+        new = written(new.groupBy(*on).agg(F.min("cost").alias("cost")), "reached")
+        known = reduce(DataFrame.unionByName, parts).join(new.select(*on), on, "left_semi").groupBy(*on).agg(F.min("cost").alias("old"))
+        front = written(new.join(known, on, "left").where("old IS NULL OR cost < old").drop("old"), "costs")
+        parts.append(front)
+    return reduce(DataFrame.unionByName, parts).groupBy(*on).agg(F.min("cost").alias("cost"))
+
+
 def reach_within(edges: DataFrame, sources: DataFrame, limit: float) -> DataFrame:
     """(node, cost): cheapest cost from any source within a limit, over any number of edges.
 
     ``edges`` is (a, b, cost) with costs above 0, ``sources`` (node). Each round relaxes the edges of what became cheaper.
     """
-    best = written(sources.select("node", F.lit(0.0).alias("cost")).distinct(), "costs")
-    front = best
-    while not front.isEmpty():
-        step = front.select(F.col("node").alias("a"), F.col("cost").alias("so_far")).join(edges, "a")
-        new = step.select(F.col("b").alias("node"), (F.col("so_far") + F.col("cost")).alias("cost")).where(F.col("cost") <= limit)
-        new = new.groupBy("node").agg(F.min("cost").alias("new"))
-        joined = written(best.join(new, "node", "full").select("node", F.least("cost", "new").alias("cost"), (F.col("cost").isNull() | (F.col("new") < F.col("cost"))).alias("better")), "costs")
-        best, front = joined.drop("better"), joined.where("better").drop("better")
-    return best
+    return _cheapest(sources, edges, [], limit)
+
+
+def flooded_edges(edges: DataFrame, wet: DataFrame, cell: float) -> DataFrame:
+    """Edges (a, b, x1, y1, x2, y2, bridge) with ``flooded``: two of both ends and the middle lie on wet cells (row, col), and it is no bridge."""
+    points = [(F.col("x1"), F.col("y1")), (F.col("x2"), F.col("y2")), ((F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2)]
+    at = edges.select("a", "b", F.explode(F.array(*[F.struct(F.floor(y / cell).alias("row"), F.floor(x / cell).alias("col")) for x, y in points])).alias("p")).select("a", "b", "p.*")
+    hits = at.join(wet.select("row", "col").distinct(), ["row", "col"]).groupBy("a", "b").agg(F.count("*").alias("_hits"))
+    found = edges.join(hits, ["a", "b"], "left")
+    return found.withColumn("flooded", (F.coalesce("_hits", F.lit(0)) >= 2) & ~F.coalesce("bridge", F.lit(False))).drop("_hits")
+
+
+def served(edges: DataFrame, sources: DataFrame, houses: DataFrame, limit: float) -> DataFrame:
+    """(source, houses, houses_dry, route_dry, mean_dry): what each source serves within a limit of cost, with and without flooded edges.
+
+    ``edges`` is (a, b, cost, flooded), given both ways, ``sources`` (source, node), ``houses`` (node, houses). All sources and both
+    states go through the graph together, a key of its own each: edges are read once a round, whatever there are.
+    """
+    states = edges.select("a", "b", "cost", F.explode(F.when(F.col("flooded"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("dry"))
+    starts = sources.select("source", "node", F.explode(F.array(F.lit(False), F.lit(True))).alias("dry"))
+    reached = _cheapest(starts, states, ["source", "dry"], limit).join(houses, "node")
+    total = lambda dry, v: F.coalesce(F.sum(F.when(F.col("dry") == dry, v)), F.lit(0))
+    sums = reached.groupBy("source").agg(
+        total(False, F.col("houses")).alias("houses"), total(True, F.col("houses")).alias("houses_dry"), total(True, F.col("houses") * F.col("cost")).alias("_cost")
+    )
+    sums = sources.select("source").distinct().join(sums, "source", "left").na.fill(0, ["houses", "houses_dry", "_cost"])
+    share = F.when(F.col("houses") >= 1, F.round(F.try_divide(F.col("houses_dry"), F.col("houses")), 3))
+    mean = F.when(F.col("houses_dry") >= 1, F.round(F.try_divide(F.col("_cost"), F.col("houses_dry")), 4))
+    return sums.select("source", "houses", "houses_dry", share.alias("route_dry"), mean.alias("mean_dry"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the undirected ``edges`` (u, v); root is the smallest node of its component.
 
-    Each round, nodes take the smallest root among their neighbours and then the root of their root, so roots travel twice
-    as far a round.
+    Every node that is no local minimum, in an order by hash, hooks to its smallest neighbour; edges are rewritten to what
+    their ends hooked to, and loops and repeats are dropped, so edges shrink by a constant factor a round and what is
+    settled is not read again.
     """
-    both = written(edges.select("u", "v").union(edges.select("v", "u")).where("u <> v").distinct(), "edges")
-    known = written(both.groupBy(F.col("u").alias("node")).agg(F.min(F.least("u", "v")).alias("root")), "roots")
-    while True:
-        around = both.join(known.select(F.col("node").alias("v"), "root"), "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("near"))
-        low = known.join(around, "node").select("node", "root", F.least("root", "near").alias("new"))
-        up = known.select(F.col("node").alias("new"), F.col("root").alias("up"))
-        moved = written(low.join(up, "new").select("node", F.least("new", "up").alias("root"), (F.least("new", "up") < F.col("root")).alias("moved")), "roots")
-        known = moved.drop("moved")
-        if moved.where("moved").isEmpty():
-            return known
+    named = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("node"))
+    pairs = edges.where("u <> v").select(named("u").alias("u"), named("v").alias("v"))
+    left = written(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
+    hooks: list[DataFrame] = []
+    while not left.isEmpty():
+        step = written(left.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("to")), "hooks")
+        hooks.append(step)
+        for end in ("u", "v"):
+            left = left.join(step.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+        left = written(left.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+    if not hooks:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).limit(0)
+    # where a node is after all rounds: its target of each round is looked up in the next ones, put together from the last back
+    top = hooks[-1].select("node", "to")
+    for step in reversed(hooks[:-1]):
+        known = top.select(F.col("node").alias("to"), F.col("to").alias("up"))
+        first = step.join(known, "to", "left").select("node", F.coalesce("up", "to").alias("to"))
+        top = written(top.join(step.select("node"), "node", "left_anti").unionByName(first), "hooked")
+    heads = top.select(F.col("to").alias("node"), "to").distinct().join(top.select("node"), "node", "left_anti")
+    every = top.unionByName(heads)
+    smallest = every.groupBy("to").agg(F.min("node.node").alias("root"))
+    return every.join(smallest, "to").select(F.col("node.node").alias("node"), "root")
 
 
 def patches(cells: DataFrame, least: int = 1) -> DataFrame:
@@ -210,3 +265,159 @@ def filled(cells: DataFrame, volume: float, area: float, steps: int = 24) -> Dat
 
     kind = dict(cells.dtypes)["reach"]
     return cells.select("reach", "row", "col", F.col("height").cast("double").alias("height"), "channel").groupBy("reach").applyInPandas(fill, f"reach {kind}, level double, volume double, cells long")
+
+
+def join_levels(cells: DataFrame) -> DataFrame:
+    """(reach, row, col, height, level): the lowest water level at which each cell joins its reach's channel, over side neighbours.
+
+    ``cells`` is (reach, row, col, height, channel). The level is the smallest possible maximum height on a way to the channel, both
+    ends included; NULL where no way leads there. Found over a bottleneck spanning forest in rounds: each part that the channel is
+    not yet in takes its lowest exit (ties by place), which every way out of it has to pass or exceed; of two parts that
+    take the same exit one stays open. Exits are pointers from cell to cell, and the level is the largest on the
+    pointers' way. Parts at least halve in number a round, and no round gathers a reach.
+    """
+    rows = cells.where(F.col("height").isNotNull()).select("reach", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("height").cast("double").alias("h"), "channel")
+    rows = written(rows, "cells")
+    sea = F.struct("reach", F.lit(-(1 << 62)).alias("row"), F.lit(-(1 << 62)).alias("col"))
+    place = F.when(F.col("channel"), sea).otherwise(F.struct("reach", "row", "col"))
+    nodes = rows.select("reach", "row", "col", place.alias("node"), "h")
+    steps = F.array(F.struct((F.col("row") + 1).alias("row"), "col"), F.struct("row", (F.col("col") + 1).alias("col")))
+    near = nodes.select("reach", F.col("node").alias("u"), F.col("h").alias("hu"), F.explode(steps).alias("_n")).select("reach", "u", "hu", "_n.row", "_n.col")
+    edges = near.join(nodes.select("reach", "row", "col", F.col("node").alias("v"), F.col("h").alias("hv")), ["reach", "row", "col"]).where("u <> v")
+    left = edges.select(F.col("u").alias("cu"), F.col("v").alias("cv"), F.greatest("hu", "hv").alias("w"), "u", "v")
+
+    def pruned(rows: DataFrame) -> DataFrame:
+        """Of parallel edges the lowest."""
+        ends = F.col("cu") < F.col("cv")
+        turned = rows.select(F.least("cu", "cv").alias("cu"), F.greatest("cu", "cv").alias("cv"), "w", F.when(ends, F.col("u")).otherwise(F.col("v")).alias("u"), F.when(ends, F.col("v")).otherwise(F.col("u")).alias("v"))
+        best = turned.groupBy("cu", "cv").agg(F.min(F.struct("w", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "u", "v")).alias("e"))
+        return written(best.select("cu", "cv", "e.w", "e.u", "e.v"), "exits")
+
+    left, pointers = pruned(left), []
+    is_sea = lambda c: F.col(f"{c}.row") == -(1 << 62)
+    while not left.isEmpty():
+        name = F.struct("w", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+        both = left.select(F.col("cu").alias("c"), F.struct(name.alias("edge"), F.col("cv").alias("d"), F.col("v").alias("x")).alias("e")).unionByName(
+            left.select(F.col("cv").alias("c"), F.struct(name.alias("edge"), F.col("cu").alias("d"), F.col("u").alias("x")).alias("e"))
+        )
+        exits = written(both.where(~is_sea("c")).groupBy("c").agg(F.min("e").alias("e")).select("c", "e.*"), "chosen")
+        back = exits.select(F.col("c").alias("d"), F.col("edge").alias("back"))
+        closed = exits.join(back, "d", "left").where(~((F.col("edge").eqNullSafe(F.col("back"))) & (F.col("c") < F.col("d"))))
+        closed = written(closed.select("c", "d", "x", F.col("edge.w").alias("w")), "closed")
+        pointers.append(closed.select(F.col("c").alias("node"), F.col("x").alias("to"), "w"))
+        merged = pointer_doubling(closed.select(F.col("c").alias("node"), F.col("d").alias("to"))).select("node", "outlet")
+        for end in ("cu", "cv"):
+            left = left.join(merged.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("outlet", end)).drop("outlet")
+        left = pruned(left.where("cu <> cv"))
+    found = nodes.withColumn("_level", F.lit(None).cast("double"))
+    if pointers:
+        way = pointer_doubling(reduce(DataFrame.unionByName, pointers), add=F.col("w"), combine=F.greatest)
+        way = way.where(is_sea("outlet")).select("node", F.col("steps").alias("_level"))
+        found = nodes.join(way, "node", "left")
+    level = F.when(is_sea("node"), F.col("h")).otherwise(F.col("_level"))
+    return found.select("reach", "row", "col", F.col("h").alias("height"), level.alias("level"))
+
+
+def filled_by_levels(cells: DataFrame, volume: float, area: float, steps: int = 4096) -> DataFrame:
+    """(reach, level, volume, cells): the water level at which the cells of each reach hold a volume, from the levels at which they join.
+
+    What is under water at a level are the cells that have joined below it, so the volume is a running sum over join levels. Levels
+    fall into steps, whose sums are added up before they move; only the step in which the volume is reached is read cell by
+    cell. Where a basin that joins holds more than what is missing, the level is where it joins. NULL without a channel.
+    """
+    joined = written(join_levels(cells), "joined")
+    rows = joined.where("level IS NOT NULL")
+    ends = rows.groupBy("reach").agg(F.min("level").alias("low"), F.max("level").alias("high"))
+    step = F.least(F.floor(F.coalesce(F.try_divide(F.col("level") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0)) * steps), F.lit(steps - 1))
+    rows = rows.join(ends, "reach").withColumn("step", step)
+    sums = rows.groupBy("reach", "step").agg(F.count("*").alias("n"), F.sum("height").alias("h"), F.max("level").alias("top"))
+    along = Window.partitionBy("reach").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.withColumn("k", F.sum("n").over(along)).withColumn("s", F.sum("h").over(along))
+    # the first step at whose top the volume is there; without one, all cells are under water
+    full = F.min(F.when((F.col("k") * F.col("top") - F.col("s")) * area >= volume, F.struct("step", (F.col("k") - F.col("n")).alias("k"), (F.col("s") - F.col("h")).alias("s"))))
+    every = sums.groupBy("reach").agg(full.alias("at"), F.sum("n").alias("k"), F.sum("h").alias("s"))
+    every = written(every, "fills")
+    inside = rows.select("reach", "step", "level", "height").join(every.where("at IS NOT NULL").select("reach", F.col("at.step").alias("step"), F.col("at.k").alias("k"), F.col("at.s").alias("s")), ["reach", "step"])
+    by_level = inside.groupBy("reach", "level").agg(F.count("*").alias("n"), F.sum("height").alias("h"), F.first("k").alias("k0"), F.first("s").alias("s0"))
+    rising = Window.partitionBy("reach").orderBy("level")
+    upto = rising.rowsBetween(Window.unboundedPreceding, 0)
+    by_level = by_level.withColumn("k", F.col("k0") + F.sum("n").over(upto)).withColumn("s", F.col("s0") + F.sum("h").over(upto)).withColumn("next", F.lead("level").over(rising))
+    # before the step's first cell, too, the volume may be reached
+    first = by_level.groupBy("reach").agg(F.min("level").alias("next"), F.first("k0").alias("k"), F.first("s0").alias("s")).where("k > 0").withColumn("level", F.lit(None).cast("double"))
+    states = by_level.select("reach", "level", "k", "s", "next").unionByName(first.select("reach", "level", "k", "s", "next"))
+    wanted = F.try_divide(F.lit(volume / area) + F.col("s"), F.col("k"))
+    hit = states.withColumn("at", F.greatest(wanted, "level")).where("next IS NULL OR at <= next")
+    hit = hit.groupBy("reach").agg(F.min(F.struct("at", "k", "s")).alias("f")).select("reach", "f.at", "f.k", "f.s")
+    whole = every.where("at IS NULL").select("reach", wanted.alias("at"), "k", "s")
+    found = hit.unionByName(whole).select("reach", F.col("at").alias("level"), ((F.col("k") * F.col("at") - F.col("s")) * area).alias("volume"), F.col("k").cast("long").alias("cells"))
+    reaches = cells.select("reach").distinct().join(found, "reach", "left")
+    return reaches.select("reach", "level", F.coalesce("volume", F.lit(0.0)).alias("volume"), F.coalesce("cells", F.lit(0).cast("long")).alias("cells"))
+
+
+def successors(ways: DataFrame) -> DataFrame:
+    """(node, to): of each way (way, a, b, cls, km) the one it flows on into, the lowest class that begins where it ends, then the longest.
+
+    Where ways run in a circle, the pointer back to the circle's smallest way is cut, so every walk ends.
+    """
+    best = Window.partitionBy("node").orderBy("cls", F.desc("km"), "to")
+    heads = ways.select(F.col("a").alias("b"), F.col("way").alias("to"), "cls", "km")
+    pointers = ways.select(F.col("way").alias("node"), "b").join(heads, "b").where("node <> to")
+    pointers = written(pointers.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("node", "to"), "successors")
+    # who still goes on after more steps than there are ways goes round; where they are then is the circles
+    far, steps, n = pointers, 1, pointers.count()
+    while steps < n and not far.isEmpty():
+        ahead = far.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        far, steps = written(far.join(ahead, "to").select("node", F.col("next").alias("to")), "jumps"), 2 * steps
+    circles = far.select(F.col("to").alias("node")).distinct()
+    around = written(pointers.join(circles, "node", "left_semi"), "circles")
+    if around.isEmpty():
+        return pointers
+    first = components(around.select(F.col("node").alias("u"), F.col("to").alias("v"))).select("node", "root")
+    back = around.join(first, "node").where("to = root").select("node")
+    return written(pointers.join(back, "node", "left_anti"), "successors")
+
+
+def walks(ways: DataFrame, pointers: DataFrame) -> DataFrame:
+    """(way, outlet, ways, km): where each way's water ends, over how many ways and how far, both ends included."""
+    own = ways.select(F.col("way").alias("node"), "km")
+    add = F.struct(F.lit(1).cast("long").alias("n"), F.col("km").cast("double").alias("km"))
+    sums = lambda a, b: F.struct((a["n"] + b["n"]).alias("n"), (a["km"] + b["km"]).alias("km"))
+    found = pointer_doubling(pointers.join(own, "node"), add=add, combine=sums)
+    found = own.join(found, "node", "left").select("node", F.coalesce("outlet", "node").alias("outlet"), "steps", "km")
+    last = own.select(F.col("node").alias("outlet"), F.col("km").cast("double").alias("_last"))
+    found = found.join(last, "outlet")
+    return found.select(
+        F.col("node").alias("way"), "outlet", (F.coalesce("steps.n", F.lit(0).cast("long")) + 1).alias("ways"), (F.coalesce("steps.km", F.lit(0.0)) + F.col("_last")).alias("km")
+    )
+
+
+def lower_reaches(ways: DataFrame, main: DataFrame, least_km: float, reach_km: float) -> DataFrame:
+    """(way, at, network_km, reach_km, ways): of each way that ends on the main stem its lower reach, followed back up the largest channel.
+
+    ``main`` is (way). Left out are mouths with less than ``least_km`` of network above them, themselves included. The reach ends after
+    ``reach_km`` or where nothing comes in any more.
+    """
+    stem = ways.join(main, "way", "left_semi")
+    rest = written(ways.join(main, "way", "left_anti"), "streams")
+    on_stem = stem.select(F.col("a").alias("b")).union(stem.select("b")).distinct()
+    mouths = rest.join(on_stem, "b", "left_semi").select("way", F.col("b").alias("at"), "km")
+    # the network above: every way that ends where a way of it begins
+    flow = rest.select(F.col("way").alias("node"), "b").join(rest.select(F.col("a").alias("b"), F.col("way").alias("to")), "b").where("node <> to").select("node", "to")
+    above = upstream(flow, mouths.select(F.col("way").alias("node"))).join(rest.select(F.col("way").alias("node"), "km"), "node")
+    network = above.groupBy(F.col("target").alias("way")).agg(F.sum("km").alias("network_km")).where(F.col("network_km") >= least_km)
+    best = Window.partitionBy("to").orderBy("cls", F.desc("km"), "node")
+    back = flow.join(rest.select(F.col("way").alias("node"), "cls", "km"), "node").withColumn("_r", F.row_number().over(best)).where("_r = 1")
+    back = written(back.select(F.col("to").alias("at_way"), F.col("node").alias("next"), F.col("km").alias("more")), "inflows")
+    large = written(mouths.join(network, "way"), "mouths")
+    front = written(large.select("way", F.col("way").alias("at_way"), F.col("km").alias("have"), F.lit(1).cast("long").alias("n"), F.array("way").alias("seen")), "front")
+    done = []
+    while not front.isEmpty():
+        going = front.where(F.col("have") < reach_km).join(back, "at_way", "left").withColumn("_on", F.col("next").isNotNull() & ~F.coalesce(F.array_contains("seen", F.col("next")), F.lit(False)))
+        going = written(going, "going")
+        done += [front.where(F.col("have") >= reach_km).select("way", "have", "n"), going.where("NOT _on").select("way", "have", "n")]
+        on = going.where("_on").select("way", F.col("next").alias("at_way"), (F.col("have") + F.col("more")).alias("have"), (F.col("n") + 1).alias("n"), F.concat("seen", F.array("next")).alias("seen"))
+        front = written(on, "front")
+    if not done:
+        return large.select("way", "at", "network_km", F.col("km").alias("reach_km"), F.lit(1).cast("long").alias("ways"))
+    found = reduce(DataFrame.unionByName, done)
+    return large.join(found, "way").select("way", "at", "network_km", F.least("have", F.lit(float(reach_km))).alias("reach_km"), F.col("n").alias("ways"))

@@ -121,6 +121,29 @@ def roads_within(spark, sf_dir):
     return graph.reach_within(both, spark.range(3, 4).select(F.col("id").alias("node")), 12.0)
 
 
+_SITES = f"""{_ROADS}, n AS (SELECT p_partkey AS node, 99 + (p_partkey * 7919 % 3000) / 1000.0 AS x, 6 + (p_partkey * 104729 % 3000) / 1000.0 AS y FROM part),
+wet AS (SELECT DISTINCT floor((6 + (s_suppkey * 3571 % 3000) / 1000.0) / 0.4)::BIGINT AS row, floor((99 + (s_suppkey * 6151 % 3000) / 1000.0) / 0.4)::BIGINT AS col FROM supplier),
+h AS (SELECT r.a, r.b, count(*) AS hits FROM r JOIN n p ON p.node = r.a JOIN n q ON q.node = r.b, LATERAL (VALUES (p.x, p.y), (q.x, q.y), ((p.x + q.x) / 2, (p.y + q.y) / 2)) AS t(x, y) JOIN wet ON row = floor(t.y / 0.4) AND col = floor(t.x / 0.4) GROUP BY 1, 2),
+f AS (SELECT r.*, coalesce(hits, 0) >= 2 AND NOT ((r.a + r.b) % 4 = 0) AS flooded FROM r LEFT JOIN h USING (a, b) WHERE r.a IN (SELECT node FROM n) AND r.b IN (SELECT node FROM n))"""
+
+
+@query(f"""WITH RECURSIVE {_SITES}, w AS (SELECT p_partkey AS source, d AS dry, p_partkey AS node, 0.0::DOUBLE AS cost FROM part, (VALUES (false), (true)) AS v(d) WHERE p_partkey > 0 AND p_partkey % 20 = 7 UNION
+  SELECT w.source, w.dry, f.b, w.cost + f.cost FROM w JOIN f ON f.a = w.node WHERE w.cost + f.cost <= 12 AND NOT (w.dry AND f.flooded)),
+m AS (SELECT source, dry, node, min(cost) AS cost FROM w GROUP BY ALL), z AS (SELECT source, sum(p_size) FILTER (NOT dry) AS houses, coalesce(sum(p_size) FILTER (dry), 0) AS houses_dry, coalesce(sum(p_size * cost) FILTER (dry), 0) AS c FROM m JOIN part ON p_partkey = node GROUP BY 1)
+SELECT source, houses::BIGINT AS houses, houses_dry::BIGINT AS houses_dry, round(houses_dry / houses, 3) AS route_dry, round(c / houses_dry, 4) AS mean_dry FROM z""")
+def houses_served(spark, sf_dir):
+    """Houses that each site serves within a limit of cost, on all roads and on those that are not flooded, and how far they have it then."""
+    part = load(spark, sf_dir, "part")
+    at = places(spark, sf_dir, "part", "p_partkey", 7919, 104729)
+    end = lambda n, i: at.select(F.col("id").alias(n), F.col("lon").alias(f"x{i}"), F.col("lat").alias(f"y{i}"))
+    one = part.where("p_partkey > 0").select(F.col("p_partkey").alias("a"), F.floor(F.col("p_partkey") / 2).alias("b"), (1.0 + F.col("p_partkey") % 7).alias("cost"))
+    both = one.union(one.select("b", "a", "cost")).join(end("a", 1), "a").join(end("b", 2), "b").withColumn("bridge", (F.col("a") + F.col("b")) % 4 == 0)
+    wet = _suppliers(spark, sf_dir).select(F.floor(F.col("lat") / 0.4).alias("row"), F.floor(F.col("lon") / 0.4).alias("col"))
+    sites = part.where("p_partkey > 0 AND p_partkey % 20 = 7").select(F.col("p_partkey").alias("source"), F.col("p_partkey").alias("node"))
+    houses = part.select(F.col("p_partkey").alias("node"), F.col("p_size").cast("long").alias("houses"))
+    return graph.served(graph.flooded_edges(both, wet, 0.4), sites, houses, 12.0)
+
+
 _GRID = "g AS (SELECT p_partkey // 50 AS row, p_partkey % 50 AS col, p_size AS value FROM part)"
 
 

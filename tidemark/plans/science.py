@@ -354,8 +354,24 @@ def river_zones(spark, sf_dir):
     return above.select("p_partkey", "above", F.when(F.col("above") <= 100, 1).when(F.col("above") <= 300, 2).otherwise(3).alias("zone"))
 
 
-@query()
+_REACHES = """g AS (SELECT (p_partkey // 50) // 10 AS reach, p_partkey // 50 AS row, p_partkey % 50 AS col, p_size::DOUBLE AS h FROM part),
+w AS (SELECT reach, row, col, h, h AS level FROM g WHERE col = 0 UNION SELECT n.reach, n.row, n.col, n.h, greatest(w.level, n.h) FROM w JOIN g n ON n.reach = w.reach AND abs(n.row - w.row) + abs(n.col - w.col) = 1 WHERE n.col > 0),
+j AS (SELECT reach, row, col, any_value(h) AS h, min(level) AS level FROM w GROUP BY ALL)"""
+
+
+def _reaches(spark, sf_dir) -> DataFrame:
+    return _grid(spark, sf_dir).select(F.floor(F.col("row") / 10).alias("reach"), "row", "col", F.col("value").alias("height"), (F.col("col") == 0).alias("channel"))
+
+
+@query(f"WITH RECURSIVE {_REACHES} SELECT reach, row, col, level FROM g LEFT JOIN j USING (reach, row, col)")
+def reach_levels(spark, sf_dir):
+    """The water level at which each cell of a reach joins its channel."""
+    return graph.join_levels(_reaches(spark, sf_dir)).select("reach", "row", "col", "level")
+
+
+@query(f"""WITH RECURSIVE {_REACHES}, l AS (SELECT reach, level, count(*) AS n, sum(h) AS s FROM j GROUP BY 1, 2), r AS (SELECT reach, level, sum(n) OVER o AS k, sum(s) OVER o AS s, lead(level) OVER o AS above FROM l WINDOW o AS (PARTITION BY reach ORDER BY level)),
+f AS (SELECT reach, greatest((400 + s) / k, level) AS at_level, k, s FROM r WHERE above IS NULL OR greatest((400 + s) / k, level) <= above)
+SELECT reach, round(x[1], 4) AS level, round(x[2] * x[1] - x[3], 4) AS volume, x[2]::BIGINT AS cells FROM (SELECT reach, [(x).at_level, (x).k, (x).s] AS x FROM (SELECT reach, struct_pack(at_level := min(at_level), k := arg_min(k, at_level), s := arg_min(s, at_level)) AS x FROM f GROUP BY 1))""")
 def filled_reaches(spark, sf_dir):
     """The level at which each reach of a grid holds a volume of 400."""
-    cells = _grid(spark, sf_dir).select(F.floor(F.col("row") / 10).alias("reach"), "row", "col", F.col("value").alias("height"), (F.col("col") == 0).alias("channel"))
-    return graph.filled(cells, 400.0, 1.0).withColumns({c: F.round(c, 4) for c in ("level", "volume")})
+    return graph.filled_by_levels(_reaches(spark, sf_dir), 400.0, 1.0).withColumns({c: F.round(c, 4) for c in ("level", "volume")})
