@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import normal_name
 from tidemark.operators import series as s
-from tidemark.plans.series import _F, _G, _flagged, _gapless, _hourly
+from tidemark.plans.series import _F, _G, _H, _flagged, _gapless, _hourly
 from tidemark.streaming import alarms
 from tidemark.tables import load
 
@@ -150,7 +150,13 @@ def current_offer(spark, sf_dir):
     return load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(offers.alias("offers")).select("l_orderkey", fold["at"].alias("current_offer"))
 
 
-@query()
+_STEPS = f"{_H}, o AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY hour) AS i FROM h)"
+
+
+@query(f"""WITH RECURSIVE {_STEPS}, w AS (SELECT entity, 0::BIGINT AS i, false AS raised, 0.0::DOUBLE AS since, 0 AS high, 0 AS low, NULL::TIMESTAMP AS ts, NULL::VARCHAR AS event, NULL::DOUBLE AS value FROM (SELECT DISTINCT entity FROM o)
+UNION ALL SELECT entity, i, (raised OR up) AND NOT down, CASE WHEN up OR down THEN epoch(hour) ELSE since END, hi, lo, hour, CASE WHEN up THEN 'raised' WHEN down THEN 'cleared' END, value FROM
+(SELECT *, NOT raised AND hi >= 2 AS up, raised AND lo >= 2 AND epoch(hour) - since >= 21600 AS down FROM (SELECT o.*, raised, since, CASE WHEN o.value >= 30 THEN high + 1 ELSE 0 END AS hi, CASE WHEN o.value < 20 THEN low + 1 ELSE 0 END AS lo FROM w JOIN o ON o.entity = w.entity AND o.i = w.i + 1)))
+SELECT entity, ts, event, value FROM w WHERE event IS NOT NULL""")
 def alarm_life_cycle(spark, sf_dir):
     """Raised and cleared events of each series, with confirmation, margin and hold."""
     rows = _hourly(spark, sf_dir).withColumnRenamed("hour", "ts")
@@ -162,3 +168,15 @@ def alarm_decisions(spark, sf_dir):
     """What each series would propose, publish, hold back and clear."""
     rows = _hourly(spark, sf_dir).withColumnRenamed("hour", "ts")
     return alarms.decisions(rows, alarms.Decision(limits=(60.0, 90.0, 120.0), margin=20.0, spike=60.0, quiet=(22, 5)))
+
+
+@query(f"""WITH RECURSIVE {_STEPS}, w AS (SELECT entity, 0::BIGINT AS i, 0 AS level, 0.0::DOUBLE AS since, 0 AS low, NULL::TIMESTAMP AS ts, []::STRUCT(event VARCHAR, level INT)[] AS said, NULL::DOUBLE AS value FROM (SELECT DISTINCT entity FROM o)
+UNION ALL SELECT entity, i, CASE WHEN down THEN 0 ELSE top END, CASE WHEN up OR down THEN epoch(hour) ELSE since END, CASE WHEN down THEN 0 ELSE lo END, hour,
+  list_concat(CASE WHEN up AND level > 0 THEN [{{'event': 'superseded', 'level': level}}] ELSE [] END, list_concat(CASE WHEN up THEN [{{'event': 'published', 'level': top}}] ELSE [] END, CASE WHEN down THEN [{{'event': 'cleared', 'level': top}}] ELSE [] END)), value FROM
+(SELECT *, top > 0 AND lo >= 3 AND epoch(hour) - CASE WHEN up THEN epoch(hour) ELSE since END >= 21600 AS down FROM (SELECT *, found > level AS up, greatest(found, level) AS top, CASE WHEN value < 40 THEN CASE WHEN found > level THEN 1 ELSE low + 1 END ELSE 0 END AS lo FROM
+(SELECT o.*, level, since, low, (o.value >= 60)::INT + (o.value >= 90)::INT + (o.value >= 120)::INT AS found FROM w JOIN o ON o.entity = w.entity AND o.i = w.i + 1))))
+SELECT entity, ts, s.event AS event, s.level AS level, value FROM (SELECT entity, ts, value, unnest(said) AS s FROM w)""")
+def decisions_at_once(spark, sf_dir):
+    """What each series publishes and clears where nothing has to wait: no suspect steps, no quiet hours."""
+    rows = _hourly(spark, sf_dir).withColumnRenamed("hour", "ts")
+    return alarms.decisions(rows, alarms.Decision(limits=(60.0, 90.0, 120.0), margin=20.0))

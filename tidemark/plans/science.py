@@ -320,14 +320,24 @@ def ranked_without_twins(spark, sf_dir):
     return best.select("s_suppkey", F.row_number().over(Window.partitionBy("s_nationkey").orderBy(F.desc("s_acctbal"), "s_suppkey")).alias("place"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_B}, o AS (SELECT b.*, s_acctbal AS weight, row_number() OVER (ORDER BY s_acctbal DESC, id) AS i FROM b JOIN supplier ON s_suppkey = b.id),
+n AS (SELECT b.i, list(a.i) FILTER (a.i < b.i AND {_KM} <= 25) AS near FROM o a, o b GROUP BY b.i), w AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS picks UNION ALL
+SELECT n.i, CASE WHEN near IS NULL OR NOT list_has_any(picks, near) THEN list_append(picks, n.i) ELSE picks END FROM w JOIN n ON n.i = w.i + 1)
+SELECT id, weight FROM o WHERE list_contains((SELECT picks FROM w ORDER BY i DESC LIMIT 1), o.i)""")
 def spaced_picks(spark, sf_dir):
     """The heaviest places first, none within 25 km of one picked before."""
     heavy = _suppliers(spark, sf_dir).join(load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("weight")), "id")
     return spatial.spaced(heavy, "id", "weight", 25.0).select("id", "weight")
 
 
-@query()
+_PROFILE = """q AS (SELECT p_partkey % 5 AS river, p_partkey // 100 AS bin, quantile_cont(p_retailprice::DOUBLE, 0.1) AS low FROM part GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY river ORDER BY bin) AS i, sum(low) OVER (PARTITION BY river ORDER BY bin ROWS UNBOUNDED PRECEDING) AS s FROM q),
+p AS (SELECT a.river, a.i AS a, b.i AS b, (b.s - a.s + a.low) / (b.i - a.i + 1) AS m FROM o a JOIN o b ON a.river = b.river AND b.i >= a.i),
+x AS (SELECT river, b, max(m) OVER (PARTITION BY river, a ORDER BY b DESC) AS top FROM p), y AS (SELECT river, b, min(top) AS fitted FROM x GROUP BY 1, 2),
+f AS (SELECT o.river, bin, round(fitted, 6) AS fitted FROM y JOIN o ON o.river = y.river AND o.i = y.b)"""
+
+
+@query(f"WITH {_PROFILE} SELECT river, bin, fitted FROM f")
 def river_profile(spark, sf_dir):
     """The river's surface along its way: the lower tenth of each bin's heights, never rising downstream."""
     rows = load(spark, sf_dir, "part").select((F.col("p_partkey") % 5).alias("river"), F.floor(F.col("p_partkey") / 100).alias("bin"), F.col("p_retailprice").alias("h"))
@@ -345,7 +355,8 @@ def upstream_side(spark, sf_dir):
     return load(spark, sf_dir, "part").select("p_partkey", side.alias("side"), ((high & (gap > 10)) | (~high & (gap < -10))).alias("agrees"))
 
 
-@query()
+@query(f"""WITH {_PROFILE}, a AS (SELECT p_partkey, round(p_retailprice - fitted, 6) AS above FROM part JOIN f ON river = p_partkey % 5 AND bin = p_partkey // 100)
+SELECT p_partkey, above, CASE WHEN above <= 100 THEN 1 WHEN above <= 300 THEN 2 ELSE 3 END AS zone FROM a""")
 def river_zones(spark, sf_dir):
     """Cells by how high they stand above the river's surface in their bin: wet at a rise of 100, or of 300, or dry."""
     profile = river_profile(spark, sf_dir).select("river", "bin", "fitted")

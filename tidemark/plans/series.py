@@ -189,3 +189,8 @@ SELECT event_type, back, event_id, round(change, 3) AS change, round(CASE WHEN s
 c AS (SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1)
 SELECT hour, coalesce(n, 0) AS n_cases FROM h LEFT JOIN c USING (hour)""",
 }
+# the fit that never rises is, at each place, the least over all starts before it of the largest mean up to an end behind it
+ORACLES["never_rising_profile"] = f"""WITH {_H}, o AS (SELECT *, row_number() OVER {_W}) AS i, sum(value) OVER {_W} ROWS UNBOUNDED PRECEDING) AS s FROM h),
+p AS (SELECT a.entity, a.i AS a, b.i AS b, (b.s - a.s + a.value) / (b.i - a.i + 1) AS m FROM o a JOIN o b ON a.entity = b.entity AND b.i >= a.i),
+x AS (SELECT entity, b, max(m) OVER (PARTITION BY entity, a ORDER BY b DESC) AS top FROM p), y AS (SELECT entity, b, min(top) AS fitted FROM x GROUP BY 1, 2)
+SELECT o.entity, hour, round(fitted, 7) AS fitted FROM y JOIN o ON o.entity = y.entity AND o.i = y.b"""
