@@ -6,9 +6,13 @@ and rolling figures are NULL until enough of their rows are there.
 
 from __future__ import annotations
 
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.tables import written
+
 
 def hourly(df: DataFrame, entity: str, ts: str, value: str) -> DataFrame:
     """(entity, hour, value): the mean of each hour."""
@@ -174,23 +178,69 @@ def recessions(gapless: DataFrame, level: float, n: int, gap_hours: int = 4, lea
     )
 
 
-def never_rising(df: DataFrame, group: str, order: str, value: str) -> DataFrame:
-    """Isotonic fit that never rises along ``order``, by pooling adjacent violators; one group is one task's work."""
+def _pooled(columns: list[str]):
+    """Rows or pools (group, place, total, n, pool) of sorted ranges with ``new``, the pool that each falls into within its range."""
+
+    def run(frames):
+        part, made = TaskContext.get().partitionId() << 40, 0
+        open_: list[list] = []  # total, n, number of the pool, of the group that is being read
+        group, held = None, []
+
+        def close():
+            """The pools' numbers for what is held of a group."""
+            numbers = [number for _, _, number, many in open_ for _ in range(many)]
+            return pd.DataFrame(held, columns=columns).assign(new=pd.array(numbers, "int64"))
+
+        for frame in frames:
+            for row in frame[columns].itertuples(index=False, name=None):
+                if group is None or row[0] != group[0]:
+                    if held:
+                        yield close()
+                    group, held, open_ = (row[0],), [], []
+                held.append(row)
+                open_.append([row[2], row[3], part | made, 1])
+                made += 1
+                while len(open_) > 1 and open_[-2][0] * open_[-1][1] < open_[-1][0] * open_[-2][1]:
+                    total, n, _, many = open_.pop()
+                    open_[-1][0] += total
+                    open_[-1][1] += n
+                    open_[-1][3] += many
+        if held:
+            yield close()
+
+    return run
+
+
+def never_rising(df: DataFrame, group: str, order: str, value: str, most: int = 100_000) -> DataFrame:
+    """(group, order, fitted): the isotonic fit that never rises along ``order``, which has one row a place of a group.
+
+    Adjacent violators may be pooled in any order, so ranges of about ``most`` rows pool their own, and then ranges of pools do, with
+    other borders each round, until no two pools at a border rise. A group spreads over as many tasks as it needs; where a fit
+    falls all the way, pools stay many, but no task holds more than a range of them. NULL values are left out.
+    """
     kind = dict(df.dtypes)
-
-    def fit(frame):
-        frame = frame.sort_values(order)
-        pools: list[list[float]] = []
-        for v in frame[value]:
-            pools.append([float(v), 1])
-            while len(pools) > 1 and pools[-2][0] < pools[-1][0]:
-                b, a = pools.pop(), pools.pop()
-                pools.append([(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1]])
-        frame["fitted"] = [v for v, n in pools for _ in range(int(n))]
-        return frame[[group, order, "fitted"]]
-
-    schema = f"`{group}` {kind[group]}, `{order}` {kind[order]}, fitted double"
-    return df.select(group, order, value).where(F.col(value).isNotNull()).groupBy(group).applyInPandas(fit, schema)
+    rows = df.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(value).cast("double").alias("total"), F.lit(1).cast("long").alias("n"))
+    size, turn, of_row = rows.count(), 0, None
+    while True:
+        parts = max(1, -(-size // most))
+        parts += turn % 2 if parts > 1 else 0
+        columns = ["g", "o", "total", "n"] + ([] if of_row is None else ["pool"])
+        kinds = {"g": kind[group], "o": kind[order], "total": "double", "n": "long", "pool": "long", "new": "long"}
+        ranges = rows.repartitionByRange(parts, "g", "o").sortWithinPartitions("g", "o")
+        found = written(ranges.mapInPandas(_pooled(columns), ", ".join(f"{c} {kinds[c]}" for c in [*columns, "new"])), "pooled")
+        of_row = found.select("g", "o", "new") if of_row is None else of_row.withColumnRenamed("new", "pool").join(found.select("pool", "new"), "pool").select("g", "o", "new")
+        of_row = written(of_row, "places") if parts > 1 or turn else of_row
+        pools = found.groupBy(F.col("new").alias("pool")).agg(F.first("g").alias("g"), F.min("o").alias("o"), F.sum("total").alias("total"), F.sum("n").alias("n"))
+        pools = written(pools, "pools")
+        # the first and last pool of each range: two rows a range
+        place, mean = F.struct("g", "o"), F.col("total") / F.col("n")
+        ends = pools.groupBy(F.shiftright("pool", 40).alias("part")).agg(
+            F.min(place).alias("first"), F.min_by(mean, place).alias("begins"), F.max(place).alias("last"), F.max_by(mean, place).alias("ends"), F.count("*").alias("many")
+        ).orderBy("first").collect()
+        if not any(a["last"]["g"] == b["first"]["g"] and a["ends"] < b["begins"] for a, b in zip(ends, ends[1:], strict=False)):
+            fit = of_row.join(pools.select(F.col("pool").alias("new"), mean.alias("fitted")), "new")
+            return fit.select(F.col("g").alias(group), F.col("o").alias(order), "fitted")
+        rows, size, turn = pools.select("g", "o", "total", "n", "pool"), sum(e["many"] for e in ends), turn + 1
 
 
 def between_knots(points: DataFrame, knots: DataFrame, group: str) -> DataFrame:

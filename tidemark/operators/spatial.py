@@ -94,20 +94,31 @@ def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, k: int,
         km = 2 * km
 
 
-def spaced(places: DataFrame, key: str, weight: str, km: float) -> DataFrame:
-    """Places picked heaviest first (ties by key), none within km of one picked before.
+def spaced(places: DataFrame, key: str, weight: str, km: float, area: str | None = None, quota: int = 0) -> DataFrame:
+    """Places picked heaviest first (ties by key), none within km of one picked before and, with ``area``, at most ``quota`` an area.
 
-    In rounds: a place without a heavier one left within km is picked and takes its neighbours out. That gives the same
-    picks as going through the places one by one.
+    In rounds: a place without a heavier undecided one within km is picked and takes its neighbours out. With a quota it is held back
+    while heavier undecided places of its area could still use the quota up, and goes out once heavier picks have. That gives
+    the same picks as going through the places one by one.
     """
     order = lambda end: F.struct(F.col(f"{weight}{end}").alias("w"), (-F.col(f"{key}{end}")).alias("k"))
     near = written(within(places, places, km).where(f"{key} <> {key}_r").select(key, f"{key}_r", (order("_r") > order("")).alias("heavier")), "near")
     left, picked = places, None
     while not left.isEmpty():
         pairs = near.join(left.select(key), key, "left_semi").join(left.select(F.col(key).alias(f"{key}_r")), f"{key}_r", "left_semi")
-        top = written(left.join(pairs.where("heavier").select(key), key, "left_anti"), "picked")
+        free = left.join(pairs.where("heavier").select(key), key, "left_anti")
+        over = left.limit(0).select(key)
+        if area is not None:
+            before = Window.partitionBy(area).orderBy(F.desc(weight), key).rowsBetween(Window.unboundedPreceding, -1)
+            marked = left.select(key, area, weight, F.lit(0).alias("_p"))
+            marked = marked if picked is None else marked.unionByName(picked.select(key, area, weight, F.lit(1).alias("_p")))
+            ahead = marked.select(key, "_p", F.coalesce(F.sum("_p").over(before), F.lit(0)).alias("_used"), F.count("*").over(before).alias("_ahead")).where("_p = 0")
+            ahead = written(ahead, "ahead")  # of the heavier places of its area: how many are picked, and how many picked or undecided
+            free = free.join(ahead.where(F.col("_ahead") < quota).select(key), key, "left_semi")
+            over = ahead.where(F.col("_used") >= quota).select(key)
+        top = written(free, "picked")
         picked = top if picked is None else picked.unionByName(top)
-        gone = pairs.join(top.select(F.col(key).alias(f"{key}_r")), f"{key}_r", "left_semi").select(key).union(top.select(key))
+        gone = pairs.join(top.select(F.col(key).alias(f"{key}_r")), f"{key}_r", "left_semi").select(key).union(top.select(key)).union(over)
         left = written(left.join(gone, key, "left_anti"), "left")
     return places.limit(0) if picked is None else picked
 

@@ -337,6 +337,17 @@ x AS (SELECT river, b, max(m) OVER (PARTITION BY river, a ORDER BY b DESC) AS to
 f AS (SELECT o.river, bin, round(fitted, 6) AS fitted FROM y JOIN o ON o.river = y.river AND o.i = y.b)"""
 
 
+@query(f"""WITH RECURSIVE {_B}, o AS (SELECT b.*, s_acctbal AS weight, s_nationkey AS area, row_number() OVER (ORDER BY s_acctbal DESC, id) AS i FROM b JOIN supplier ON s_suppkey = b.id),
+n AS (SELECT b.i, any_value(b.area) AS area, list(a.i) FILTER (a.i < b.i AND {_KM} <= 25) AS near FROM o a, o b GROUP BY b.i),
+w AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS picks, []::BIGINT[] AS areas UNION ALL SELECT i, CASE WHEN fits THEN list_append(picks, i) ELSE picks END, CASE WHEN fits THEN list_append(areas, area) ELSE areas END FROM
+(SELECT n.i, n.area, picks, areas, (near IS NULL OR NOT list_has_any(picks, near)) AND len(list_filter(areas, lambda x: x = n.area)) < 2 AS fits FROM w JOIN n ON n.i = w.i + 1))
+SELECT id, weight, area FROM o WHERE list_contains((SELECT picks FROM w ORDER BY i DESC LIMIT 1), o.i)""")
+def spaced_picks_by_area(spark, sf_dir):
+    """The heaviest places first, none within 25 km of one picked before, and at most two an area."""
+    more = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("weight"), F.col("s_nationkey").alias("area"))
+    return spatial.spaced(_suppliers(spark, sf_dir).join(more, "id"), "id", "weight", 25.0, "area", 2).select("id", "weight", "area")
+
+
 @query(f"WITH {_PROFILE} SELECT river, bin, fitted FROM f")
 def river_profile(spark, sf_dir):
     """The river's surface along its way: the lower tenth of each bin's heights, never rising downstream."""
