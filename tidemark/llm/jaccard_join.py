@@ -50,13 +50,14 @@ from tidemark.llm.shared import blocks_for, components, written
 SPARE_STEP = 8  # one more spare range for so many differences
 BLOCK = 512  # documents of a large candidate group that are verified together
 BLOOM_BITS = (16, 30)  # fewest and most bits of a bit set, as powers of 2
-HELD = 800_000  # index entries that a task keeps before it hands them over
+HELD = 400_000  # index entries that a task keeps before it hands them over
+SLICE_BYTES = 1_000_000  # of text whose shingles are worked out together
 SKETCHED = 300_000  # shingles that are sketched together
 
 
 def document_sets(column, width: int):
     """Yields (first row, counts, sorted distinct shingles, their row) for slices of a text column."""
-    for first, end, data, offsets in bt.slices(column):
+    for first, end, data, offsets in bt.slices(column, SLICE_BYTES):
         data = bt.lower(data)
         starts, ends, rows = bt.word_spans(data, offsets)
         shingle, rows = bt.shingles(bt.span_hashes(data, starts, ends), rows, end - first, width)

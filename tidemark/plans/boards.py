@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import quantiles
+from tidemark.operators import people, quantiles
 from tidemark.operators import relational as r
 from tidemark.tables import load
 
@@ -112,6 +112,22 @@ def retention(spark, sf_dir):
     return flags.groupBy("day").agg(F.count("*").alias("cohort"), F.count_if("a").alias("returned"), F.count_if("b").alias("after_week"))
 
 
+@query("""WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day, user_id FROM events), n AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1)
+SELECT n.day, any_value(n.n) AS n, count(DISTINCT user_id) FILTER (d.day = n.day) AS dau, count(DISTINCT user_id) FILTER (d.day > n.day - 7) AS wau, count(DISTINCT user_id) AS mau
+FROM n JOIN d ON d.day BETWEEN n.day - 29 AND n.day GROUP BY 1""")
+def people_sketched(spark, sf_dir):
+    """People of the day, the week and the month up to each day, from a sketch a day."""
+    return people.active(people.daily(load(spark, sf_dir, "events"), "ts", "user_id"), {"dau": 1, "wau": 7, "mau": 30})
+
+
+@query("""WITH f AS (SELECT user_id, CAST(min(ts) AS DATE) AS day FROM events GROUP BY 1), d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS seen FROM events)
+SELECT day, count(DISTINCT f.user_id) AS cohort, count(DISTINCT CASE WHEN seen - day BETWEEN 1 AND 8 THEN f.user_id END) AS returned,
+count(DISTINCT CASE WHEN seen - day > 7 THEN f.user_id END) AS after FROM f JOIN d USING (user_id) GROUP BY 1""")
+def cohorts_sketched(spark, sf_dir):
+    """People by the day they were first seen and how many came back, from a sketch a day."""
+    return people.cohorts(people.daily(load(spark, sf_dir, "events"), "ts", "user_id"))
+
+
 @query("""WITH u AS (SELECT user_id, bool_or(event_type = 'view') AS v, bool_or(event_type = 'click') AS c, bool_or(event_type = 'signup') AS s, bool_or(event_type = 'purchase') AS p FROM events GROUP BY 1),
 n AS (SELECT count(*) FILTER (v) AS a, count(*) FILTER (v AND c) AS b, count(*) FILTER (v AND c AND s) AS c, count(*) FILTER (v AND c AND s AND p) AS d FROM u)
 SELECT unnest(['1-view', '2-click', '3-signup', '4-purchase']) AS step, unnest([a, b, c, d]) AS n, unnest([round(1.0, 6), round(b / a, 6), round(c / a, 6), round(d / a, 6)]) AS share FROM n""")
