@@ -70,16 +70,15 @@ def thirds_among_others(spark, sf_dir):
     return cut.select("y", "m", F.when(F.col("v") < F.col("p")[0], 1).when(F.col("v") > F.col("p")[1], 3).otherwise(2).alias("third"))
 
 
-@query("""WITH k AS (SELECT c_nationkey AS river, (s_suppkey * 7)::DOUBLE AS x, s_acctbal AS y FROM supplier, (SELECT DISTINCT c_nationkey FROM customer WHERE c_nationkey < 3) WHERE s_suppkey % 3 = 0),
+@query("""WITH k AS (SELECT s_suppkey % 3 AS river, (s_suppkey * 7)::DOUBLE AS x, s_acctbal AS y FROM supplier),
 s AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lag(x) OVER w AS xb, lag(y) OVER w AS yb FROM k WINDOW w AS (PARTITION BY river ORDER BY x)),
 t AS (SELECT river, CASE WHEN x1 IS NULL THEN xb ELSE x END AS x0, CASE WHEN x1 IS NULL THEN yb ELSE y END AS y0, coalesce(x1, x) AS x1, coalesce(y1, y) AS y1, CASE WHEN xb IS NULL THEN -1e18 ELSE x END AS start FROM s),
-p AS (SELECT c_custkey, c_nationkey AS river, (c_custkey % 97)::DOUBLE AS x FROM customer WHERE c_nationkey < 3)
+p AS (SELECT c_custkey, c_nationkey % 3 AS river, (c_custkey % 97)::DOUBLE AS x FROM customer)
 SELECT c_custkey, round(y0 + (y1 - y0) * (p.x - x0) / (x1 - x0), 6) AS y FROM p ASOF JOIN t ON p.river = t.river AND p.x >= t.start""")
 def arrival_times(spark, sf_dir):
     """Figures along a river by lines between its known points, the first and last line drawn on beyond the ends."""
-    rivers = load(spark, sf_dir, "customer").where("c_nationkey < 3")
-    knots = load(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select((F.col("s_suppkey") * 7).cast("double").alias("x"), F.col("s_acctbal").alias("y"), F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("river"))
-    points = rivers.select("c_custkey", F.col("c_nationkey").alias("river"), (F.col("c_custkey") % 97).cast("double").alias("x"))
+    knots = load(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 7).cast("double").alias("x"), F.col("s_acctbal").alias("y"), (F.col("s_suppkey") % 3).cast("int").alias("river"))
+    points = load(spark, sf_dir, "customer").select("c_custkey", (F.col("c_nationkey") % 3).cast("int").alias("river"), (F.col("c_custkey") % 97).cast("double").alias("x"))
     found = s.between_knots(points, knots, "river")
     return found.select("c_custkey", F.round("y", 6).alias("y"))
 
