@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import graph, spatial
-from tidemark.plans.series import _hourly
+from tidemark.plans.series import _H, _hourly
 from tidemark.tables import load
 
 QUERIES, ORACLES = {}, {}
@@ -161,7 +161,22 @@ def _grid(spark, sf_dir):
     return load(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 50).alias("row"), (F.col("p_partkey") % 50).alias("col"), F.col("p_size").alias("value"))
 
 
-@query()
+def _waves() -> str:
+    """SQL of least squares on a constant and two waves: each column is taken out of those behind it, and the figures put together from the last."""
+    names = ["v0", "v1", "v2", "v3", "v4", "y"]
+    levels = []
+    for k in range(5):
+        own = ", ".join(f"sum(v{k} * {n}) OVER (PARTITION BY entity) / sum(v{k} * v{k}) OVER (PARTITION BY entity) AS r{k}{n}" for n in names[k + 1 :])
+        levels.append(f"a{k} AS (SELECT *, {own} FROM l{k})")
+        rest = ", ".join(f"{n} - r{k}{n} * v{k} AS {n}" for n in names[k + 1 :])
+        levels.append(f"l{k + 1} AS (SELECT * EXCLUDE ({', '.join(names[k + 1 :])}), {rest} FROM a{k})")
+    figures = [f"b{k} AS (SELECT *, r{k}y" + "".join(f" - r{k}v{j} * c{j}" for j in range(k + 1, 5)) + f" AS c{k} FROM b{k + 1})" for k in (4, 3, 2, 1)]
+    return ", ".join([*levels, "b5 AS (SELECT DISTINCT ON (entity) * FROM l5)", *figures])
+
+
+@query(f"""WITH {_H}, t AS (SELECT entity, value AS y, (epoch(hour) - min(epoch(hour)) OVER (PARTITION BY entity)) / 3600.0 AS t FROM h), n AS (SELECT entity, count(*) AS n, max(t) - min(t) AS span FROM t GROUP BY 1),
+l0 AS (SELECT entity, y, 1.0::DOUBLE AS v0, cos(2 * pi() / 12.4206 * t) AS v1, sin(2 * pi() / 12.4206 * t) AS v2, cos(2 * pi() / 24.0 * t) AS v3, sin(2 * pi() / 24.0 * t) AS v4 FROM t), {_waves()}
+SELECT entity, period, CASE WHEN span >= 480 THEN round(amplitude, 6) END AS amplitude, n FROM (SELECT entity, 12.4206::DOUBLE AS period, sqrt(c1 * c1 + c2 * c2) AS amplitude FROM b1 UNION ALL SELECT entity, 24.0, sqrt(c3 * c3 + c4 * c4) FROM b1) JOIN n USING (entity)""")
 def tide_harmonics(spark, sf_dir):
     """Amplitudes of the half-day and day periods of each series; the record is a month, too short for closer ones."""
     at = F.unix_timestamp(F.col("hour").cast("timestamp")) / 3600.0
