@@ -39,11 +39,12 @@ from tidemark.llm.shared import small_batches, written
 
 GIANT = 65_536
 CHUNK = 16_384
-SLICE = 500_000  # characters encoded together
+SLICE = 250_000  # characters encoded together
 BATCH_ROWS = 1_000  # rows that Spark hands over at once: texts may be long
 MARK = "▁"
 KEPT = 200_000  # distinct stretches that a process keeps
 KNOWN = 1_000_000  # pairs of pieces that a process keeps
+TOGETHER = 10_000  # distinct stretches whose paths are found at once
 LONG = 64  # stretches above this many characters are encoded one at a time
 
 
@@ -260,8 +261,8 @@ class Encoder:
         count = np.zeros(len(starts), np.int64)
         order, pool = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
         short = np.flatnonzero(plain & (sizes <= LONG))
-        for low in range(0, len(short), 25_000):
-            part = short[low : low + 25_000]
+        for low in range(0, len(short), TOGETHER):
+            part = short[low : low + TOGETHER]
             token, count[part] = paths(self.v, codes, starts[part], sizes[part])
             order.append(part)
             pool.append(token)
