@@ -103,3 +103,24 @@ def test_settled_nodes_join_no_more(spark, monkeypatch):
     found = {r.node: (r.outlet, r.steps) for r in graph.pointer_doubling(pointers).collect()}
     assert found == {i: (0, i.bit_length()) for i in range(1, 1025)}
     assert sizes[0] == 1024 and sizes == sorted(sizes, reverse=True) and sizes[-1] < 800
+
+
+def test_upstream_counts_a_node_once_however_many_ways_lead_there(spark, monkeypatch):
+    """A ladder of forks has 2 ** 12 ways through it, and a circle never ends: each node is found in one round only."""
+    sizes = []
+    real = graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: sizes.append(out.count()) or out if (out := real(df, name)) is not None else out)
+    ladder = [(2 * i + a, 2 * (i - 1) + b) for i in range(1, 13) for a in (0, 1) for b in (0, 1)] + [(100, 0), (101, 100), (100, 101)]
+    found = graph.upstream(spark.createDataFrame(ladder, "node long, to long"), spark.createDataFrame([(0,)], "node long")).collect()
+    assert sorted(r.node for r in found) == [0, *range(2, 26), 100, 101] and {r.target for r in found} == {0}
+    assert max(sizes) <= 3 and sum(sizes) == 27
+
+
+def test_sides_that_grow_are_not_sent_through_the_driver(spark):
+    nodes = spark.range(1, 2000).select(F.col("id").alias("node"), F.floor(F.col("id") / 2).alias("to"))
+    edges = nodes.select(F.col("node").alias("a"), F.col("to").alias("b"), F.lit(3.0).alias("cost"), (F.col("node") % 3 == 0).alias("flooded"))
+    sources, houses = spark.range(1, 900).select(F.col("id").alias("source"), F.col("id").alias("node")), nodes.select("node", F.lit(1).cast("long").alias("houses"))
+    ways = nodes.select(F.col("node").alias("way"), F.col("node").alias("a"), F.col("to").alias("b"), F.lit(1).alias("cls"), F.lit(1.0).alias("km"))
+    for found in (graph.served(edges, sources, houses, 6.0), graph.walks(ways, nodes.where("to > 0"))):
+        found.collect()
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()

@@ -155,3 +155,11 @@ def test_a_reach_is_filled_from_its_channel(spark):
     assert low.level == pytest.approx(1.5, abs=1e-5) and low.cells == 1
     (high,) = graph.filled(cells, 6.0, 1.0).collect()
     assert high.level == pytest.approx(3.0, abs=1e-5) and high.cells == 3
+
+
+def test_points_before_the_first_knot_read_no_frame_to_the_end(spark):
+    knots = spark.createDataFrame([("a", 10.0, 1.0), ("a", 20.0, 3.0), ("b", 5.0, 7.0)], "river string, x double, y double")
+    points = spark.createDataFrame([(1, "a", 0.0), (2, "a", 15.0), (3, "a", 30.0), (4, "b", 1.0), (5, "c", 1.0)], "id int, river string, x double")
+    found = series.between_knots(points, knots, "river")
+    assert {r.id: r.y for r in found.collect()} == {1: -1.0, 2: 2.0, 3: 5.0, 4: None, 5: None}
+    assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()

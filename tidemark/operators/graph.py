@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 from tidemark.tables import written
 
 
+def _large(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the graph: it is shuffled and never sent through the driver, however small its files are."""
+    return side.hint("merge")
+
+
 def pointer_doubling(pointers: DataFrame, start: Column | None = None, add: Column | None = None, combine=lambda a, b: a + b) -> DataFrame:
     """(node, outlet, steps) along next-pointers, by squaring the pointer table until every node is at its outlet.
 
@@ -27,7 +32,7 @@ def pointer_doubling(pointers: DataFrame, start: Column | None = None, add: Colu
         for part in settled:
             every = every.unionByName(part)
         ahead = every.select(F.col("node").alias("to"), F.col("to").alias("far"), F.col("steps").alias("more"))
-        moved = active.join(ahead, "to", "left")
+        moved = active.join(_large(ahead), "to", "left")
         steps = F.when(F.col("far").isNull(), F.col("steps")).otherwise(combine(F.col("steps"), F.col("more"))).alias("steps")
         moved = written(moved.select("node", F.coalesce("far", "to").alias("to"), steps, F.col("far").isNotNull().alias("moved")), "pointers")
         settled.append(moved.where("NOT moved").drop("moved"))
@@ -37,19 +42,17 @@ def pointer_doubling(pointers: DataFrame, start: Column | None = None, add: Colu
 
 
 def upstream(pointers: DataFrame, targets: DataFrame) -> DataFrame:
-    """(node, target): the nodes that drain into each target, the target with itself; only these are ever looked at."""
+    """(node, target): the nodes that drain into each target, the target with itself; only these are ever looked at.
+
+    Where ways fork and meet again a node counts once: a round keeps what no round before has found, so circles end, too.
+    """
     edge = pointers.select("node", F.col("to").alias("at"))
     found = [written(targets.select("node", F.col("node").alias("target")).distinct(), "front")]
-    while True:
-        front = found[-1].select(F.col("node").alias("at"), "target").join(edge, "at").select("node", "target")
-        front = written(front, "front")
-        if front.isEmpty():
-            break
-        found.append(front)
-    whole = found[0]
-    for front in found[1:]:
-        whole = whole.unionByName(front)
-    return whole.distinct()
+    while not found[-1].isEmpty():
+        front = found[-1].select(F.col("node").alias("at"), "target").join(_large(edge), "at").select("node", "target").distinct()
+        known = reduce(DataFrame.unionByName, found)
+        found.append(written(front.join(_large(known), ["node", "target"], "left_anti"), "front"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def _cheapest(sources: DataFrame, edges: DataFrame, keys: list[str], limit: float) -> DataFrame:
@@ -58,11 +61,11 @@ def _cheapest(sources: DataFrame, edges: DataFrame, keys: list[str], limit: floa
     parts = [front]
     on = [*keys, "node"]
     while not front.isEmpty():
-        step = front.select(*keys, F.col("node").alias("a"), F.col("cost").alias("so_far")).join(edges, ["a", *[k for k in keys if k in edges.columns]])
+        step = front.select(*keys, F.col("node").alias("a"), F.col("cost").alias("so_far")).join(_large(edges), ["a", *[k for k in keys if k in edges.columns]])
         new = step.select(*keys, F.col("b").alias("node"), (F.col("so_far") + F.col("cost")).alias("cost")).where(F.col("cost") <= limit)
         new = written(new.groupBy(*on).agg(F.min("cost").alias("cost")), "reached")
-        known = reduce(DataFrame.unionByName, parts).join(new.select(*on), on, "left_semi").groupBy(*on).agg(F.min("cost").alias("old"))
-        front = written(new.join(known, on, "left").where("old IS NULL OR cost < old").drop("old"), "costs")
+        known = reduce(DataFrame.unionByName, parts).join(_large(new.select(*on)), on, "left_semi").groupBy(*on).agg(F.min("cost").alias("old"))
+        front = written(new.join(_large(known), on, "left").where("old IS NULL OR cost < old").drop("old"), "costs")
         parts.append(front)
     return reduce(DataFrame.unionByName, parts).groupBy(*on).agg(F.min("cost").alias("cost"))
 
@@ -80,7 +83,7 @@ def flooded_edges(edges: DataFrame, wet: DataFrame, cell: float) -> DataFrame:
     points = [(F.col("x1"), F.col("y1")), (F.col("x2"), F.col("y2")), ((F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2)]
     at = edges.select("a", "b", F.explode(F.array(*[F.struct(F.floor(y / cell).alias("row"), F.floor(x / cell).alias("col")) for x, y in points])).alias("p")).select("a", "b", "p.*")
     hits = at.join(wet.select("row", "col").distinct(), ["row", "col"]).groupBy("a", "b").agg(F.count("*").alias("_hits"))
-    found = edges.join(hits, ["a", "b"], "left")
+    found = edges.join(_large(hits), ["a", "b"], "left")
     return found.withColumn("flooded", (F.coalesce("_hits", F.lit(0)) >= 2) & ~F.coalesce("bridge", F.lit(False))).drop("_hits")
 
 
@@ -92,12 +95,12 @@ def served(edges: DataFrame, sources: DataFrame, houses: DataFrame, limit: float
     """
     states = edges.select("a", "b", "cost", F.explode(F.when(F.col("flooded"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("dry"))
     starts = sources.select("source", "node", F.explode(F.array(F.lit(False), F.lit(True))).alias("dry"))
-    reached = _cheapest(starts, states, ["source", "dry"], limit).join(houses, "node")
+    reached = _cheapest(starts, states, ["source", "dry"], limit).join(_large(houses), "node")
     total = lambda dry, v: F.coalesce(F.sum(F.when(F.col("dry") == dry, v)), F.lit(0))
     sums = reached.groupBy("source").agg(
         total(False, F.col("houses")).alias("houses"), total(True, F.col("houses")).alias("houses_dry"), total(True, F.col("houses") * F.col("cost")).alias("_cost")
     )
-    sums = sources.select("source").distinct().join(sums, "source", "left").na.fill(0, ["houses", "houses_dry", "_cost"])
+    sums = sources.select("source").distinct().join(_large(sums), "source", "left").na.fill(0, ["houses", "houses_dry", "_cost"])
     share = F.when(F.col("houses") >= 1, F.round(F.try_divide(F.col("houses_dry"), F.col("houses")), 3))
     mean = F.when(F.col("houses_dry") >= 1, F.round(F.try_divide(F.col("_cost"), F.col("houses_dry")), 4))
     return sums.select("source", "houses", "houses_dry", share.alias("route_dry"), mean.alias("mean_dry"))
@@ -118,7 +121,7 @@ def components(edges: DataFrame) -> DataFrame:
         step = written(left.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("to")), "hooks")
         hooks.append(step)
         for end in ("u", "v"):
-            left = left.join(step.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+            left = left.join(_large(step.withColumnRenamed("node", end)), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
         left = written(left.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     if not hooks:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).limit(0)
@@ -126,12 +129,12 @@ def components(edges: DataFrame) -> DataFrame:
     top = hooks[-1].select("node", "to")
     for step in reversed(hooks[:-1]):
         known = top.select(F.col("node").alias("to"), F.col("to").alias("up"))
-        first = step.join(known, "to", "left").select("node", F.coalesce("up", "to").alias("to"))
-        top = written(top.join(step.select("node"), "node", "left_anti").unionByName(first), "hooked")
-    heads = top.select(F.col("to").alias("node"), "to").distinct().join(top.select("node"), "node", "left_anti")
+        first = step.join(_large(known), "to", "left").select("node", F.coalesce("up", "to").alias("to"))
+        top = written(top.join(_large(step.select("node")), "node", "left_anti").unionByName(first), "hooked")
+    heads = top.select(F.col("to").alias("node"), "to").distinct().join(_large(top.select("node")), "node", "left_anti")
     every = top.unionByName(heads)
     smallest = every.groupBy("to").agg(F.min("node.node").alias("root"))
-    return every.join(smallest, "to").select(F.col("node.node").alias("node"), "root")
+    return every.join(_large(smallest), "to").select(F.col("node.node").alias("node"), "root")
 
 
 def patches(cells: DataFrame, least: int = 1) -> DataFrame:
@@ -283,7 +286,7 @@ def join_levels(cells: DataFrame) -> DataFrame:
     nodes = rows.select("reach", "row", "col", place.alias("node"), "h")
     steps = F.array(F.struct((F.col("row") + 1).alias("row"), "col"), F.struct("row", (F.col("col") + 1).alias("col")))
     near = nodes.select("reach", F.col("node").alias("u"), F.col("h").alias("hu"), F.explode(steps).alias("_n")).select("reach", "u", "hu", "_n.row", "_n.col")
-    edges = near.join(nodes.select("reach", "row", "col", F.col("node").alias("v"), F.col("h").alias("hv")), ["reach", "row", "col"]).where("u <> v")
+    edges = near.join(_large(nodes.select("reach", "row", "col", F.col("node").alias("v"), F.col("h").alias("hv"))), ["reach", "row", "col"]).where("u <> v")
     left = edges.select(F.col("u").alias("cu"), F.col("v").alias("cv"), F.greatest("hu", "hv").alias("w"), "u", "v")
 
     def pruned(rows: DataFrame) -> DataFrame:
@@ -302,18 +305,18 @@ def join_levels(cells: DataFrame) -> DataFrame:
         )
         exits = written(both.where(~is_sea("c")).groupBy("c").agg(F.min("e").alias("e")).select("c", "e.*"), "chosen")
         back = exits.select(F.col("c").alias("d"), F.col("edge").alias("back"))
-        closed = exits.join(back, "d", "left").where(~((F.col("edge").eqNullSafe(F.col("back"))) & (F.col("c") < F.col("d"))))
+        closed = exits.join(_large(back), "d", "left").where(~((F.col("edge").eqNullSafe(F.col("back"))) & (F.col("c") < F.col("d"))))
         closed = written(closed.select("c", "d", "x", F.col("edge.w").alias("w")), "closed")
         pointers.append(closed.select(F.col("c").alias("node"), F.col("x").alias("to"), "w"))
         merged = pointer_doubling(closed.select(F.col("c").alias("node"), F.col("d").alias("to"))).select("node", "outlet")
         for end in ("cu", "cv"):
-            left = left.join(merged.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("outlet", end)).drop("outlet")
+            left = left.join(_large(merged.withColumnRenamed("node", end)), end, "left").withColumn(end, F.coalesce("outlet", end)).drop("outlet")
         left = pruned(left.where("cu <> cv"))
     found = nodes.withColumn("_level", F.lit(None).cast("double"))
     if pointers:
         way = pointer_doubling(reduce(DataFrame.unionByName, pointers), add=F.col("w"), combine=F.greatest)
         way = way.where(is_sea("outlet")).select("node", F.col("steps").alias("_level"))
-        found = nodes.join(way, "node", "left")
+        found = nodes.join(_large(way), "node", "left")
     level = F.when(is_sea("node"), F.col("h")).otherwise(F.col("_level"))
     return found.select("reach", "row", "col", F.col("h").alias("height"), level.alias("level"))
 
@@ -361,20 +364,20 @@ def successors(ways: DataFrame) -> DataFrame:
     """
     best = Window.partitionBy("node").orderBy("cls", F.desc("km"), "to")
     heads = ways.select(F.col("a").alias("b"), F.col("way").alias("to"), "cls", "km")
-    pointers = ways.select(F.col("way").alias("node"), "b").join(heads, "b").where("node <> to")
+    pointers = ways.select(F.col("way").alias("node"), "b").join(_large(heads), "b").where("node <> to")
     pointers = written(pointers.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("node", "to"), "successors")
     # who still goes on after more steps than there are ways goes round; where they are then is the circles
     far, steps, n = pointers, 1, pointers.count()
     while steps < n and not far.isEmpty():
         ahead = far.select(F.col("node").alias("to"), F.col("to").alias("next"))
-        far, steps = written(far.join(ahead, "to").select("node", F.col("next").alias("to")), "jumps"), 2 * steps
+        far, steps = written(far.join(_large(ahead), "to").select("node", F.col("next").alias("to")), "jumps"), 2 * steps
     circles = far.select(F.col("to").alias("node")).distinct()
-    around = written(pointers.join(circles, "node", "left_semi"), "circles")
+    around = written(pointers.join(_large(circles), "node", "left_semi"), "circles")
     if around.isEmpty():
         return pointers
     first = components(around.select(F.col("node").alias("u"), F.col("to").alias("v"))).select("node", "root")
-    back = around.join(first, "node").where("to = root").select("node")
-    return written(pointers.join(back, "node", "left_anti"), "successors")
+    back = around.join(_large(first), "node").where("to = root").select("node")
+    return written(pointers.join(_large(back), "node", "left_anti"), "successors")
 
 
 def walks(ways: DataFrame, pointers: DataFrame) -> DataFrame:
@@ -382,10 +385,10 @@ def walks(ways: DataFrame, pointers: DataFrame) -> DataFrame:
     own = ways.select(F.col("way").alias("node"), "km")
     add = F.struct(F.lit(1).cast("long").alias("n"), F.col("km").cast("double").alias("km"))
     sums = lambda a, b: F.struct((a["n"] + b["n"]).alias("n"), (a["km"] + b["km"]).alias("km"))
-    found = pointer_doubling(pointers.join(own, "node"), add=add, combine=sums)
-    found = own.join(found, "node", "left").select("node", F.coalesce("outlet", "node").alias("outlet"), "steps", "km")
+    found = pointer_doubling(pointers.join(_large(own), "node"), add=add, combine=sums)
+    found = own.join(_large(found), "node", "left").select("node", F.coalesce("outlet", "node").alias("outlet"), "steps", "km")
     last = own.select(F.col("node").alias("outlet"), F.col("km").cast("double").alias("_last"))
-    found = found.join(last, "outlet")
+    found = found.join(_large(last), "outlet")
     return found.select(
         F.col("node").alias("way"), "outlet", (F.coalesce("steps.n", F.lit(0).cast("long")) + 1).alias("ways"), (F.coalesce("steps.km", F.lit(0.0)) + F.col("_last")).alias("km")
     )
@@ -402,17 +405,17 @@ def lower_reaches(ways: DataFrame, main: DataFrame, least_km: float, reach_km: f
     on_stem = stem.select(F.col("a").alias("b")).union(stem.select("b")).distinct()
     mouths = rest.join(on_stem, "b", "left_semi").select("way", F.col("b").alias("at"), "km")
     # the network above: every way that ends where a way of it begins
-    flow = rest.select(F.col("way").alias("node"), "b").join(rest.select(F.col("a").alias("b"), F.col("way").alias("to")), "b").where("node <> to").select("node", "to")
-    above = upstream(flow, mouths.select(F.col("way").alias("node"))).join(rest.select(F.col("way").alias("node"), "km"), "node")
+    flow = rest.select(F.col("way").alias("node"), "b").join(_large(rest.select(F.col("a").alias("b"), F.col("way").alias("to"))), "b").where("node <> to").select("node", "to")
+    above = upstream(flow, mouths.select(F.col("way").alias("node"))).join(_large(rest.select(F.col("way").alias("node"), "km")), "node")
     network = above.groupBy(F.col("target").alias("way")).agg(F.sum("km").alias("network_km")).where(F.col("network_km") >= least_km)
     best = Window.partitionBy("to").orderBy("cls", F.desc("km"), "node")
-    back = flow.join(rest.select(F.col("way").alias("node"), "cls", "km"), "node").withColumn("_r", F.row_number().over(best)).where("_r = 1")
+    back = flow.join(_large(rest.select(F.col("way").alias("node"), "cls", "km")), "node").withColumn("_r", F.row_number().over(best)).where("_r = 1")
     back = written(back.select(F.col("to").alias("at_way"), F.col("node").alias("next"), F.col("km").alias("more")), "inflows")
     large = written(mouths.join(network, "way"), "mouths")
     front = written(large.select("way", F.col("way").alias("at_way"), F.col("km").alias("have"), F.lit(1).cast("long").alias("n"), F.array("way").alias("seen")), "front")
     done = []
     while not front.isEmpty():
-        going = front.where(F.col("have") < reach_km).join(back, "at_way", "left").withColumn("_on", F.col("next").isNotNull() & ~F.coalesce(F.array_contains("seen", F.col("next")), F.lit(False)))
+        going = front.where(F.col("have") < reach_km).join(_large(back), "at_way", "left").withColumn("_on", F.col("next").isNotNull() & ~F.coalesce(F.array_contains("seen", F.col("next")), F.lit(False)))
         going = written(going, "going")
         done += [front.where(F.col("have") >= reach_km).select("way", "have", "n"), going.where("NOT _on").select("way", "have", "n")]
         on = going.where("_on").select("way", F.col("next").alias("at_way"), (F.col("have") + F.col("more")).alias("have"), (F.col("n") + 1).alias("n"), F.concat("seen", F.array("next")).alias("seen"))

@@ -253,11 +253,12 @@ def between_knots(points: DataFrame, knots: DataFrame, group: str) -> DataFrame:
     both = points.withColumn("_side", F.lit(1)).unionByName(lines, allowMissingColumns=True)
     sorted_ = Window.partitionBy(group).orderBy("x", "_side")
     last = F.last("_line", ignorenulls=True).over(sorted_.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.first("_line", ignorenulls=True).over(sorted_.rowsBetween(0, Window.unboundedFollowing))
-    found = both.withColumn("_on", F.coalesce(last, first)).where("_side = 1")
+    # before the first knot its line is drawn on; a row a group, as a frame to the group's end would be read again for each row
+    first = lines.groupBy(group).agg(F.min_by("_line", "x").alias("_first"))
+    found = both.withColumn("_on", last).where("_side = 1").join(first, group, "left").withColumn("_on", F.coalesce("_on", "_first"))
     a, b = F.col("_on.a"), F.col("_on.b")
     slope = (b["y"] - a["y"]) / (b["x"] - a["x"])
-    return found.withColumn("y", a["y"] + slope * (F.col("x") - a["x"])).drop("_on", "_line", "_side")
+    return found.withColumn("y", a["y"] + slope * (F.col("x") - a["x"])).drop("_on", "_first", "_line", "_side")
 
 
 def season_start(day: Column | str, month: int = 10) -> Column:
