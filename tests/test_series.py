@@ -163,3 +163,18 @@ def test_points_before_the_first_knot_read_no_frame_to_the_end(spark):
     found = series.between_knots(points, knots, "river")
     assert {r.id: r.y for r in found.collect()} == {1: -1.0, 2: 2.0, 3: 5.0, 4: None, 5: None}
     assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_rows_at_one_place_are_searched_for_once(spark, monkeypatch):
+    sizes = {}
+    real = spatial.written
+    monkeypatch.setattr(spatial, "written", lambda df, name: sizes.setdefault(name, []).append(out.count()) or out if (out := real(df, name)) is not None else out)
+    rows = lambda n, places: spark.createDataFrame([(i, 100.0 + i % places / 10, 6.0) for i in range(n)], "id int, lon double, lat double")
+    left, right = rows(400, 4), rows(300, 5)
+    near = spatial.nearest(left, right, "id", "id", 3, 50.0).collect()
+    assert sorted((r.id, r["rank"], r.id_r) for r in near) == [(i, k + 1, i % 4 + 5 * k) for i in range(400) for k in range(3)]
+    assert max(sizes["nearest"]) <= 4 * 3 and max(sizes["kept"]) == 5 * 3
+    far = spatial.nearest(left, right.where("lon > 100.35"), "id", "id", 100, 1.0, limit=25.0).groupBy("id").count().collect()
+    assert {r.id: r["count"] for r in far} == {i: 60 for i in range(400) if i % 4 in (2, 3)}  # the place at 100.4 only, 11 and 22 km away
+    pairs = spatial.within(left, right, 12.0)
+    assert pairs.count() == sum(abs(i % 4 - j % 5) <= 1 for i in range(400) for j in range(300)) and sizes["places"] == [4 * 3 - 1]

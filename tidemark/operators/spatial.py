@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,9 +52,28 @@ def _cell(c: str, degrees: float) -> Column:
 
 
 def within(left: DataFrame, right: DataFrame, km: float, lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """Pairs no further apart than km, by grid cells: rows as high as the radius, cells of a row as wide as it needs at its latitude.
+    """Pairs no further apart than km. Right columns get the suffix _r.
+
+    Where rows share places, distances are taken between distinct places once, and rows join the pairs of their places.
+    """
+    if not (_share_places(left, lon, lat) or _share_places(right, lon, lat)):
+        return _by_cells(left, right, km, lon, lat)
+    here, there = [lon, lat], [f"{lon}_r", f"{lat}_r"]
+    near = written(_by_cells(left.select(*here).distinct(), right.select(*here).distinct(), km, lon, lat), "places")
+    other = right.select(*[F.col(c).alias(f"{c}_r") for c in right.columns])
+    found = left.join(near, here).join(other, there)
+    return found.select(*left.columns, *other.columns, "km")
+
+
+def _share_places(rows: DataFrame, lon: str, lat: str) -> bool:
+    n = rows.agg(F.count("*").alias("rows"), F.approx_count_distinct(F.struct(lon, lat)).alias("places")).first()
+    return n.rows > 2 * n.places
+
+
+def _by_cells(left: DataFrame, right: DataFrame, km: float, lon: str, lat: str) -> DataFrame:
+    """Pairs by grid cells: rows as high as the radius, cells of a row as wide as it needs at its latitude.
 
-    Right columns get the suffix _r. Each left row meets nine cells at most; a full cell spreads over join tasks by AQE.
+    Each left row meets nine cells at most; a full cell spreads over join tasks by AQE.
     """
     high = km / KM_PER_DEGREE
     row_of = F.floor((F.col(lat) + 90) / high)
@@ -73,24 +94,36 @@ def within(left: DataFrame, right: DataFrame, km: float, lon: str = "lon", lat:
     return a.join(b, ["_x", "_y"]).where(away <= km).withColumn("km", away).drop("_x", "_y")
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, k: int, km: float = 10.0) -> DataFrame:
-    """The k nearest right rows of each left row, ties by the right key, with ``rank``.
+def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, k: int, km: float = 10.0, limit: float | None = None) -> DataFrame:
+    """The k nearest right rows of each left row, ties by the right key, with ``rank``; with ``limit`` none further than so many km.
 
-    Rows that find fewer than k within km look again within twice as far, and so on until the whole earth is searched.
+    Distinct places are what is searched for, and of right rows at one place the k first ones are all that can be found. Places first
+    look within km or, where right places lie denser, within what holds some of them; those that find fewer than k look
+    again within twice as far, and so on until the limit or the whole earth is searched.
     """
-    w = Window.partitionBy(key).orderBy("km", f"{right_key}_r")
-    found, open_ = None, left
+    here = ["lon", "lat"]
+    at_place = Window.partitionBy(*here).orderBy(right_key)
+    kept = written(right.withColumn("_k", F.row_number().over(at_place)).where(F.col("_k") <= k).drop("_k"), "kept")
+    whole = kept.agg(F.count("*").alias("n"), F.count_distinct(*here).alias("places"), *[f(c).alias(f"{n}_{c}") for c in here for n, f in (("low", F.min), ("high", F.max))]).first()
+    most = 20_100.0 if limit is None else limit
+    if whole.n < k:
+        km = 2 * most
+    elif whole.places:
+        high, wide = (whole.high_lat - whole.low_lat) * KM_PER_DEGREE, (whole.high_lon - whole.low_lon) * KM_PER_DEGREE
+        dense = (2 * k * max(high, 0.01) * max(wide, 0.01) / whole.places) ** 0.5
+        km = min(km, dense)
+    w = Window.partitionBy(*here).orderBy("km", f"{right_key}_r")
+    found, open_ = [], written(left.select(*here).distinct(), "open")
     while True:
-        ranked = written(within(open_, right, km).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k), "nearest")
-        last = km > 20_100
-        full = ranked.where(F.col("rank") == k).select(key)
-        done = ranked if last else ranked.join(full, key, "left_semi")
-        found = done if found is None else found.unionByName(done)
-        if last:
-            return found
-        open_ = written(open_.join(full, key, "left_anti"), "open")
-        if open_.isEmpty():
-            return found
+        last = km >= most
+        ranked = _by_cells(open_, kept, min(km, limit) if limit else km, *here).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        ranked = written(ranked, "nearest")
+        full = ranked.where(F.col("rank") == k).select(*here)
+        found.append(ranked if last else ranked.join(full, here, "left_semi"))
+        if not last:
+            open_ = written(open_.join(full, here, "left_anti"), "open")
+        if last or open_.isEmpty():
+            return left.join(reduce(DataFrame.unionByName, found), here).select(*left.columns, *[f"{c}_r" for c in right.columns], "km", "rank")
         km = 2 * km
 
 
