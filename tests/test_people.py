@@ -40,3 +40,18 @@ def test_cohorts_count_who_came_back(spark):
     log = spark.createDataFrame([(u, t + timedelta(days=d)) for u, d in rows], "u long, ts timestamp")
     found = {(r.day - t.date()).days: (r.cohort, r.returned, r.after) for r in people.cohorts(people.daily(log, "ts", "u")).collect()}
     assert found == {0: (3, 1, 1), 1: (1, 0, 1), 2: (1, 0, 0)}
+
+
+def test_parts_make_counts_of_many_people_exact(spark):
+    rows = spark.range(6000).select((F.col("id") * 7919 % 3000).alias("u"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 13).cast("int")).cast("timestamp").alias("ts"))
+    parts = people.parts_for(rows, "u", 8)
+    days = people.daily(rows, "ts", "u", log_size=8, parts=parts)
+    seen = [(r.u, r.ts.date()) for r in rows.collect()]
+    every = sorted({d for _, d in seen})
+    for r in people.active(days, {"dau": 1, "wau": 7}, 8).collect():
+        assert r.n == sum(d == r.day for _, d in seen)
+        assert [r.dau, r.wau] == [len({u for u, d in seen if 0 <= (r.day - d).days < n}) for n in (1, 7)]
+    first = {u: min(d for v, d in seen if v == u) for u in range(3000)}
+    after = {(u, (d - first[u]).days) for u, d in seen}
+    expected = {d: [sum(f == d for f in first.values()), len({u for u, n in after if 1 <= n <= 8 and first[u] == d}), len({u for u, n in after if n > 7 and first[u] == d})] for d in every if d in first.values()}
+    assert {r.day: [r.cohort, r.returned, r.after] for r in people.cohorts(days, log_size=8).collect()} == expected
