@@ -183,14 +183,19 @@ def inside(x: Column, y: Column, ring: Column) -> Column:
     return F.aggregate(crossing, F.lit(0), lambda a, c: a + c) % 2 == 1
 
 
-def in_polygons(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
-    """Points joined to the polygons that hold them: cells of each polygon's box, then ray casting.
-
-    ``polygons`` has columns area and ring.
-    """
+def near_polygons(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
+    """Points with the polygons (area, ring) whose box meets their cell: all that may hold them, edges included."""
     low = lambda axis: F.array_min(F.transform("ring", lambda p: p[axis]))
     high = lambda axis: F.array_max(F.transform("ring", lambda p: p[axis]))
     cells = lambda axis: F.sequence(F.floor(low(axis) / cell), F.floor(high(axis) / cell))
     boxes = polygons.withColumn("_x", F.explode(cells("x"))).withColumn("_y", F.explode(cells("y")))
     placed = points.withColumn("_x", _cell("lon", cell)).withColumn("_y", _cell("lat", cell))
-    return placed.join(boxes, ["_x", "_y"]).where(inside(F.col("lon"), F.col("lat"), F.col("ring"))).drop("_x", "_y", "ring")
+    return placed.join(boxes, ["_x", "_y"]).drop("_x", "_y")
+
+
+def in_polygons(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
+    """Points joined to the polygons (area, ring) that hold them: cells of each polygon's box, then ray casting.
+
+    Of a point on an edge rounding decides; where edges have to be in or out as a whole, ask ``near_polygons`` and compare.
+    """
+    return near_polygons(points, polygons, cell).where(inside(F.col("lon"), F.col("lat"), F.col("ring"))).drop("ring")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import sky
 from tidemark.operators import graph, spatial
 from tidemark.operators import series as s
-from tidemark.plans.places import _A, _B, _KM, _customers, _grid, _pointers, _suppliers
+from tidemark.plans.places import _A, _B, _KM, _customers, _grid, _pointers, _suppliers, in_three_triangles
 from tidemark.plans.registry import registry
 from tidemark.plans.series import _G, _gapless, _mean
 from tidemark.tables import load
@@ -198,9 +198,7 @@ def _along(spark, sf_dir) -> DataFrame:
 SELECT line, n AS area, round(min(km), 6) AS entry_km, count(*) AS points FROM t WHERE y > 0 AND y < 2 * x AND y < 2 * (0.8 - x) GROUP BY 1, 2""")
 def line_entries(spark, sf_dir):
     """Where along its way each line first stands in each area."""
-    ring = F.array(*[F.struct((F.lit(99.3) + 0.9 * (F.col("area") - 1) + dx).alias("x"), F.lit(6.4 + dy).alias("y")) for dx, dy in ((0.0, 0.0), (0.8, 0.0), (0.4, 0.8))])
-    areas = spark.range(1, 4).select(F.col("id").cast("int").alias("area")).withColumn("ring", ring)
-    found = spatial.in_polygons(_along(spark, sf_dir), areas, 0.25)
+    found = in_three_triangles(spark, _along(spark, sf_dir))
     return found.groupBy("line", "area").agg(F.round(F.min("km"), 6).alias("entry_km"), F.count("*").alias("points"))
 
 
