@@ -1,5 +1,7 @@
 """Percentiles and places of skewed values."""
 
+from functools import reduce
+
 import numpy as np
 import pytest
 
@@ -48,3 +50,13 @@ def test_percentiles_of_skewed_values(spark, steps, most):
     for k, values in (("a", v), ("b", [3.0]), ("d", [1.0, 2.0])):
         assert found.pop(k) == pytest.approx([float(np.quantile(values, p)) for p in shares.values()], rel=1e-12)
     assert found == {}
+
+
+def test_sums_and_means_do_not_depend_on_the_order(spark):
+    """Added up as doubles these groups' figures differ in the last place: equal means would not tie, and a sum would be under itself."""
+    cents = [10, 20, 30, 99_999_999_99, 7] * 40
+    rows = [(g, c / 100) for g, order in enumerate((cents, sorted(cents), sorted(cents, reverse=True))) for c in order]
+    df = spark.createDataFrame(rows, "g int, v double").coalesce(1).groupBy("g")
+    found = df.agg(quantiles.exact_sum("v").alias("s"), quantiles.exact_mean("v").alias("m")).collect()
+    assert {(r.s, r.m) for r in found} == {(sum(cents) / 100, sum(cents) / (100 * len(cents)))}
+    assert len({reduce(lambda a, c: a + c / 100, order, 0.0) for order in (cents, sorted(cents), sorted(cents, reverse=True))}) > 1

@@ -28,6 +28,20 @@ def _many(n: Column, most: int, steps: int) -> Column:
     return F.least(F.ceil(4 * n / most), F.lit(steps)).cast("int")
 
 
+def exact_sum(value: str, places: int = 4) -> Column:
+    """Sum of figures with at most so many decimal places as a double, whatever order they come in: added up as whole numbers."""
+    return F.sum(_whole(value, places)).cast("double") / 10**places
+
+
+def exact_mean(value: str, places: int = 4) -> Column:
+    """Mean of figures with at most so many decimal places: equal means are equal doubles, so they tie."""
+    return F.try_divide(F.sum(_whole(value, places)).cast("double"), F.count(value) * F.lit(10**places))
+
+
+def _whole(value: str, places: int) -> Column:
+    return F.round(F.col(value) * 10**places).cast("decimal(18,0)")
+
+
 def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], steps: int = STEPS, most: int = MOST) -> DataFrame:
     """One row a key with the percentiles by name, linear between neighbours; NULL values are left out.
 

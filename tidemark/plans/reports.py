@@ -9,7 +9,7 @@ from tidemark.operators import quantiles
 from tidemark.operators import series as s
 from tidemark.plans.series import _F, _G, _flagged, _gapless
 from tidemark.plans.series import ORACLES as _SERIES
-from tidemark.tables import load
+from tidemark.tables import load, written
 
 QUERIES, ORACLES = {}, {}
 
@@ -90,7 +90,8 @@ def return_quartiles(spark, sf_dir):
 SELECT l_suppkey, rank() OVER (ORDER BY v DESC) AS place, ntile(3) OVER (ORDER BY v, l_suppkey) AS third FROM m""")
 def supplier_ranks(spark, sf_dir):
     """Rank and third of each supplier among all."""
-    m = load(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.avg("l_extendedprice").alias("v")).withColumn("down", -F.col("v"))
+    m = load(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(quantiles.exact_mean("l_extendedprice").alias("v")).withColumn("down", -F.col("v"))
+    m = written(m, "means")
     up = quantiles.placed(m, "v", "l_suppkey").select("l_suppkey", quantiles.tile(F.col("place"), F.col("n_rows"), 3).cast("long").alias("third"))
     return quantiles.placed(m, "down").select("l_suppkey", F.col("rank").alias("place")).join(up, "l_suppkey")
 
