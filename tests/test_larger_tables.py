@@ -37,3 +37,24 @@ def test_recipients_are_counted_by_sets_of_areas(spark, tmp_path):
     assert sorted(tuple(plain(r[c]) for c in columns) for r in found.collect()) == sql_rows(str(tmp_path), "alert_recipients", columns)
     # people are no longer told apart behind the join with the alerts
     assert "distinct c_custkey" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_contradictions_are_told_by_the_next_three_people(spark, tmp_path):
+    from datetime import datetime, timedelta
+    from random import Random
+
+    rng, start = Random(7), datetime(2024, 1, 1)
+    rows = [(i, rng.choice([0, 40, 80, 120, 1, 41, None]), start + timedelta(minutes=30 * rng.randrange(150)), rng.choice(["error", "signup", "view"])) for i in range(400)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, event_type string").selectExpr("*", "1.0D AS value").write.parquet(f"{tmp_path}/events.parquet")
+    found = catalog.QUERIES["uncontradicted_reports"](spark, str(tmp_path))
+    columns = sorted(found.columns)
+    mine = sorted(tuple(plain(r[c]) for c in columns) for r in found.collect())
+    assert mine == sql_rows(str(tmp_path), "uncontradicted_reports", columns) and len({m[0] for m in mine}) == 2
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()  # reports and contradictions are not paired
+
+
+def test_copies_of_a_record_are_linked_with_one_of_them(spark, tmp_path):
+    parts = [(i, "Big  ring" if i % 2 else "big ring", 900.0 + (i % 3) * 0.4) for i in range(60)] + [(99, "other", 900.0)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    found = {(r.left_key, r.right_key, r.same) for r in catalog.QUERIES["linked_names"](spark, str(tmp_path)).collect()}
+    assert found == {(i % 3, i, True) for i in range(3, 60)} | {(0, 1, False), (1, 2, False)}
