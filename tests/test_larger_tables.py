@@ -58,3 +58,30 @@ def test_copies_of_a_record_are_linked_with_one_of_them(spark, tmp_path):
     spark.createDataFrame(parts, "p_partkey long, p_name string, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
     found = {(r.left_key, r.right_key, r.same) for r in catalog.QUERIES["linked_names"](spark, str(tmp_path)).collect()}
     assert found == {(i % 3, i, True) for i in range(3, 60)} | {(0, 1, False), (1, 2, False)}
+
+
+def test_lines_at_one_place_cross_roads_once_for_all_of_them(spark, tmp_path, monkeypatch):
+    """Places repeat every 39,000 keys: lines and roads of the same shape are met as one, and none is sent through the driver."""
+    from tidemark.operators import areas
+
+    keys = lambda n: [(i + j * 39_000,) for j in range(3) for i in range(n)]
+    spark.createDataFrame(keys(60), "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(keys(30), "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    sides = []
+    real = areas.meetings
+    monkeypatch.setattr(areas, "meetings", lambda a, b, *rest: sides.append((a.count(), b.count())) or real(a, b, *rest))
+    found = catalog.QUERIES["rivers_over_roads"](spark, str(tmp_path))
+    columns = sorted(found.columns)
+    mine = sorted(tuple(plain(r[c]) for c in columns) for r in found.collect())
+    assert mine == sql_rows(str(tmp_path), "rivers_over_roads", columns) and len(mine) > 900
+    assert sides == [(3 * 19, 3 * 9)]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_members_of_a_frequent_shape_are_dealt_to_several_rows(spark):
+    from tidemark.operators import areas
+
+    rows = spark.range(5000).selectExpr("id", "CASE WHEN id < 4990 THEN 1.0D ELSE id END AS x")
+    found = [sorted(r.ids) for r in areas._alike(rows, "id", ["x"]).collect()]
+    assert sorted(i for f in found for i in f) == list(range(5000))
+    assert len(found) == 10 + 5 and max(len(f) for f in found) < 1200
