@@ -64,6 +64,20 @@ def test_houses_served_with_and_without_floods(spark):
     assert found["z"] == (0, 0, None, None)
 
 
+def test_edges_are_made_once_for_all_rounds(spark, monkeypatch):
+    """What edges are made of, a broadcast for one, is not done again each round; what is cheaper over more edges is found."""
+    names = []
+    real = graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: names.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or real(df, name))
+    rng = random.Random(2)
+    roads = [(i, i + 1, 1.0) for i in range(9)] + [(0, j, 2.0 * j) for j in range(2, 10)] + [(rng.randrange(10), rng.randrange(10), 9.0) for _ in range(5)]
+    made = F.udf(lambda cost: cost, "double")
+    edges = spark.createDataFrame(roads, "a int, b int, cost double").withColumn("cost", made("cost"))
+    found = {r.node: r.cost for r in graph.reach_within(edges, spark.createDataFrame([(0,)], "node int"), 8.0).collect()}
+    assert found == {i: float(i) for i in range(9)}
+    assert [n for n, plan in names if "<lambda>(" in plan] == ["edges"] and len(names) > 8
+
+
 def test_edges_are_flooded_by_two_of_three_points(spark):
     rows = [(1, 2, 0.5, 0.5, 1.5, 0.5, False), (2, 3, 1.5, 0.5, 4.5, 0.5, False), (3, 4, 0.5, 0.5, 1.4, 0.5, True)]
     edges = spark.createDataFrame(rows, "a int, b int, x1 double, y1 double, x2 double, y2 double, bridge boolean")

@@ -56,16 +56,22 @@ def upstream(pointers: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def _cheapest(sources: DataFrame, edges: DataFrame, keys: list[str], limit: float) -> DataFrame:
-    """(keys, node, cost): cheapest cost of each key's own sources within a limit. What becomes cheaper is added, nothing is rewritten."""
+    """(keys, node, cost): cheapest cost of each key's own sources within a limit. What becomes cheaper is added, nothing is rewritten.
+
+    Edges are made once, not once a round, and a round compares what is new with what is known in one grouping, without a join.
+    """
+    on = [*keys, "node"]
+    own = [k for k in keys if k in edges.columns]
+    edges = written(edges.select(*own, "a", "b", "cost"), "edges")
     front = written(sources.select(*keys, "node", F.lit(0.0).alias("cost")).distinct(), "costs")
     parts = [front]
-    on = [*keys, "node"]
     while not front.isEmpty():
-        step = front.select(*keys, F.col("node").alias("a"), F.col("cost").alias("so_far")).join(_large(edges), ["a", *[k for k in keys if k in edges.columns]])
+        step = front.select(*keys, F.col("node").alias("a"), F.col("cost").alias("so_far")).join(_large(edges), ["a", *own])
         new = step.select(*keys, F.col("b").alias("node"), (F.col("so_far") + F.col("cost")).alias("cost")).where(F.col("cost") <= limit)
-        new = written(new.groupBy(*on).agg(F.min("cost").alias("cost")), "reached")
-        known = reduce(DataFrame.unionByName, parts).join(_large(new.select(*on)), on, "left_semi").groupBy(*on).agg(F.min("cost").alias("old"))
-        front = written(new.join(_large(known), on, "left").where("old IS NULL OR cost < old").drop("old"), "costs")
+        known = reduce(DataFrame.unionByName, parts).withColumn("known", F.lit(True))
+        both = new.withColumn("known", F.lit(False)).unionByName(known).groupBy(*on)
+        both = both.agg(F.min(F.when(~F.col("known"), F.col("cost"))).alias("cost"), F.min(F.when(F.col("known"), F.col("cost"))).alias("old"))
+        front = written(both.where("cost IS NOT NULL AND (old IS NULL OR cost < old)").select(*on, "cost"), "costs")
         parts.append(front)
     return reduce(DataFrame.unionByName, parts).groupBy(*on).agg(F.min("cost").alias("cost"))
 
