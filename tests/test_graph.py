@@ -41,6 +41,25 @@ def test_join_levels_equal_a_search_from_the_channel(spark):
     assert {(r.reach, r.row, r.col): r.level for r in found} == plain_levels(cells)
 
 
+def test_join_levels_move_narrow_rows(spark, monkeypatch):
+    """Rounds carry numbers, not places, and find what is least by hash; many cells of one height, a place with two rows and one without a height."""
+    plans = []
+    real = graph.written
+
+    def kept(df, name):
+        if name in ("exits", "pointers"):
+            plans.append((df.dtypes, df._jdf.queryExecution().executedPlan().toString()))
+        return real(df, name)
+
+    monkeypatch.setattr(graph, "written", kept)
+    cells = [(q, r, c, float(h % 3), ch) for q, r, c, h, ch in grid(random.Random(4), 2, 8, 9)]
+    rows = [*cells, (7, 0, 0, 1.0, True), (7, 0, 1, 2.0, False), (7, 0, 1, 5.0, False), (7, 0, 2, None, False), (7, 0, 3, 0.0, False)]
+    found = sorted((r.reach, r.row, r.col, r.height, r.level) for r in graph.join_levels(spark.createDataFrame(rows, CELLS)).where("reach = 7").collect())
+    assert found == [(7, 0, 0, 1.0, 1.0), (7, 0, 1, 2.0, 2.0), (7, 0, 1, 5.0, 2.0), (7, 0, 3, 0.0, None)]
+    assert plans and all(kind in ("bigint", "double", "boolean") for types, _ in plans for _, kind in types)
+    assert not any("SortAggregate" in plan for _, plan in plans)
+
+
 @pytest.mark.parametrize("volume", [0.5, 40.0, 900.0, 20_000.0])
 def test_fillings_equal_the_search_by_halving(spark, volume):
     cells = spark.createDataFrame(grid(random.Random(5), 4, 9, 11) + [(9, 0, 0, 1.0, False)], CELLS)

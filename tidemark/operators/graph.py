@@ -282,49 +282,52 @@ def join_levels(cells: DataFrame) -> DataFrame:
     ``cells`` is (reach, row, col, height, channel). The level is the smallest possible maximum height on a way to the channel, both
     ends included; NULL where no way leads there. Found over a bottleneck spanning forest in rounds: each part that the channel is
     not yet in takes its lowest exit (ties by place), which every way out of it has to pass or exceed; of two parts that
-    take the same exit one stays open. Exits are pointers from cell to cell, and the level is the largest on the
-    pointers' way. Parts at least halve in number a round, and no round gathers a reach.
+    take the same exit one stays open. Cells and edges go by numbers, edges' in the order of their levels, so rows are narrow
+    and what is least is found by hash. Parts at least halve in number a round, and no round gathers a reach.
     """
     rows = cells.where(F.col("height").isNotNull()).select("reach", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("height").cast("double").alias("h"), "channel")
     rows = written(rows, "cells")
-    sea = F.struct("reach", F.lit(-(1 << 62)).alias("row"), F.lit(-(1 << 62)).alias("col"))
-    place = F.when(F.col("channel"), sea).otherwise(F.struct("reach", "row", "col"))
-    nodes = rows.select("reach", "row", "col", place.alias("node"), "h")
+    place = ["reach", "row", "col"]
+    numbered = rows.groupBy(*place).agg(F.min("h").alias("h"), F.coalesce(F.max("channel"), F.lit(False)).alias("channel"))
+    numbered = written(numbered.withColumn("id", F.monotonically_increasing_id()), "numbered")
+    # all channel cells of a reach are one node, with a number below 0
+    wet = numbered.where("channel")
+    sea = wet.groupBy("reach").agg((-1 - F.min("id")).alias("node"))
+    nodes = wet.join(_large(sea), "reach").select(*place, "h", "node").unionByName(numbered.where("NOT channel").select(*place, "h", F.col("id").alias("node")))
+    nodes = written(nodes, "nodes")
     steps = F.array(F.struct((F.col("row") + 1).alias("row"), "col"), F.struct("row", (F.col("col") + 1).alias("col")))
     near = nodes.select("reach", F.col("node").alias("u"), F.col("h").alias("hu"), F.explode(steps).alias("_n")).select("reach", "u", "hu", "_n.row", "_n.col")
-    edges = near.join(_large(nodes.select("reach", "row", "col", F.col("node").alias("v"), F.col("h").alias("hv"))), ["reach", "row", "col"]).where("u <> v")
-    left = edges.select(F.col("u").alias("cu"), F.col("v").alias("cv"), F.greatest("hu", "hv").alias("w"), "u", "v")
-
-    def pruned(rows: DataFrame) -> DataFrame:
-        """Of parallel edges the lowest."""
-        ends = F.col("cu") < F.col("cv")
-        turned = rows.select(F.least("cu", "cv").alias("cu"), F.greatest("cu", "cv").alias("cv"), "w", F.when(ends, F.col("u")).otherwise(F.col("v")).alias("u"), F.when(ends, F.col("v")).otherwise(F.col("u")).alias("v"))
-        best = turned.groupBy("cu", "cv").agg(F.min(F.struct("w", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "u", "v")).alias("e"))
-        return written(best.select("cu", "cv", "e.w", "e.u", "e.v"), "exits")
-
-    left, pointers = pruned(left), []
-    is_sea = lambda c: F.col(f"{c}.row") == -(1 << 62)
+    edges = near.join(_large(nodes.select(*place, F.col("node").alias("v"), F.col("h").alias("hv"))), place).where("u <> v")
+    edges = written(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.greatest("hu", "hv").alias("w")), "edges")
+    left = written(edges.orderBy("w", "u", "v").withColumn("e", F.monotonically_increasing_id()), "exits")
+
+    rounds: list[DataFrame] = []
     while not left.isEmpty():
-        name = F.struct("w", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
-        both = left.select(F.col("cu").alias("c"), F.struct(name.alias("edge"), F.col("cv").alias("d"), F.col("v").alias("x")).alias("e")).unionByName(
-            left.select(F.col("cv").alias("c"), F.struct(name.alias("edge"), F.col("cu").alias("d"), F.col("u").alias("x")).alias("e"))
-        )
-        exits = written(both.where(~is_sea("c")).groupBy("c").agg(F.min("e").alias("e")).select("c", "e.*"), "chosen")
-        back = exits.select(F.col("c").alias("d"), F.col("edge").alias("back"))
-        closed = exits.join(_large(back), "d", "left").where(~((F.col("edge").eqNullSafe(F.col("back"))) & (F.col("c") < F.col("d"))))
-        closed = written(closed.select("c", "d", "x", F.col("edge.w").alias("w")), "closed")
-        pointers.append(closed.select(F.col("c").alias("node"), F.col("x").alias("to"), "w"))
-        merged = pointer_doubling(closed.select(F.col("c").alias("node"), F.col("d").alias("to"))).select("node", "outlet")
-        for end in ("cu", "cv"):
-            left = left.join(_large(merged.withColumnRenamed("node", end)), end, "left").withColumn(end, F.coalesce("outlet", end)).drop("outlet")
-        left = pruned(left.where("cu <> cv"))
-    found = nodes.withColumn("_level", F.lit(None).cast("double"))
-    if pointers:
-        way = pointer_doubling(reduce(DataFrame.unionByName, pointers), add=F.col("w"), combine=F.greatest)
-        way = way.where(is_sea("outlet")).select("node", F.col("steps").alias("_level"))
-        found = nodes.join(_large(way), "node", "left")
-    level = F.when(is_sea("node"), F.col("h")).otherwise(F.col("_level"))
-    return found.select("reach", "row", "col", F.col("h").alias("height"), level.alias("level"))
+        both = left.select(F.col("u").alias("c"), F.col("v").alias("d"), "e", "w").unionByName(left.select(F.col("v").alias("c"), F.col("u").alias("d"), "e", "w"))
+        exits = both.where("c >= 0").groupBy("c").agg(F.min_by("d", "e").alias("d"), F.min("e").alias("e"), F.min("w").alias("w"))
+        closed = exits.groupBy("e").agg(F.max("c").alias("node"), F.max_by("d", "c").alias("to"), F.min("w").alias("w"))
+        merged = pointer_doubling(closed.select("node", "to", "w"), add=F.col("w"), combine=F.greatest)
+        rounds.append(merged.select("node", "outlet", F.col("steps").alias("w")))
+        for end in ("u", "v"):
+            left = left.join(_large(merged.select(F.col("node").alias(end), "outlet")), end, "left").withColumn(end, F.coalesce("outlet", end)).drop("outlet")
+        left = left.where("u <> v").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("w").alias("w"), F.min("e").alias("e"))
+        left = written(left, "exits")
+    # what a part was joined to is open then and closes in a later round, so levels are known from the last round back
+    known = None
+    for merged in reversed(rounds):
+        found = merged.where("outlet < 0").select("node", F.col("w").alias("level"))
+        if known is not None:
+            later = known.select(F.col("node").alias("outlet"), "level")
+            up = merged.where("outlet >= 0").join(_large(later), "outlet").select("node", F.greatest("w", "level").alias("level"))
+            found = known.unionByName(found.unionByName(up))
+        known = written(found, "levels")
+    levels = numbered.select(*place, "id", "channel")
+    if known is None:
+        levels = levels.withColumn("level", F.lit(None).cast("double"))
+    else:
+        levels = levels.join(_large(known.withColumnRenamed("node", "id")), "id", "left")
+    found = rows.drop("channel").join(_large(levels.drop("id")), place)
+    return found.select(*place, F.col("h").alias("height"), F.when(F.col("channel"), F.col("h")).otherwise(F.col("level")).alias("level"))
 
 
 def filled_by_levels(cells: DataFrame, volume: float, area: float, steps: int = 4096) -> DataFrame:
